@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +42,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, unless PYTHONPATH has it for them already."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in known or context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "retrospect.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "retrospect").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -9,8 +9,28 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_by_bytes
+from .substrings import dedup_substrings
+from .token_rollup import rollup_history
+from .topk import top_k
+from .urls import judge_urls
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary file of that name lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +49,114 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_substrings(table(spark, sf_dir, "documents"), size=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1")
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    versions = ("words-1", "byte_bpe_50k-1")
+    return rollup_history(table(spark, sf_dir, "documents"), toxic, ranks, public_tokenizers.PATTERN, versions)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_url_filters": op3_url_filters,
     "op4_source_mixing": op4_source_mixing,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_counts": op7_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_topk_search": op10_topk_search,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filters": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT s.row, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS label
+  FROM split s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY s.row
+), r AS (
+  SELECT s.*, f.rule, f.label, coalesce(page_id % 5 = 0, false) AS held,
+         string_split('^^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_-]', '~', 'g') || '$', '') AS c
+  FROM split s LEFT JOIN fits f USING (row)
+), pos AS (
+  SELECT row, label, held, c[i] || c[i + 1] || c[i + 2] || c[i + 3] AS gram
+  FROM (SELECT *, unnest(range(1, len(c) - 2)) AS i FROM r)
+), g4 AS (
+  SELECT gram, count(*) FILTER (NOT held AND label = 'allow') AS a, count(*) FILTER (NOT held AND label = 'block') AS r FROM pos GROUP BY gram
+), m1 AS (
+  SELECT *, sum(a) OVER () AS na, count(*) FILTER (a > 0) OVER () AS ta, sum(r) OVER () AS nr, count(*) FILTER (r > 0) OVER () AS tr
+  FROM (SELECT gram[4] AS g, sum(a) AS a, sum(r) AS r FROM g4 GROUP BY 1)
+), p1 AS (
+  SELECT g, CASE WHEN na > 0 THEN (a + ta * (1.0::DOUBLE / 33)) / (na + ta) ELSE 1.0::DOUBLE / 33 END AS ba,
+            CASE WHEN nr > 0 THEN (r + tr * (1.0::DOUBLE / 33)) / (nr + tr) ELSE 1.0::DOUBLE / 33 END AS br FROM m1
+), m2 AS (
+  SELECT *, sum(a) OVER w AS na, count(*) FILTER (a > 0) OVER w AS ta, sum(r) OVER w AS nr, count(*) FILTER (r > 0) OVER w AS tr
+  FROM (SELECT gram[3:4] AS g, sum(a) AS a, sum(r) AS r FROM g4 GROUP BY 1) WINDOW w AS (PARTITION BY g[1:1])
+), p2 AS (
+  SELECT m.g, CASE WHEN na > 0 THEN (a + ta * ba) / (na + ta) ELSE ba END AS ba, CASE WHEN nr > 0 THEN (r + tr * br) / (nr + tr) ELSE br END AS br
+  FROM m2 m JOIN p1 p ON m.g[2:2] = p.g
+), m3 AS (
+  SELECT *, sum(a) OVER w AS na, count(*) FILTER (a > 0) OVER w AS ta, sum(r) OVER w AS nr, count(*) FILTER (r > 0) OVER w AS tr
+  FROM (SELECT gram[2:4] AS g, sum(a) AS a, sum(r) AS r FROM g4 GROUP BY 1) WINDOW w AS (PARTITION BY g[1:2])
+), p3 AS (
+  SELECT m.g, CASE WHEN na > 0 THEN (a + ta * ba) / (na + ta) ELSE ba END AS ba, CASE WHEN nr > 0 THEN (r + tr * br) / (nr + tr) ELSE br END AS br
+  FROM m3 m JOIN p2 p ON m.g[2:3] = p.g
+), m4 AS (
+  SELECT gram AS g, a, r, sum(a) OVER w AS na, count(*) FILTER (a > 0) OVER w AS ta, sum(r) OVER w AS nr, count(*) FILTER (r > 0) OVER w AS tr
+  FROM g4 WINDOW w AS (PARTITION BY gram[1:3])
+), p4 AS (
+  SELECT m.g, ln(CASE WHEN na > 0 THEN (a + ta * ba) / (na + ta) ELSE ba END) - ln(CASE WHEN nr > 0 THEN (r + tr * br) / (nr + tr) ELSE br END) AS s
+  FROM m4 m JOIN p3 p ON m.g[2:4] = p.g
+), scored AS (
+  SELECT row, round(avg(s), 9) AS score FROM pos JOIN p4 ON gram = g GROUP BY row
+), j AS (SELECT r.*, score FROM r JOIN scored USING (row)),
+bins AS (
+  SELECT floor(score / 0.01::DOUBLE)::BIGINT AS bin, count(*) FILTER (label = 'allow') AS a, count(*) FILTER (label = 'block') AS b
+  FROM j WHERE held AND label IS NOT NULL GROUP BY 1
+), rates AS (
+  SELECT bin, sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE / nullif(sum(a) OVER (), 0) AS kept,
+         coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / nullif(sum(b) OVER (), 0) AS stopped
+  FROM bins
+), best AS (
+  SELECT coalesce((SELECT bin * 0.01::DOUBLE FROM rates WHERE kept IS NOT NULL AND stopped IS NOT NULL
+                   ORDER BY round(kept + stopped, 9) DESC, abs(bin), bin LIMIT 1), 0.0) AS threshold
+)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score, threshold
+FROM j, best
+""",
+    "op10_topk_search": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""",
     "op4_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
