@@ -42,7 +42,7 @@ class Words:
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join(texts)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+        self.first = first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
         buffer = np.frombuffer(self.data, dtype=np.uint8)
         inside = np.concatenate([[False], ~_SPACE[buffer], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_by_bytes
@@ -63,6 +64,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_history(table(spark, sf_dir, "documents"), toxic, ranks, public_tokenizers.PATTERN, versions)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk_search": op10_topk_search,
 }
