@@ -7,12 +7,115 @@ is one cell, so a group of any size is spread over tasks of bounded size.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 
+#: Set sizes up to which parity bitmaps have 1, 2, 4, 8, 16 and 32 words (else 64).
+_BITMAP_SIZES = np.array([64, 160, 400, 1000, 2000, 4000])
+
+
+def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many elements, first in one common order, two sets of which one has this size must share one of."""
+    return size - (percent * size + 99) // 100 + 1
+
+
+def bitmap_words(size: np.ndarray) -> np.ndarray:
+    return 1 << np.searchsorted(_BITMAP_SIZES, size)
+
+
+def parity_bitmaps(owner: np.ndarray, element: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each set's bitmap, and the bitmaps one after the other: bits that an odd number of elements hit."""
+    many = bitmap_words(size)
+    first = np.concatenate([[0], np.cumsum(many)])
+    place = element & (64 * many - 1).astype(np.uint64)[owner]
+    out = np.zeros(first[-1], np.uint64)
+    np.bitwise_xor.at(out, first[owner] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return first, out
+
+
+def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Positions first .. first + many - 1 of each entry, one after the other."""
+    total = np.cumsum(many)
+    return np.repeat(first - (total - many), many) + np.arange(total[-1] if len(total) else 0)
+
+
+def _folded(size: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+    """Bitmaps of every length up to the longest, longest first; a longer one folds to a shorter one by exclusive or."""
+    many = bitmap_words(size)
+    first = np.cumsum(many) - many
+    longest = int(many.max(initial=1))
+    wide = np.zeros((len(size), longest), np.uint64)
+    for length in np.unique(many).tolist():
+        own = many == length
+        wide[own, :length] = held[first[own][:, None] + np.arange(length)]
+    out = [wide]
+    while longest > 1:
+        longest //= 2
+        out.append(out[-1][:, :longest] ^ out[-1][:, longest:])
+    return out
+
+
+def connecting_pairs(
+    word: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, held: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Links among the sets of postings (prefix element, set, its size, the element's place) that may be alike.
+
+    Pairs of sets under one element pass the length filter, the positional filter and the parity filter (the Hamming
+    distance of two bitmaps is at most the sets' difference). Pairs are enumerated by distance in the order of size,
+    those already connected are passed over, so the links are at most as many as the sets.
+    """
+    levels = _folded(size, held)
+    order = np.lexsort((name, size, word))
+    word, name, size, place = word[order], name[order], size[order], place[order]
+    levels = [level[order] for level in levels]
+    names, item = np.unique(name, return_inverse=True)
+    up = np.arange(len(names))
+    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    links: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = int(up[i])
+        return i
+
+    active, step = np.arange(max(0, len(word) - 1)), 1
+    while len(active):
+        active = active[active + step < len(word)]
+        other = active + step
+        active = active[(word[active] == word[other]) & (100 * size[active] >= percent * size[other])]
+        i, j = active, active + step
+        apart = up[item[i]] != up[item[j]]
+        i, j = i[apart], j[apart]
+        least = -(-percent * (size[i] + size[j]) // (100 + percent))
+        fits = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
+        i, j = i[fits], j[fits]
+        most = (100 - percent) * (size[i] + size[j]) // (100 + percent)
+        distance = np.zeros(len(i), np.int64)
+        shorter = np.minimum(bitmap_words(size[i]), bitmap_words(size[j]))
+        for level in levels:
+            own = shorter == level.shape[1]
+            distance[own] = np.bitwise_count(level[i[own]] ^ level[j[own]]).sum(axis=1)
+        close = distance <= most
+        for a, b in zip(item[i[close]].tolist(), item[j[close]].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                up[max(ra, rb)] = min(ra, rb)
+                links.append((int(names[a]), int(names[b])))
+        while (up[up] != up).any():
+            up[:] = up[up]
+        step += 1
+        if step % 16 == 0 and len(active):  # elements whose sets are all connected need no more pairs
+            label = up[item]
+            open_ = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+            active = active[open_[np.searchsorted(start, active, side="right") - 1]]
+    return links
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step of the alternating algorithm: neighbours move to the smallest node they see."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

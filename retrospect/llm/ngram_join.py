@@ -2,10 +2,10 @@
 
 1. Sets. Each document's words (A-Z lower-cased) give the set of its distinct shingles as 64-bit hashes. Equal sets
    (by two independent 64-bit sums) form a class, named by its smallest id; only classes are compared.
-2. Candidates without loss. Two sets whose Jaccard is at least t differ in at most d = (1-t)/(1+t) * (|x|+|y|) shingles.
-   Within an interval of sizes, shingles are dealt by hash into d + 2 parts; two parts at least must then be equal. A
-   set has a signature for each non-empty part, and one for each pair of its empty parts, in its own interval and the next.
-   Sets that share a signature are candidates; components of candidates are compared in cells of bounded size.
+2. Candidates without loss. In one order of all shingles (by hash), two sets whose Jaccard is at least t share a shingle
+   among the first n - ceil(t * n) + 1 of each. Postings of these prefixes meet in hash buckets; shingles that only one
+   set has there end here. The others get their sets' parity bitmaps and pairs pass filters of length, position and
+   bitmap, as far as they connect more sets. Components of candidates are compared in cells of bounded size.
 3. Signature trees. In a cell, sets lie in a tree whose nodes hold the OR of their shingle bitmaps, the range of their
    sizes and the most shingles that share a bit. Two trees (or one with itself) are traversed together; a pair of nodes is left out
    if its sizes can't reach t, if the bitmaps allow too small an overlap, or if all its sets are linked already.
@@ -19,7 +19,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
-from .links import CELL, cells, components
+from .links import CELL, cells, components, connecting_pairs, parity_bitmaps, prefix_length
 
 _FANOUT = 8
 #: Salts that make independent hashes of one shingle.
@@ -62,105 +61,81 @@ def _sums(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def size_intervals(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Last size of each interval, and how many shingles two linked sets up to that size may differ in."""
-    ends, first = [], 1
-    while not ends or ends[-1] < largest:
-        ends.append(first * 100 // percent)
-        first = ends[-1] + 1
-    ends.append(first * 100 // percent)
-    ends = np.array(ends, np.int64)
-    return ends, 2 * ends * (100 - percent) // (100 + percent)
-
-
-def set_signatures(owner: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and signature, for sets given as (owner, shingle) rows and their sizes."""
-    ends, differ = size_intervals(percent, int(sizes.max(initial=1)))
-    own_interval = np.searchsorted(ends, sizes)
-    owners, signatures = [], []
-    part_hash = mixed(shingle ^ _SALTS[2])
-    value = mixed(shingle ^ _SALTS[3])
-    for step in (0, 1):
-        interval = own_interval + step
-        parts = np.where(sizes > 0, differ[interval] + 2, 0)
-        first = np.concatenate([[0], np.cumsum(parts)])
-        slot = first[owner] + (part_hash % np.maximum(parts, 1)[owner].astype(np.uint64)).astype(np.int64)
-        total, filled = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
-        np.add.at(total, slot, value)
-        filled[slot] = True
-        holder = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(first[-1]) - first[holder]
-        name = mixed((interval[holder].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
-        owners.append(holder[filled])
-        signatures.append(mixed(total[filled] ^ name[filled]))
-        empty = np.flatnonzero(~filled)
-        lone = np.bincount(holder[empty], minlength=len(sizes))
-        empty = empty[lone[holder[empty]] > 1]
-        for group in np.split(empty, np.flatnonzero(np.diff(holder[empty])) + 1) if len(empty) else []:
-            i, j = np.triu_indices(len(group), 1)
-            owners.append(np.full(len(i), holder[group[0]]))
-            signatures.append(mixed(name[group[i]] + mixed(name[group[j]])))
-    return np.concatenate(owners), np.concatenate(signatures)
-
-
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, low, high (the two sums that stand for the set) for every row."""
+    """doc_id, n_shingles, low, high (the two sums that stand for the set) and bitmap (parity) for every row."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch["text"]]
             size = np.zeros(len(texts), np.int64)
             low, high = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+            bitmaps = [b""] * len(texts)
             for first, owner, shingle in shingle_sets(texts, n):
+                sizes = np.bincount(owner)
+                at, held = parity_bitmaps(owner, shingle, sizes)
+                bitmaps[first : first + len(sizes)] = [m.tobytes() for m in np.split(held, at[1:-1])]
                 owner = owner + first
                 size += np.bincount(owner, minlength=len(texts))
                 low += _sums(owner, mixed(shingle ^ _SALTS[0]), len(texts))
                 high += _sums(owner, mixed(shingle ^ _SALTS[1]), len(texts))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": size, "low": low.view(np.int64), "high": high.view(np.int64)})
+            yield pd.DataFrame(
+                {"doc_id": batch["doc_id"], "n_shingles": size, "low": low.view(np.int64), "high": high.view(np.int64), "bitmap": bitmaps}
+            )
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_shingles long, low long, high long")
+    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_shingles long, low long, high long, bitmap binary")
 
 
-def signature_buckets(docs: DataFrame, n: int, percent: int, bucket_bits: int) -> DataFrame:
-    """bucket, signatures, sets: packed signatures with the first sum of their set, each set once in a batch."""
+def prefix_buckets(docs: DataFrame, n: int, percent: int, bucket_bits: int) -> DataFrame:
+    """bucket, shingles, sets, sizes, places: packed postings of prefix shingles, each text once in a batch."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = list({t for t in batch["text"] if t})
-            found, named = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for _, owner, shingle in shingle_sets([t.encode() for t in texts], n):
-                many = int(owner.max(initial=-1)) + 1
-                sums = _sums(owner, mixed(shingle ^ _SALTS[0]), many)
-                by, signature = set_signatures(owner, shingle, np.bincount(owner, minlength=many), percent)
-                found.append(signature)
-                named.append(sums[by])
-            signature, name = np.concatenate(found), np.concatenate(named)
-            order = np.lexsort((name, signature))
-            signature, name = signature[order], name[order]
-            new = np.ones(len(name), bool)
-            new[1:] = (signature[1:] != signature[:-1]) | (name[1:] != name[:-1])
-            signature, name = signature[new], name[new]
-            cuts = np.searchsorted(signature, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
+                size = np.bincount(owner)
+                low = _sums(owner, mixed(shingle ^ _SALTS[0]), len(size))
+                ranked = mixed(shingle ^ _SALTS[2])
+                order = np.lexsort((ranked, owner))
+                place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                kept = place < prefix_length(size, percent)[owner]
+                parts.append((ranked[order][kept], low[owner[kept]], size[owner[kept]], place[kept]))
+            shingle, low, size, place = (np.concatenate(column) for column in zip(*parts, strict=True))
+            order = np.argsort(shingle, kind="stable")
+            cuts = np.searchsorted(shingle[order], np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
             rows = [
-                (bucket, packed_sorted(s), planes(h))
-                for bucket, (s, h) in enumerate(zip(np.split(signature, cuts), np.split(name, cuts), strict=True))
-                if len(s)
+                (bucket, packed_sorted(shingle[own]), planes(low[own]), planes(size[own]), planes(place[own]))
+                for bucket, own in enumerate(np.split(order, cuts))
+                if len(own)
             ]
-            yield pd.DataFrame(rows, columns=["bucket", "signatures", "sets"])
-
-    return docs.select("text").mapInPandas(scan, "bucket int, signatures binary, sets binary")
+            yield pd.DataFrame(rows, columns=["bucket", "shingles", "sets", "sizes", "places"])
+
+    return docs.select("text").mapInPandas(scan, "bucket int, shingles binary, sets binary, sizes binary, places binary")
+
+
+def shared_postings(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """bucket, shingle, low, size, place of the postings whose shingle another set of like size has."""
+    shingle = np.concatenate([from_packed_sorted(x) for x in bucket["shingles"]])
+    low, size, place = (np.concatenate([from_planes(x) for x in bucket[c]]).view(np.int64) for c in ("sets", "sizes", "places"))
+    order = np.lexsort((low, size, shingle))
+    shingle, low, size, place = shingle[order], low[order], size[order], place[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1])
+    shingle, low, size, place = shingle[new], low[new], size[new], place[new]
+    near = (shingle[1:] == shingle[:-1]) & (100 * size[:-1] >= percent * size[1:])
+    kept = np.zeros(len(low), bool)
+    kept[1:] |= near
+    kept[:-1] |= near
+    return pd.DataFrame(
+        {"bucket": bucket["bucket"].iloc[0], "shingle": shingle[kept].view(np.int64), "low": low[kept], "size": size[kept], "place": place[kept]}
+    )
 
 
-def candidate_links(_: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
-    """a, b: each set that shares a signature with others, with the smallest of them."""
-    signature = np.concatenate([from_packed_sorted(x) for x in bucket["signatures"]])
-    name = np.concatenate([from_planes(x) for x in bucket["sets"]]).view(np.int64)
-    order = np.lexsort((name, signature))
-    signature, name = signature[order], name[order]
-    start = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    least = np.repeat(name[start], np.diff(np.concatenate([start, [len(name)]])))
-    apart = least != name
-    return pd.DataFrame({"a": name[apart], "b": least[apart]}).drop_duplicates()
+def candidate_links(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """a, b: links that connect the sets of a bucket as far as the filters let pairs pass."""
+    held = np.frombuffer(b"".join(bucket["bitmap"]), np.uint64)
+    columns = (bucket[c].to_numpy(np.int64) for c in ("shingle", "low", "size", "place"))
+    return pd.DataFrame(connecting_pairs(*columns, held, percent), columns=["a", "b"]).astype("int64")
 
 
 class Forest:
@@ -226,6 +201,16 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
         root = forest.root(tree.members[next(members)])
         return root if all(forest.root(tree.members[i]) == root for i in members) else None
 
+    def leaf_pairs(one: SignatureTree, la: int, a: int, other: SignatureTree, lb: int, b: int) -> list[tuple[int, int]]:
+        """Pairs of sets below two lowest nodes whose sizes and bitmaps allow a link."""
+        rows, columns = (np.array(t.span(level, node)) for t, level, node in ((one, la, a), (other, lb, b)))
+        x, size_x, _, shared_x = (v[rows] for v in one.levels[0])
+        y, size_y, _, shared_y = (v[columns] for v in other.levels[0])
+        most = np.bitwise_count(x[:, None] & y[None]).sum(axis=-1).astype(np.int64) + np.minimum(shared_x[:, None], shared_y[None])
+        most = np.minimum(most, np.minimum(size_x[:, None], size_y[None]))
+        fit = 100 * most >= percent * (size_x[:, None] + size_y[None] - most)
+        return [(one.members[rows[i]], other.members[columns[j]]) for i, j in np.argwhere(fit).tolist()]
+
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         la, a, lb, b = stack.pop()
@@ -236,11 +221,11 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
         most = min(int(np.bitwise_count(bits_a & bits_b).sum()) + min(int(shared_a), int(shared_b)), int(high_a), int(high_b))
         if 100 * most < percent * (max(int(low_a), most) + max(int(low_b), most) - most):
             continue
-        if la == 0 and lb == 0:
-            i, j = left.members[a], right.members[b]
-            if i != j and forest.root(i) != forest.root(j) and alike(sets[i], sets[j], percent):
-                forest.join(i, j)
-                links.append((i, j))
+        if la <= 1 and lb <= 1:
+            for i, j in leaf_pairs(left, la, a, right, lb, b):
+                if i != j and forest.root(i) != forest.root(j) and alike(sets[i], sets[j], percent):
+                    forest.join(i, j)
+                    links.append((i, j))
             continue
         known = one_root(left, la, a)
         if known is not None and known == one_root(right, lb, b):
@@ -256,7 +241,7 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
     return links
 
 
-def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 8 << 20, cell_items: int = 512) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 16 << 20, cell_items: int = 512) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
     ship_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -267,8 +252,14 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
         sets.filter("n_shingles > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"))
     )
     classes = staged(classes, "classes")
+    shared = (
+        prefix_buckets(own.filter("doc_id is not null"), n, percent, bucket_bits)
+        .groupBy("bucket")
+        .applyInPandas(lambda bucket: shared_postings(bucket, percent), "bucket int, shingle long, low long, size long, place long")
+    )
+    sketches = sets.filter("n_shingles > 0").groupBy("low").agg(F.first("bitmap").alias("bitmap"))
     candidates = components(
-        signature_buckets(own.filter("doc_id is not null"), n, percent, bucket_bits).groupBy("bucket").applyInPandas(candidate_links, "a long, b long")
+        shared.join(sketches, "low").groupBy("bucket").applyInPandas(lambda bucket: candidate_links(bucket, percent), "a long, b long")
     )
     members = classes.join(candidates.withColumnRenamed("node", "low"), "low").select("root", F.col("class_id").alias("item"), "low")
     members = staged(members, "candidates")
