@@ -10,7 +10,7 @@ from retrospect.llm.line_dedup import dedup_lines
 from retrospect.llm.mixing import mix_sources, taken_copies
 from retrospect.llm.ngram_join import ngram_join
 from retrospect.llm.packing import pack_documents
-from retrospect.llm.quality import quality_rules
+from retrospect.llm.quality import kept_documents
 from retrospect.llm.queries import tokenizer_path
 
 
@@ -22,7 +22,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, as they are."""
-    return quality_rules(docs, extra=(F.struct("*").alias("__row"),)).filter("kept").select("__row.*")
+    return kept_documents(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

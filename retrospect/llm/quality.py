@@ -59,6 +59,7 @@ def quality_rules(
     keep_share: float = 0.5,
     broadcast_lines: int = 1_000_000,
     extra: tuple[Column, ...] = (),
+    barrier: bool = False,
 ) -> DataFrame:
     """doc_id, the base measures, n_boilerplate_words, base_failed and kept for every row of docs."""
     boilerplate = staged(frequent_lines(docs, host, min_docs, host_share), "frequent-lines")
@@ -94,6 +95,8 @@ def quality_rules(
         lambda total, line: total + F.regexp_count(line, F.lit(WORD_PATTERN)),
     )
     names = [c for c in own.columns if c not in ("doc_id", "__host", "__text", "__words")]
+    if barrier:
+        names.append(F.monotonically_increasing_id().alias("__at"))
     counted = joined.select(
         "doc_id",
         F.size("__words").cast("long").alias("n_words"),
@@ -107,3 +110,11 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boilerplate_words") < F.lit(keep_share) * F.col("n_words")
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
+def kept_documents(docs: DataFrame, **rules) -> DataFrame:
+    """The rows of docs that the quality rules keep, with all their columns."""
+    # Spark would move a filter below the measures and spell them out in it once more for every word; a row number
+    # among them keeps it where it is.
+    judged = quality_rules(docs, extra=(F.struct("*").alias("__row"),), barrier=True, **rules)
+    return judged.filter("kept and __at >= 0").select("__row.*")
