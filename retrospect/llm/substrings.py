@@ -6,9 +6,10 @@ smaller ids throughout.
 1. Hashes of all windows go to hash buckets, with their block. A bucket finds the hashes that several blocks share
    and asks, for each block, the one before it among them for the text.
 2. A block that is asked cuts the passages from its documents and sends them on: these confirm the recurrence by text.
-3. Each block compiles the windows of the passages that it got, and of those that recur among its own documents, into
-   Aho-Corasick automata (sharded to a bounded number of phrases each) and streams all its documents through them.
-   A located phrase counts if its first document is smaller, and its words go.
+3. Each block compiles phrases of the passages that it got, and of those that recur among its own documents, into
+   Aho-Corasick automata (sharded to a bounded number of words each) and streams all its documents through them. The
+   phrases tile a passage, short enough that every window holds one whole. Where one is located, the match is followed
+   to both sides along the passage; a stretch of a window or more goes if the passage's first document is smaller.
 
 Hashes only choose what to compare; words are removed where the automaton finds the same words. Memory of a task
 is bounded by a bucket (about `bucket_bytes` of text) or a block (`block_docs` documents) with its passages.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import ship_package
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, packed_sorted, planes
 
-_SHARD_PHRASES = 100_000
+_SHARD_WORDS = 500_000
 #: Characters that stand for words in an automaton; 0 stands for all words outside of its phrases.
 _SURROGATES = (0xD800, 0xE000)
 
@@ -126,21 +127,66 @@ def passages_of_block(docs: pd.DataFrame, asked: pd.DataFrame, size: int) -> pd.
 
 
 def _shards(passages: list[tuple[int, bytes]], size: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Passages as (rank of their first document, words), in lots of a bounded number of phrases."""
-    lot, phrases = [], 0
+    """Passages as (rank of their first document, words), in lots of a bounded number of words."""
+    lot, held = [], 0
     for rank, text in passages:
         words = text.split()
-        for start in range(0, max(1, len(words) - size + 1), _SHARD_PHRASES):
-            part = words[start : start + _SHARD_PHRASES + size - 1]
+        for start in range(0, len(words) - size + 1, _SHARD_WORDS):
+            part = words[start : start + _SHARD_WORDS + size - 1]
             lot.append((rank, part))
-            phrases += len(part) - size + 1
-            if phrases >= _SHARD_PHRASES:
+            held += len(part)
+            if held >= _SHARD_WORDS:
                 yield lot
-                lot, phrases = [], 0
+                lot, held = [], 0
     if lot:
         yield lot
 
 
+class PhraseAutomaton:
+    """The phrases that tile some passages, for locating all of the passages' windows in texts."""
+
+    def __init__(self, lot: list[tuple[int, list[bytes]]], size: int):
+        import ahocorasick
+
+        self.size, self.phrase = size, (size + 1) // 2
+        self.codes: dict[bytes, str] = {}
+        for _, part in lot:
+            for w in part:
+                if w not in self.codes:
+                    code = len(self.codes) + 1
+                    self.codes[w] = chr(code if code < _SURROGATES[0] else code - _SURROGATES[0] + _SURROGATES[1])
+        self.passages = [(rank, "".join([self.codes[w] for w in part])) for rank, part in lot]
+        homes: dict[str, list[tuple[int, int]]] = {}
+        for number, (_, coded) in enumerate(self.passages):
+            for at in range(0, len(coded) - self.phrase + 1, self.phrase):
+                homes.setdefault(coded[at : at + self.phrase], []).append((number, at))
+        self.automaton = ahocorasick.Automaton()
+        for phrase, places in homes.items():
+            self.automaton.add_word(phrase, places)
+        self.automaton.make_automaton()
+
+    def locate(self, words: list[bytes], rank: int) -> list[tuple[int, int]]:
+        """Stretches (start, end) of words that lie in a passage of a smaller rank."""
+        text = "".join([self.codes.get(w, "\0") for w in words])
+        n, found, followed = len(text), [], {}
+        for last, places in self.automaton.iter(text):
+            start = last - self.phrase + 1
+            for number, at in places:
+                first, passage = self.passages[number]
+                if first >= rank or followed.get((number, start - at), 0) > start:
+                    continue
+                left, back = start, at
+                while left and back and text[left - 1] == passage[back - 1]:
+                    left, back = left - 1, back - 1
+                right, ahead, end = last + 1, at + self.phrase, len(passage)
+                while right < n and ahead < end and text[right] == passage[ahead]:
+                    right, ahead = right + 1, ahead + 1
+                followed[number, start - at] = right
+                if right - left >= self.size:
+                    found.append((left, right))
+        return found
+
+
 def _local_passages(texts: list[bytes], ranks: np.ndarray, size: int) -> list[tuple[int, bytes]]:
     """Passages that several documents of a block share, with the rank of the smallest, from that document."""
     hashes, ranked, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
@@ -172,8 +218,6 @@ def _local_passages(texts: list[bytes], ranks: np.ndarray, size: int) -> list[tu
 
 def dedup_block(docs: pd.DataFrame, sent: pd.DataFrame, size: int) -> pd.DataFrame:
     """doc_id, n_words, n_removed, kept for the documents of one block."""
-    import ahocorasick
-
     docs = docs.reset_index(drop=True)
     texts = _texts(docs)
     words = [t.split() for t in texts]
@@ -182,33 +226,21 @@ def dedup_block(docs: pd.DataFrame, sent: pd.DataFrame, size: int) -> pd.DataFra
     ranks = np.where(known, docs["doc_id"].rank(method="dense").fillna(0).to_numpy().astype(np.int64), 0)
     rank_texts = [t if k else b"" for t, k in zip(texts, known, strict=True)]
     passages = sorted({bytes(p) for p in sent["passage"]})
-    located: list[list[int]] = [[] for _ in texts]
+    located: list[list[tuple[int, int]]] = [[] for _ in texts]
     for lot in _shards(_local_passages(rank_texts, ranks, size) + [(0, p) for p in passages], size):
-        codes: dict[bytes, str] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for rank, part in lot:
-            for w in part:
-                if w not in codes:
-                    code = len(codes) + 1
-                    codes[w] = chr(code if code < _SURROGATES[0] else code - _SURROGATES[0] + _SURROGATES[1])
-            coded = "".join([codes[w] for w in part])
-            for i in range(len(part) - size + 1):
-                automaton.add_word(coded[i : i + size], rank)
-        automaton.make_automaton()
+        phrases = PhraseAutomaton(lot, size)
         for i, own in enumerate(words):
-            rank = int(ranks[i])
-            if rank and len(own) >= size:
-                coded = "".join([codes.get(w, "\0") for w in own])
-                located[i] += [end for end, first in automaton.iter(coded) if first < rank]
+            if ranks[i] and len(own) >= size:
+                located[i] += phrases.locate(own, int(ranks[i]))
     rows = []
-    for doc_id, own, ends in zip(docs["doc_id"], words, located, strict=True):
+    for doc_id, own, stretches in zip(docs["doc_id"], words, located, strict=True):
         removed = 0
         kept = own
-        if ends:
+        if stretches:
             steps = np.zeros(len(own) + 1, np.int64)
-            at = np.unique(np.array(ends, dtype=np.int64))
-            steps[at - size + 1] += 1
-            steps[at + 1] -= 1
+            for start, end in set(stretches):
+                steps[start] += 1
+                steps[end] -= 1
             keep = np.cumsum(steps)[:-1] == 0
             kept = list(itertools.compress(own, keep.tolist()))
             removed = len(own) - len(kept)
