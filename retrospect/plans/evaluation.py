@@ -1 +1,161 @@
-"""Queries."""
+"""Queries over reports, baselines, outcomes, lags, models and streams' batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as e
+from ..operators import temporal as t
+from ..sources import tables as s
+from ..streaming import monitors as m
+from .registry import query
+from .temporal import EVENTS_SQL, assumption_events
+
+CLASSES = ["CUT", "HOLD", "HIKE"]
+THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 21)]
+_PERSIST = f"""WITH {s.OUTCOMES_SQL}, p AS (SELECT o_custkey AS desk, meeting, action AS actual, coalesce(lag(action) OVER (PARTITION BY o_custkey ORDER BY meeting), 'HOLD') AS predicted FROM outc JOIN orders ON meeting = o_orderkey)"""
+_HISTORY = f"""WITH {s.VOTES_SQL}, h AS (SELECT meeting, participant, dissent, avg(dissent::INT) OVER (PARTITION BY participant ORDER BY meeting ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_rate FROM mv)"""
+_REPORT = """SELECT *, coalesce((tp + fn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 0) AS base_rate, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall,
+coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0) AS specificity, (coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0)) / 2 AS balanced, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+coalesce((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS mcc FROM"""
+_TRACE = f"""{_HISTORY}, g AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]::DOUBLE[]) AS threshold),
+k AS (SELECT threshold, count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn
+FROM (SELECT threshold, dissent, coalesce(prior_rate >= threshold, false) AS said FROM h, g) GROUP BY 1), tr AS ({_REPORT} k)"""
+
+
+def _persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    desks = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting"), F.col("o_custkey").alias("desk"))
+    rows = t.persistence(s.outcomes(spark, sf_dir).join(desks, "meeting"), "desk")
+    return rows.select("desk", "meeting", F.col("action").alias("actual"), F.coalesce("persisted", F.lit("HOLD")).alias("predicted"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.prior_history(s.member_votes(spark, sf_dir))
+
+
+@query("a10_m06_class_report", f"""{_PERSIST}, k AS (SELECT c AS class, count(*) FILTER (actual = c) AS support, count(*) FILTER (predicted = c) AS said, count(*) FILTER (actual = c AND predicted = c) AS hit FROM p, (VALUES ('CUT'), ('HOLD'), ('HIKE')) v(c) GROUP BY 1)
+SELECT class, support, coalesce(hit::DOUBLE / nullif(said, 0), 0) AS precision, coalesce(hit::DOUBLE / nullif(support, 0), 0) AS recall, coalesce(2.0::DOUBLE * hit / nullif(said + support, 0), 0) AS f1 FROM k""")
+def a10_m06_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.class_report(_persistence(spark, sf_dir), CLASSES)
+
+
+@query("a11_binary_report", f"{_HISTORY}, k AS (SELECT count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn FROM (SELECT dissent, coalesce(prior_rate >= 0.3, false) AS said FROM h)) {_REPORT} k")
+def a11_binary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.coalesce(F.col("prior_rate") >= 0.3, F.lit(False))
+    return e.binary_report(_history(spark, sf_dir).agg(*e.binary_counts(F.col("dissent"), said)))
+
+
+@query("m07_threshold_trace", f"{_TRACE} SELECT * FROM tr")
+def m07_threshold_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.threshold_trace(_history(spark, sf_dir), THRESHOLDS)
+
+
+@query("m07_o07_best_threshold", f"{_TRACE} SELECT threshold, f1 FROM tr ORDER BY f1 DESC, balanced DESC, precision DESC, threshold DESC LIMIT 1")
+def m07_o07_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.best_threshold(m07_threshold_trace(spark, sf_dir))
+
+
+@query("a12_m08_micro_average", f"{_HISTORY}, k AS (SELECT meeting % 5 AS variant, count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn FROM (SELECT meeting, dissent, coalesce(prior_rate >= 0.3, false) AS said FROM h) GROUP BY 1) {_REPORT} k")
+def a12_m08_micro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.coalesce(F.col("prior_rate") >= 0.3, F.lit(False))
+    cases = _history(spark, sf_dir).groupBy("meeting").agg(*e.binary_counts(F.col("dissent"), said))
+    return e.binary_report(cases.groupBy(F.pmod("meeting", F.lit(5)).alias("variant")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
+
+
+@query("a13_usage_totals", "SELECT l_suppkey, sum(l_quantity)::BIGINT AS tokens, count(*) FILTER (l_linenumber > 1) AS repairs FROM lineitem GROUP BY 1")
+def a13_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = s.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", F.col("l_linenumber").alias("attempt"), F.col("l_quantity").alias("tokens"))).alias("usage"))
+    rows = nested.select(F.explode("usage").alias("u"))
+    return rows.groupBy(F.col("u.l_suppkey").alias("l_suppkey")).agg(F.sum("u.tokens").cast("long").alias("tokens"), F.count_if(F.col("u.attempt") > 1).alias("repairs"))
+
+
+@query("m11_ensemble", """WITH p AS (SELECT l_orderkey AS "case", (['CUT', 'HOLD', 'HIKE'])[(l_suppkey % 3) + 1] AS action FROM lineitem), c AS (SELECT "case", action, count(*) AS n FROM p GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY n DESC, action) AS rn FROM c) SELECT "case", CASE WHEN n >= 3 THEN action ELSE 'HOLD' END AS choice FROM k WHERE rn = 1""")
+def m11_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int"))
+    return e.ensemble(s.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), action.alias("action")), 3, F.lit("HOLD"))
+
+
+@query("m03_rate_outcomes", f"""WITH {s.VINTAGES_SQL}, {s.CUTOFFS_SQL}, vis AS (SELECT meeting_id, cutoff, series_id, observation_date, max(realtime_start) AS rt, arg_max(value, realtime_start) AS value FROM vint JOIN cut ON observation_date <= cutoff AND realtime_start <= cutoff WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4),
+pre AS (SELECT meeting_id, series_id, arg_max(value, observation_date) AS pre FROM vis GROUP BY 1, 2),
+post AS (SELECT meeting_id, series_id, value AS post FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id, series_id ORDER BY observation_date, realtime_start DESC) AS rn FROM vint JOIN cut ON observation_date > cutoff) WHERE rn = 1)
+SELECT meeting_id, series_id, pre, post, CASE WHEN post - pre > 1e-9 THEN 'HIKE' WHEN post - pre < -1e-9 THEN 'CUT' ELSE 'HOLD' END AS action FROM pre JOIN post USING (meeting_id, series_id)""")
+def m03_rate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, c = s.vintages(spark, sf_dir), s.cutoffs(spark, sf_dir)
+    pre = t.as_of_join(v, c).select("meeting_id", "series_id", F.col("value").alias("pre"))
+    post = t.first_after(v, c.withColumnRenamed("cutoff", "at")).select("meeting_id", "series_id", F.col("value").alias("post"))
+    change = F.col("post") - F.col("pre")
+    return pre.join(post, ["meeting_id", "series_id"]).withColumn("action", F.when(change > 1e-9, "HIKE").when(change < -1e-9, "CUT").otherwise("HOLD"))
+
+
+@query("m15_m18_lags", f"""WITH {EVENTS_SQL}, f AS (SELECT assumption_id, min(occurred_at) FILTER (kind = 'CONTRADICTION') AS c FROM ev GROUP BY 1),
+s AS (SELECT f.assumption_id, c, (SELECT min(occurred_at) FROM ev WHERE ev.assumption_id = f.assumption_id AND kind = 'STATEMENT_FLIP' AND occurred_at >= c) AS flip FROM f),
+p AS (SELECT *, (SELECT min(occurred_at) FROM ev WHERE ev.assumption_id = s.assumption_id AND kind = 'POLICY_RESPONSE' AND occurred_at >= flip) AS response FROM s)
+SELECT assumption_id, (flip::DATE - c::DATE)::INTEGER AS recognition_days, (response::DATE - flip::DATE)::INTEGER AS action_days,
+CASE WHEN flip IS NULL THEN 'NO_STATEMENT_FLIP_AS_OF' WHEN response IS NULL THEN 'RIGHT_CENSORED' ELSE 'OBSERVED' END AS status FROM p WHERE c IS NOT NULL""")
+def m15_m18_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, kind, at = assumption_events(spark, sf_dir), F.col("kind"), F.col("occurred_at")
+    first = events.groupBy("assumption_id").agg(F.min(F.when(kind == "CONTRADICTION", at)).alias("c")).filter("c is not null")
+    flips = events.join(first, "assumption_id").groupBy("assumption_id", "c").agg(F.min(F.when((kind == "STATEMENT_FLIP") & (at >= F.col("c")), at)).alias("flip"))
+    done = events.join(flips, "assumption_id").groupBy("assumption_id", "c", "flip").agg(F.min(F.when((kind == "POLICY_RESPONSE") & (at >= F.col("flip")), at)).alias("response"))
+    days = lambda a, b: F.date_diff(F.to_date(b), F.to_date(a))
+    status = F.when(F.col("flip").isNull(), "NO_STATEMENT_FLIP_AS_OF").when(F.col("response").isNull(), "RIGHT_CENSORED").otherwise("OBSERVED")
+    return done.select("assumption_id", days("c", "flip").alias("recognition_days"), days("flip", "response").alias("action_days"), status.alias("status"))
+
+
+@query("m04_ordered_logit")
+def m04_ordered_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, coefficient of actions (by order status) on standardised price and size of an order, and the cuts."""
+    lines = s.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("meeting")).agg(F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("d"))
+    rows = s.outcomes(spark, sf_dir).join(lines, "meeting")
+    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("level", "q", "d") for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    label = F.when(F.col("action") == "CUT", 0).when(F.col("action") == "HOLD", 1).otherwise(2)
+    scaled = rows.select(label.alias("y"), *[((F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]).alias(c) for c in ("level", "q", "d")]).persist()
+    theta, trace = e.fit_ordered_logit(scaled, ["level", "q", "d"], "y")
+    scaled.unpersist()
+    names = ["level", "q", "d", "first_cut", "log_width", "log_likelihood"]
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, [*theta, trace[-1]], strict=True)], "feature string, coefficient double")
+
+
+@query("b13_review_sample", """WITH q AS (SELECT doc_id, source, sha256(doc_id::VARCHAR) AS h, lang <> 'en' AS risky FROM documents), k AS (SELECT *, row_number() OVER (ORDER BY NOT risky, h)::INTEGER AS rank FROM q) SELECT doc_id, source, rank FROM k WHERE rank <= 40""")
+def b13_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string").cast("binary"), 256).alias("h"), (F.col("lang") != "en").alias("risky"))
+    from pyspark.sql import Window
+
+    order = Window.orderBy(~F.col("risky"), F.col("h"))
+    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 40").select("doc_id", "source", "rank")
+
+
+@query("b01_case_bundles", f"{_PERSIST}, v AS (SELECT l_orderkey AS meeting, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS voters FROM lineitem GROUP BY 1) SELECT meeting, actual, predicted, voters, len(voters) AS n_voters FROM p JOIN v USING (meeting)")
+def b01_case_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voters = s.votes(spark, sf_dir).groupBy("meeting").agg(F.sort_array(F.collect_set("participant")).alias("voters"))
+    return _persistence(spark, sf_dir).drop("desk").join(voters, "meeting").withColumn("n_voters", F.size("voters"))
+
+
+@query("t01_contradictions", """SELECT event_type AS series_id, min(ts) AS contradicted_at, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 60 AND ts > TIMESTAMP '2024-01-10' GROUP BY 1""")
+def t01_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.first_contradictions(s.table(spark, sf_dir, "events").withColumnRenamed("event_type", "series_id"), 60.0, "2024-01-10")
+
+
+@query("t02_accepted_events", f"""WITH {EVENTS_SQL}, x AS (SELECT *, bool_or(kind = 'CONTRADICTION') OVER w AS c, bool_or(kind = 'REVIEW_REQUESTED') OVER w AS r, bool_or(kind = 'STATEMENT_FLIP') OVER w AS f FROM ev
+WINDOW w AS (PARTITION BY assumption_id ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING))
+SELECT assumption_id, kind, occurred_at, event_id, CASE kind WHEN 'REVIEW_REQUESTED' THEN c WHEN 'REVIEWED' THEN c AND r WHEN 'POLICY_RESPONSE' THEN f ELSE true END AS accepted FROM x""")
+def t02_accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.accepted_events(assumption_events(spark, sf_dir))
+
+
+@query("t03_event_once", f"WITH {EVENTS_SQL} SELECT DISTINCT assumption_id, kind, occurred_at FROM ev")
+def t03_event_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assumption_events(spark, sf_dir).select("assumption_id", "kind", "occurred_at").distinct()
+
+
+@query("t04_late_documents", "SELECT source, count(*) FILTER (d <= DATE '2024-02-01') AS in_time, count(*) FILTER (d > DATE '2024-02-01') AS late FROM (SELECT source, DATE '2024-01-01' + (doc_id % 60)::INTEGER AS d FROM documents) GROUP BY 1")
+def t04_late_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    published = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int"))
+    return m.late_counts(s.table(spark, sf_dir, "documents").withColumn("published", published), "2024-02-01")
+
+
+@query("t05_current_states", f"WITH {EVENTS_SQL} SELECT assumption_id, min(occurred_at) FILTER (kind = 'CONTRADICTION') AS contradicted_at, min(occurred_at) FILTER (kind = 'REVIEWED') AS reviewed_at, count(*) AS n_events FROM ev GROUP BY 1")
+def t05_current_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.current_states(assumption_events(spark, sf_dir))

@@ -1 +1,98 @@
-"""Queries."""
+"""Queries over the index, BM25, pooling and backtests: documents are the chunks, benchmark items the queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import retrieval as r
+from ..sources import tables as s
+from .registry import query
+from .texts import TERMS
+
+CLASSES = ["CUT", "HOLD", "HIKE"]
+_BM25 = f"""WITH t AS (SELECT doc_id AS chunk_id, {TERMS} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM t),
+idx AS (SELECT chunk_id, length, term, count(*) AS tf FROM post GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
+shape AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
+asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a)) * (1 + ln(qf))) AS score
+FROM asked JOIN idx USING (term) JOIN df USING (term), shape GROUP BY 1, 2),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::INTEGER AS rank FROM scores) WHERE rank <= 20)"""
+_ACTION = "(['CUT', 'HOLD', 'HIKE'])[(chunk_id % 3) + 1]"
+_POOL = f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2),
+lab AS (SELECT *, (['CUT', 'HOLD', 'HIKE'])[(parent % 3) + 1] AS action FROM par), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS k FROM lab) WHERE k <= 8),
+sums AS (SELECT query_id, coalesce(sum(score / pow(33, 0.5)) FILTER (action = 'CUT'), 0) AS a, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HOLD'), 0) AS b, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HIKE'), 0) AS c FROM top GROUP BY 1),
+prob AS (SELECT query_id, (a + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS cut, (b + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hold, (c + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hike FROM sums)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    asked = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return r.top_hits(r.bm25(_chunks(spark, sf_dir), asked), k, F.round("score", 6))
+
+
+@query("r03_document_frequency", f"{_BM25} SELECT * FROM df")
+def r03_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.term_frequencies(r.postings(_chunks(spark, sf_dir)))
+
+
+@query("r04_o01_bm25", f"{_BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits")
+def r04_o01_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("r05_rerank", f"{_BM25} SELECT query_id, chunk_id, round(score * greatest(0.05, 1 + 0.6 * (chunk_id % 4) / 4 - 1.5 * (chunk_id % 3) / 4), 6) AS score FROM hits")
+def r05_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = _hits(spark, sf_dir).withColumns({"n_tags": F.lit(4), "overlap": F.pmod("chunk_id", F.lit(4)), "opposed": F.pmod("chunk_id", F.lit(3))})
+    return r.reranked(tagged, 0.6, 1.5).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("j18_excluded_neighbours", f"{_BM25} SELECT query_id, count(*) AS n FROM hits WHERE abs(chunk_id % 97 - query_id) > 2 GROUP BY 1")
+def j18_excluded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.abs(F.pmod("chunk_id", F.lit(97)) - F.col("query_id")) > 2
+    return _hits(spark, sf_dir).filter(apart).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def _labelled_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = r.best_of_parent(_hits(spark, sf_dir).withColumn("parent", F.pmod("chunk_id", F.lit(97))))
+    action = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("parent", F.lit(3)) + 1).cast("int"))
+    return parents.withColumn("action", action).withColumn("class_n", F.when(F.col("action") == "CUT", 33).otherwise(32))
+
+
+@query("a15_best_of_parent", f"{_POOL} SELECT query_id, parent, round(score, 6) AS score FROM par")
+def a15_best_of_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled_parents(spark, sf_dir).select("query_id", "parent", F.round("score", 6).alias("score"))
+
+
+@query("r06_a16_a17_prior", f"{_POOL} SELECT query_id, round(cut, 6) AS cut, round(hold, 6) AS hold, round(hike, 6) AS hike FROM prob")
+def r06_a16_a17_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = r.pooled(_labelled_parents(spark, sf_dir), 8, 0.5, CLASSES)
+    return p.select("query_id", *[F.round(c.lower(), 6).alias(c.lower()) for c in CLASSES])
+
+
+@query("r07_backtest", f"""{_POOL}, g AS (SELECT query_id, CASE WHEN cut = greatest(cut, hold, hike) THEN 'CUT' WHEN hold = greatest(cut, hold, hike) THEN 'HOLD' ELSE 'HIKE' END AS predicted, (['CUT', 'HOLD', 'HIKE'])[(query_id % 3) + 1] AS actual FROM prob)
+SELECT actual, predicted, count(*) AS n FROM g GROUP BY 1, 2""")
+def r07_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r.arg_max_class(r.pooled(_labelled_parents(spark, sf_dir), 8, 0.5, CLASSES), CLASSES)
+    actual = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
+    return said.groupBy(actual.alias("actual"), "predicted").agg(F.count("*").alias("n"))
+
+
+@query("r12_rank_diagnosis", f"{_BM25}, targets AS (SELECT item_id AS query_id, item_id * 7 AS chunk_id FROM benchmark) SELECT t.query_id, t.chunk_id, coalesce(rank::VARCHAR, 'NOT RETRIEVED') AS rank FROM targets t LEFT JOIN hits h ON h.query_id = t.query_id AND h.chunk_id = t.chunk_id")
+def r12_rank_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("chunk_id"))
+    found = targets.join(_hits(spark, sf_dir).select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
+    return found.select("query_id", "chunk_id", F.coalesce(F.col("rank").cast("string"), F.lit("NOT RETRIEVED")).alias("rank"))
+
+
+@query("r14_member_passages", "SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS rank FROM documents WHERE contains(text, 'tion')) WHERE rank <= 40")
+def r14_member_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.relational import top_per_group
+
+    named = s.table(spark, sf_dir, "documents").filter(F.col("text").contains("tion"))
+    return top_per_group(named, ["source"], [F.col("doc_id")], 40).select("source", "rank", "doc_id")
+
+
