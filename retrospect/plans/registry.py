@@ -21,5 +21,3 @@ def query(name: str, sql: str | None = None):
 
     return add
 
-
-from . import evaluation, relational, retrieval, temporal, texts  # noqa: E402, F401

@@ -1,14 +1,14 @@
 import pytest
-from retrospect.plans import registry
+from retrospect.plans import catalog
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows_as_sql(name, same_as_sql):
-    same_as_sql(registry.QUERIES[name], registry.ORACLES[name])
+    same_as_sql(catalog.QUERIES[name], catalog.ORACLES[name])
 
 
 def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+    assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
