@@ -11,6 +11,7 @@ import os
 import re
 import struct
 import unicodedata
+from array import array
 
 _CACHE_ENTRIES = 1_000_000
 #: Letters of the Latin blocks up to U+024F, numbers among them, and what of them needs the library
@@ -22,6 +23,10 @@ _PRE_TOKEN = re.compile(
 )
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ňŊ-žƀ-ǃǍ-ǰǴ-ɏ‐-—‘-‟•…€]")
 
+#: Byte-level spelling: printable bytes are themselves, the others the letters from U+0100 on, in order.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 _word_tokenizers: dict[str, WordTokenizer] = {}
 _encodings: dict[str, object] = {}
 
@@ -34,12 +39,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.library.model)  # for pre-tokens: no normalizer, no search for pre-tokens
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         coded = self.library.encode_batch(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in coded]
 
+    def _pre_token_ids(self, words: list[str]) -> list[bytes]:
+        spelled = [w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        return [array("I", c.ids).tobytes() for c in self.merges.encode_batch(spelled, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
@@ -52,7 +62,7 @@ class WordTokenizer:
                 self.cache.clear()
                 missing = list(set(words))
             if missing:
-                self.cache.update(zip(missing, self._ids(missing), strict=True))
+                self.cache.update(zip(missing, self._pre_token_ids(missing), strict=True))
             out.append(b"".join(map(self.cache.__getitem__, words)))
         return out
 
