@@ -43,20 +43,40 @@ def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - many), many) + np.arange(total[-1] if len(total) else 0)
 
 
-def _folded(size: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
-    """Bitmaps of every length up to the longest, longest first; a longer one folds to a shorter one by exclusive or."""
-    many = bitmap_words(size)
-    first = np.cumsum(many) - many
-    longest = int(many.max(initial=1))
-    wide = np.zeros((len(size), longest), np.uint64)
-    for length in np.unique(many).tolist():
-        own = many == length
-        wide[own, :length] = held[first[own][:, None] + np.arange(length)]
-    out = [wide]
-    while longest > 1:
-        longest //= 2
-        out.append(out[-1][:, :longest] ^ out[-1][:, longest:])
-    return out
+class Bitmaps:
+    """Parity bitmaps of postings, kept at their own lengths; a longer one folds to a shorter one by exclusive or."""
+
+    def __init__(self, size: np.ndarray, held: np.ndarray):
+        self.many = bitmap_words(size)
+        self.at = np.zeros(len(size), np.int64)
+        first = np.cumsum(self.many) - self.many
+        self.own = {}
+        for length in np.unique(self.many).tolist():
+            rows = np.flatnonzero(self.many == length)
+            self.at[rows] = np.arange(len(rows))
+            self.own[length] = held[first[rows][:, None] + np.arange(length)]
+
+    def _at_length(self, rows: np.ndarray, length: int) -> np.ndarray:
+        out = np.zeros((len(rows), length), np.uint64)
+        for many, bitmaps in self.own.items():
+            here = self.many[rows] == many
+            if many >= length and here.any():
+                found = bitmaps[self.at[rows[here]]]
+                while found.shape[1] > length:
+                    found = found[:, : found.shape[1] // 2] ^ found[:, found.shape[1] // 2 :]
+                out[here] = found
+        return out
+
+    def distances(self, i: np.ndarray, j: np.ndarray, lot: int = 8192) -> np.ndarray:
+        """Hamming distances of pairs of rows, at the shorter length of the two, a bounded number of pairs at a time."""
+        out = np.zeros(len(i), np.int64)
+        length = np.minimum(self.many[i], self.many[j])
+        for words in np.unique(length).tolist():
+            pairs = np.flatnonzero(length == words)
+            for start in range(0, len(pairs), lot):
+                k = pairs[start : start + lot]
+                out[k] = np.bitwise_count(self._at_length(i[k], words) ^ self._at_length(j[k], words)).sum(axis=1)
+        return out
 
 
 def connecting_pairs(
@@ -68,10 +88,9 @@ def connecting_pairs(
     distance of two bitmaps is at most the sets' difference). Pairs are enumerated by distance in the order of size,
     those already connected are passed over, so the links are at most as many as the sets.
     """
-    levels = _folded(size, held)
+    bitmaps = Bitmaps(size, held)
     order = np.lexsort((name, size, word))
     word, name, size, place = word[order], name[order], size[order], place[order]
-    levels = [level[order] for level in levels]
     names, item = np.unique(name, return_inverse=True)
     up = np.arange(len(names))
     start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
@@ -95,12 +114,7 @@ def connecting_pairs(
         fits = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
         i, j = i[fits], j[fits]
         most = (100 - percent) * (size[i] + size[j]) // (100 + percent)
-        distance = np.zeros(len(i), np.int64)
-        shorter = np.minimum(bitmap_words(size[i]), bitmap_words(size[j]))
-        for level in levels:
-            own = shorter == level.shape[1]
-            distance[own] = np.bitwise_count(level[i[own]] ^ level[j[own]]).sum(axis=1)
-        close = distance <= most
+        close = bitmaps.distances(order[i], order[j]) <= most
         for a, b in zip(item[i[close]].tolist(), item[j[close]].tolist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb:
