@@ -159,3 +159,40 @@ def t04_late_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t05_current_states", f"WITH {EVENTS_SQL} SELECT assumption_id, min(occurred_at) FILTER (kind = 'CONTRADICTION') AS contradicted_at, min(occurred_at) FILTER (kind = 'REVIEWED') AS reviewed_at, count(*) AS n_events FROM ev GROUP BY 1")
 def t05_current_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.current_states(assumption_events(spark, sf_dir))
+
+
+@query("m09_date_probe", f"{_PERSIST}, o AS (SELECT *, CASE predicted WHEN 'CUT' THEN 0 WHEN 'HOLD' THEN 1 ELSE 2 END AS a, CASE actual WHEN 'CUT' THEN 0 WHEN 'HOLD' THEN 1 ELSE 2 END AS b FROM p) SELECT actual, avg(abs(a - b)) AS mean_error, count(*) FILTER (a = b) AS hits FROM o GROUP BY 1")
+def m09_date_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = lambda c: F.array_position(F.array(*[F.lit(k) for k in CLASSES]), F.col(c))
+    error = F.abs(place("predicted") - place("actual"))
+    return _persistence(spark, sf_dir).groupBy("actual").agg(F.avg(error).alias("mean_error"), F.count_if(error == 0).alias("hits"))
+
+
+@query("m10_promotion_gate", f"{_TRACE}, b AS (SELECT max(f1) AS reference FROM tr WHERE threshold = 0.5) SELECT threshold, f1 > reference AS promoted, list_filter([CASE WHEN f1 <= reference THEN 'F1' END, CASE WHEN tp + fp = 0 THEN 'NO_COVERAGE' END], lambda z: z IS NOT NULL) AS blockers FROM tr, b")
+def m10_promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = m07_threshold_trace(spark, sf_dir)
+    reference = trace.filter("threshold = 0.5").agg(F.max("f1")).first()[0]  # one number
+    better = F.col("f1") > F.lit(reference)
+    blockers = F.array_compact(F.array(F.when(~better, "F1"), F.when(F.col("tp") + F.col("fp") == 0, "NO_COVERAGE")))
+    return trace.select("threshold", better.alias("promoted"), blockers.alias("blockers"))
+
+
+@query("p12_context_rules", "SELECT conv_id, list_filter([CASE WHEN count(*) < 4 THEN 'MEMBERS' END, CASE WHEN count(*) > count(DISTINCT turn) THEN 'DUPLICATE' END, CASE WHEN count(*) FILTER (turn = 0) <> 1 THEN 'CHAIR' END], lambda z: z IS NOT NULL) AS broken FROM conversations GROUP BY 1")
+def p12_context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = s.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("m"), F.count_if(F.col("turn") == 0).alias("chairs"))
+    broken = F.array_compact(F.array(F.when(F.col("n") < 4, "MEMBERS"), F.when(F.col("n") > F.col("m"), "DUPLICATE"), F.when(F.col("chairs") != 1, "CHAIR")))
+    return grouped.select("conv_id", broken.alias("broken"))
+
+
+@query("b14_review_results", "SELECT coalesce(s.doc_id, r.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'MISSING' WHEN s.doc_id IS NULL THEN 'UNKNOWN' WHEN quality = 1 AND toxic = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS decision FROM (SELECT doc_id FROM documents WHERE lang = 'en') s FULL JOIN labels r ON s.doc_id = r.doc_id")
+def b14_review_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = s.table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.lit(True).alias("sampled"))
+    joined = sample.join(s.table(spark, sf_dir, "labels"), "doc_id", "full_outer")
+    decision = F.when(F.col("quality").isNull(), "MISSING").when(F.col("sampled").isNull(), "UNKNOWN")
+    return joined.select("doc_id", decision.when((F.col("quality") == 1) & (F.col("toxic") == 0), "APPROVED").otherwise("REJECTED").alias("decision"))
+
+
+@query("m22_evidence_coverage", "WITH e AS (SELECT lang, source, count(*) FILTER (contains(text, 'tiontion')) AS n FROM documents GROUP BY 1, 2) SELECT lang, count(*) FILTER (n > 0) AS covered, coalesce(list(source ORDER BY source) FILTER (n = 0), []) AS missing FROM e GROUP BY 1")
+def m22_evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = s.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count_if(F.col("text").contains("tiontion")).alias("n"))
+    return found.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("covered"), F.sort_array(F.collect_list(F.when(F.col("n") == 0, F.col("source")))).alias("missing"))

@@ -96,3 +96,17 @@ def r14_member_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(named, ["source"], [F.col("doc_id")], 40).select("source", "rank", "doc_id")
 
 
+
+
+@query("r08_parameter_grid", f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS rn FROM par),
+g AS (SELECT m, query_id, coalesce(sum(score) FILTER (parent % 3 = 0), 0) AS a, coalesce(sum(score) FILTER (parent % 3 = 1), 0) AS b, coalesce(sum(score) FILTER (parent % 3 = 2), 0) AS c FROM k, (VALUES (2), (4), (8)) v(m) WHERE rn <= m GROUP BY 1, 2)
+SELECT m, count(*) FILTER (CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END = query_id % 3) AS hits, count(*) AS n FROM g GROUP BY 1""")
+def r08_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "parent")
+    ranked = _labelled_parents(spark, sf_dir).withColumn("rank", F.row_number().over(best)).withColumn("m", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8))))
+    mass = [F.coalesce(F.sum(F.when(F.col("action") == c, F.col("score"))), F.lit(0.0)).alias(c.lower()) for c in CLASSES]
+    said = r.arg_max_class(ranked.filter(F.col("rank") <= F.col("m")).groupBy("m", "query_id").agg(*mass), CLASSES)
+    actual = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
+    return said.groupBy("m").agg(F.count_if(F.col("predicted") == actual).alias("hits"), F.count("*").alias("n"))
