@@ -54,7 +54,7 @@ def pooled(parents: DataFrame, m: int, beta: float, classes: list[str], smoothin
 
     A class's sum is divided by its number of all parents to the power beta; a share of the total is added to each.
     """
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "parent")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "parent")  # sums differ in their last digits
     top = parents.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= m)
     mass = {c: F.coalesce(F.sum(F.when(F.col("action") == c, F.col("score") / F.pow(F.col("class_n"), F.lit(beta)))), F.lit(0.0)) for c in classes}
     sums = top.groupBy("query_id").agg(*[v.alias(f"s_{c}") for c, v in mass.items()])

@@ -20,7 +20,7 @@ FROM asked JOIN idx USING (term) JOIN df USING (term), shape GROUP BY 1, 2),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::INTEGER AS rank FROM scores) WHERE rank <= 20)"""
 _ACTION = "(['CUT', 'HOLD', 'HIKE'])[(chunk_id % 3) + 1]"
 _POOL = f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2),
-lab AS (SELECT *, (['CUT', 'HOLD', 'HIKE'])[(parent % 3) + 1] AS action FROM par), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS k FROM lab) WHERE k <= 8),
+lab AS (SELECT *, (['CUT', 'HOLD', 'HIKE'])[(parent % 3) + 1] AS action FROM par), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS k FROM lab) WHERE k <= 8),
 sums AS (SELECT query_id, coalesce(sum(score / pow(33, 0.5)) FILTER (action = 'CUT'), 0) AS a, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HOLD'), 0) AS b, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HIKE'), 0) AS c FROM top GROUP BY 1),
 prob AS (SELECT query_id, (a + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS cut, (b + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hold, (c + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hike FROM sums)"""
 
@@ -98,13 +98,13 @@ def r14_member_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("r08_parameter_grid", f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS rn FROM par),
+@query("r08_parameter_grid", f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS rn FROM par),
 g AS (SELECT m, query_id, coalesce(sum(score) FILTER (parent % 3 = 0), 0) AS a, coalesce(sum(score) FILTER (parent % 3 = 1), 0) AS b, coalesce(sum(score) FILTER (parent % 3 = 2), 0) AS c FROM k, (VALUES (2), (4), (8)) v(m) WHERE rn <= m GROUP BY 1, 2)
 SELECT m, count(*) FILTER (CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END = query_id % 3) AS hits, count(*) AS n FROM g GROUP BY 1""")
 def r08_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "parent")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "parent")
     ranked = _labelled_parents(spark, sf_dir).withColumn("rank", F.row_number().over(best)).withColumn("m", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8))))
     mass = [F.coalesce(F.sum(F.when(F.col("action") == c, F.col("score"))), F.lit(0.0)).alias(c.lower()) for c in CLASSES]
     said = r.arg_max_class(ranked.filter(F.col("rank") <= F.col("m")).groupBy("m", "query_id").agg(*mass), CLASSES)
