@@ -30,10 +30,8 @@ from pyspark.sql import functions as F
 from .common import ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, bitmap_words, cells, components, connecting_pairs, parity_bitmaps, prefix_length, ragged
+from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
 
-_RARITY_BITS = 22
-_RARITY_CHUNK = 16
-_ONCE = 8  # rarity class of a word that one line holds
 #: Salts of two independent hashes of one word.
 _SALTS = tuple(np.uint64(x) for x in (0x2D358DCCAA6C78A5, 0x8BB84B93962EACC9))
 
@@ -45,7 +43,7 @@ class Lines:
         words = Words(texts)
         breaks = np.flatnonzero(np.frombuffer(words.data, np.uint8) == 10)
         at = np.searchsorted(breaks, words.start)
-        order = np.lexsort((words.hash, at))
+        order = grouped_order(at, words.hash)
         at, word, text = at[order], words.hash[order], words.text[order]
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (word[1:] != word[:-1])
@@ -55,9 +53,9 @@ class Lines:
         self.line = np.repeat(np.arange(len(start)), self.size)
         self.text = text[start]
         self.number = at[start] - np.searchsorted(breaks, words.first)[self.text]
-        self.low, self.high = (self._sum(salt) for salt in _SALTS)
+        self.low = self.sums(_SALTS[0])
 
-    def _sum(self, salt: np.uint64) -> np.ndarray:
+    def sums(self, salt: np.uint64) -> np.ndarray:
         out = np.zeros(len(self.size), np.uint64)
         np.add.at(out, self.line, mixed(self.word ^ salt))
         return out
@@ -72,35 +70,32 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, Lines]]:
         yield part.start, Lines(texts[part])
 
 
-def rarity_table(docs: DataFrame) -> np.ndarray:
-    """Rarity class (8 times the logarithm of lines, at most 255) by the leading bits of a word's hash."""
+_FIRST_PASS = f"doc_id long, text_key long, line int, low long, high long, {COUNT_COLUMNS}"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << _RARITY_BITS, np.int64)
+
+def first_pass(docs: DataFrame) -> DataFrame:
+    """Two kinds of rows from one look at the texts.
+
+    Lines with words: doc_id, text_key, line, low, high. Counts of hashed words (chunk, places, counts), a few a task.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counter()
         for batch in batches:
-            for _, lines in _chunks(_encoded(batch["text"])):
-                np.add.at(total, (lines.word >> np.uint64(64 - _RARITY_BITS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        chunk = used >> _RARITY_CHUNK
-        rows = [
-            (int(c[0]), packed_sorted(u.astype(np.uint64)), planes(total[u]))
-            for c, u in ((chunk[g], used[g]) for g in np.split(np.arange(len(used)), np.flatnonzero(np.diff(chunk)) + 1))
-            if len(u)
-        ]
-        yield pd.DataFrame(rows, columns=["chunk", "places", "counts"])
-
-    def add(_: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << _RARITY_CHUNK, np.int64)
-        for places, counts in zip(chunk["places"], chunk["counts"], strict=True):
-            total[from_packed_sorted(places).astype(np.int64) & ((1 << _RARITY_CHUNK) - 1)] += from_planes(counts).view(np.int64)
-        classes = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
-        return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "classes": [classes.tobytes()]})
-
-    table = np.zeros((1 << (_RARITY_BITS - _RARITY_CHUNK), 1 << _RARITY_CHUNK), np.uint8)
-    counted = docs.select("text").mapInPandas(count, "chunk int, places binary, counts binary")
-    for row in counted.groupBy("chunk").applyInPandas(add, "chunk int, classes binary").collect():  # 4 MB at any scale
-        table[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
-    return table.reshape(-1)
+            ids, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
+            for first, lines in _chunks(_encoded(batch["text"])):
+                counter.add(lines.word)
+                at = lines.text + first
+                high = lines.sums(_SALTS[1]).view(np.int64)
+                yield pd.DataFrame(
+                    {"doc_id": ids[at], "text_key": keys[at], "line": lines.number, "low": lines.low.view(np.int64), "high": high}
+                ).assign(chunk=None, places=None, counts=None)
+        yield counter.rows().assign(doc_id=None, text_key=None, line=None, low=None, high=None)[_FIRST_PASS_NAMES]
+
+    return docs.select("doc_id", "text_key", "text").mapInPandas(scan, _FIRST_PASS)
+
+
+_FIRST_PASS_NAMES = [column.split()[0] for column in _FIRST_PASS.split(", ")]
 
 
 def prefix_postings(docs: DataFrame, rarity, percent: int, bucket_bits: int) -> DataFrame:
@@ -117,11 +112,11 @@ def prefix_postings(docs: DataFrame, rarity, percent: int, bucket_bits: int) ->
                 _, at = np.unique(lines.low, return_index=True)
                 fresh[[i for i in at.tolist() if int(lines.low[i]) not in seen]] = True
                 seen.update(lines.low[fresh].tolist())
-                rare = classes[(lines.word >> np.uint64(64 - _RARITY_BITS)).astype(np.int64)]
-                order = np.lexsort((lines.word, rare, lines.line))
+                rare = classes_of(classes, lines.word)
+                order = grouped_order(lines.line, lines.word, rare)
                 start = np.cumsum(lines.size) - lines.size
                 place = np.arange(len(order)) - start[lines.line]
-                keep = (place < prefix_length(lines.size, percent)[lines.line]) & fresh[lines.line] & (rare[order] > _ONCE)
+                keep = (place < prefix_length(lines.size, percent)[lines.line]) & fresh[lines.line] & (rare[order] > ONCE)
                 line, word = lines.line[keep], lines.word[order][keep]
                 first, bitmaps = parity_bitmaps(lines.line, lines.word, lines.size)
                 parts.append([word, lines.low[line], lines.size[line], place[keep], first[line] + base])
@@ -153,21 +148,6 @@ def candidate_links(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def line_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line, low, high of every line with words."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
-            for first, lines in _chunks(_encoded(batch["text"])):
-                at = lines.text + first
-                yield pd.DataFrame(
-                    {"doc_id": ids[at], "text_key": keys[at], "line": lines.number, "low": lines.low.view(np.int64), "high": lines.high.view(np.int64)}
-                )
-
-    return docs.select("doc_id", "text_key", "text").mapInPandas(scan, "doc_id long, text_key long, line int, low long, high long")
-
-
 def _compressed(text: Column) -> Column:
     @F.pandas_udf("binary")
     def compress(texts: pd.Series) -> pd.Series:
@@ -222,14 +202,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bucket_bytes: int = 8 << 20,
     )
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bucket_bits = max(3, (total // bucket_bytes).bit_length())
-    rarity = spark.sparkContext.broadcast(rarity_table(own))
+    seen = staged(first_pass(own), "line-sets")
+    sets = seen.filter("chunk is null").select("doc_id", "text_key", "line", "low", "high")
+    rarity = spark.sparkContext.broadcast(rarity_table(seen.filter("chunk is not null").select("chunk", "places", "counts")))
     links = (
         prefix_postings(own, rarity, percent, bucket_bits)
         .groupBy("bucket")
         .applyInPandas(lambda _, bucket: candidate_links(bucket, percent), "a long, b long")
     )
     candidates = components(links).withColumnRenamed("node", "low")
-    sets = staged(line_sets(own), "line-sets")
     firsts = staged(sets.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first")), "first-lines")
     members = staged(firsts.join(candidates, "low").select("root", "low", "high", "first"), "candidate-lines")
     sizes = members.groupBy("root").agg(F.count("*").alias("items")).filter("items > 1")
@@ -274,22 +255,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bucket_bytes: int = 8 << 20,
         .withColumnRenamed("text_key", "removed_key")
     )
 
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def stripped(packed: pd.Series, removed: pd.Series) -> pd.DataFrame:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        rows = []
-        for data, numbers in zip(packed, removed, strict=True):
-            text = None if data is None else unpack(data).decode()
-            lines = [] if text is None else text.split("\n")
-            drop = set() if numbers is None else set(numbers)
-            rows.append(("\n".join([x for i, x in enumerate(lines) if i not in drop]) if drop else text, len(lines), len(drop)))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
-
     others = [F.col(c) for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*others).alias("others"), F.xxhash64("text").alias("text_key"), _compressed(F.col("text")).alias("packed"))
+    whole = docs.select(F.struct(*others).alias("others"), F.xxhash64("text").alias("text_key"), "text")
     joined = whole.join(removed, (F.col("others.doc_id") == F.col("removed_id")) & (F.col("text_key") == F.col("removed_key")), "left")
-    done = joined.withColumn("done", stripped("packed", "removed"))
-    names = [F.col("done.text").alias(c) if c == "text" else F.col(f"others.{c}").alias(c) for c in docs.columns]
-    return done.select(*names, F.struct("done.n_lines", "done.n_removed").alias("line_dedup"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long")
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")
+    names = [text.alias(c) if c == "text" else F.col(f"others.{c}").alias(c) for c in docs.columns]
+    return joined.select(*names, F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("line_dedup"))
