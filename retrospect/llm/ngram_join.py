@@ -2,7 +2,8 @@
 
 1. Sets. Each document's words (A-Z lower-cased) give the set of its distinct shingles as 64-bit hashes. Equal sets
    (by two independent 64-bit sums) form a class, named by its smallest id; only classes are compared.
-2. Candidates without loss. In one order of all shingles (by hash), two sets whose Jaccard is at least t share a shingle
+2. Candidates without loss. In one order of all shingles (from rare to frequent by a table of counts of fixed size, then
+   by hash), two sets whose Jaccard is at least t share a shingle
    among the first n - ceil(t * n) + 1 of each. Postings of these prefixes meet in hash buckets; shingles that only one
    set has there end here. The others get their sets' parity bitmaps and pairs pass filters of length, position and
    bitmap, as far as they connect more sets. Components of candidates are compared in cells of bounded size.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, cells, components, connecting_pairs, parity_bitmaps, prefix_length
+from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
 
 _FANOUT = 8
 #: Salts that make independent hashes of one shingle.
@@ -62,15 +64,23 @@ def _sums(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, low, high (the two sums that stand for the set) and bitmap (parity) for every row."""
+    """Two kinds of rows from one look at the texts.
+
+    doc_id, n_shingles, low, high (the two sums that stand for the set) and bitmap (parity) for every row of docs; counts
+    of hashed shingles (chunk, places, counts), a few a task.
+    """
+
+    names = ["doc_id", "n_shingles", "low", "high", "bitmap", "chunk", "places", "counts"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counter()
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch["text"]]
             size = np.zeros(len(texts), np.int64)
             low, high = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
             bitmaps = [b""] * len(texts)
             for first, owner, shingle in shingle_sets(texts, n):
+                counter.add(mixed(shingle ^ _SALTS[2]))
                 sizes = np.bincount(owner)
                 at, held = parity_bitmaps(owner, shingle, sizes)
                 bitmaps[first : first + len(sizes)] = [m.tobytes() for m in np.split(held, at[1:-1])]
@@ -80,12 +90,13 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
                 high += _sums(owner, mixed(shingle ^ _SALTS[1]), len(texts))
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "n_shingles": size, "low": low.view(np.int64), "high": high.view(np.int64), "bitmap": bitmaps}
-            )
+            ).assign(chunk=None, places=None, counts=None)[names]
+        yield counter.rows().assign(doc_id=None, n_shingles=None, low=None, high=None, bitmap=None)[names]
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_shingles long, low long, high long, bitmap binary")
+    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id long, n_shingles long, low long, high long, bitmap binary, {COUNT_COLUMNS}")
 
 
-def prefix_buckets(docs: DataFrame, n: int, percent: int, bucket_bits: int) -> DataFrame:
+def prefix_buckets(docs: DataFrame, rarity, n: int, percent: int, bucket_bits: int) -> DataFrame:
     """bucket, shingles, sets, sizes, places: packed postings of prefix shingles, each text once in a batch."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,9 +107,10 @@ def prefix_buckets(docs: DataFrame, n: int, percent: int, bucket_bits: int) -> D
                 size = np.bincount(owner)
                 low = _sums(owner, mixed(shingle ^ _SALTS[0]), len(size))
                 ranked = mixed(shingle ^ _SALTS[2])
-                order = np.lexsort((ranked, owner))
+                rare = classes_of(rarity.value, ranked)
+                order = grouped_order(owner, ranked, rare)
                 place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
-                kept = place < prefix_length(size, percent)[owner]
+                kept = (place < prefix_length(size, percent)[owner]) & (rare[order] > ONCE)
                 parts.append((ranked[order][kept], low[owner[kept]], size[owner[kept]], place[kept]))
             shingle, low, size, place = (np.concatenate(column) for column in zip(*parts, strict=True))
             order = np.argsort(shingle, kind="stable")
@@ -241,11 +253,13 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
     return links
 
 
-def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 16 << 20, cell_items: int = 512) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 4 << 20, cell_items: int = 512) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
     ship_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = staged(document_sets(own, n), "shingle-sets")
+    seen = staged(document_sets(own, n), "shingle-sets")
+    sets = seen.filter("chunk is null").drop("chunk", "places", "counts")
+    rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(seen.filter("chunk is not null").select("chunk", "places", "counts")))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bucket_bits = max(3, (total // bucket_bytes).bit_length())
     classes = (
@@ -253,7 +267,7 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
     )
     classes = staged(classes, "classes")
     shared = (
-        prefix_buckets(own.filter("doc_id is not null"), n, percent, bucket_bits)
+        prefix_buckets(own.filter("doc_id is not null"), rarity, n, percent, bucket_bits)
         .groupBy("bucket")
         .applyInPandas(lambda bucket: shared_postings(bucket, percent), "bucket int, shingle long, low long, size long, place long")
     )
