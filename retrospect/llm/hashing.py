@@ -81,8 +81,8 @@ def from_packed_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
-def chunks_by_bytes(texts: list[bytes], limit: int = 1 << 20):
-    """Slices of texts of about `limit` bytes each."""
+def chunks_by_bytes(texts: list[bytes] | list[str], limit: int = 1 << 19):
+    """Slices of texts of about `limit` bytes (characters of str) each: what is held for a chunk is a few dozen times that."""
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text) + 1

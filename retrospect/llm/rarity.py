@@ -25,10 +25,11 @@ class Counter:
         np.add.at(self.total, (hashes >> np.uint64(64 - BITS)).astype(np.int64), 1)
 
     def rows(self) -> pd.DataFrame:
-        used = np.flatnonzero(self.total)
-        chunk = used >> _CHUNK_BITS
-        groups = np.split(np.arange(len(used)), np.flatnonzero(np.diff(chunk)) + 1)
-        rows = [(int(chunk[g[0]]), packed_sorted(used[g].astype(np.uint64)), planes(self.total[used[g]])) for g in groups if len(g)]
+        rows = []
+        for chunk, total in enumerate(self.total.reshape(-1, 1 << _CHUNK_BITS)):
+            used = np.flatnonzero(total)
+            if len(used):
+                rows.append((chunk, packed_sorted(used.astype(np.uint64)), planes(total[used])))
         return pd.DataFrame(rows, columns=["chunk", "places", "counts"])
 
 
@@ -38,7 +39,7 @@ def rarity_table(counts: DataFrame) -> np.ndarray:
     def add(_: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << _CHUNK_BITS, np.int64)
         for places, held in zip(chunk["places"], chunk["counts"], strict=True):
-            total[from_packed_sorted(places).astype(np.int64) & ((1 << _CHUNK_BITS) - 1)] += from_planes(held).view(np.int64)
+            total[from_packed_sorted(places).astype(np.int64)] += from_planes(held).view(np.int64)
         classes = np.minimum(255, np.floor(8 * np.log2(1 + total))).astype(np.uint8)
         return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "classes": [classes.tobytes()]})
 
