@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,16 @@ def words_of(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
+
+
+def compressed(text: Column) -> Column:
+    """Text as zstd bytes, for shuffles that carry whole texts; null stays null."""
+
+    @F.pandas_udf("binary")
+    def compress(texts: pd.Series) -> pd.Series:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pd.Series([None if t is None else pack(t.encode()) for t in texts], dtype=object)
+
+    return compress(text)

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, staged
+from .common import compressed, ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, bitmap_words, cells, components, connecting_pairs, parity_bitmaps, prefix_length, ragged
 from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
@@ -148,17 +148,6 @@ def candidate_links(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def _compressed(text: Column) -> Column:
-    @F.pandas_udf("binary")
-    def compress(texts: pd.Series) -> pd.Series:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([None if t is None else pack(t.encode()) for t in texts], dtype=object)
-
-    return compress(text)
-
-
 def later_matches(lines: list[np.ndarray], percent: int) -> list[int]:
     """Positions of the lines (sorted distinct words) that match an earlier one."""
     words, count = np.unique(np.concatenate(lines), return_counts=True)
@@ -219,7 +208,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bucket_bytes: int = 8 << 20,
         .groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
         .agg(F.collect_list(F.struct("first.line", "root", "low", "high")).alias("wanted"))
     )
-    packed = own.select("doc_id", "text_key", _compressed(F.col("text")).alias("packed"))
+    packed = own.select("doc_id", "text_key", compressed(F.col("text")).alias("packed"))
 
     def words_of_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard

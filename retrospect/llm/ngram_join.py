@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, staged
+from .common import compressed, ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, cells, components, connecting_pairs, parity_bitmaps, prefix_length
 from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
@@ -37,10 +37,13 @@ _FANOUT = 8
 _SALTS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
-def shingle_sets(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For chunks of texts: index of the first text, (text index in chunk, shingle) sorted and distinct."""
+def shingle_sets(texts: list[bytes] | list[str], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For chunks of texts: index of the first text, (text index in chunk, shingle) sorted and distinct.
+
+    Texts as str are encoded chunk by chunk, so that a batch is not held twice.
+    """
     for part in chunks_by_bytes(texts):
-        words = Words([t.lower() for t in texts[part]])
+        words = Words([(t if isinstance(t, bytes) else t.encode()).lower() for t in texts[part]])
         at, hashes = words.windows(n)
         owners, found = [words.text[at]], [hashes]
         counts = np.bincount(words.text, minlength=part.stop - part.start)
@@ -75,7 +78,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter()
         for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch["text"]]
+            texts = [t or "" for t in batch["text"]]
             size = np.zeros(len(texts), np.int64)
             low, high = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
             bitmaps = [b""] * len(texts)
@@ -103,7 +106,7 @@ def prefix_buckets(docs: DataFrame, rarity, n: int, percent: int, bucket_bits: i
         for batch in batches:
             texts = list({t for t in batch["text"] if t})
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for _, owner, shingle in shingle_sets([t.encode() for t in texts], n):
+            for _, owner, shingle in shingle_sets(texts, n):
                 size = np.bincount(owner)
                 low = _sums(owner, mixed(shingle ^ _SALTS[0]), len(size))
                 ranked = mixed(shingle ^ _SALTS[2])
@@ -278,11 +281,16 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
     members = classes.join(candidates.withColumnRenamed("node", "low"), "low").select("root", F.col("class_id").alias("item"), "low")
     members = staged(members, "candidates")
     sizes = members.groupBy("root").agg(F.count("*").alias("items")).filter("items > 1")
-    shown = own.join(members.join(sizes, "root").select("root", "item", "low"), F.col("doc_id") == F.col("item"))
+    # Texts move compressed, by a merge join at every size: a broadcast on small inputs alone would hide what large ones shuffle.
+    packed = own.select("doc_id", compressed(F.col("text")).alias("packed"))
+    shown = packed.hint("merge").join(members.join(sizes, "root").select("root", "item", "low"), F.col("doc_id") == F.col("item"))
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch["text"]]
+            texts = [unpack(t) if t is not None else b"" for t in batch["packed"]]
             out: list[bytes] = []
             for first, owner, shingle in shingle_sets(texts, n):
                 out += [b""] * (first - len(out))
@@ -291,9 +299,9 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
             out += [b""] * (len(texts) - len(out))
             sums = [int(mixed(np.frombuffer(s, np.uint64) ^ _SALTS[0]).sum(dtype=np.uint64).view(np.int64)) for s in out]
             # A row that repeats its id with another text is not the class's set.
-            yield batch.assign(shingles=out)[batch["low"] == sums].drop(columns="text")
+            yield batch.assign(shingles=out)[batch["low"] == sums].drop(columns="packed")
 
-    shipped = shown.select("root", "item", "low", "text").mapInPandas(as_sets, "root long, item long, low long, shingles binary")
+    shipped = shown.select("root", "item", "low", "packed").mapInPandas(as_sets, "root long, item long, low long, shingles binary")
 
     def compare(_: tuple, lot: pd.DataFrame) -> pd.DataFrame:
         links: list[tuple[int, int]] = []
