@@ -88,3 +88,33 @@ def repaired_attribution(items: DataFrame, references: DataFrame) -> DataFrame:
     matched = F.col("n_own") > 0
     kept = F.col("n_references") - F.when(matched, F.col("n_foreign")).otherwise(0)
     return counted.select("item", F.when(matched, F.col("participant")).alias("participant"), kept.alias("kept"), (~matched).alias("demoted"))
+
+
+def end_of_day(url: Column, heading: Column) -> Column:
+    """Publication instant: the last second of the day in the link (yyyyMMdd), else of the heading in either month format."""
+    token = F.regexp_extract(url, r"(\d{8})", 1)
+    day = F.coalesce(F.try_to_date(token, "yyyyMMdd"), F.try_to_date(heading, "MMMM d, yyyy"), F.try_to_date(heading, "MMM d, yyyy"))
+    return F.date_format(day, "yyyy-MM-dd'T23:59:59Z'")
+
+
+def write_once_status(stored: DataFrame, offered: DataFrame, key: str) -> DataFrame:
+    """What a write-once store does with offered artifacts (key, fingerprint): written, unchanged, or refused if they differ."""
+    known = stored.select(key, F.col("fingerprint").alias("stored"), F.lit(True).alias("held"))
+    status = F.when(F.col("held").isNull(), "written").when(F.equal_null("stored", "fingerprint"), "unchanged").otherwise("refused")
+    return offered.join(known, key, "left").select(key, status.alias("status"))
+
+
+def spec_rules(rows: DataFrame, required: list[str], metrics: list[str]) -> DataFrame:
+    """Rules over rows of specs (spec, variant_id, metric, is_probe, shows_date, shows_more), one row a spec.
+
+    unique_ids; missing (required variants that are absent); exact_metrics; probes_closed (probe rows show the date only).
+    """
+    want = F.array(*[F.lit(v) for v in sorted(required)])
+    exact = F.array(*[F.lit(m) for m in sorted(metrics)])
+    open_probe = F.col("is_probe") & (~F.col("shows_date") | F.col("shows_more"))
+    return rows.groupBy("spec").agg(
+        (F.count("*") == F.count_distinct("variant_id")).alias("unique_ids"),
+        F.array_except(want, F.collect_set("variant_id")).alias("missing"),
+        (F.sort_array(F.collect_set("metric")) == exact).alias("exact_metrics"),
+        (F.count_if(open_probe) == 0).alias("probes_closed"),
+    )

@@ -73,3 +73,32 @@ def b10_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.pmod("o_custkey", F.lit(5)).alias("participant"))
     references = s.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.pmod("l_suppkey", F.lit(5)).alias("owner"), (F.col("l_linenumber") % 3 > 0).alias("known"))
     return c.repaired_attribution(items, references)
+
+
+@query("d04_end_of_day", "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') || 'T23:59:59Z' AS published_at FROM orders")
+def d04_end_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates spelled in a link, in a long heading or in a short heading, and read back."""
+    form = F.pmod("o_orderkey", F.lit(3))
+    day = F.col("o_orderdate")
+    url = F.when(form == 0, F.concat(F.lit("/press/"), F.date_format(day, "yyyyMMdd"), F.lit("a.htm"))).otherwise("/press/statement.htm")
+    heading = F.when(form == 1, F.date_format(day, "MMMM d, yyyy")).when(form == 2, F.date_format(day, "MMM d, yyyy"))
+    return s.table(spark, sf_dir, "orders").select("o_orderkey", c.end_of_day(url, heading).alias("published_at"))
+
+
+@query("s11_write_once", "SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'written' WHEN md5(text) = md5(replace(text, 'tiontion', 'tion')) THEN 'unchanged' ELSE 'refused' END AS status FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def s11_write_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents are stored already; all documents are offered, with a phrase changed."""
+    docs = s.table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = docs.join(s.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    changed = F.replace("text", F.lit("tiontion"), F.lit("tion"))
+    return c.write_once_status(stored.select("doc_id", F.md5(F.col("text").cast("binary")).alias("fingerprint")), docs.select("doc_id", F.md5(changed.cast("binary")).alias("fingerprint")), "doc_id")
+
+
+@query("p14_spec_rules", """SELECT l_orderkey AS spec, count(*) = count(DISTINCT l_suppkey % 4) AS unique_ids, list_filter(['1', '3'], lambda v: NOT list_contains(list(l_suppkey % 4)::VARCHAR[], v)) AS missing,
+coalesce(list_sort(list(DISTINCT l_returnflag)) = ['A', 'N', 'R'], false) AS exact_metrics, count(*) FILTER (l_linenumber = 1 AND (l_linestatus <> 'F' OR l_tax > 0.04)) = 0 AS probes_closed FROM lineitem GROUP BY 1""")
+def p14_spec_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("spec"), F.pmod("l_suppkey", F.lit(4)).cast("string").alias("variant_id"), F.col("l_returnflag").alias("metric"),
+        (F.col("l_linenumber") == 1).alias("is_probe"), (F.col("l_linestatus") == "F").alias("shows_date"), (F.col("l_tax") > 0.04).alias("shows_more"),
+    )
+    return c.spec_rules(rows, ["1", "3"], ["A", "N", "R"])
