@@ -85,8 +85,9 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             for first, owner, shingle in shingle_sets(texts, n):
                 counter.add(mixed(shingle ^ _SALTS[2]))
                 sizes = np.bincount(owner)
-                at, held = parity_bitmaps(owner, shingle, sizes)
-                bitmaps[first : first + len(sizes)] = [m.tobytes() for m in np.split(held, at[1:-1])]
+                if len(sizes):  # without words in any text, np.split would still give one piece
+                    at, held = parity_bitmaps(owner, shingle, sizes)
+                    bitmaps[first : first + len(sizes)] = [m.tobytes() for m in np.split(held, at[1:-1])]
                 owner = owner + first
                 size += np.bincount(owner, minlength=len(texts))
                 low += _sums(owner, mixed(shingle ^ _SALTS[0]), len(texts))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from retrospect.llm.line_dedup import dedup_lines
 from retrospect.llm.mixing import mix_sources, taken_copies
-from retrospect.llm.ngram_join import ngram_join
+from retrospect.llm.ngram_join import document_sets, ngram_join
 from retrospect.llm.packing import Sequences, pack_documents
 from retrospect.llm.quality import kept_documents, quality_rules
 from retrospect.llm.queries import ORACLES, QUERIES, tokenizer_path
@@ -225,6 +225,17 @@ def test_ngram_join(docs, no_docs, n, percent, cell):
     assert ngram_join(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    "texts", [[None, "", " \n\t "], [None, None], ["", "a b c d"], ["long " * 120_000, "", None, " "], ["a b c d", "long " * 120_000, "", ""]]
+)
+def test_document_sets_of_chunks_without_words(spark, texts):
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 1), "doc_id long, text string")
+    rows = sorted(document_sets(frame, 3).filter("chunk is null").collect(), key=lambda r: r.doc_id)
+    sets = [set(zip(words, words[1:], words[2:])) for words in map(_words, texts)]
+    assert [(r.doc_id, r.n_shingles) for r in rows] == [(i, len(s)) for i, s in enumerate(sets)]
+    assert all(bool(r.bitmap) for r in rows if r.n_shingles)
+
+
 @pytest.mark.parametrize("cell", [2, 2048])
 def test_line_dedup(docs, no_docs, cell):
     seen, gone = [], collections.defaultdict(set)
