@@ -21,8 +21,8 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, as they are."""
-    return kept_documents(docs)
+    """Documents that pass the quality rules, without the lines above their host's limit."""
+    return _with_text(kept_documents(docs), F.col("text")).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

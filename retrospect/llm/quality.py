@@ -43,6 +43,12 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 10, ho
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
+def without_lines(text: Column, lines: Column) -> Column:
+    """text without the lines whose normalised form hashes to one of lines; null lines leave it as it is."""
+    hashed = lambda line: F.xxhash64(F.array_join(normalised_lines(line), "\n"))
+    return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(lines, hashed(line))), "\n"))
+
+
 def repeated_words(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more in an array of words."""
     windows = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
@@ -60,8 +66,12 @@ def quality_rules(
     broadcast_lines: int = 1_000_000,
     extra: tuple[Column, ...] = (),
     barrier: bool = False,
+    stripped: str | None = None,
 ) -> DataFrame:
-    """doc_id, the base measures, n_boilerplate_words, base_failed and kept for every row of docs."""
+    """doc_id, the base measures, n_boilerplate_words, base_failed and kept for every row of docs.
+
+    stripped names a column for the text without its boilerplate lines, which `kept` judges depletion on.
+    """
     boilerplate = staged(frequent_lines(docs, host, min_docs, host_share), "frequent-lines")
     size = boilerplate.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     if size <= broadcast_lines:
@@ -97,6 +107,7 @@ def quality_rules(
     names = [c for c in own.columns if c not in ("doc_id", "__host", "__text", "__words")]
     if barrier:
         names.append(F.monotonically_increasing_id().alias("__at"))
+    left = [] if stripped is None else [without_lines(F.col("__text"), F.col("lines")).alias(stripped)]
     counted = joined.select(
         "doc_id",
         F.size("__words").cast("long").alias("n_words"),
@@ -106,6 +117,7 @@ def quality_rules(
         covered.alias("n_repeat_words"),
         F.when(F.col("lines").isNull(), F.lit(0).cast("long")).otherwise(lost).alias("n_boilerplate_words"),
         *names,
+        *left,
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_boilerplate_words") < F.lit(keep_share) * F.col("n_words")
@@ -113,8 +125,9 @@ def quality_rules(
 
 
 def kept_documents(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of docs that the quality rules keep, with all their columns."""
+    """The rows of docs that the quality rules keep, with all their columns; their texts are without boilerplate lines."""
     # Spark would move a filter below the measures and spell them out in it once more for every word; a row number
     # among them keeps it where it is.
-    judged = quality_rules(docs, extra=(F.struct("*").alias("__row"),), barrier=True, **rules)
-    return judged.filter("kept and __at >= 0").select("__row.*")
+    judged = quality_rules(docs, extra=(F.struct("*").alias("__row"),), barrier=True, stripped="__left", **rules)
+    names = [F.col("__left").alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    return judged.filter("kept and __at >= 0").select(*names)

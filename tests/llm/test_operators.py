@@ -114,6 +114,20 @@ def test_quality(docs, no_docs):
     assert quality_rules(no_docs).count() == 0
 
 
+def test_kept_documents_lose_frequent_lines(docs):
+    norm = lambda x: " ".join(x.lower().split())
+    seen, hosts = collections.Counter(), collections.Counter(s for _, _, s in ROWS)
+    for _, text, source in ROWS:
+        seen.update({(source, norm(x)) for x in (text or "").split("\n") if norm(x)})
+    frequent = {k for k, n in seen.items() if n > 2 and n > 0.2 * hosts[k[0]]}
+    strip = lambda t, s: "\n".join(x for x in t.split("\n") if (s, norm(x)) not in frequent)
+    texts = collections.Counter((str(i), strip(t or "", s)) for i, t, s in ROWS)
+    rows = kept_documents(docs, min_docs=2, host_share=0.2).collect()
+    ours = collections.Counter((str(r.doc_id), r.text) for r in rows)
+    assert ours <= texts
+    assert any(t != strip(t, s) for i, t, s in ROWS if i in {r.doc_id for r in rows})
+
+
 def test_packing(docs, no_docs):
     from tokenizers import Tokenizer
 
