@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 
-#: Odd multipliers of the polynomial and mixing steps of 64-bit hashes.
-_BYTE_BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the polynomial, length and mixing steps of 64-bit hashes.
 _WORD_BASE = 0xD6E8FEB86659FD93
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of white space as 0, all others as 1.
+_INSIDE = bytes(0 if b in (9, 10, 11, 12, 13, 32) else 1 for b in range(256))
+#: Keeps the first n of 8 bytes.
+_FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+_LONG_WORD = 256
 
 
 @functools.lru_cache(maxsize=8)
@@ -36,6 +40,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def counted(sorted_at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of sorted places the number of the stretch that it lies in; stretches begin at starts (sorted, first 0)."""
+    cuts = np.searchsorted(sorted_at, starts)
+    return np.repeat(np.arange(len(starts)), np.diff(cuts, append=len(sorted_at)))
+
+
 class Words:
     """Words of a list of texts (UTF-8 bytes): text index, first and last byte in `data`, and hash of each."""
 
@@ -43,14 +53,27 @@ class Words:
         self.data = b"\n".join(texts)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.first = first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
-        buffer = np.frombuffer(self.data, dtype=np.uint8)
-        inside = np.concatenate([[False], ~_SPACE[buffer], [False]])
+        inside = np.frombuffer(b"\0" + self.data.translate(_INSIDE) + b"\0", dtype=np.uint8)
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
-        self.text = np.searchsorted(first, self.start, side="right") - 1
-        up, down = _sized_powers(_BYTE_BASE, len(buffer) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
+        self.text = counted(self.start, first) if len(texts) else np.zeros(0, np.int64)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """Eight bytes of every word at a time; a long word in one step of its own."""
+        size = self.end - self.start
+        eights = np.ndarray(len(self.data) + 1, "<u8", self.data + bytes(8), 0, (1,))
+        h = mixed((eights[self.start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _STEP))
+        at, rest = 8, np.flatnonzero((size > 8) & (size <= _LONG_WORD))
+        while len(rest):
+            part = eights[self.start[rest] + at] & _FIRST_BYTES[np.minimum(size[rest] - at, 8)]
+            h[rest] = mixed(h[rest] * _STEP + part)
+            at += 8
+            rest = rest[size[rest] > at]
+        for i in np.flatnonzero(size > _LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest()
+            h[i] = np.uint64(int.from_bytes(digest, "little"))
+        return h
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word (index) and hash of every window of n words within one text."""

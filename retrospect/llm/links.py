@@ -7,22 +7,35 @@ is one cell, so a group of any size is spread over tasks of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-
+from .hashing import from_planes, planes
 
 #: Set sizes up to which parity bitmaps have 1, 2, 4, 8, 16 and 32 words (else 64).
 _BITMAP_SIZES = np.array([64, 160, 400, 1000, 2000, 4000])
 
 
+#: Most sets under one element that are paired in one place; more are dealt to pieces.
+HOT_SETS = 16_384
+_SIZE_BITS = np.uint64((1 << 20) - 1)
+
+
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     """How many elements, first in one common order, two sets of which one has this size must share one of."""
     return size - (percent * size + 99) // 100 + 1
 
 
+def index_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """As prefix_length, where the other set is as large or larger: a shared element lies among so many of the smaller one's."""
+    return size + (-2 * percent * size) // (100 + percent) + 1
+
+
 def bitmap_words(size: np.ndarray) -> np.ndarray:
     return 1 << np.searchsorted(_BITMAP_SIZES, size)
 
@@ -32,9 +45,9 @@ def parity_bitmaps(owner: np.ndarray, element: np.ndarray, size: np.ndarray) ->
     many = bitmap_words(size)
     first = np.concatenate([[0], np.cumsum(many)])
     place = element & (64 * many - 1).astype(np.uint64)[owner]
-    out = np.zeros(first[-1], np.uint64)
-    np.bitwise_xor.at(out, first[owner] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return first, out
+    at = (first[owner] << 6) + place.astype(np.int64)
+    hits = np.bincount(at, minlength=64 * first[-1]).astype(np.uint8) & np.uint8(1)
+    return first, np.packbits(hits, bitorder="little").view("<u8")
 
 
 def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -44,27 +57,21 @@ def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 class Bitmaps:
-    """Parity bitmaps of postings, kept at their own lengths; a longer one folds to a shorter one by exclusive or."""
+    """Parity bitmaps of postings, each at its own length; a longer one folds to a shorter one by exclusive or."""
 
     def __init__(self, size: np.ndarray, held: np.ndarray):
-        self.many = bitmap_words(size)
-        self.at = np.zeros(len(size), np.int64)
-        first = np.cumsum(self.many) - self.many
-        self.own = {}
-        for length in np.unique(self.many).tolist():
-            rows = np.flatnonzero(self.many == length)
-            self.at[rows] = np.arange(len(rows))
-            self.own[length] = held[first[rows][:, None] + np.arange(length)]
+        self.many, self.held = bitmap_words(size), held
+        self.first = np.cumsum(self.many) - self.many
 
     def _at_length(self, rows: np.ndarray, length: int) -> np.ndarray:
-        out = np.zeros((len(rows), length), np.uint64)
-        for many, bitmaps in self.own.items():
-            here = self.many[rows] == many
-            if many >= length and here.any():
-                found = bitmaps[self.at[rows[here]]]
-                while found.shape[1] > length:
-                    found = found[:, : found.shape[1] // 2] ^ found[:, found.shape[1] // 2 :]
-                out[here] = found
+        many = self.many[rows]
+        out = np.empty((len(rows), length), np.uint64)
+        for own in np.unique(many).tolist():
+            here = many == own
+            found = self.held[self.first[rows[here]][:, None] + np.arange(own)]
+            while found.shape[1] > length:
+                found = found[:, : found.shape[1] // 2] ^ found[:, found.shape[1] // 2 :]
+            out[here] = found
         return out
 
     def distances(self, i: np.ndarray, j: np.ndarray, lot: int = 8192) -> np.ndarray:
@@ -79,21 +86,47 @@ class Bitmaps:
         return out
 
 
+class Postings:
+    """Prefix elements of sets in the order of (element, size, set), each once: element, set's name, size, place, bitmap row."""
+
+    def __init__(self, element: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int):
+        # Elements to 44 bits: a clash makes pairs that the filters or the verification drop.
+        key = (element & ~_SIZE_BITS) | np.minimum(size, int(_SIZE_BITS)).astype(np.uint64)
+        order = np.argsort(key) if size.max(initial=0) < _SIZE_BITS else np.lexsort((size, key))
+        self._take(order, key[order], name, size, place)
+        # Alone under its element, or with no set of like size there: can't be in a pair.
+        near = np.zeros(len(order), bool)
+        pair = (self.group[1:] == self.group[:-1]) & (100 * self.size[:-1] >= percent * self.size[1:])
+        near[1:] |= pair
+        near[:-1] |= pair
+        order = order[near]
+        order = order[np.lexsort((name[order], size[order], key[order]))]
+        self._take(order, key[order], name, size, place)
+        new = np.ones(len(order), bool)
+        new[1:] = (self.group[1:] != self.group[:-1]) | (self.name[1:] != self.name[:-1])
+        order = order[new]
+        self._take(order, key[order], name, size, place)
+
+    def _take(self, order: np.ndarray, key: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray) -> None:
+        self.row, self.group = order, key | _SIZE_BITS
+        self.name, self.size, self.place = name[order], size[order], place[order]
+
+    def starts(self) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], self.group[1:] != self.group[:-1]])) if len(self.group) else np.zeros(0, np.int64)
+
+
 def connecting_pairs(
-    word: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, held: np.ndarray, percent: int
+    group: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray | None, row: np.ndarray, bitmaps: Bitmaps, percent: int
 ) -> list[tuple[int, int]]:
-    """Links among the sets of postings (prefix element, set, its size, the element's place) that may be alike.
+    """Links among sets that may be alike, from postings in the order of (group, size).
 
-    Pairs of sets under one element pass the length filter, the positional filter and the parity filter (the Hamming
-    distance of two bitmaps is at most the sets' difference). Pairs are enumerated by distance in the order of size,
-    those already connected are passed over, so the links are at most as many as the sets.
+    Pairs of one group (and of two sides, if given) pass the length filter, the index filter (the smaller set's element
+    lies in its shorter prefix), the positional filter and the parity filter (the Hamming distance of two bitmaps is at
+    most the sets' difference). Pairs are enumerated by distance in the order of size; those already connected are
+    passed over, so the links are at most as many as the sets.
     """
-    bitmaps = Bitmaps(size, held)
-    order = np.lexsort((name, size, word))
-    word, name, size, place = word[order], name[order], size[order], place[order]
     names, item = np.unique(name, return_inverse=True)
     up = np.arange(len(names))
-    start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
     links: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
@@ -102,26 +135,29 @@ def connecting_pairs(
             i = int(up[i])
         return i
 
-    active, step = np.arange(max(0, len(word) - 1)), 1
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    active, step = np.flatnonzero(place < index_length(size, percent)), 1
     while len(active):
-        active = active[active + step < len(word)]
+        active = active[active + step < len(group)]
         other = active + step
-        active = active[(word[active] == word[other]) & (100 * size[active] >= percent * size[other])]
+        active = active[(group[active] == group[other]) & (100 * size[active] >= percent * size[other])]
         i, j = active, active + step
-        apart = up[item[i]] != up[item[j]]
-        i, j = i[apart], j[apart]
+        if side is not None:
+            across = side[i] != side[j]
+            i, j = i[across], j[across]
         least = -(-percent * (size[i] + size[j]) // (100 + percent))
-        fits = np.minimum(size[i] - place[i], size[j] - place[j]) >= least
+        fits = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (up[item[i]] != up[item[j]])
         i, j = i[fits], j[fits]
         most = (100 - percent) * (size[i] + size[j]) // (100 + percent)
-        close = bitmaps.distances(order[i], order[j]) <= most
-        for a, b in zip(item[i[close]].tolist(), item[j[close]].tolist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                up[max(ra, rb)] = min(ra, rb)
-                links.append((int(names[a]), int(names[b])))
-        while (up[up] != up).any():
-            up[:] = up[up]
+        close = bitmaps.distances(row[i], row[j]) <= most
+        if close.any():
+            for a, b in zip(item[i[close]].tolist(), item[j[close]].tolist(), strict=True):
+                ra, rb = root(a), root(b)
+                if ra != rb:
+                    up[max(ra, rb)] = min(ra, rb)
+                    links.append((int(names[a]), int(names[b])))
+            while (up[up] != up).any():
+                up[:] = up[up]
         step += 1
         if step % 16 == 0 and len(active):  # elements whose sets are all connected need no more pairs
             label = up[item]
@@ -130,6 +166,63 @@ def connecting_pairs(
     return links
 
 
+#: What a bucket gives: links (a, b), or pieces: two stretches of the sets under one element that are still to be paired.
+FOUND = "a long, b long, names binary, sizes binary, places binary, sides binary, bitmaps binary"
+_FOUND_NAMES = [column.split()[0] for column in FOUND.split(", ")]
+
+
+def _piece(p: Postings, one: slice, other: slice, bitmaps: Bitmaps) -> tuple:
+    """Two stretches (or one) of the sets under one element, in the order of size."""
+    rows = np.arange(one.start, one.stop)
+    side = np.zeros(len(rows), np.int64)
+    if one != other:
+        rows = np.concatenate([rows, np.arange(other.start, other.stop)])
+        side = np.concatenate([side, np.ones(len(rows) - len(side), np.int64)])
+        order = np.argsort(p.size[rows], kind="stable")
+        rows, side = rows[order], side[order]
+    own = p.row[rows]
+    held = bitmaps.held[ragged(bitmaps.first[own], bitmaps.many[own])]
+    return (None, None, planes(p.name[rows]), planes(p.size[rows]), planes(p.place[rows]), planes(side), held.tobytes())
+
+
+def links_of_bucket(
+    element: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, held: np.ndarray, percent: int, hot_sets: int = HOT_SETS
+) -> pd.DataFrame:
+    """Links among the postings of a bucket; an element with more than hot_sets sets is left to pieces of that size."""
+    bitmaps, p = Bitmaps(size, held), Postings(element, name, size, place, percent)
+    start = p.starts()
+    many = np.diff(start, append=len(p.group))
+    kept = np.repeat(many <= hot_sets, many)
+    found = [
+        (a, b, None, None, None, None, None)
+        for a, b in connecting_pairs(p.group[kept], p.name[kept], p.size[kept], p.place[kept], None, p.row[kept], bitmaps, percent)
+    ]
+    for first, n in zip(start[many > hot_sets].tolist(), many[many > hot_sets].tolist(), strict=True):
+        cuts = [slice(at, min(at + hot_sets, first + n)) for at in range(first, first + n, hot_sets)]
+        for k, one in enumerate(cuts):
+            for other in cuts[k:]:
+                if 100 * p.size[one.stop - 1] >= percent * p.size[other.start]:
+                    found.append(_piece(p, one, other, bitmaps))
+    return pd.DataFrame(found, columns=_FOUND_NAMES).astype({"a": "Int64", "b": "Int64"})
+
+
+def all_links(found: DataFrame, percent: int) -> DataFrame:
+    """a, b from the rows of links_of_bucket: those there are, and those of the pieces, each piece by itself."""
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for names, sizes, places, sides, held in batch[_FOUND_NAMES[2:]].itertuples(index=False):
+                name, size, place, side = (from_planes(x).view(np.int64) for x in (names, sizes, places, sides))
+                bitmaps = Bitmaps(size, np.frombuffer(held, np.uint64))
+                group = np.zeros(len(name), np.uint64)
+                links = connecting_pairs(group, name, size, place, side if side.any() else None, np.arange(len(name)), bitmaps, percent)
+                yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    # One row a piece: dealt by content, so that the pieces of one element go to many tasks.
+    pieces = found.filter("a is null").repartition("names", "sides").mapInPandas(pair, "a long, b long")
+    return found.filter("a is not null").select("a", "b").unionByName(pieces)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step of the alternating algorithm: neighbours move to the smallest node they see."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import compressed, ship_package, staged
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
-from .links import CELL, cells, components, connecting_pairs, parity_bitmaps, prefix_length
+from .links import CELL, FOUND, HOT_SETS, all_links, cells, components, links_of_bucket, parity_bitmaps, prefix_length
 from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
 
 _FANOUT = 8
@@ -118,11 +118,10 @@ def prefix_buckets(docs: DataFrame, rarity, n: int, percent: int, bucket_bits: i
                 parts.append((ranked[order][kept], low[owner[kept]], size[owner[kept]], place[kept]))
             shingle, low, size, place = (np.concatenate(column) for column in zip(*parts, strict=True))
             order = np.argsort(shingle, kind="stable")
-            cuts = np.searchsorted(shingle[order], np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
+            bucket = shingle[order] >> np.uint64(64 - bucket_bits)
             rows = [
-                (bucket, packed_sorted(shingle[own]), planes(low[own]), planes(size[own]), planes(place[own]))
-                for bucket, own in enumerate(np.split(order, cuts))
-                if len(own)
+                (int(shingle[own[0]] >> np.uint64(64 - bucket_bits)), packed_sorted(shingle[own]), planes(low[own]), planes(size[own]), planes(place[own]))
+                for own in (np.split(order, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1) if len(order) else [])
             ]
             yield pd.DataFrame(rows, columns=["bucket", "shingles", "sets", "sizes", "places"])
 
@@ -147,11 +146,11 @@ def shared_postings(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
     )
 
 
-def candidate_links(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """a, b: links that connect the sets of a bucket as far as the filters let pairs pass."""
+def candidate_links(bucket: pd.DataFrame, percent: int, hot_sets: int) -> pd.DataFrame:
+    """Links that connect the sets of a bucket as far as the filters let pairs pass, and pieces of shingles with many sets."""
     held = np.frombuffer(b"".join(bucket["bitmap"]), np.uint64)
-    columns = (bucket[c].to_numpy(np.int64) for c in ("shingle", "low", "size", "place"))
-    return pd.DataFrame(connecting_pairs(*columns, held, percent), columns=["a", "b"]).astype("int64")
+    low, size, place = (bucket[c].to_numpy(np.int64) for c in ("low", "size", "place"))
+    return links_of_bucket(bucket["shingle"].to_numpy(np.int64).view(np.uint64), low, size, place, held, percent, hot_sets)
 
 
 class Forest:
@@ -257,7 +256,7 @@ def linked_pairs(sets: list[np.ndarray], sides: list[int], percent: int) -> list
     return links
 
 
-def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 4 << 20, cell_items: int = 512) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int = 4 << 20, cell_items: int = 512, hot_sets: int = HOT_SETS) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id for every row of docs."""
     ship_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -276,9 +275,8 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
         .applyInPandas(lambda bucket: shared_postings(bucket, percent), "bucket int, shingle long, low long, size long, place long")
     )
     sketches = sets.filter("n_shingles > 0").groupBy("low").agg(F.first("bitmap").alias("bitmap"))
-    candidates = components(
-        shared.join(sketches, "low").groupBy("bucket").applyInPandas(lambda bucket: candidate_links(bucket, percent), "a long, b long")
-    )
+    found = shared.join(sketches, "low").groupBy("bucket").applyInPandas(lambda bucket: candidate_links(bucket, percent, hot_sets), FOUND)
+    candidates = components(all_links(staged(found, "candidate-links"), percent))
     members = classes.join(candidates.withColumnRenamed("node", "low"), "low").select("root", F.col("class_id").alias("item"), "low")
     members = staged(members, "candidates")
     sizes = members.groupBy("root").agg(F.count("*").alias("items")).filter("items > 1")

@@ -1,4 +1,9 @@
-"""Rarity of hashed elements from a table of counts of fixed size, and sorts by it."""
+"""Rarity of hashed elements from a table of counts of fixed size, and sorts by it.
+
+Elements that share a slot share a count, so on a large corpus all slots hold some rare elements: these then differ from
+each other by hash alone, but frequent elements still stand out and come last, which is what keeps prefixes selective.
+Any order gives the same results.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .hashing import from_packed_sorted, from_planes, packed_sorted, planes
 
-BITS = 22
+BITS = 23
 _CHUNK_BITS = 16
 #: Rarity class of an element that was counted once.
 ONCE = 8
@@ -19,7 +24,7 @@ class Counter:
     """Counts of elements by the leading bits of their hashes."""
 
     def __init__(self):
-        self.total = np.zeros(1 << BITS, np.int64)
+        self.total = np.zeros(1 << BITS, np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
         np.add.at(self.total, (hashes >> np.uint64(64 - BITS)).astype(np.int64), 1)
@@ -44,7 +49,7 @@ def rarity_table(counts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "classes": [classes.tobytes()]})
 
     table = np.zeros((1 << (BITS - _CHUNK_BITS), 1 << _CHUNK_BITS), np.uint8)
-    for row in counts.groupBy("chunk").applyInPandas(add, "chunk int, classes binary").collect():  # 4 MB at any scale
+    for row in counts.groupBy("chunk").applyInPandas(add, "chunk int, classes binary").collect():  # 8 MB at any scale
         table[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
     return table.reshape(-1)
 

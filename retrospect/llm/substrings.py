@@ -64,10 +64,11 @@ def window_buckets(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (homes[1:] != homes[:-1])
             hashes, homes = hashes[new], homes[new]
-            cuts = np.searchsorted(hashes, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else []
+            bucket = hashes >> np.uint64(64 - bucket_bits)
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             rows = [
-                (bucket, packed_sorted(h), planes(b))
-                for bucket, (h, b) in enumerate(zip(np.split(hashes, cuts), np.split(homes, cuts), strict=True))
+                (int(h[0] >> np.uint64(64 - bucket_bits)), packed_sorted(h), planes(b))
+                for h, b in zip(np.split(hashes, cuts), np.split(homes, cuts), strict=True)
                 if len(h)
             ]
             yield pd.DataFrame(rows, columns=["bucket", "hashes", "blocks"])
