@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
+
 
 def manifest_filter(documents: DataFrame, cutoff: Column, allowed: list[str]) -> DataFrame:
     """documents with the reason that excludes them: usage is tested before lateness."""
@@ -127,9 +129,36 @@ def plurality(rows: DataFrame, group: str, choice: str) -> DataFrame:
 
 
 def exact_quantiles(rows: DataFrame, group: str, value: str, probabilities: list[float]) -> DataFrame:
-    """Median and linearly interpolated quantiles."""
-    q = F.expr(f"percentile({value}, array({', '.join(map(str, probabilities))}))")
-    return rows.groupBy(group).agg(F.median(value).alias("median"), q.alias("quantiles"))
+    """group, probability, quantile: linearly interpolated quantiles at position (n - 1) * p.
+
+    Equal values are counted first and ranked by running counts, so no task holds the values of a group in memory.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("many"))
+    order = Window.partitionBy(group).orderBy(value)
+    ranked = counts.select(
+        group, F.col(value).cast("double").alias("value"), F.sum("many").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
+        F.lead(value).over(order).cast("double").alias("next"), F.sum("many").over(Window.partitionBy(group)).alias("n"), "many",
+    )
+    asked = ranked.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    place = F.col("probability") * (F.col("n") - 1)
+    low = F.floor(place)
+    part = place - low
+    held = asked.filter((low >= F.col("upto") - F.col("many")) & (low < F.col("upto")))
+    step = F.when((low + 1 < F.col("upto")) | F.col("next").isNull(), 0.0).otherwise(F.col("next") - F.col("value"))
+    return held.select(group, "probability", (F.col("value") + part * step).alias("quantile"))
+
+
+def newest_before(documents: DataFrame, cutoffs: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The n documents last published before each cutoff, by day and then `order`, with their rank.
+
+    A day keeps its first n documents, and counts for the cutoffs until n later days with documents have passed.
+    """
+    daily = top_per_group(documents, ["published"], order, n).drop("rank")
+    days = daily.select("published").distinct()
+    until = F.date_add(F.lead("published", n).over(Window.orderBy("published")), 1)  # one row a day of the calendar
+    spans = days.select("published", F.date_add("published", 1).alias("from_day"), until.alias("to_day"))
+    shown = interval_join(spans, cutoffs, "from_day", "to_day", "cutoff").drop("from_day", "to_day")
+    return top_per_group(daily.join(shown, "published"), ["meeting_id"], [F.col("published").desc(), *order], n)
 
 
 def standardised(rows: DataFrame, value: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import carried, interval_join
+
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 
@@ -17,20 +19,38 @@ def visible(versions: DataFrame, cutoff: Column) -> DataFrame:
     return versions.filter((F.col("observation_date") <= cutoff) & (F.col("realtime_start") <= cutoff) & F.col("value").isNotNull())
 
 
-def visible_versions(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def _retired(newest: DataFrame, limits: dict[str, int], default: int) -> DataFrame:
+    """newest with retired_on: the day by which as many later observations of the series are visible as its limit keeps."""
+    shown = newest.groupBy("series_id", "observation_date").agg(F.min("shown_on").alias("shown_on"))
+    order = Window.partitionBy("series_id").orderBy("observation_date")
+    retired = F.lit(None).cast("date")
+    by_limit: dict[int, list[str]] = {}
+    for series, n in limits.items():
+        by_limit.setdefault(n, []).append(series)
+    for n in {default, *by_limit}:
+        later = order.rowsBetween(1, n)
+        gone = F.when(F.count("shown_on").over(later) == n, F.max("shown_on").over(later))
+        own = F.col("series_id").isin(by_limit[n]) if n in by_limit else F.lit(False)
+        retired = F.when(own | (~F.col("series_id").isin(list(limits)) if n == default else F.lit(False)), gone).otherwise(retired)
+    return newest.join(shown.select("series_id", "observation_date", retired.alias("retired_on")), ["series_id", "observation_date"])
+
+
+def visible_versions(versions: DataFrame, cutoffs: DataFrame, limits: dict[str, int] | None = None, default: int | None = None) -> DataFrame:
     """meeting_id, cutoff, keys, observation_date and its newest visible version, for all cutoffs in one job.
 
     Versions are reduced to intervals of the time they are newest before they meet the cutoffs, so every
-    (cutoff, observation) pair is made once.
+    (cutoff, observation) pair is made once. With limits, an observation's interval also ends when as many later ones
+    are visible, so that a cutoff meets few more than it keeps.
     """
     chain = Window.partitionBy("series_id", "observation_date").orderBy("realtime_start")
-    newest = versions.filter(F.col("value").isNotNull()).withColumn("replaced_on", F.lead("realtime_start").over(chain))
-    on = (
-        (F.col("observation_date") <= F.col("cutoff"))
-        & (F.col("realtime_start") <= F.col("cutoff"))
-        & (F.col("replaced_on").isNull() | (F.col("replaced_on") > F.col("cutoff")))
-    )
-    return newest.join(cutoffs, on).select("meeting_id", "cutoff", "series_id", "observation_date", "realtime_start", "value")
+    newest = versions.filter(F.col("value").isNotNull()).select(
+        "series_id", "observation_date", "realtime_start", "value",
+        F.greatest("observation_date", "realtime_start").alias("shown_on"), F.lead("realtime_start").over(chain).alias("replaced_on"),
+    )
+    if default is not None:
+        newest = _retired(newest, limits or {}, default).withColumn("replaced_on", F.least("replaced_on", "retired_on"))
+    found = interval_join(newest, cutoffs, "shown_on", "replaced_on", "cutoff")
+    return found.select("meeting_id", "cutoff", "series_id", "observation_date", "realtime_start", "value")
 
 
 def snapshot(versions: DataFrame, cutoffs: DataFrame, limits: dict[str, int], default: int) -> DataFrame:
@@ -39,35 +59,31 @@ def snapshot(versions: DataFrame, cutoffs: DataFrame, limits: dict[str, int], de
     for series, n in limits.items():
         limit = F.when(F.col("series_id") == series, n).otherwise(limit)
     newest = Window.partitionBy("meeting_id", "series_id").orderBy(F.col("observation_date").desc())
-    ranked = visible_versions(versions, cutoffs).withColumn("rank", F.row_number().over(newest))
+    ranked = visible_versions(versions, cutoffs, limits, default).withColumn("rank", F.row_number().over(newest))
     return ranked.filter(F.col("rank") <= limit).drop("rank")
 
 
 def as_of_join(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The newest visible observation (then version) of each series at each cutoff, by interval join and aggregate."""
     best = F.max_by(F.struct("observation_date", "realtime_start", "value"), F.struct("observation_date", "realtime_start"))
-    return visible_versions(versions, cutoffs).groupBy("meeting_id", "cutoff", "series_id").agg(best.alias("v")).select("meeting_id", "cutoff", "series_id", "v.*")
+    return visible_versions(versions, cutoffs, {}, 1).groupBy("meeting_id", "cutoff", "series_id").agg(best.alias("v")).select("meeting_id", "cutoff", "series_id", "v.*")
 
 
 def as_of_union(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """The same rows for many cutoffs: versions and cutoffs in one time order, the last best observation carried on.
-
-    No theta join: work is a sort within each series, whatever the number of cutoffs.
-    """
+    """The same rows by one time order of versions and cutoffs, the last best observation carried on."""
     seen = visible(versions, F.lit("9999-12-31").cast("date")).select(
         "series_id",
         F.greatest("observation_date", "realtime_start").alias("at"),
         F.lit(0).alias("kind"),
-        F.struct("observation_date", "realtime_start", "value").alias("v"),
+        F.struct("observation_date", "realtime_start", "value").alias("best"),
         F.lit(None).cast("string").alias("meeting_id"),
     )
     series = versions.select("series_id").distinct()
-    asked = cutoffs.join(F.broadcast(series)).select(
-        "series_id", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(seen.schema["v"].dataType).alias("v"), "meeting_id"
+    asked = cutoffs.join(series).select(
+        "series_id", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(seen.schema["best"].dataType).alias("best"), "meeting_id"
     )
-    order = Window.partitionBy("series_id").orderBy("at", "kind").rowsBetween(*UP_TO_NOW)
-    carried = seen.unionByName(asked).withColumn("best", F.max("v").over(order))
-    return carried.filter("kind = 1 and best is not null").select("meeting_id", F.col("at").alias("cutoff"), "series_id", "best.*")
+    along = carried(seen.unionByName(asked), ["series_id"], "at", ["kind"], ["best"])
+    return along.filter("kind = 1 and best is not null").select("meeting_id", F.col("at").alias("cutoff"), "series_id", "best.*")
 
 
 def leakage(snapshots: DataFrame) -> DataFrame:
@@ -107,28 +123,37 @@ def year_ago_clamped(dates: DataFrame, day: str = "day") -> DataFrame:
 
 
 def first_after(versions: DataFrame, points: DataFrame, inclusive: bool = False) -> DataFrame:
-    """The smallest observation date after (or on) each point (meeting_id, at) of each series; ties to the newest version."""
-    later = F.col("observation_date") >= F.col("at") if inclusive else F.col("observation_date") > F.col("at")
-    best = F.min_by(F.struct("observation_date", "realtime_start", "value"), F.struct(F.col("observation_date"), F.date_diff(F.lit("9999-12-31").cast("date"), "realtime_start")))
-    return versions.join(points, later).groupBy("meeting_id", "at", "series_id").agg(best.alias("v")).select("meeting_id", "at", "series_id", "v.*")
+    """The smallest observation date after (or on) each point (meeting_id, at) of each series; ties to the newest version.
+
+    An observation is the first one after the points between the one before it and itself, so each point meets one.
+    """
+    newest = versions.groupBy("series_id", "observation_date").agg(
+        F.max("realtime_start").alias("realtime_start"), F.max_by("value", "realtime_start").alias("value")
+    )
+    shift = 1 if inclusive else 0
+    before = F.lag("observation_date").over(Window.partitionBy("series_id").orderBy("observation_date"))
+    spans = newest.withColumns({"from_day": F.date_add(before, shift), "to_day": F.date_add("observation_date", shift)})
+    found = interval_join(spans, points, "from_day", "to_day", "at")
+    return found.select("meeting_id", "at", "series_id", "observation_date", "realtime_start", "value")
 
 
 def carried_axis(left: DataFrame, right: DataFrame) -> DataFrame:
     """day, left_level, right_level on the days of either, each carried on; days before both have values are left out."""
     a, b = (x.select("day", F.col("level").alias(n)) for x, n in ((left, "left_level"), (right, "right_level")))
-    order = Window.orderBy("day").rowsBetween(*UP_TO_NOW)
-    joined = a.join(b, "day", "full_outer")
-    return joined.select(
-        "day", *[F.last(c, ignorenulls=True).over(order).alias(c) for c in ("left_level", "right_level")]
-    ).filter("left_level is not null and right_level is not null")
+    names = ("left_level", "right_level")
+    # The last value is the one with the largest day.
+    dated = a.join(b, "day", "full_outer").withColumns({n: F.when(F.col(n).isNotNull(), F.struct("day", F.col(n).alias("level"))) for n in names})
+    along = carried(dated, [], "day", [], list(names)).filter("left_level is not null and right_level is not null")
+    return along.select("day", *[F.col(f"{n}.level").alias(n) for n in names])
 
 
 def nearest_within(points: DataFrame, candidates: DataFrame, days: int) -> DataFrame:
     """For each point (day) the candidate (other_day) within `days`; nearer first, then the later side."""
-    on = F.col("other_day").between(F.date_sub("day", days), F.date_add("day", days))
+    around = points.withColumns({"from_day": F.date_sub("day", days), "to_day": F.date_add("day", days + 1)})
     gap = F.date_diff("other_day", "day")
     best = Window.partitionBy("day").orderBy(F.abs(gap), -gap)
-    return points.join(candidates, on).withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank")
+    found = interval_join(around, candidates, "from_day", "to_day", "other_day").drop("from_day", "to_day")
+    return found.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank")
 
 
 def change_points(levels: DataFrame) -> DataFrame:
@@ -165,7 +190,9 @@ def regime_starts(directed: DataFrame, floor_level: float) -> DataFrame:
 
 def rate_context(directed: DataFrame, cutoffs: DataFrame, changes: int = 8) -> DataFrame:
     """Per meeting and series one CURRENT row (ordinal 0, days since its start) and the newest changes (ordinals from 1)."""
-    known = directed.join(cutoffs, F.col("day") <= F.col("cutoff"))
+    # A change is among the newest until so many later ones have come.
+    later = F.lead("day", changes).over(Window.partitionBy("series_id").orderBy("day"))
+    known = interval_join(directed.withColumn("until", later), cutoffs, "day", "until", "cutoff")
     newest = Window.partitionBy("meeting_id", "series_id").orderBy(F.col("day").desc())
     ranked = known.withColumn("rank", F.row_number().over(newest))
     columns = ["meeting_id", "series_id", "ordinal", "kind", "day", "level", "direction", "duration_days"]
@@ -254,7 +281,7 @@ def even_sample(rows: DataFrame, order: str, group: str, target: int) -> DataFra
     ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
     picks = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(target - 1)))).select(
-        group, F.bround(F.col("i") * (F.col("n") - 1) / F.lit(target - 1)).cast("int").alias("position")
+        group, F.bround(F.col("i") * (F.col("n") - 1) / F.lit(max(1, target - 1))).cast("int").alias("position")
     )
     return ranked.join(picks.distinct(), [group, "position"])
 

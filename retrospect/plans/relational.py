@@ -310,9 +310,10 @@ def a09_member_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.member_profiles(s.member_votes(spark, sf_dir))
 
 
-@query("a14_quantiles", "SELECT lang, median(n_chars) AS median, quantile_cont(n_chars, [0.1, 0.5, 0.95]) AS quantiles FROM documents GROUP BY 1")
+@query("a14_quantiles", """SELECT lang, probability, round(q, 6) AS quantile FROM (SELECT lang, unnest([0.1, 0.5, 0.95]::DOUBLE[]) AS probability, unnest(quantile_cont(n_chars, [0.1, 0.5, 0.95])) AS q FROM documents GROUP BY 1)""")
 def a14_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.exact_quantiles(s.table(spark, sf_dir, "documents"), "lang", "n_chars", [0.1, 0.5, 0.95])
+    found = r.exact_quantiles(s.table(spark, sf_dir, "documents"), "lang", "n_chars", [0.1, 0.5, 0.95])
+    return found.withColumn("quantile", F.round("quantile", 6))
 
 
 @query("a18_wide_features", f"WITH {s.LEVELS_SQL} SELECT month(day)::INTEGER AS m, arg_max(level, day) FILTER (series_id = 'view') AS \"view\", arg_max(level, day) FILTER (series_id = 'click') AS click FROM lev GROUP BY 1")
@@ -344,9 +345,9 @@ def u01_symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.symmetric_difference(pick("l_tax = 0"), pick("l_discount = 0 and l_quantity > 45"))
 
 
-@query("u02_set_coverage", f"{_V}, w AS (SELECT DISTINCT round AS g, participant AS m FROM votes WHERE participant % 2 = 0 AND meeting < 400), h AS (SELECT DISTINCT round AS g, participant AS m FROM votes WHERE dissent AND meeting < 400) SELECT g AS round, coalesce(list(w.m ORDER BY w.m) FILTER (h.m IS NULL), []) AS missing, coalesce(list(h.m ORDER BY h.m) FILTER (w.m IS NULL), []) AS extra FROM w FULL JOIN h USING (g, m) GROUP BY 1".replace("w.m ORDER BY w.m", "m ORDER BY m").replace("h.m ORDER BY h.m", "m ORDER BY m"))
+@query("u02_set_coverage", f"{_V}, w AS (SELECT DISTINCT round AS g, participant AS m FROM votes WHERE participant % 2 = 0), h AS (SELECT DISTINCT round AS g, participant AS m FROM votes WHERE dissent) SELECT g AS round, coalesce(list(w.m ORDER BY w.m) FILTER (h.m IS NULL), []) AS missing, coalesce(list(h.m ORDER BY h.m) FILTER (w.m IS NULL), []) AS extra FROM w FULL JOIN h USING (g, m) GROUP BY 1".replace("w.m ORDER BY w.m", "m ORDER BY m").replace("h.m ORDER BY h.m", "m ORDER BY m"))
 def u02_set_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = s.votes(spark, sf_dir).filter("meeting < 400")
+    v = s.votes(spark, sf_dir)
     return r.coverage(v.filter("participant % 2 = 0"), v.filter("dissent"), "round", "participant")
 
 
@@ -385,8 +386,8 @@ def o03_newest_then_important(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o04_newest_documents", f"""WITH {_DOCS}, {s.CUTOFFS_SQL}, k AS (SELECT meeting_id, doc_id, row_number() OVER (PARTITION BY meeting_id ORDER BY published DESC, usage, doc_id)::INTEGER AS rank FROM docs JOIN cut ON published < cutoff)
 SELECT * FROM k WHERE rank <= 5""")
 def o04_newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _documents(spark, sf_dir).join(F.broadcast(s.cutoffs(spark, sf_dir)), F.col("published") < F.col("cutoff"))
-    return r.top_per_group(seen, ["meeting_id"], [F.col("published").desc(), F.col("usage"), F.col("doc_id")], 5).select("meeting_id", "doc_id", "rank")
+    found = r.newest_before(_documents(spark, sf_dir), s.cutoffs(spark, sf_dir), 5, [F.col("usage"), F.col("doc_id")])
+    return found.select("meeting_id", "doc_id", "rank")
 
 
 @query("o07_arg_max_lexicographic", "SELECT l_suppkey, first(l_orderkey ORDER BY l_quantity DESC, l_discount DESC, l_orderkey DESC) AS best FROM lineitem GROUP BY 1")

@@ -182,11 +182,12 @@ def w08_prior_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.prior_history(s.member_votes(spark, sf_dir))
 
 
-@query("w09_recency", f"""WITH {s.VOTES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY meeting DESC) AS rn FROM mv WHERE meeting < 1000)
+@query("w09_recency", f"""WITH {s.VOTES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY meeting DESC) AS rn FROM mv WHERE meeting < (SELECT max(meeting) FROM mv))
 SELECT participant, avg(CASE WHEN rn <= 3 THEN dissent::INT END) AS recent3_rate, min(CASE WHEN dissent THEN rn END) - 1 AS votes_since_dissent,
 max(CASE WHEN dissent THEN meeting END) AS last_dissent, list(meeting ORDER BY rn) FILTER (rn <= 8) AS newest_votes FROM r GROUP BY 1""")
 def w09_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.recency(s.member_votes(spark, sf_dir), 1000)
+    votes = s.member_votes(spark, sf_dir)
+    return t.recency(votes, votes.agg(F.max("meeting")).first()[0])  # as of the newest meeting
 
 
 def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:

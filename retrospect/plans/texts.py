@@ -52,9 +52,9 @@ def f09_mixed_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.mixed_fraction(token).alias("number"))
 
 
-@query("f10_tags", "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in TAGS.items()) + "], lambda z: z IS NOT NULL) AS tags FROM documents WHERE lang IN ('en', 'fr')")
+@query("f10_tags", "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in TAGS.items()) + "], lambda z: z IS NOT NULL) AS tags FROM documents")
 def f10_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).filter(F.col("lang").isin("en", "fr")).select("doc_id", x.tag_labels(F.col("text"), TAGS).alias("tags"))
+    return _docs(spark, sf_dir).select("doc_id", x.tag_labels(F.col("text"), TAGS).alias("tags"))
 
 
 @query("f12_cue_score", "SELECT conv_id, turn, " + " + ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN {w} ELSE 0 END" for p, w in CUES.items()) + " AS score FROM conversations")
@@ -101,9 +101,9 @@ def f17_phrase_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike("(?i)tion").alias("support"), F.col("text").rlike(r"(?i)\bthe\b").alias("flip"))
 
 
-@query("f19_f20_redaction", r"WITH z AS (SELECT doc_id, regexp_replace(text, '(?i)\b(?:queeux|tion|the|of)\b', '[MEMBER]', 'g') AS t FROM documents WHERE lang = 'en') SELECT doc_id, md5(t) AS h, regexp_matches(t, '(?i)\bthe\b') AS leaks FROM z")
+@query("f19_f20_redaction", r"WITH z AS (SELECT doc_id, regexp_replace(text, '(?i)\b(?:queeux|tion|the|of)\b', '[MEMBER]', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS h, regexp_matches(t, '(?i)\bthe\b') AS leaks FROM z")
 def f19_f20_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", x.redacted(F.col("text"), ["the", "of", "tion", "queeux"]).alias("t"))
+    z = _docs(spark, sf_dir).select("doc_id", x.redacted(F.col("text"), ["the", "of", "tion", "queeux"]).alias("t"))
     return z.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), F.col("t").rlike(r"(?i)\bthe\b").alias("leaks"))
 
 
