@@ -102,3 +102,152 @@ def links(pages: DataFrame) -> DataFrame:
 
     ship_package(pages.sparkSession)
     return pages.select(*_PAGE_COLUMNS).mapInPandas(scan, "page_id long, link string")
+
+
+#: Elements without an end tag.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def _block_parser():
+    class Blocks(HTMLParser):
+        """Elements with their text, in order of their start: (place, tag, marks, within, text, href)."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open: list[tuple[int, str, list[str], list[str], list[str], str | None]] = []
+            self.rows: list[tuple[int, str, list[str], list[str], str, str | None]] = []
+            self.place = 0
+
+        def _close(self) -> None:
+            place, tag, marks, within, parts, href = self.open.pop()
+            self.rows.append((place, tag, marks, within, " ".join("".join(parts).split()), href))
+
+        def handle_starttag(self, tag, attrs):
+            given = {k: v or "" for k, v in attrs}
+            marks = [f".{c}" for c in given.get("class", "").lower().split()]
+            marks += [f"#{given['id'].lower()}"] if given.get("id") else []
+            within = [x for frame in self.open for x in (frame[1], *frame[2])]
+            self.place += 1
+            if tag == "br":
+                self.handle_data(" ")
+            elif tag == "meta":
+                keys = [f"@{given[k].lower()}" for k in ("property", "name", "itemprop") if given.get(k)]
+                self.rows.append((self.place, tag, keys, within, " ".join(given.get("content", "").split()), None))
+            elif tag in _VOID:
+                self.rows.append((self.place, tag, marks, within, "", None))
+            else:
+                if tag == "p" and self.open and self.open[-1][1] == "p":
+                    self._close()
+                self.open.append((self.place, tag, marks, within, [], given.get("href")))
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in _VOID:
+                self.handle_endtag(tag)
+
+        def handle_endtag(self, tag):
+            if any(frame[1] == tag for frame in self.open):
+                while self.open[-1][1] != tag:
+                    self._close()
+                self._close()
+
+        def handle_data(self, data):
+            for frame in self.open:
+                frame[4].append(data)
+
+    return Blocks
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """page_id, place, tag, marks (.class, #id; @key of meta tags), within (tags and marks around it), text, href.
+
+    One row an element that is closed, in order of its start; elements inside p, li and headings give their text to these
+    too. What an article holds is then chosen by filters over the rows.
+    """
+    wanted = frozenset("h1 h2 h3 p li div span a hr meta".split())
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser_class = _block_parser()
+        for batch in batches:
+            rows = []
+            for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
+                parser = parser_class()
+                parser.feed(html or "")
+                rows += [(page_id, *row) for row in parser.rows if row[1] in wanted]
+            yield pd.DataFrame(rows, columns=["page_id", "place", "tag", "marks", "within", "text", "href"])
+
+    ship_package(pages.sparkSession)
+    schema = "page_id long, place int, tag string, marks array<string>, within array<string>, text string, href string"
+    return pages.select("page_id", "html").mapInPandas(scan, schema)
+
+
+def _visible_lines():
+    class Lines(HTMLParser):
+        """Lines of visible text after the mark of a list of participants."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.part: list[str] | None = None
+            self.lines: list[str] = []
+
+        def flush(self) -> None:
+            if self.part is not None:
+                line = " ".join("".join(self.part).split())
+                self.lines += [line] if line else []
+                self.part = []
+
+        def handle_data(self, data):
+            word = " ".join(data.split())
+            if self.part is not None:
+                self.part.append(data)
+            elif word.rstrip(":").lower() in ("present", "attendance"):
+                self.lines.append(word)
+                self.part = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "td", "tr"):
+                self.flush()
+
+    return Lines
+
+
+def attendance_blocks(pages: DataFrame) -> DataFrame:
+    """document, blocks: line blocks of pages (page_id, html) with the list of participants.
+
+    Paragraphs as they are where one begins with the mark; else the lines of visible text after it, members (with an
+    honorific) as one block and groups as blocks of their own, up to the first of the staff. No blocks where there is no mark.
+    """
+    staff, groups = (", secretary", ", general counsel", ", economist"), ("alternate members of", "presidents of the federal reserve banks")
+
+    def of_page(html: str) -> list[list[str]]:
+        parser = _extractor()()
+        parser.feed(html)
+        parser._flush()
+        found = [[line for line in lines if line] for lines in parser.done]
+        found = [b for b in found if b]
+        if any(b[0].rstrip(":").lower() in ("present", "attendance") for b in found):
+            return found
+        visible = _visible_lines()()
+        visible.feed(html)
+        visible.flush()
+        members, others = [], []
+        for line in visible.lines[1:]:
+            low = line.lower()
+            if any(mark in low for mark in staff):
+                break
+            if any(mark in low for mark in groups):
+                others.append([line])
+            elif line.startswith(("Mr.", "Ms.", "Mrs.", "Dr.")):
+                members.append(line)
+        return [[visible.lines[0]], members, *others] if members else []
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"document": batch["page_id"], "blocks": [of_page(html or "") for html in batch["html"]]})
+
+    ship_package(pages.sparkSession)
+    return pages.select("page_id", "html").mapInPandas(scan, "document long, blocks array<array<string>>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words left out of the index.
@@ -130,3 +130,23 @@ def tiered_cost(tokens: Column, cached: Column, threshold: int, short: tuple[flo
     fresh = F.greatest(F.lit(0), tokens - cached)
     price = lambda card: (fresh * card[0] + cached * card[1]) / 1e6
     return F.when(tokens > threshold, price(long)).otherwise(price(short))
+
+
+def calendar_meetings(headings: DataFrame) -> DataFrame:
+    """page_id, meeting_id, start_day, end_day, cutoff from calendar headings (page_id, heading).
+
+    Shapes: "January 29-30 Meeting - 2013", "April/May 30-1 ..." and "April 30 - May 1 ... - 2013"; a last month before
+    the first is the next year's. Headings of no meeting, and calls, cancelled meetings and notation votes, are left out;
+    a meeting that can't be read keeps null days.
+    """
+    low = F.lower("heading")
+    wanted = F.contains(low, F.lit("meeting")) & ~low.rlike("conference call|cancelled|notation vote")
+    part = lambda pattern, i: F.nullif(F.regexp_extract("heading", pattern, i), F.lit(""))
+    two = r"^([A-Za-z]+)\s+(\d{1,2})\s*-\s*([A-Za-z]+)\s+(\d{1,2}).*?-\s*(\d{4})$"
+    one = r"^([A-Za-z]+)(?:/([A-Za-z]+))?\s+(\d{1,2})(?:\s*-\s*(\d{1,2}))?.*?-\s*(\d{4})$"
+    month, day, year = F.coalesce(part(two, 1), part(one, 1)), F.coalesce(part(two, 2), part(one, 3)), F.coalesce(part(two, 5), part(one, 5)).cast("int")
+    last_month, last_day = F.coalesce(part(two, 3), part(one, 2), month), F.coalesce(part(two, 4), part(one, 4), day)
+    of = lambda y, m, n: F.try_to_date(F.concat_ws(" ", y.cast("string"), m, n), "yyyy MMMM d")
+    start, end = of(year, month, day), of(year, last_month, last_day)
+    read = headings.filter(wanted).select("page_id", start.alias("start_day"), F.when(end < start, of(year + 1, last_month, last_day)).otherwise(end).alias("end_day"))
+    return read.select("page_id", F.concat(F.lit("FOMC-"), F.col("start_day").cast("string")).alias("meeting_id"), "start_day", "end_day", F.date_sub("start_day", 1).alias("cutoff"))

@@ -30,19 +30,6 @@ def f07_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("doc_id", F.size("z").alias("n"), F.md5(F.array_join("z", "\n").cast("binary")).alias("h"))
 
 
-@query("f08_action", f"""WITH z AS (SELECT doc_id, {_SENT} AS z FROM documents), e AS (SELECT doc_id, i AS pos, z[i] AS q FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM z)),
-k AS (SELECT doc_id, pos, CASE WHEN regexp_matches(q, 'tion') THEN 'HIKE' WHEN regexp_matches(q, 'eau') THEN 'CUT' WHEN regexp_matches(q, 'der') THEN 'HOLD' END AS action,
-CASE WHEN regexp_matches(q, 'the') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(q, ',') THEN -2 ELSE 0 END AS score FROM e)
-SELECT doc_id, first(action ORDER BY score DESC, pos) FILTER (action IS NOT NULL) AS action FROM k GROUP BY 1""")
-def f08_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.best_sentence(s.table(spark, sf_dir, "documents"), "doc_id", {"HIKE": "tion", "CUT": "eau", "HOLD": "der"}, {"the": 3, ",": -2})
-
-
-@query("f11_landmark_slice", r"SELECT item_id, regexp_extract(text, '(?s)\n(.{0,900}?)(?:\n|$)', 1) AS part FROM benchmark")
-def f11_landmark_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"(?s)\n(.{0,900}?)(?:\n|$)", 1).alias("part"))
-
-
 LINT = {"COMPOUND": r"\band\b|\bor\b", "RANGE": "[0-9]+ to [0-9]+", "SHORT": "^.{0,40}$", "TEMPORAL": "until|after"}
 
 
@@ -92,13 +79,6 @@ def o05_evidence_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(named, ["role"], [F.col(c).desc() for c in ("turn", "conv_id", "locator")], 2).select("role", "rank", "locator")
 
 
-@query("o06_quota_pick", """WITH d AS (SELECT source, doc_id, len(regexp_extract_all(text, 'tiontion')) AS score FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN score > 0 THEN 0 ELSE 1 END, score DESC, doc_id)::INTEGER AS rank,
-count(*) FILTER (score > 0) OVER (PARTITION BY source) AS n FROM d) SELECT source, doc_id, score, rank FROM k WHERE rank <= greatest(10, least(13, n))""")
-def o06_quota_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = s.table(spark, sf_dir, "documents").select("source", "doc_id", F.regexp_count("text", F.lit("tiontion")).alias("score"))
-    return r.quota_pick(scored, "source", "doc_id", 10, 13)
-
-
 _ASOF = f"""WITH {s.VINTAGES_SQL}, {s.CUTOFFS_SQL}, vis AS (SELECT meeting_id, cutoff, series_id, observation_date, arg_max(value, realtime_start) AS value FROM vint JOIN cut ON observation_date <= cutoff AND realtime_start <= cutoff WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4),
 l AS (SELECT meeting_id, series_id, max(observation_date) AS d, arg_max(value, observation_date) AS value FROM vis GROUP BY 1, 2),
 c AS (SELECT l.meeting_id, l.series_id, l.value, l.value - p.value AS change FROM l LEFT JOIN vis p ON p.meeting_id = l.meeting_id AND p.series_id = l.series_id AND p.observation_date = l.d - 3)"""

@@ -88,14 +88,6 @@ def r12_rank_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.coalesce(F.col("rank").cast("string"), F.lit("NOT RETRIEVED")).alias("rank"))
 
 
-@query("r14_member_passages", "SELECT source, rank, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS rank FROM documents WHERE contains(text, 'tion')) WHERE rank <= 40")
-def r14_member_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.relational import top_per_group
-
-    named = s.table(spark, sf_dir, "documents").filter(F.col("text").contains("tion"))
-    return top_per_group(named, ["source"], [F.col("doc_id")], 40).select("source", "rank", "doc_id")
-
-
 
 
 @query("r08_parameter_grid", f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS rn FROM par),

@@ -62,12 +62,6 @@ def f12_cue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", x.cue_score(F.col("text"), CUES).alias("score"))
 
 
-@query("f13_condition_query", r"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda z: length(z) > 40 AND NOT regexp_matches(z, 'the')), ' ')[1:900]) AS h FROM documents")
-def f13_condition_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.filter(F.split("text", "\n"), lambda z: (F.length(z) > 40) & ~z.rlike("the"))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.left(F.array_join(kept, " "), F.lit(900)).cast("binary")).alias("h"))
-
-
 @query("f14_excerpt", f"""WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '{_WS}', ' ', 'g')), ' ') AS w FROM benchmark),
 f AS (SELECT *, greatest(coalesce(least(nullif(coalesce(list_position(list_transform(w, lambda z: lower(z)), 'the'), 0), 0), nullif(coalesce(list_position(list_transform(w, lambda z: lower(z)), 'of'), 0), 0)), 1) - 5, 1) AS i FROM w)
 SELECT item_id, CASE WHEN i > 1 THEN '... ' ELSE '' END || array_to_string(w[i:i + 19], ' ') || CASE WHEN i + 20 <= len(w) THEN ' ...' ELSE '' END AS excerpt FROM f""")
@@ -101,12 +95,6 @@ def f17_phrase_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike("(?i)tion").alias("support"), F.col("text").rlike(r"(?i)\bthe\b").alias("flip"))
 
 
-@query("f19_f20_redaction", r"WITH z AS (SELECT doc_id, regexp_replace(text, '(?i)\b(?:queeux|tion|the|of)\b', '[MEMBER]', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS h, regexp_matches(t, '(?i)\bthe\b') AS leaks FROM z")
-def f19_f20_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _docs(spark, sf_dir).select("doc_id", x.redacted(F.col("text"), ["the", "of", "tion", "queeux"]).alias("t"))
-    return z.select("doc_id", F.md5(F.col("t").cast("binary")).alias("h"), F.col("t").rlike(r"(?i)\bthe\b").alias("leaks"))
-
-
 @query("f21_token_estimate", "SELECT doc_id, greatest(1, ceil(strlen(text) / 4.0))::BIGINT AS tokens FROM documents")
 def f21_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", x.token_estimate(F.col("text")).alias("tokens"))
