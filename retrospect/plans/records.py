@@ -193,14 +193,6 @@ def s12_index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n_chunks"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"), F.count_distinct("source").alias("n_members"))
 
 
-@query("r09_r10_scenarios", "SELECT event_id, CASE WHEN value < 20 THEN 'inflation is low' WHEN value < 60 THEN 'inflation is moderate' ELSE 'inflation is high' END || ' ' || CASE WHEN user_id % 2 = 0 THEN 'and falling' ELSE 'and rising' END AS scenario, list_filter([CASE WHEN value < 20 THEN 'LOW' END, CASE WHEN user_id % 2 = 1 THEN 'RISING' END], lambda z: z IS NOT NULL) AS tags FROM events")
-def r09_r10_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.when(F.col("value") < 20, "inflation is low").when(F.col("value") < 60, "inflation is moderate").otherwise("inflation is high")
-    path = F.when(F.pmod("user_id", F.lit(2)) == 0, "and falling").otherwise("and rising")
-    tags = F.array_compact(F.array(F.when(F.col("value") < 20, F.lit("LOW")), F.when(F.pmod("user_id", F.lit(2)) == 1, F.lit("RISING"))))
-    return s.table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", level, path).alias("scenario"), tags.alias("tags"))
-
-
 @query("r13_label_agreement", f"WITH {s.OUTCOMES_SQL} SELECT CASE WHEN meeting % 6 = 0 THEN 'MISSING' WHEN action = 'HOLD' THEN 'MATCH' ELSE 'MISMATCH' END AS status, count(*) AS n FROM outc GROUP BY 1")
 def r13_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = s.outcomes(spark, sf_dir).select("meeting", "action")

@@ -1,42 +1,101 @@
-"""Queries over the index, BM25, pooling and backtests: documents are the chunks, benchmark items the queries."""
+"""Queries over the index, BM25, pooling, backtests and scenarios: documents are the chunks, benchmark items the queries.
+
+Ten documents in a row are one parent; its class is the language of the first of them and its labels are words of it. A
+benchmark item is asked from the place of the parent with its number.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import decisions as d
+from ..functions.text import tag_labels
 from ..operators import retrieval as r
+from ..sources import corpus as c
 from ..sources import tables as s
 from .registry import query
 from .texts import TERMS
 
 CLASSES = ["CUT", "HOLD", "HIKE"]
-_BM25 = f"""WITH t AS (SELECT doc_id AS chunk_id, {TERMS} AS t FROM documents), post AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM t),
+LABELS = {"UP": "(?:^|[ \\n])the[ ,.]", "DOWN": "(?:^|[ \\n])de[ ,.]", "WIDE": "(?:^|[ \\n])und[ ,.]", "NARROW": "(?:^|[ \\n])la[ ,.]"}
+PAIRS = {"UP": "DOWN", "WIDE": "NARROW"}
+GAP, K, M, BETA = 2, 20, 8, 0.5
+
+
+def _search_sql(chunks: str, asked: str, k: int, where: str = "true") -> str:
+    """Common table expressions down to hits (query_id, chunk_id, score, rank) for SQL that gives chunks and queries."""
+    return f"""t AS (SELECT chunk_id, {TERMS} AS t FROM ({chunks})), post AS (SELECT chunk_id, len(t) AS length, unnest(t) AS term FROM t),
 idx AS (SELECT chunk_id, length, term, count(*) AS tf FROM post GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM idx GROUP BY 1),
 shape AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
-asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest({TERMS}) AS term FROM ({asked})) GROUP BY ALL),
 scores AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a)) * (1 + ln(qf))) AS score
 FROM asked JOIN idx USING (term) JOIN df USING (term), shape GROUP BY 1, 2),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::INTEGER AS rank FROM scores) WHERE rank <= 20)"""
-_ACTION = "(['CUT', 'HOLD', 'HIKE'])[(chunk_id % 3) + 1]"
-_POOL = f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2),
-lab AS (SELECT *, (['CUT', 'HOLD', 'HIKE'])[(parent % 3) + 1] AS action FROM par), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS k FROM lab) WHERE k <= 8),
-sums AS (SELECT query_id, coalesce(sum(score / pow(33, 0.5)) FILTER (action = 'CUT'), 0) AS a, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HOLD'), 0) AS b, coalesce(sum(score / pow(32, 0.5)) FILTER (action = 'HIKE'), 0) AS c FROM top GROUP BY 1),
-prob AS (SELECT query_id, (a + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS cut, (b + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hold, (c + 0.12 * (a + b + c)) / (1.36 * (a + b + c)) AS hike FROM sums)"""
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id)::INTEGER AS rank FROM scores WHERE {where}) WHERE rank <= {k})"""
+
+
+_DOCS, _ASK = "SELECT doc_id AS chunk_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark"
+_BM25 = f"WITH {_search_sql(_DOCS, _ASK, K)}"
+_TAGGED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{n}' END" for n, p in LABELS.items()) + "], lambda z: z IS NOT NULL)"
+_PARENTS = f"""par AS (SELECT doc_id // 10 AS parent, arg_min(CASE lang WHEN 'en' THEN 'HOLD' WHEN 'de' THEN 'CUT' WHEN 'fr' THEN 'HIKE' END, doc_id) FILTER (doc_id % 10 = 0) AS action,
+coalesce(arg_min({_TAGGED}, doc_id) FILTER (doc_id % 10 = 0), []) AS tags FROM documents GROUP BY 1),
+cls AS (SELECT action, count(*) AS class_n FROM par WHERE action IS NOT NULL GROUP BY 1)"""
+_APART = f"WITH {_search_sql(_DOCS, _ASK, K, f'abs(chunk_id // 10 - query_id) > {GAP}')}, {_PARENTS}"
+_RAWS = {
+    "sum": "total", "prevalence": "total / class_n", "mean3": "best3 / 3", "mean3_prev": "best3 / 3 / sqrt(class_n)", "count": "many::DOUBLE", "count_prev": "many / class_n",
+    "fractional": f"total / pow(class_n, {BETA})",
+}
+
+
+def _pool_sql(source: str, keys: str, variants: tuple[str, ...]) -> str:
+    """prob (query_id, keys, variant, cut, hold, hike, predicted) from source (query_id, keys, parent, action, score)."""
+    raws = " UNION ALL ".join(f"SELECT query_id{keys}, action, '{v}' AS variant, {_RAWS[v]} AS raw FROM byc" for v in variants)
+    of = lambda x: f"coalesce(sum(raw) FILTER (action = '{x}'), 0)"
+    return f"""nth AS (SELECT *, row_number() OVER (PARTITION BY query_id{keys}, action ORDER BY round(score, 6) DESC, parent) AS nth FROM {source} WHERE action IS NOT NULL),
+byc AS (SELECT n.query_id{keys}, n.action, max(class_n) AS class_n, sum(score) AS total, count(*) AS many, coalesce(sum(score) FILTER (nth <= 3), 0) AS best3 FROM nth n JOIN cls USING (action) GROUP BY ALL),
+raws AS ({raws}), sm AS (SELECT query_id{keys}, variant, {of('CUT')} AS a, {of('HOLD')} AS b, {of('HIKE')} AS c FROM raws GROUP BY ALL),
+sh AS (SELECT *, a + b + c AS total, 0.12 * CASE WHEN a + b + c = 0 THEN 1 ELSE a + b + c END AS z FROM sm),
+prob AS (SELECT query_id{keys}, variant, (a + z) / (total + 3 * z) AS cut, (b + z) / (total + 3 * z) AS hold, (c + z) / (total + 3 * z) AS hike FROM sh),
+said AS (SELECT *, CASE greatest(round(cut, 9), round(hold, 9), round(hike, 9)) WHEN round(cut, 9) THEN 'CUT' WHEN round(hold, 9) THEN 'HOLD' ELSE 'HIKE' END AS predicted FROM prob)"""
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+_BEST = f"""{_APART}, best AS (SELECT query_id, chunk_id // 10 AS parent, max(score) AS score FROM hits GROUP BY 1, 2),
+lab AS (SELECT b.*, action FROM best b LEFT JOIN par USING (parent)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS k FROM lab) WHERE k <= {M})"""
 
 
-def _hits(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.tokenised(s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent, action, tags of the first of ten documents."""
+    action = F.when(F.col("lang") == "en", "HOLD").when(F.col("lang") == "de", "CUT").when(F.col("lang") == "fr", "HIKE")
+    parent = F.floor(F.col("doc_id") / 10).cast("long").alias("parent")
+    heads = s.table(spark, sf_dir, "documents").select(parent, (F.pmod("doc_id", F.lit(10)) == 0).alias("head"), action.alias("action"), tag_labels(F.col("text"), LABELS).alias("tags"))
+    pick = lambda name: F.max(F.when(F.col("head"), F.col(name)))
+    return heads.groupBy("parent").agg(pick("action").alias("action"), F.coalesce(pick("tags"), F.array().cast("array<string>")).alias("tags"))
+
+
+def _hits(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
     asked = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return r.top_hits(r.bm25(_chunks(spark, sf_dir), asked), k, F.round("score", 6))
+    parent = F.floor(F.col("chunk_id") / 10).cast("long")
+    far = F.abs(parent - F.col("query_id")) > GAP if apart else None
+    return r.top_hits(r.bm25(_tokens(spark, sf_dir), asked), K, F.round("score", 6), far).withColumn("parent", parent)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.best_of_parent(_hits(spark, sf_dir, apart=True)).join(_parents(spark, sf_dir).drop("tags"), "parent", "left")
+
+
+def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, actual: the class of the parent from whose place an item is asked; items without one take no part."""
+    return _parents(spark, sf_dir).filter("action is not null").select(F.col("parent").alias("query_id"), F.col("action").alias("actual"))
 
 
 @query("r03_document_frequency", f"{_BM25} SELECT * FROM df")
 def r03_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.term_frequencies(r.postings(_chunks(spark, sf_dir)))
+    return r.term_frequencies(r.postings(_tokens(spark, sf_dir)))
 
 
 @query("r04_o01_bm25", f"{_BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits")
@@ -44,41 +103,58 @@ def r04_o01_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("r05_rerank", f"{_BM25} SELECT query_id, chunk_id, round(score * greatest(0.05, 1 + 0.6 * (chunk_id % 4) / 4 - 1.5 * (chunk_id % 3) / 4), 6) AS score FROM hits")
+@query("r05_rerank", f"""WITH {_search_sql(_DOCS, _ASK, K)}, {_PARENTS}, q AS (SELECT item_id AS query_id, {_TAGGED} AS qt FROM benchmark),
+o AS (SELECT *, list_transform(qt, lambda z: CASE z WHEN 'UP' THEN 'DOWN' WHEN 'DOWN' THEN 'UP' WHEN 'WIDE' THEN 'NARROW' ELSE 'WIDE' END) AS opp FROM q)
+SELECT query_id, chunk_id, round(score * CASE WHEN len(qt) = 0 THEN 1.0 ELSE greatest(0.05, 1 + 0.6 * len(list_intersect(qt, tags)) / len(qt) - 1.5 * len(list_intersect(opp, tags)) / len(qt)) END, 6) AS score
+FROM hits JOIN o USING (query_id) JOIN par ON parent = chunk_id // 10""")
 def r05_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = _hits(spark, sf_dir).withColumns({"n_tags": F.lit(4), "overlap": F.pmod("chunk_id", F.lit(4)), "opposed": F.pmod("chunk_id", F.lit(3))})
-    return r.reranked(tagged, 0.6, 1.5).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    asked = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tag_labels(F.col("text"), LABELS).alias("query_tags"))
+    tagged = _hits(spark, sf_dir).join(asked, "query_id").join(_parents(spark, sf_dir).drop("action"), "parent")
+    return r.reranked(tagged, 0.6, 1.5, PAIRS).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("j18_excluded_neighbours", f"{_BM25} SELECT query_id, count(*) AS n FROM hits WHERE abs(chunk_id % 97 - query_id) > 2 GROUP BY 1")
+@query("j18_excluded_neighbours", f"{_APART} SELECT query_id, chunk_id, rank FROM hits")
 def j18_excluded_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apart = F.abs(F.pmod("chunk_id", F.lit(97)) - F.col("query_id")) > 2
-    return _hits(spark, sf_dir).filter(apart).groupBy("query_id").agg(F.count("*").alias("n"))
+    return _hits(spark, sf_dir, apart=True).select("query_id", "chunk_id", "rank")
 
 
-def _labelled_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = r.best_of_parent(_hits(spark, sf_dir).withColumn("parent", F.pmod("chunk_id", F.lit(97))))
-    action = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("parent", F.lit(3)) + 1).cast("int"))
-    return parents.withColumn("action", action).withColumn("class_n", F.when(F.col("action") == "CUT", 33).otherwise(32))
+@query("a15_best_of_parent", f"{_BEST} SELECT query_id, parent, round(score, 6) AS score FROM best")
+def a15_best_of_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.best_of_parent(_hits(spark, sf_dir, apart=True)).select("query_id", "parent", F.round("score", 6).alias("score"))
 
 
-@query("a15_best_of_parent", f"{_POOL} SELECT query_id, parent, round(score, 6) AS score FROM par")
-def a15_best_of_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled_parents(spark, sf_dir).select("query_id", "parent", F.round("score", 6).alias("score"))
+@query("a16_pooling", f"{_BEST}, {_pool_sql('top', '', r.VARIANTS)} SELECT query_id, variant, round(cut, 6) AS cut, round(hold, 6) AS hold, round(hike, 6) AS hike, predicted FROM said")
+def a16_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = r.top_parents(_labelled(spark, sf_dir), [], F.lit(M))
+    p = r.pooled(top, [], r.class_counts(_parents(spark, sf_dir)), CLASSES, r.VARIANTS)
+    return r.arg_max_class(p, CLASSES).withColumns({c.lower(): F.round(c.lower(), 6) for c in CLASSES})
 
 
-@query("r06_a16_a17_prior", f"{_POOL} SELECT query_id, round(cut, 6) AS cut, round(hold, 6) AS hold, round(hike, 6) AS hike FROM prob")
-def r06_a16_a17_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = r.pooled(_labelled_parents(spark, sf_dir), 8, 0.5, CLASSES)
+@query("r06_a17_prior", f"{_BEST}, {_pool_sql('top', '', ('fractional',))} SELECT query_id, round(cut, 6) AS cut, round(hold, 6) AS hold, round(hike, 6) AS hike FROM prob")
+def r06_a17_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = r.top_parents(_labelled(spark, sf_dir), [], F.lit(M))
+    p = r.pooled(top, [], r.class_counts(_parents(spark, sf_dir)), CLASSES, ("fractional",), beta=BETA)
     return p.select("query_id", *[F.round(c.lower(), 6).alias(c.lower()) for c in CLASSES])
 
 
-@query("r07_backtest", f"""{_POOL}, g AS (SELECT query_id, CASE WHEN cut = greatest(cut, hold, hike) THEN 'CUT' WHEN hold = greatest(cut, hold, hike) THEN 'HOLD' ELSE 'HIKE' END AS predicted, (['CUT', 'HOLD', 'HIKE'])[(query_id % 3) + 1] AS actual FROM prob)
-SELECT actual, predicted, count(*) AS n FROM g GROUP BY 1, 2""")
+_REPORT = """count(*) AS n, avg((actual = predicted)::INT) AS accuracy, (coalesce(avg((predicted = 'CUT')::INT) FILTER (actual = 'CUT'), 0) + coalesce(avg((predicted = 'HOLD')::INT) FILTER (actual = 'HOLD'), 0)
++ coalesce(avg((predicted = 'HIKE')::INT) FILTER (actual = 'HIKE'), 0)) / 3 AS balanced"""
+
+
+@query("r07_backtest", f"{_BEST}, {_pool_sql('top', '', ('sum', 'prevalence'))} SELECT variant, {_REPORT} FROM (SELECT variant, predicted, action AS actual FROM said JOIN par ON parent = query_id WHERE action IS NOT NULL) GROUP BY 1")
 def r07_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = r.arg_max_class(r.pooled(_labelled_parents(spark, sf_dir), 8, 0.5, CLASSES), CLASSES)
-    actual = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
-    return said.groupBy(actual.alias("actual"), "predicted").agg(F.count("*").alias("n"))
+    top = r.top_parents(_labelled(spark, sf_dir), [], F.lit(M))
+    said = r.arg_max_class(r.pooled(top, [], r.class_counts(_parents(spark, sf_dir)), CLASSES, ("sum", "prevalence")), CLASSES)
+    return r.backtest_report(said.join(_actual(spark, sf_dir), "query_id"), ["variant"], CLASSES)
+
+
+@query("r08_parameter_grid", f"""{_APART}, hk AS (SELECT query_id, k, chunk_id // 10 AS parent, max(score) AS score FROM hits, (VALUES (10), (20)) v(k) WHERE rank <= k GROUP BY 1, 2, 3), lab AS (SELECT hk.*, action FROM hk LEFT JOIN par USING (parent)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY round(score, 6) DESC, parent) AS place FROM lab), top AS (SELECT rk.*, m FROM rk, (VALUES (0), (4), (8)) w(m) WHERE m = 0 OR place <= m), {_pool_sql('top', ', k, m', r.VARIANTS)}
+SELECT k, m, variant, {_REPORT} FROM (SELECT k, m, variant, predicted, action AS actual FROM said JOIN par ON parent = query_id WHERE action IS NOT NULL) GROUP BY 1, 2, 3""")
+def r08_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = _parents(spark, sf_dir)
+    said = r.parameter_grid(_hits(spark, sf_dir, apart=True), parents, r.class_counts(parents), CLASSES, [10, 20], [0, 4, 8], r.VARIANTS)
+    return r.backtest_report(said.join(_actual(spark, sf_dir), "query_id"), ["k", "m", "variant"], CLASSES)
 
 
 @query("r12_rank_diagnosis", f"{_BM25}, targets AS (SELECT item_id AS query_id, item_id * 7 AS chunk_id FROM benchmark) SELECT t.query_id, t.chunk_id, coalesce(rank::VARCHAR, 'NOT RETRIEVED') AS rank FROM targets t LEFT JOIN hits h ON h.query_id = t.query_id AND h.chunk_id = t.chunk_id")
@@ -88,17 +164,54 @@ def r12_rank_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.coalesce(F.col("rank").cast("string"), F.lit("NOT RETRIEVED")).alias("rank"))
 
 
-
-
-@query("r08_parameter_grid", f"""{_BM25}, par AS (SELECT query_id, chunk_id % 97 AS parent, max(score) AS score FROM hits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS rn FROM par),
-g AS (SELECT m, query_id, coalesce(sum(score) FILTER (parent % 3 = 0), 0) AS a, coalesce(sum(score) FILTER (parent % 3 = 1), 0) AS b, coalesce(sum(score) FILTER (parent % 3 = 2), 0) AS c FROM k, (VALUES (2), (4), (8)) v(m) WHERE rn <= m GROUP BY 1, 2)
-SELECT m, count(*) FILTER (CASE WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END = query_id % 3) AS hits, count(*) AS n FROM g GROUP BY 1""")
-def r08_parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "parent")
-    ranked = _labelled_parents(spark, sf_dir).withColumn("rank", F.row_number().over(best)).withColumn("m", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8))))
-    mass = [F.coalesce(F.sum(F.when(F.col("action") == c, F.col("score"))), F.lit(0.0)).alias(c.lower()) for c in CLASSES]
-    said = r.arg_max_class(ranked.filter(F.col("rank") <= F.col("m")).groupBy("m", "query_id").agg(*mass), CLASSES)
-    actual = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
-    return said.groupBy("m").agg(F.count_if(F.col("predicted") == actual).alias("hits"), F.count("*").alias("n"))
+#: A supplier is a scenario: its numbers are digits of its key and balance.
+_NUMBERS = {
+    "cpi": "{k} % 7", "u": "3 + {k} % 5", "du": "({k} % 9 - 4) / 4.0", "pay": "({k} % 11 - 3) / 2.0", "spread": "1.5 + {k} % 4", "curve": "({k} % 6 - 2) / 1.5", "mid": "({k} % 8) / 2.0",
+    "cpi_3m": "({k} % 13 - 6) / 5.0", "spread_3m": "({k} % 10 - 4) / 4.0", "u_3m": "({k} % 5 - 2) / 4.0",
+}
+_MODEL = {
+    "features": ["cpi", "u", "du", "pay", "spread", "curve", "mid"], "means": {"cpi": 2.4, "u": 5.8, "du": 0.1, "pay": 1.1, "spread": 2.6, "curve": 1.2, "mid": 1.25},
+    "scales": {"cpi": 1.7, "u": 1.9, "du": 1.3, "pay": 2.0, "spread": 0.8, "curve": 0.9, "mid": 1.6},
+    "coefficients": {"cpi": 0.9, "u": -0.3, "du": -0.6, "pay": 0.4, "spread": -1.1, "curve": 0.2, "mid": -0.5}, "cutpoints": [-1.5, 1.7],
+}
+_SCEN = "scen AS (SELECT s_suppkey AS query_id, (['CUT', 'HOLD', 'HIKE'])[s_nationkey % 3 + 1] AS truth, " + ", ".join(f"({x.format(k='s_suppkey')})::DOUBLE AS {n}" for n, x in _NUMBERS.items()) + " FROM supplier)"
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = F.element_at(F.array(*[F.lit(x) for x in CLASSES]), F.pmod("s_nationkey", F.lit(3)) + 1)
+    numbers = {n: F.expr(x.format(k="s_suppkey")).cast("double") for n, x in _NUMBERS.items()}
+    return s.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), truth.alias("truth"), *[v.alias(n) for n, v in numbers.items()])
+
+
+_TEXT_SQL = "concat_ws(' ', " + ", ".join("CASE " + " ".join(f"WHEN {n} {sign} {bound}::DOUBLE THEN '{words.replace(chr(39), chr(39) * 2)}'" for sign, bound, words in rules) + " END" for n, rules in r.PHRASES.items()) + ")"
+_TAGS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{tag}' END" for tag, rule in r.SCENARIO_TAGS.items()) + "], lambda z: z IS NOT NULL)"
+
+
+@query("r09_r10_scenarios", f"WITH {_SCEN} SELECT query_id, {_TEXT_SQL} AS scenario, {_TAGS_SQL} AS tags FROM scen")
+def r09_r10_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scenarios(spark, sf_dir).select("query_id", r.scenario_text().alias("scenario"), r.scenario_tags().alias("tags"))
+
+
+_ETA = " + ".join(f"({f} - {_MODEL['means'][f]}::DOUBLE) / {_MODEL['scales'][f]}::DOUBLE * {_MODEL['coefficients'][f]}::DOUBLE" for f in _MODEL["features"])
+_OPP = "CASE z " + " ".join(f"WHEN '{a}' THEN '{b}' WHEN '{b}' THEN '{a}'" for a, b in d.OPPOSED.items()) + " END"
+_SAID = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN '{words}'" for p, (words, _) in c.CONDITIONS.items()) + " END"
+_REC_TAGS = "CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN {tags}" for p, (_, tags) in c.CONDITIONS.items()) + " END"
+_RECORDS = f"""rec AS (SELECT min(o_orderkey) AS chunk_id, any_value({_SAID}) || ' ' || '{c.OUTLOOK}' AS text, any_value({_REC_TAGS}) AS tags, CASE o_orderstatus WHEN 'F' THEN 'CUT' WHEN 'P' THEN 'HIKE' ELSE 'HOLD' END AS action
+FROM orders GROUP BY o_orderpriority, o_orderstatus, year(o_orderdate)), cls AS (SELECT action, count(*) AS class_n FROM rec GROUP BY 1)"""
+_BOTH = "SELECT query_id || '|' || momentum AS query_id, query_id AS scenario, momentum, truth, cpi, u, du, pay, spread, curve, mid, " + ", ".join(f"CASE WHEN momentum THEN {x} ELSE 0 END AS {x}" for x in r.MOMENTUM) + " FROM scen, (VALUES (true), (false)) v(momentum)"
+_FACTOR = "CASE WHEN len(qt) = 0 THEN 1.0 ELSE greatest(0.05, 1 - 1.5 * len(list_intersect(list_filter(list_transform(qt, lambda z: " + _OPP + "), lambda z: z IS NOT NULL), tags)) / len(qt)) END"
+
+
+@query("r11_scenario_evaluation", f"""WITH {_SCEN}, {_RECORDS}, both_ AS ({_BOTH}), q AS (SELECT *, {_TEXT_SQL} AS text, {_TAGS_SQL} AS qt FROM both_),
+{_search_sql('SELECT chunk_id, text FROM rec', 'SELECT query_id, text FROM q', 400)}, adj AS (SELECT h.query_id, h.chunk_id AS parent, action, score * {_FACTOR} AS score FROM hits h JOIN rec USING (chunk_id) JOIN q USING (query_id)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS place FROM adj) WHERE place <= 8), {_pool_sql('top', '', ('sum',))},
+lg AS (SELECT *, 1 / (1 + exp({_ETA} - {_MODEL['cutpoints'][0]})) AS l, 1 / (1 + exp({_ETA} - {_MODEL['cutpoints'][1]})) AS h FROM q),
+bl AS (SELECT lg.*, round(pow(l, 0.55) * pow(coalesce(cut, 1.0 / 3), 0.45), 9) AS a, round(pow(h - l, 0.55) * pow(coalesce(hold, 1.0 / 3), 0.45), 9) AS b, round(pow(1 - h, 0.55) * pow(coalesce(hike, 1.0 / 3), 0.45), 9) AS c FROM lg LEFT JOIN prob USING (query_id)),
+an AS (SELECT query_id, list(parent ORDER BY place) AS analogs FROM top GROUP BY 1), ch AS (SELECT *, CASE greatest(a, b, c) WHEN a THEN 'CUT' WHEN b THEN 'HOLD' ELSE 'HIKE' END AS predicted FROM bl)
+SELECT scenario AS query_id, momentum, predicted, truth, predicted = truth AS hit, coalesce(analogs, []) AS analogs FROM ch LEFT JOIN an USING (query_id)""")
+def r11_scenario_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios against one record for each priority, status and year."""
+    said = c.statements(spark, sf_dir).select("meeting", "date", "priority", "action", d.condition_query(F.regexp_replace("statement", r"(?s)\n\nThe decision was taken.*$", "")).alias("text"), d.condition_tags(F.col("statement")).alias("tags"))
+    first = F.min_by(F.struct("text", "tags"), "meeting")
+    records = said.groupBy("priority", "action", F.year("date").alias("y")).agg(F.min("meeting").alias("chunk_id"), first.alias("v")).select("chunk_id", F.col("chunk_id").alias("parent"), "action", "v.*")
+    return r.scenario_evaluation(_scenarios(spark, sf_dir), r.tokenised(records.select("chunk_id", "text")), records.drop("text"), _MODEL, CLASSES, d.OPPOSED)
