@@ -118,21 +118,6 @@ def m04_ordered_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, [*theta, trace[-1]], strict=True)], "feature string, coefficient double")
 
 
-@query("b13_review_sample", """WITH q AS (SELECT doc_id, source, sha256(doc_id::VARCHAR) AS h, lang <> 'en' AS risky FROM documents), k AS (SELECT *, row_number() OVER (ORDER BY NOT risky, h)::INTEGER AS rank FROM q) SELECT doc_id, source, rank FROM k WHERE rank <= 40""")
-def b13_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = s.table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string").cast("binary"), 256).alias("h"), (F.col("lang") != "en").alias("risky"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy(~F.col("risky"), F.col("h"))
-    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 40").select("doc_id", "source", "rank")
-
-
-@query("b01_case_bundles", f"{_PERSIST}, v AS (SELECT l_orderkey AS meeting, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS voters FROM lineitem GROUP BY 1) SELECT meeting, actual, predicted, voters, len(voters) AS n_voters FROM p JOIN v USING (meeting)")
-def b01_case_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voters = s.votes(spark, sf_dir).groupBy("meeting").agg(F.sort_array(F.collect_set("participant")).alias("voters"))
-    return _persistence(spark, sf_dir).drop("desk").join(voters, "meeting").withColumn("n_voters", F.size("voters"))
-
-
 @query("t01_contradictions", """SELECT event_type AS series_id, min(ts) AS contradicted_at, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 60 AND ts > TIMESTAMP '2024-01-10' GROUP BY 1""")
 def t01_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.first_contradictions(s.table(spark, sf_dir, "events").withColumnRenamed("event_type", "series_id"), 60.0, "2024-01-10")
@@ -177,13 +162,6 @@ def m10_promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.select("threshold", better.alias("promoted"), blockers.alias("blockers"))
 
 
-@query("p12_context_rules", "SELECT conv_id, list_filter([CASE WHEN count(*) < 4 THEN 'MEMBERS' END, CASE WHEN count(*) > count(DISTINCT turn) THEN 'DUPLICATE' END, CASE WHEN count(*) FILTER (turn = 0) <> 1 THEN 'CHAIR' END], lambda z: z IS NOT NULL) AS broken FROM conversations GROUP BY 1")
-def p12_context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = s.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("m"), F.count_if(F.col("turn") == 0).alias("chairs"))
-    broken = F.array_compact(F.array(F.when(F.col("n") < 4, "MEMBERS"), F.when(F.col("n") > F.col("m"), "DUPLICATE"), F.when(F.col("chairs") != 1, "CHAIR")))
-    return grouped.select("conv_id", broken.alias("broken"))
-
-
 @query("b14_review_results", "SELECT coalesce(s.doc_id, r.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'MISSING' WHEN s.doc_id IS NULL THEN 'UNKNOWN' WHEN quality = 1 AND toxic = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS decision FROM (SELECT doc_id FROM documents WHERE lang = 'en') s FULL JOIN labels r ON s.doc_id = r.doc_id")
 def b14_review_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = s.table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.lit(True).alias("sampled"))
@@ -192,7 +170,3 @@ def b14_review_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", decision.when((F.col("quality") == 1) & (F.col("toxic") == 0), "APPROVED").otherwise("REJECTED").alias("decision"))
 
 
-@query("m22_evidence_coverage", "WITH e AS (SELECT lang, source, count(*) FILTER (contains(text, 'tiontion')) AS n FROM documents GROUP BY 1, 2) SELECT lang, count(*) FILTER (n > 0) AS covered, coalesce(list(source ORDER BY source) FILTER (n = 0), []) AS missing FROM e GROUP BY 1")
-def m22_evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = s.table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count_if(F.col("text").contains("tiontion")).alias("n"))
-    return found.groupBy("lang").agg(F.count_if(F.col("n") > 0).alias("covered"), F.sort_array(F.collect_list(F.when(F.col("n") == 0, F.col("source")))).alias("missing"))

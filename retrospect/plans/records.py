@@ -94,12 +94,6 @@ def m01_m02_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("meeting_id").pivot("series_id", ["view", "click"]).agg(F.max("level").alias("level"), F.max("change").alias("change"))
 
 
-@query("m05_scored", "SELECT o_orderkey AS meeting, round(1 / (1 + exp((o_totalprice - 150000) / 50000 + 1)), 6) AS cut, round(1 - 1 / (1 + exp((o_totalprice - 150000) / 50000 - 1)), 6) AS hike FROM orders")
-def m05_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = x.logit_probabilities((F.col("o_totalprice") - 150000) / 50000, (-1.0, 1.0))
-    return s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting"), F.round(p[0], 6).alias("cut"), F.round(p[2], 6).alias("hike"))
-
-
 @query("m12_member_forecast", f"{_V}, h AS (SELECT participant, avg(dissent::INT) AS rate FROM mv WHERE meeting < (SELECT max(meeting) FROM mv) GROUP BY 1) SELECT s_suppkey AS participant, rate, CASE WHEN rate >= 0.35 THEN 'AGAINST' ELSE 'FOR' END AS vote FROM supplier LEFT JOIN h ON participant = s_suppkey")
 def m12_member_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = s.member_votes(spark, sf_dir)
@@ -153,12 +147,6 @@ def b16_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.reconciled(s.votes(spark, sf_dir).select("meeting", source.alias("source"), F.pmod("participant", F.lit(3)).cast("string").alias("member")))
 
 
-@query("b19_short_transcripts", "SELECT conv_id, count(*) AS n, count(DISTINCT role) AS n_roles, count(*) < 5 AS rejected FROM conversations GROUP BY 1")
-def b19_short_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = s.table(spark, sf_dir, "conversations").groupBy("conv_id")
-    return grouped.agg(F.count("*").alias("n"), F.count_distinct("role").alias("n_roles"), (F.count("*") < 5).alias("rejected"))
-
-
 @query("b20_readiness", f"WITH {s.VINTAGES_SQL}, {s.CUTOFFS_SQL} SELECT 'n_series' AS metric, count(DISTINCT series_id) AS actual, 5::BIGINT AS expected, count(DISTINCT series_id) = 5 AS ready FROM vint UNION ALL SELECT 'n_negative', count(*) FILTER (realtime_end < realtime_start), 0, count(*) FILTER (realtime_end < realtime_start) = 0 FROM vint")
 def b20_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = s.vintages(spark, sf_dir)
@@ -166,20 +154,6 @@ def b20_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.readiness(metrics, {"n_series": 5, "n_negative": 0})
 
 
-@query("b22_replay_records", f"{_V}, {s.OUTCOMES_SQL} SELECT o.meeting, action, n_votes, CASE WHEN n_votes >= 4 THEN 'full' ELSE 'base' END AS tier FROM outc o LEFT JOIN (SELECT meeting, count(*) AS n_votes FROM mv GROUP BY 1) USING (meeting)")
-def b22_replay_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = s.member_votes(spark, sf_dir).groupBy("meeting").agg(F.count("*").alias("n_votes"))
-    joined = s.outcomes(spark, sf_dir).select("meeting", "action").join(counted, "meeting", "left")
-    return joined.withColumn("tier", F.when(F.col("n_votes") >= 4, "full").otherwise("base"))
-
-
-@query("b24_record_rules", f"{_V} SELECT meeting, list_filter([CASE WHEN count(*) > count(DISTINCT participant) THEN 'DUPLICATE_VOTE' END, CASE WHEN count(*) FILTER (round = 1) <> 1 THEN 'CHAIR' END, CASE WHEN count(*) < 3 THEN 'TOO_FEW' END], lambda z: z IS NOT NULL) AS violations FROM votes GROUP BY 1")
-def b24_record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = s.votes(spark, sf_dir).groupBy("meeting").agg(F.count("*").alias("n"), F.count_distinct("participant").alias("m"), F.count_if(F.col("round") == 1).alias("chairs"))
-    rules = {"DUPLICATE_VOTE": F.col("n") > F.col("m"), "CHAIR": F.col("chairs") != 1, "TOO_FEW": F.col("n") < 3}
-    return grouped.select("meeting", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])).alias("violations"))
-
-
 @query("s07_content_hash", "SELECT page_id, sha256(html) AS content_hash, page_id % 9 <> 0 AS accepted FROM pages")
 def s07_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.sha2(F.col("html").cast("binary"), 256)

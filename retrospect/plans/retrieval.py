@@ -179,7 +179,7 @@ _SCEN = "scen AS (SELECT s_suppkey AS query_id, (['CUT', 'HOLD', 'HIKE'])[s_nati
 
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = F.element_at(F.array(*[F.lit(x) for x in CLASSES]), F.pmod("s_nationkey", F.lit(3)) + 1)
-    numbers = {n: F.expr(x.format(k="s_suppkey")).cast("double") for n, x in _NUMBERS.items()}
+    numbers = {n: F.expr(x.format(k="cast(s_suppkey as double)")) for n, x in _NUMBERS.items()}
     return s.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), truth.alias("truth"), *[v.alias(n) for n, v in numbers.items()])
 
 

@@ -75,19 +75,6 @@ def f15_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", x.relevance(title, F.col("text"), ["the", "of"]).cast("long").alias("score"))
 
 
-TOPICS = {"the": "PRICES", "of": "LABOUR", "and": "RATES", "de": "GROWTH", "la": "RISK"}
-
-
-@query("f16_topic_salience", "WITH d AS (SELECT source, topic, least(8, len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = term))) AS n FROM documents, (VALUES " + ", ".join(f"('{t}', '{n}')" for t, n in TOPICS.items()) + """) v(term, topic)),
-g AS (SELECT source, topic, sum(n)::BIGINT AS score FROM d GROUP BY 1, 2 HAVING sum(n) > 0), r AS (SELECT *, score::DOUBLE / sum(score) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY score DESC, topic)::INTEGER AS rank FROM g)
-SELECT source, topic, score, share, rank FROM r WHERE rank <= 3""")
-def f16_topic_salience(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    counted = F.array(*[F.struct(F.lit(n).alias("topic"), F.least(F.lit(8), x.whole_word_count(F.col("text"), t)).alias("n")) for t, n in TOPICS.items()])
-    rows = _docs(spark, sf_dir).select("source", F.explode(counted).alias("t")).groupBy("source", "t.topic").agg(F.sum("t.n").alias("score")).filter("score > 0")
-    whole, best = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.col("score").desc(), "topic")
-    return rows.select("source", "topic", "score", (F.col("score") / F.sum("score").over(whole)).alias("share"), F.row_number().over(best).alias("rank")).filter("rank <= 3")
 
 
 @query("f17_phrase_flags", "SELECT conv_id, turn, regexp_matches(text, '(?i)tion') AS support, regexp_matches(text, '(?i)\\bthe\\b') AS flip FROM conversations")
