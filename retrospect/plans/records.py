@@ -17,13 +17,6 @@ _V = f"WITH {s.VOTES_SQL}"
 _SENT = r"string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1))"
 
 
-@query("f01_repaired")
-def f01_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    docs = s.table(spark, sf_dir, "documents").select("doc_id", "text", broken.alias("broken"))
-    return docs.select("doc_id", (repair.repaired(spark, F.col("broken")) == F.col("text")).alias("restored"))
-
-
 @query("f07_sentences", f"SELECT doc_id, len(z) AS n, md5(array_to_string(z, chr(10))) AS h FROM (SELECT doc_id, {_SENT} AS z FROM documents)")
 def f07_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = s.table(spark, sf_dir, "documents").select("doc_id", r.sentences(F.col("text")).alias("z"))
@@ -84,16 +77,6 @@ l AS (SELECT meeting_id, series_id, max(observation_date) AS d, arg_max(value, o
 c AS (SELECT l.meeting_id, l.series_id, l.value, l.value - p.value AS change FROM l LEFT JOIN vis p ON p.meeting_id = l.meeting_id AND p.series_id = l.series_id AND p.observation_date = l.d - 3)"""
 
 
-@query("m01_m02_feature_rows", f"{_ASOF} SELECT meeting_id, max(value) FILTER (series_id = 'view') AS view_level, max(change) FILTER (series_id = 'view') AS view_change, max(value) FILTER (series_id = 'click') AS click_level, max(change) FILTER (series_id = 'click') AS click_change FROM c GROUP BY 1")
-def m01_m02_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = t.visible_versions(s.vintages(spark, sf_dir), s.cutoffs(spark, sf_dir)).select("meeting_id", "series_id", "observation_date", "value")
-    last = seen.groupBy("meeting_id", "series_id").agg(F.max_by(F.struct("observation_date", "value"), "observation_date").alias("v"))
-    last = last.select("meeting_id", "series_id", F.col("v.observation_date").alias("day"), F.col("v.value").alias("level"))
-    prior = seen.select("meeting_id", "series_id", F.date_add("observation_date", 3).alias("day"), F.col("value").alias("prior"))
-    both = last.join(prior, ["meeting_id", "series_id", "day"], "left").withColumn("change", F.col("level") - F.col("prior"))
-    return both.groupBy("meeting_id").pivot("series_id", ["view", "click"]).agg(F.max("level").alias("level"), F.max("change").alias("change"))
-
-
 @query("m12_member_forecast", f"{_V}, h AS (SELECT participant, avg(dissent::INT) AS rate FROM mv WHERE meeting < (SELECT max(meeting) FROM mv) GROUP BY 1) SELECT s_suppkey AS participant, rate, CASE WHEN rate >= 0.35 THEN 'AGAINST' ELSE 'FOR' END AS vote FROM supplier LEFT JOIN h ON participant = s_suppkey")
 def m12_member_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = s.member_votes(spark, sf_dir)
@@ -154,19 +137,6 @@ def b20_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.readiness(metrics, {"n_series": 5, "n_negative": 0})
 
 
-@query("s07_content_hash", "SELECT page_id, sha256(html) AS content_hash, page_id % 9 <> 0 AS accepted FROM pages")
-def s07_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.sha2(F.col("html").cast("binary"), 256)
-    listed = F.when(F.pmod("page_id", F.lit(9)) == 0, "stale").otherwise(found)
-    return s.table(spark, sf_dir, "pages").select("page_id", found.alias("content_hash"), (found == listed).alias("accepted"))
-
-
-@query("s12_index_meta", "SELECT count(*) AS n_chunks, min(doc_id) AS first_chunk, max(doc_id) AS last_chunk, count(DISTINCT source) AS n_members FROM documents")
-def s12_index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = s.table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("n_chunks"), F.min("doc_id").alias("first_chunk"), F.max("doc_id").alias("last_chunk"), F.count_distinct("source").alias("n_members"))
-
-
 @query("r13_label_agreement", f"WITH {s.OUTCOMES_SQL} SELECT CASE WHEN meeting % 6 = 0 THEN 'MISSING' WHEN action = 'HOLD' THEN 'MATCH' ELSE 'MISMATCH' END AS status, count(*) AS n FROM outc GROUP BY 1")
 def r13_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = s.outcomes(spark, sf_dir).select("meeting", "action")

@@ -104,14 +104,6 @@ def d15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.manifest_hash(c.fingerprints(s.outcomes(spark, sf_dir), ["meeting", "decided_on", "action"]), "action")
 
 
-@query("s16_manifest_verification", """WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), m AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'changed' ELSE h END AS listed FROM h)
-SELECT doc_id, listed IS NOT DISTINCT FROM h AS verified FROM m JOIN h USING (doc_id)""")
-def s16_manifest_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = s.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    listed = h.select("doc_id", F.when(F.pmod("doc_id", F.lit(50)) == 0, "changed").otherwise(F.col("h")).alias("listed"))
-    return listed.join(h, "doc_id").select("doc_id", F.col("listed").eqNullSafe(F.col("h")).alias("verified"))
-
-
 @query("p02_document_manifest", f"""WITH {_DOCS} SELECT source, count(*) FILTER (usage NOT IN ('INPUT', 'AUDIT')) AS n_usage,
 count(*) FILTER (usage IN ('INPUT', 'AUDIT') AND published > DATE '2024-02-01') AS n_late, count(*) FILTER (usage IN ('INPUT', 'AUDIT') AND published <= DATE '2024-02-01') AS n_kept FROM docs GROUP BY 1""")
 def p02_document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

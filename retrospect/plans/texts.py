@@ -139,13 +139,6 @@ def d11_array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size(F.array_intersect("t", tags)).alias("overlap"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query("d12_d14_nested_records", "SELECT event_id, json_extract(props, '$.k')::INTEGER AS k, CASE WHEN json_extract(props, '$.k')::INTEGER % 2 = 0 THEN 'https://a/' || event_id END AS source_url FROM events")
-def d12_d14_nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = s.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int", {"mode": "PERMISSIVE"}).alias("p"))
-    secure = F.concat(F.when(F.col("p.k") % 2 == 0, "https://a/").otherwise("http://a/"), F.col("event_id").cast("string"))
-    return rows.select("event_id", "p.k", F.when(secure.startswith("https://"), secure).alias("source_url"))
-
-
 @query("d16_event_map", f"WITH {EVENTS_SQL}, l AS (SELECT assumption_id, kind, max(event_id) AS e FROM ev GROUP BY 1, 2) SELECT assumption_id, count(*) AS n_kinds, max(e) FILTER (kind = 'REVIEWED') AS reviewed FROM l GROUP BY 1")
 def d16_event_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = assumption_events(spark, sf_dir).groupBy("assumption_id", "kind").agg(F.max("event_id").alias("e"))
