@@ -153,16 +153,31 @@ def d17_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", flags.alias("flags")).withColumn("high", F.size("flags") > 0)
 
 
-@query("h01_paragraphs")
+_PIECES = r"""WITH t AS (SELECT page_id, string_split(regexp_replace(html, '(?s)<(script|style).*?</(script|style)>', '', 'g'), '<p>') AS s FROM pages),
+p AS (SELECT page_id, i, len(s) AS n, s[i] AS piece FROM (SELECT *, unnest(range(2, len(s) + 1)) AS i FROM t)),
+c AS (SELECT page_id, i, contains(piece, '</p>') OR i < n AS closed, split_part(piece, '</p>', 1) AS body FROM p)"""
+
+
+def _plain_sql(body: str) -> str:
+    bare = f"regexp_replace({body}, '<[^>]*>', '', 'g')"
+    for entity, letter in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{entity}', '{letter}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+@query("h01_paragraphs", f"""{_PIECES}, x AS (SELECT page_id, i, {_plain_sql("replace(body, '<br>', ' ')")} AS text FROM c WHERE closed)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INTEGER AS ordinal, text FROM x WHERE text <> ''""")
 def h01_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.paragraphs(s.table(spark, sf_dir, "pages"))
 
 
-@query("h02_line_blocks")
+@query("h02_line_blocks", f"""{_PIECES}, x AS (SELECT page_id, i, list_filter(list_transform(string_split(body, '<br>'), lambda z: {_plain_sql("z")}), lambda z: z <> '') AS lines FROM c)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i)::INTEGER AS ordinal, lines FROM x WHERE len(lines) > 0""")
 def h02_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.line_blocks(s.table(spark, sf_dir, "pages"))
 
 
-@query("h05_links")
+@query("h05_links", r"""SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(replace(h, '&amp;', '&'), '^[^?#]*') AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages)""")
 def h05_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.links(s.table(spark, sf_dir, "pages"))

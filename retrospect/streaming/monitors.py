@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,21 +53,81 @@ def late_counts(documents: DataFrame, cutoff: str) -> DataFrame:
     return documents.groupBy("source").agg(F.count_if(~late).alias("in_time"), F.count_if(late).alias("late"))
 
 
+_NEEDS = {"REVIEW_REQUESTED": {"CONTRADICTION"}, "REVIEWED": {"CONTRADICTION", "REVIEW_REQUESTED"}, "POLICY_RESPONSE": {"STATEMENT_FLIP"}}
+
+
 def order_checked(stream: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """T02 as a stream: state per assumption holds what has been seen; events of a batch are taken in time order."""
+    """T02 as a stream: events wait until the watermark has passed them and are then judged in time order, across batches.
+
+    State per assumption is the set of kinds seen (six at most) and the events that still wait, so it is bounded by what
+    comes within the watermark's delay.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0].split(",")) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values(["occurred_at", "event_id"])
+        seen, waiting = (set(state.get[0].split(",")) - {""}, json.loads(state.get[1])) if state.exists else (set(), [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                at = batch["occurred_at"].astype("datetime64[us]").astype("int64").tolist()
+                waiting += [list(row) for row in zip(at, batch["event_id"].tolist(), batch["kind"].tolist(), strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(row for row in waiting if row[0] <= passed)
+        waiting = [row for row in waiting if row[0] > passed]
         out = []
-        for kind, at in zip(rows["kind"], rows["occurred_at"], strict=True):
+        for at, _, kind in ready:
             seen.add(kind)
-            needs = {"REVIEW_REQUESTED": {"CONTRADICTION"}, "REVIEWED": {"CONTRADICTION", "REVIEW_REQUESTED"}, "POLICY_RESPONSE": {"STATEMENT_FLIP"}}
-            out.append((key[0], kind, at, needs.get(kind, set()) <= seen))
-        state.update((",".join(sorted(seen)),))
+            out.append((key[0], kind, pd.Timestamp(at, unit="us"), _NEEDS.get(kind, set()) <= seen))
+        state.update((",".join(sorted(seen)), json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(row[0] for row in waiting) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["assumption_id", "kind", "occurred_at", "accepted"])
 
-    return stream.withWatermark("occurred_at", watermark).groupBy("assumption_id").applyInPandasWithState(step, ACCEPTED, "seen string", "append", "NoTimeout")
+    held = stream.withWatermark("occurred_at", watermark).groupBy("assumption_id")
+    return held.applyInPandasWithState(step, ACCEPTED, "seen string, waiting string", "append", "EventTimeTimeout")
+
+
+CONTRADICTED = "assumption_id string, contradicted_at timestamp, event_id long"
+
+
+def contradictions(stream: DataFrame, assumptions: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """T01 as a stream: the first observation after an assumption's day that passes its threshold, once for each assumption.
+
+    stream: series_id, ts, event_id, value. assumptions (static): assumption_id, series_id, decided_on, threshold. The best
+    candidate is held until the watermark has passed it, so a late earlier one can still replace it; state per assumption
+    is one candidate and whether it has been told.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        at, event, told = state.get if state.exists else (None, None, False)
+        if not told and not state.hasTimedOut:
+            for batch in batches:
+                for t, e in zip(batch["ts"].astype("datetime64[us]").astype("int64").tolist(), batch["event_id"].tolist(), strict=True):
+                    if at is None or (t, e) < (at, event):
+                        at, event = t, e
+        out = []
+        if at is not None and not told:
+            if at <= state.getCurrentWatermarkMs() * 1000:
+                out, told = [(key[0], pd.Timestamp(at, unit="us"), event)], True
+            else:
+                state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((at, event, told))
+        yield pd.DataFrame(out, columns=["assumption_id", "contradicted_at", "event_id"])
+
+    passing = stream.withWatermark("ts", watermark).join(assumptions, "series_id").filter((F.col("value") > F.col("threshold")) & (F.col("ts") > F.col("decided_on")))
+    return passing.groupBy("assumption_id").applyInPandasWithState(step, CONTRADICTED, "at long, event long, told boolean", "append", "EventTimeTimeout")
+
+
+def split_late(stream: DataFrame, cutoff: str, in_time_path: str, late_path: str, checkpoint: str):
+    """T04 as a stream: documents (source, published) to a table of those in time and a side table of late ones.
+
+    Each micro-batch writes both under its number, so a batch that is run again replaces its own files. Returns the query.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        late = F.col("published") > F.lit(cutoff).cast("date")
+        for rows, path in ((batch.filter(~late), in_time_path), (batch.filter(late), late_path)):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def once_only(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:

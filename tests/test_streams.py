@@ -1,6 +1,7 @@
 """Streams give the rows of their batch twins."""
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 from retrospect.plans.temporal import assumption_events
@@ -24,13 +25,48 @@ def _events(spark):
     return assumption_events(spark, "/root/testdata/sf0.001").withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
 
 
+def _in_turns(spark, parts):
+    """A stream that gives each of the tables as a batch of its own, in order."""
+    path = tempfile.mkdtemp(prefix="spark-")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{path}/n={i}")
+        time.sleep(1.1)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
 def test_order_state_machine(spark):
     events = _events(spark)
-    streamed = _drained(monitors.order_checked(_source(spark, events)), "append", "order_checked")
+    end = events.limit(1).withColumns({"assumption_id": F.lit(-1).cast("long"), "kind": F.lit("END"), "occurred_at": F.lit("2100-01-01").cast("timestamp")})
+    # Later events come first: only an order across batches gives the batch twin's rows.
+    middle = F.lit("2024-01-15").cast("timestamp")
+    parts = [events.filter(F.col("occurred_at") >= middle), events.filter(F.col("occurred_at") < middle), end]
+    streamed = _drained(monitors.order_checked(_in_turns(spark, parts), "3650 days"), "append", "order_checked").filter("kind <> 'END'")
     batch = monitors.accepted_events(events).select("assumption_id", "kind", "occurred_at", "accepted")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_contradictions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    claims = rows.select("series_id").distinct().select(F.concat(F.lit("a-"), "series_id").alias("assumption_id"), "series_id", F.lit("2024-01-10").cast("timestamp").alias("decided_on"), F.lit(60.0).alias("threshold"))
+    end = rows.limit(1).withColumns({"series_id": F.lit("view"), "ts": F.lit("2100-01-01").cast("timestamp"), "value": F.lit(100.0)})
+    middle = F.lit("2024-01-20").cast("timestamp")
+    parts = [rows.filter(F.col("ts") >= middle), rows.filter(F.col("ts") < middle), end]
+    streamed = _drained(monitors.contradictions(_in_turns(spark, parts), claims, "3650 days"), "append", "contradictions")
+    twin = monitors.first_contradictions(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 60.0, "2024-01-10")
+    batch = twin.select(F.concat(F.lit("a-"), "series_id"), F.col("contradicted_at").cast("timestamp"), "event_id")
+    assert streamed.count() > 0 and sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_late_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(60)).cast("int")).alias("published"))
+    base = tempfile.mkdtemp(prefix="spark-")
+    monitors.split_late(_source(spark, docs), "2024-02-01", f"{base}/in", f"{base}/late", f"{base}/log").awaitTermination()
+    counts = lambda name: dict(spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/{name}").groupBy("source").count().collect())
+    in_time, late = counts("in"), counts("late")
+    for row in monitors.late_counts(docs, "2024-02-01").collect():
+        assert (in_time.get(row.source, 0), late.get(row.source, 0)) == (row.in_time, row.late)
+
+
 def test_once_only(spark):
     events = _events(spark).select("assumption_id", "kind", "occurred_at")
     twice = events.unionByName(events)
