@@ -65,7 +65,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_count(text: Column) -> Column:

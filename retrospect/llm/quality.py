@@ -9,7 +9,8 @@ lines. It is broadcast only if it has at most `broadcast_lines` lines, else join
 expressions; the per-document measures stay inside one row, so no words are shuffled.
 
 Null text is empty and fails the base rules; a null host is a host of its own; repeated rows count as documents of
-their own; an empty table gives no rows. `extra` columns of docs are carried along.
+their own; an empty table gives no rows. `extra` columns of docs are carried along; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -49,10 +50,10 @@ def without_lines(text: Column, lines: Column) -> Column:
     return F.when(lines.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(lines, hashed(line))), "\n"))
 
 
-def repeated_words(words: Column) -> Column:
-    """Number of words inside 3-word windows that occur twice or more in an array of words."""
-    windows = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
-    return F.sort_array(F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0))))
+def window_hashes(words: Column) -> Column:
+    """Hashes of the 3-word windows of an array of words."""
+    each = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.slice(each, 1, F.greatest(F.size(words) - 2, F.lit(0)))
 
 
 def quality_rules(
@@ -81,7 +82,12 @@ def quality_rules(
     lines = F.split("__text", "\n")
     with_words = F.filter(lines, lambda line: F.translate(line, SPACES, "") != "")
     bare = F.translate("__text", SPACES, "")
-    measured = own.withColumn("__sorted", repeated_words(F.col("__words"))).withColumn(
+    # Most texts repeat no window; only those that do are sorted.
+    hashed = own.withColumn("__windows", window_hashes(F.col("__words")))
+    repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    placed = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    measured = hashed.withColumn("__sorted", F.when(repeats, placed).otherwise(none)).withColumn(
         "__starts",
         F.sort_array(
             F.transform(

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import ship_package, word_count, words_of
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, packed_sorted, planes
 
 _SHARD_WORDS = 500_000
@@ -52,7 +52,6 @@ def window_buckets(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[batch["block"].notna()]
             found, homes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             block = batch["block"].to_numpy(np.int64)
             for words, first, at, hashes in _windows(_texts(batch), size):
@@ -256,11 +255,15 @@ def dedup_substrings(docs: DataFrame, size: int = 13, block_docs: int = 1024, bu
     blocked = own.withColumn("block", F.floor(F.col("doc_id") / F.lit(block_docs)).cast("long"))
     total = blocked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bucket_bits = max(3, (total // bucket_bytes).bit_length())
-    asked = window_buckets(blocked, size, bucket_bits).groupBy("bucket").applyInPandas(requests, "block long, targets binary, hashes binary")
-    by_block = blocked.groupBy("block")
+    asked = window_buckets(blocked.filter("block is not null"), size, bucket_bits).groupBy("bucket").applyInPandas(requests, "block long, targets binary, hashes binary")
+    known, loose = blocked.filter("block is not null"), blocked.filter("block is null")
+    by_block = known.groupBy("block")
     passages = by_block.cogroup(asked.groupBy("block")).applyInPandas(
         lambda left, right: passages_of_block(left, right, size), "target long, passage binary"
     )
-    return by_block.cogroup(passages.groupBy("target")).applyInPandas(
+    done = by_block.cogroup(passages.groupBy("target")).applyInPandas(
         lambda left, right: dedup_block(left, right, size), "doc_id long, n_words long, n_removed long, kept string"
     )
+    # Rows without an id are compared with none: a plain projection, not a group.
+    untouched = loose.select("doc_id", word_count(F.col("text")).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words_of(F.col("text")), " ").alias("kept"))
+    return done.unionByName(untouched)

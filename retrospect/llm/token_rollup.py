@@ -3,7 +3,7 @@
 A batch of changes holds inserts, deletes and revisions of per-document counts. It is reduced to one signed row a key
 (documents and tokens to add) before anything is shuffled by key, and written as the partition of its batch id.
 Committing a batch id again overwrites its own partition with the same rows, so replays after a lost executor or driver
-change nothing; a batch id that the ledger already holds is skipped unless `again` is asked for. Totals are the sums of
+change nothing; a batch id that the ledger already holds, an empty batch's too, is skipped unless `again` is asked for. Totals are the sums of
 all partitions; keys whose documents have all gone are left out.
 
 Null source or language is a key of its own, null text counts no tokens, a null count is 0, repeated rows are counted
@@ -54,8 +54,10 @@ class TokenRollup:
             F.when(F.col("change") == "insert", new).when(F.col("change") == "delete", -old).otherwise(new - old).alias("tokens"),
         )
         delta = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        # A row of zeros marks the batch as committed even if it changes nothing.
+        mark = self.spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"))
         (
-            delta.withColumn("batch", F.lit(batch))
+            delta.unionByName(mark).withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
@@ -63,6 +65,16 @@ class TokenRollup:
         )
         return True
 
+    def compacted(self, path: str | None = None) -> TokenRollup:
+        """The same totals and ledger under another folder: one partition of totals, and a row of zeros for each batch.
+
+        The old folder stays as it is until the caller drops it, so a compaction that breaks off changes nothing.
+        """
+        new = TokenRollup(self.spark, path)
+        marks = self._deltas().select("batch").distinct().select(*[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(0).cast("long").alias(c) for c in ("docs", "tokens")], "batch")
+        self.totals().withColumn("batch", F.lit("totals")).unionByName(marks).write.mode("append").partitionBy("batch").parquet(new.path)
+        return new
+
     def totals(self) -> DataFrame:
         summed = self._deltas().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.filter("docs <> 0 or tokens <> 0")

@@ -9,9 +9,11 @@ k are in; what is still equal at the end ties exactly and is taken in order of i
 a query, and a final ranking over the blocks gives the answer.
 
 The query set meets all rows in cells of one index block and one query block; the work per row is bitmap arithmetic.
-Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with zeros;
-rows that repeat an id are rows of their own, and all rows with the query's id are left out; ids that are null take no
-part. Scores beyond 63 bits are not supported.
+Vectors that are null or hold null or non-finite components take no part, nor do those whose quantised squared length
+reaches 2^62: by Cauchy and Schwarz no score can pass 63 bits then. Shorter vectors count as padded with zeros, an empty
+one has score 0 with all; rows that repeat an id are rows of their own, and all rows with the query's id are left out;
+ids that are null take no part. An empty table, or one without queries, gives no rows. `queries` may use vec_id and vec;
+other columns of the table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     """vec_id and vec (array of long) of the rows that take part."""
     x = F.col("embedding")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, finite)).select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("vec"),
-    )
+    whole = lambda v: F.floor(v.cast("double") * scale)
+    squared = F.aggregate(x, F.lit(0.0), lambda total, v: total + F.pow(v.cast("double") * scale, F.lit(2.0)))
+    kept = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, finite)).filter(squared < F.lit(2.0**62))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: whole(v).cast("long")).alias("vec"))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:

@@ -7,7 +7,8 @@ calibrated on held-out labelled URLs (every fifth id) for the best balanced accu
 reaches the threshold.
 
 Characters are folded to at most 32 symbols, so there are at most 33^4 grams whatever the input; the table of gram
-scores is broadcast on that bound. Grams are counted with map-side aggregation. Everything is DataFrame expressions.
+scores is broadcast up to `broadcast_grams` of them (some 50 MB), beyond that the join is a shuffle's. Grams are counted
+with map-side aggregation. Everything is DataFrame expressions. Other columns of pages are ignored, whatever their names.
 
 Null URLs and URLs without :// have an empty host and path and no rule; without labelled URLs of both kinds every
 score is 0 and every URL is allowed; repeated rows are judged each; an empty table gives no rows.
@@ -105,7 +106,7 @@ def calibrated(scores: DataFrame, step: float = 0.01) -> DataFrame:
     return rates.filter("kept is not null and stopped is not null").agg(F.coalesce(best * F.lit(step), F.lit(0.0)).alias("threshold"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, holdout: int = 5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, holdout: int = 5, broadcast_grams: int = 400_000) -> DataFrame:
     """page_id, host, path, rule, verdict, score, threshold for every row of pages."""
     host, path = split_url(F.col("url"))
     ruled = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("fit", matching_rule(F.col("host"), F.col("path"), rules))
@@ -127,8 +128,10 @@ def judge_urls(pages: DataFrame, rules=RULES, holdout: int = 5) -> DataFrame:
         F.count_if(trains & (F.col("label") == "allow")).alias("accepted"), F.count_if(trains & (F.col("label") == "block")).alias("rejected")
     )
     model = staged(gram_scores(staged(counts, "gram-counts")), "gram-scores")
+    if model.count() <= broadcast_grams:
+        model = F.broadcast(model)
     scored = staged(
-        positions.join(F.broadcast(model), "gram").groupBy("row").agg(F.round(F.avg("score"), 9).alias("score")), "url-scores"
+        positions.join(model, "gram").groupBy("row").agg(F.round(F.avg("score"), 9).alias("score")), "url-scores"
     )
     judged = rows.join(scored, "row")
     threshold = calibrated(judged.filter("held_out and label is not null")).first()["threshold"]  # one number

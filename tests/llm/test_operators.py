@@ -67,9 +67,23 @@ def test_sharding(docs, no_docs):
     assert all(slots == list(range(len(slots))) for slots in by.values())
     ids = [r.doc_id for r in rows]
     assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+    # Brute force: rows in order, each to the shard in whose equal share of bytes its middle byte lies.
+    order = sorted(((-1 if i is None else i), zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t, _ in ROWS)
+    total, at, expected = sum(size for _, _, size in order), 0, collections.Counter()
+    for i, crc, size in order:
+        expected[i, crc, min(6, (2 * at + size) * 7 // (2 * total))] += 1
+        at += size
+    assert collections.Counter((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.shard) for r in rows) == expected
     assert shard_by_bytes(no_docs).count() == 0
 
 
+def test_shards_are_even(spark):
+    rows = QUERIES["op5_sharding"](spark, "/root/testdata/sf0.01").groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("size").alias("largest")).collect()
+    assert len(rows) == 40
+    fair = sum(r.bytes for r in rows) / 40
+    assert all(abs(r.bytes - fair) <= max(x.largest for x in rows) for r in rows)
+
+
 def test_mixing(docs, no_docs):
     rows = mix_sources(docs).collect()
     assert collections.Counter((r.doc_id, r.size) for r in rows) == collections.Counter((i, len(_words(t))) for i, t, _ in ROWS)
@@ -295,6 +309,31 @@ def test_top_k(spark):
     assert top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_leaves_out_what_could_overflow(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e6, 1.0]), (2, [1e6, -1.0]), (3, [-1e6, 0.0]), (10, []), (11, [3e12, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k(frame, F.col("vec_id") == 1, k=5).orderBy("rank").collect()
+    q = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    score = lambda i: sum(a * b for a, b in zip(q[1], q[i]))
+    assert [(r.vec_id, r.score) for r in found] == [(2, score(2)), (10, 0), (3, score(3))]
+
+
+def test_hot_lines_are_paired_in_pieces(docs):
+    """One word that very many lines share is dealt to pieces: the same lines go."""
+    lines = lambda n: sorted((str(r.doc_id), r.text or "") for r in dedup_lines(docs, percent=70, bucket_bytes=1 << 12, hot_lines=n).collect())
+    assert lines(3) == lines(16_384)
+
+
+def test_hot_shingles_are_paired_in_pieces(docs):
+    groups = lambda n: sorted((str(r.doc_id), str(r.component_id)) for r in ngram_join(docs, n=3, percent=60, hot_sets=n).collect())
+    assert groups(3) == groups(16_384)
+
+
+def test_columns_named_as_the_results(spark):
+    frame = spark.createDataFrame([(1, "a b c d\na b c d", "s", "x")], "doc_id long, text string, source string, line_dedup string")
+    assert dedup_lines(frame, result="counts").columns == ["doc_id", "text", "source", "line_dedup", "counts"]
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Org/x?y#z", "nothing", None, "http://EXAMPLE.org/es/1", "http://b.com/fr/", "http://b.com/de/q", "http://c.net", "://h/p://q", "http://org"]
     frame = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, score string")
@@ -329,6 +368,11 @@ def test_rollup(spark):
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == sorted([("a", "en", "t", 2, 12), (None, None, "t", 1, 0)], key=str)
     assert rollup.commit("2", later) and rollup.commit("3", later.limit(0))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 2, 14)]
+    assert not rollup.commit("3", later)  # an empty batch is committed too
+    small = rollup.compacted()
+    assert [tuple(r) for r in small.totals().collect()] == [("a", "en", "t", 2, 14)]
+    assert not small.commit("2", later) and not small.commit("3", later)
+    assert small.commit("4", later.filter("change = 'revise'")) and small.totals().first().tokens == 16
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -346,3 +390,20 @@ def test_queries_without_sql(spark):
     gone = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").collect()}
     counted = QUERIES["op7_token_counts"](spark, sf_dir).filter("tokenizer = 'words-1'").agg(F.sum("tokens"), F.sum("docs")).first()
     assert tuple(counted) == (sum(len(_words(t)) for i, t in texts.items() if i not in gone), sum(i not in gone for i in texts))
+
+
+def test_byte_token_totals(spark):
+    """Totals of the byte-level vocabulary against its library, by source and language."""
+    import public_tokenizers
+    from retrospect.llm.tokens import byte_encoding
+
+    sf_dir = "/root/testdata/sf0.001"
+    encode = byte_encoding(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    gone = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").collect()}
+    expected = collections.defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        if r.doc_id not in gone:
+            expected[r.source, r.lang][0] += 1
+            expected[r.source, r.lang][1] += len(encode(r.text or ""))
+    rows = QUERIES["op7_token_counts"](spark, sf_dir).filter("tokenizer = 'byte_bpe_50k-1'").collect()
+    assert {(r.source, r.lang): [r.docs, r.tokens] for r in rows} == dict(expected)
