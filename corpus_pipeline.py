@@ -21,18 +21,29 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines above their host's limit."""
+    """Documents that pass the quality rules, without the lines above their host's limit.
+
+    Null and empty texts fail the rules; repeated rows are judged each; an empty table gives no rows.
+    """
     return _with_text(kept_documents(docs), F.col("text")).select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that match an earlier one."""
-    done = dedup_lines(docs, percent=80).drop("line_dedup")
-    return _with_text(done, F.col("text")).select(docs.columns)
+    """All documents, without the lines that match an earlier one.
+
+    Null and empty texts stay as they are; rows with a null id lose nothing; an empty table gives no rows.
+    """
+    counts = "line_dedup"
+    while counts in docs.columns:
+        counts += "_"
+    return _with_text(dedup_lines(docs, percent=80, result=counts), F.col("text")).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by five-word shingles at 0.8 the one with the smallest id; documents without words stay."""
+    """Of the documents linked by five-word shingles at 0.8 the one with the smallest id; documents without words stay.
+
+    Rows with a null id stay; of rows that repeat an id one stays, unless they have no words; an empty table gives no rows.
+    """
     judged = ngram_join(docs, n=5, percent=80).select(F.col("doc_id").alias("__id"), "n_shingles", "component_id").distinct()
     kept = judged.filter("component_id is null or component_id = __id").groupBy("__id").agg(F.max("n_shingles").alias("__size"))
     own = Window.partitionBy("__id").orderBy(F.xxhash64("__row.text"))
@@ -43,14 +54,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes of each document; the document at a source's cut is cut."""
+    """The copies that the mix takes of each document; the document at a source's cut is cut.
+
+    Texts without words have no size and are never taken; null sources are one source; an empty table gives no rows.
+    """
     mixed = mix_sources(docs, extra=(F.struct("*").alias("__row"),))
-    copies = taken_copies(mixed, F.col("__row.text")).select("__row.*", F.col("copy_text").alias("__text"))
-    return _with_text(copies, F.col("__text")).select(docs.columns)
+    copies = taken_copies(mixed, F.col("__row.text"))
+    made = {"text": F.col("copy_text"), "n_chars": F.length("copy_text").cast("long")}
+    return copies.select(*[made.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 4096 tokens."""
+    """Pieces of the documents with their places in sequences of 4096 tokens; null and empty texts are the end's token alone."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
@@ -61,7 +76,7 @@ STAGES = [
     ("source mixing", mix_to_targets),
     ("best-fit packing", pack_sequences),
 ]
-#: Tokenizers and set joins can't be put in SQL; tests compare the stages with brute force.
+#: Tokenizers and set joins can't be put in SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 

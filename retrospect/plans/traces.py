@@ -45,7 +45,7 @@ def _trace_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(every(13), "HOLD").otherwise(F.col("action")).alias("action_class"), F.lit(None).cast("double").alias("target_lower"), F.lit(None).cast("double").alias("target_upper"), ref.alias("evidence_refs")).alias("decision"),
         rounds.alias("vote"), F.coalesce("assumptions", F.array().cast(lines.schema["assumptions"].dataType)).alias("assumptions"),
     )
-    return said.select(key.alias("key"), F.to_json(trace).alias("json"))
+    return c.dealt(said.select(key.alias("key"), F.to_json(trace).alias("json")), "key")
 
 
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:

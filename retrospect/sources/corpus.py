@@ -34,6 +34,11 @@ _ACTION = {"CUT": ("lower", "to"), "HIKE": ("raise", "to"), "HOLD": ("maintain",
 _ALL = "ORDER BY participant"
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows in as many partitions as the session shuffles to: reading a text costs more than its bytes would tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def member_name(member: Column) -> Column:
     given = F.element_at(F.array(*[F.lit(g) for g in GIVEN]), (F.pmod(member, F.lit(5)) + 1).cast("int"))
     middle = F.when(F.pmod(member, F.lit(3)) == 0, " B. ").otherwise(" ")
@@ -107,10 +112,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" vote. Voting for the monetary policy action were "), spoken_list(_with_chair(F.col("voted_for"))), F.lit("."),
         F.when(no > 0, F.concat(F.lit(" "), against)).otherwise(""),
     )
-    return rows.select(
-        "meeting", F.col("decided_on").alias("date"), "priority", "action", "ids", "names", "voted_for", "voted_against",
-        F.concat(conditions, F.lit(f"\n\n{OUTLOOK}\n\n"), decision, F.coalesce(vote, F.lit(""))).alias("statement"),
-    )
+    said = F.concat(conditions, F.lit(f"\n\n{OUTLOOK}\n\n"), decision, F.coalesce(vote, F.lit(""))).alias("statement")
+    made = rows.select("meeting", F.col("decided_on").alias("date"), "priority", "action", "ids", "names", "voted_for", "voted_against", said)
+    return dealt(made, "meeting")
 
 
 def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +146,11 @@ def minutes_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.when(F.pmod("meeting", F.lit(2)) == 0, "<p>Voting against this action: None.</p>").otherwise("")
     board = F.when(F.pmod("meeting", F.lit(7)) == 0, "<p>Votes for these actions: the Board.</p>").otherwise("")
     old = F.pmod("meeting", F.lit(4)) == 3
-    return rosters(spark, sf_dir).select(
+    made = rosters(spark, sf_dir).select(
         "meeting", "names",
         F.concat(F.lit("<html><body>"), F.when(old, legacy).otherwise(F.concat(modern, alternates)), staff, F.lit("<p>The meeting began.</p>"), vote, F.coalesce(against, none), board, F.lit("</body></html>")).alias("html"),
     )
+    return dealt(made, "meeting")
 
 
 #: How each kind of site lays out an article.
@@ -174,4 +179,5 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, text in page.items():
         html = F.when(site == name, text).otherwise(html)
     url = F.concat(F.lit("https://www.example.org/"), site, F.lit("/lkl"), F.date_format(day, "yyMMdd"))
-    return o.select(F.col("o_orderkey").alias("page_id"), site.alias("site"), url.alias("url"), F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"))
+    made = o.select(F.col("o_orderkey").alias("page_id"), site.alias("site"), url.alias("url"), F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"))
+    return dealt(made, "page_id")
