@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import ship_package, word_count, words_of
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, packed_sorted, planes
 
-_SHARD_WORDS = 500_000
+_SHARD_WORDS = 250_000
+_HELD_WINDOWS = 1_000_000
 #: Characters that stand for words in an automaton; 0 stands for all words outside of its phrases.
 _SURROGATES = (0xD800, 0xE000)
 
@@ -48,29 +49,37 @@ def _windows(texts: list[bytes], size: int) -> Iterator[tuple[Words, int, np.nda
 
 
 def window_buckets(docs: DataFrame, size: int, bucket_bits: int) -> DataFrame:
-    """bucket, hashes, blocks: the windows of every document, packed, each block's once in a batch."""
+    """bucket, hashes, blocks: the windows of every document, packed, each block's once in a lot of windows."""
+
+    def packed(found: list[np.ndarray], homes: list[np.ndarray]) -> pd.DataFrame:
+        hashes, blocks = np.concatenate(found), np.concatenate(homes)
+        order = np.lexsort((blocks, hashes))
+        hashes, blocks = hashes[order], blocks[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (blocks[1:] != blocks[:-1])
+        hashes, blocks = hashes[new], blocks[new]
+        bucket = hashes >> np.uint64(64 - bucket_bits)
+        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        rows = [
+            (int(h[0] >> np.uint64(64 - bucket_bits)), packed_sorted(h), planes(b))
+            for h, b in zip(np.split(hashes, cuts), np.split(blocks, cuts), strict=True)
+            if len(h)
+        ]
+        return pd.DataFrame(rows, columns=["bucket", "hashes", "blocks"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, homes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             block = batch["block"].to_numpy(np.int64)
+            found, homes, held = [], [], 0
             for words, first, at, hashes in _windows(_texts(batch), size):
                 found.append(hashes)
                 homes.append(block[words.text[at] + first])
-            hashes, homes = np.concatenate(found), np.concatenate(homes)
-            order = np.lexsort((homes, hashes))
-            hashes, homes = hashes[order], homes[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (homes[1:] != homes[:-1])
-            hashes, homes = hashes[new], homes[new]
-            bucket = hashes >> np.uint64(64 - bucket_bits)
-            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            rows = [
-                (int(h[0] >> np.uint64(64 - bucket_bits)), packed_sorted(h), planes(b))
-                for h, b in zip(np.split(hashes, cuts), np.split(homes, cuts), strict=True)
-                if len(h)
-            ]
-            yield pd.DataFrame(rows, columns=["bucket", "hashes", "blocks"])
+                held += len(hashes)
+                if held >= _HELD_WINDOWS:  # what is sorted at once stays small, however long the texts of a batch
+                    yield packed(found, homes)
+                    found, homes, held = [], [], 0
+            if held:
+                yield packed(found, homes)
 
     return docs.select("block", "text").mapInPandas(scan, "bucket int, hashes binary, blocks binary")
 
@@ -248,7 +257,7 @@ def dedup_block(docs: pd.DataFrame, sent: pd.DataFrame, size: int) -> pd.DataFra
     return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
 
-def dedup_substrings(docs: DataFrame, size: int = 13, block_docs: int = 1024, bucket_bytes: int = 4 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = 13, block_docs: int = 512, bucket_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every row of docs."""
     ship_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
