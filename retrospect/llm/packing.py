@@ -1,13 +1,15 @@
-"""Best-fit packing of token sequences in bulk-synchronous rounds.
-
-Texts become token ids and are cut into pieces of at most `capacity`. Pieces and the gaps of open sequences are kept
-in order of size. Equal sizes are interchangeable, so the sorted order is held as runs (size, how many): one run for
-each piece length, at most `capacity` of them however many rows there are. In a round, a successor sweep over the
-merged order gives every gap the largest piece that fits and is not taken yet; where several gaps want one run of
-pieces, they take them by rank; gaps shrink; the next round follows. Where no piece fits, new sequences are opened by
-the largest pieces, no more than the words left need. The rounds need only these counts. The rows themselves are
-ranked within their length by distributed prefix sums (length and hash bucket, so that no length is one task's work)
-and each looks up the run of places that its rank falls into.
+"""Best-fit packing of token sequences in bulk-synchronous rounds of Spark jobs.
+
+Texts become token ids and are cut into pieces of at most `capacity`. A round puts the pieces left and the gaps of open
+sequences in one order of size (a piece before a gap of its size) and sweeps it: every gap, from the smallest, takes
+the largest pieces that fit and are not taken yet. That is the matching of brackets, a piece opening and a gap
+closing one, so prefix sums of the order give every row its level, and the next gap on a piece's level is the one that
+takes it. Levels are dealt by hash; sizes are whole numbers up to `capacity`, so no level holds more than twice as many
+rows, whatever the input. A gap closes as many brackets as copies of its largest fitting piece fit, so what it takes
+never exceeds it. Gaps shrink by what they took and the next round follows; where no piece fits any gap, the largest
+pieces open new sequences, no more than the words left need. Rows of one size take places by rank: pieces are ranked
+once, gaps in each round, by prefix sums over (size, hash bucket), so that no size is one task's work. Each round is
+written to the shared folder; only three numbers of it reach the driver.
 
 Null or empty text is a piece of the end id alone. Repeated rows are packed as rows of their own. An empty table gives
 no rows. Other columns of the input are ignored.
@@ -17,16 +19,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package, staged
+from .common import ship_package, shuffle_partitions, staged
 
 _BUCKETS = 64
-_RANK_BITS = 44
+_PIECE, _GAP = 0, 1
+_KEYS = ("doc_id", "piece", "start", "ids_crc32")
+_BEFORE = (Window.unboundedPreceding, -1)
+_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1) -> DataFrame:
@@ -55,95 +60,99 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     )
 
 
-class Sequences:
-    """Runs of open sequences by gap, and the places given so far as (length, first rank, first sequence, offset)."""
-
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity, self.left, self.rank = capacity, dict(counts), dict.fromkeys(counts, 0)
-        self.gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of sequences (first, how many)
-        self.opened, self.places = 0, []
-
-    def _place(self, length: int, gap: int, first: int, many: int, into: dict[int, list[tuple[int, int]]]) -> None:
-        self.places.append((length, self.rank[length], first, self.capacity - gap))
-        self.rank[length] += many
-        self.left[length] -= many
-        if not self.left[length]:
-            del self.left[length]
-        if gap > length:
-            into.setdefault(gap - length, []).append((first, many))
-
-    def open(self) -> None:
-        """Every piece over half a sequence opens one; once there are none, the largest do, as many as the rest needs."""
-        need = -(-sum(size * many for size, many in self.left.items()) // self.capacity)
-        for size in sorted(self.left, reverse=True):
-            many = self.left[size] if 2 * size > self.capacity else min(need, self.left[size])
-            if many <= 0:
-                break
-            self._place(size, self.capacity, self.opened, many, self.gaps)
-            self.opened += many
-            need -= many
-
-    def sweep(self) -> bool:
-        """One round: each gap takes its best piece. False if nothing fits."""
-        sizes, open_gaps = sorted(self.left), sorted(self.gaps)
-        waiting: list[int] = []  # piece runs that are small enough, largest last
-        after: dict[int, list[tuple[int, int]]] = {}
-        matched, at = False, 0
-        for gap in open_gaps:
-            while at < len(sizes) and sizes[at] <= gap:
-                waiting.append(sizes[at])
-                at += 1
-            if not waiting:
-                continue
-            for first, many in self.gaps.pop(gap):
-                while many and waiting:
-                    size = waiting[-1]
-                    take = min(many, self.left[size])
-                    self._place(size, gap, first, take, after)
-                    matched, first, many = True, first + take, many - take
-                    if size not in self.left:
-                        waiting.pop()
-                if many:
-                    after.setdefault(gap, []).append((first, many))
-        for gap, runs in after.items():
-            self.gaps.setdefault(gap, []).extend(runs)
-        return matched
-
-    def fill(self) -> np.ndarray:
-        """Rounds until every piece has its place; rows of (length, first rank, first sequence, offset), sorted."""
-        while self.left:
-            self.open()
-            while self.left and self.sweep():
-                pass
-        return np.array(sorted(self.places), dtype=np.int64).reshape(-1, 4)
+def _ranked(rows: DataFrame, size: str, *keys: str) -> DataFrame:
+    """rows with rank: its place, from 0, among the rows of its size."""
+    buckets = max(_BUCKETS, shuffle_partitions(rows.sparkSession))
+    salted = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(size).orderBy("bucket").rowsBetween(*_BEFORE)
+    counts = salted.groupBy(size, "bucket").agg(F.count("*").alias("many"))
+    firsts = counts.select(size, "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first_rank"))
+    inside = Window.partitionBy(size, "bucket").orderBy(*keys)
+    placed = salted.join(firsts, [size, "bucket"]).withColumn("rank", F.col("first_rank") + F.row_number().over(inside) - 1)
+    return placed.drop("bucket", "first_rank")
+
+
+def _opened(left: DataFrame, capacity: int, first: int) -> DataFrame:
+    """left with sequence: that which the piece opens, null if it waits. Ids follow each other from `first`.
+
+    Every piece over half a sequence opens one, and the largest of the others until there are as many as all need.
+    """
+    largest = Window.orderBy(F.desc("length"))
+    before, everything = largest.rowsBetween(*_BEFORE), largest.rowsBetween(*_ALL)
+    sizes = left.groupBy("length").agg(F.count("*").alias("many"))  # at most `capacity` rows, as are those made of it
+    total = F.sum(F.col("length") * F.col("many")).over(everything)
+    counted = sizes.withColumn("larger", F.coalesce(F.sum("many").over(before), F.lit(0))).withColumn("total", total)
+    need = F.expr(f"(total + {capacity - 1}) div {capacity} - larger")
+    over_half = 2 * F.col("length") > capacity
+    opens = F.when(over_half, F.col("many")).otherwise(F.greatest(F.lit(0), F.least("many", need)))
+    plan = counted.select("length", (F.col("many") - opens).alias("stay"), opens.alias("opens")).select(
+        "length", "stay", (F.lit(first) + F.coalesce(F.sum("opens").over(before), F.lit(0))).alias("first_sequence")
+    )
+    sequence = F.when(F.col("rank") >= F.col("stay"), F.col("first_sequence") + F.col("rank") - F.col("stay"))
+    return left.join(F.broadcast(plan), "length").select("length", "rank", sequence.alias("sequence"))
+
+
+def _swept(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """left with sequence: that whose gap takes the piece in this round, null if none does."""
+    order = Window.orderBy("size", "kind")
+    everything = order.rowsBetween(*_ALL)
+    of_pieces = left.groupBy(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"))
+    of_gaps = gaps.groupBy(F.col("gap").alias("size"), F.lit(_GAP).alias("kind"))
+    # At most a row a size and kind. Gaps of a size close `times` brackets each, all gaps at most some twice the pieces.
+    sizes = of_pieces.agg(F.count("*").alias("many")).union(of_gaps.agg(F.count("*").alias("many")))
+    fits = F.max(F.when(F.col("kind") == _PIECE, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = F.sum(F.when(F.col("kind") == _PIECE, F.col("many"))).over(everything)
+    holes = F.sum(F.when(F.col("kind") == _GAP, F.col("many"))).over(everything)
+    known = sizes.withColumns({"fits": fits, "pieces": pieces, "holes": holes})
+    times = F.expr("case when kind = 0 then 1 else least(size div fits, greatest(1, 2 * pieces div holes)) end")
+    step = F.when(F.col("kind") == _PIECE, F.col("many")).otherwise(-F.col("many") * F.col("times"))
+    levels = known.withColumn("times", times).withColumn("step", step)
+    depth = F.coalesce(F.sum("step").over(order.rowsBetween(*_BEFORE)), F.lit(0))
+    levels = F.broadcast(levels.select("size", "kind", "times", depth.alias("depth")))
+    openings = left.select(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"))
+    closings = _ranked(gaps, "gap", "sequence").select(F.col("gap").alias("size"), F.lit(_GAP).alias("kind"), "rank", "sequence")
+    level = F.when(F.col("kind") == _PIECE, F.col("depth") + F.col("rank") + 1).otherwise(
+        F.col("depth") - F.col("rank") * F.col("times") - F.col("copy")
+    )
+    brackets = openings.union(closings).join(levels, ["size", "kind"])
+    brackets = brackets.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("level", level)
+    # The rows of a level are pieces and gaps in turn, so the row after a piece is a gap, or there is none.
+    after = F.lead("sequence").over(Window.partitionBy("level").orderBy("size", "kind"))
+    matched = brackets.withColumn("taker", after).filter(F.col("kind") == _PIECE)
+    return matched.select(F.col("size").alias("length"), "rank", F.col("taker").alias("sequence"))
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces with sequence_id and offset; the columns doc_id, piece, start, length and ids_crc32 are needed."""
-    spark = pieces.sparkSession
-    salted = staged(
-        pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(_BUCKETS)).cast("int")), "pieces"
-    )
-    counts = salted.groupBy("length", "bucket").agg(F.count("*").alias("many"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first_rank"))
-    # At most `capacity` rows, whatever the input.
-    lengths = {r["length"]: r["many"] for r in counts.groupBy("length").agg(F.sum("many").alias("many")).collect()}
-    places = Sequences(lengths, capacity).fill()
-    shared = spark.sparkContext.broadcast(((places[:, 0] << _RANK_BITS) + places[:, 1], places))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first_rank") + F.row_number().over(inside) - 1)
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, rows = shared.value
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            run = rows[np.searchsorted(keys, (length << _RANK_BITS) + rank, side="right") - 1]
-            yield batch.assign(sequence_id=run[:, 2] + rank - run[:, 1], offset=run[:, 3])[names]
-
-    names = [*pieces.columns, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(locate, schema)
+    """pieces with sequence_id and offset; the columns doc_id, piece, start, length and ids_crc32 are needed.
+
+    No length may be below 1 or above `capacity`.
+    """
+    names = pieces.columns
+    given = staged(pieces, "pieces").select(F.struct("*").alias("row"), *_KEYS, "length")
+    ranked = staged(_ranked(given, "length", *_KEYS).select("row", "length", "rank"), "ranked-pieces")
+    left, gaps, opened, places = ranked.select("length", "rank"), None, 0, []
+    while True:
+        step = _opened(left, capacity, opened) if gaps is None else _swept(left, gaps)
+        step = staged(step, "packing-round")
+        placed = step.filter("sequence is not null").withColumn("round", F.lit(len(places)))
+        places.append(placed)
+        left = step.filter("sequence is null").select("length", "rank")
+        smallest, last = step.agg(F.min(F.when(F.col("sequence").isNull(), F.col("length"))), F.max("sequence")).first()
+        if smallest is None:
+            break
+        opened = max(opened, last + 1)
+        if gaps is None:
+            gaps = placed.select("sequence", (F.lit(capacity) - F.col("length")).alias("gap"))
+        else:
+            taken = placed.select("sequence", -F.col("length"))
+            gaps = gaps.union(taken).groupBy("sequence").agg(F.sum("gap").alias("gap"))
+        gaps = staged(gaps.filter(F.col("gap") >= smallest), "packing-gaps")
+        if gaps.isEmpty():
+            gaps = None
+    inside = Window.partitionBy("sequence").orderBy("round", F.desc("length"), "rank").rowsBetween(*_BEFORE)
+    offset = F.coalesce(F.sum("length").over(inside), F.lit(0))
+    found = reduce(DataFrame.union, places).select("length", "rank", F.col("sequence").alias("sequence_id"), offset.alias("offset"))
+    return ranked.join(found, ["length", "rank"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retrospect.llm.line_dedup import dedup_lines
 from retrospect.llm.mixing import mix_sources, taken_copies
 from retrospect.llm.ngram_join import document_sets, ngram_join
-from retrospect.llm.packing import Sequences, pack_documents
+from retrospect.llm.packing import pack, pack_documents
 from retrospect.llm.quality import kept_documents, quality_rules
 from retrospect.llm.queries import ORACLES, QUERIES, tokenizer_path
 from retrospect.llm.sharding import shard_by_bytes
@@ -170,28 +170,64 @@ def test_packing(docs, no_docs):
     assert pack_documents(no_docs, path).count() == 0
 
 
-def test_best_fit_rounds():
+def _packed_totals(lengths, capacity):
+    """Tokens in each sequence after rounds of best fit, one gap after the other."""
+    left, gaps, full = sorted(lengths), [], []
+    while left:
+        if not gaps:
+            need = max(-(-sum(left) // capacity), sum(2 * n > capacity for n in left))
+            gaps, left = [capacity - n for n in left[::-1][:need]], left[::-1][need:][::-1]
+        pieces = collections.deque(left)
+        pace, small, after = max(1, 2 * len(left) // len(gaps)), [], []
+        for gap in sorted(gaps):
+            while pieces and pieces[0] <= gap:
+                small.append(pieces.popleft())
+            fitting = [n for n in left if n <= gap]
+            for _ in range(min(gap // fitting[-1], pace) if fitting else 0):
+                gap -= small.pop() if small else 0
+            after.append(gap)
+        left = small + list(pieces)
+        full += [gap for gap in after if left and gap < left[0]]
+        gaps = [gap for gap in after if not left or gap >= left[0]]
+    return sorted(capacity - gap for gap in full + gaps)
+
+
+def _best_fit_decreasing(lengths, capacity):
+    """Sequences that best fit opens when it places one piece after the other, the longest first."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        gap = min((g for g in gaps if g >= n), default=None)
+        if gap is not None:
+            gaps.remove(gap)
+        gaps.append((capacity if gap is None else gap) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["drawn", "one length", "single tokens", "long", "hot and single", "middle", "none"])
+def test_best_fit_rounds(spark, kind):
     rng = random.Random(3)
-    counts = collections.Counter(min(100, int(rng.expovariate(0.04)) + 1) for _ in range(5000))
-    places = Sequences(counts, 100).fill()
-    used = sum(size * n for size, n in counts.items())
-    sequences = {}
-    ranks = collections.defaultdict(list)
-    for length, rank, first, offset in places.tolist():
-        ranks[length].append(rank)
-    for length, rank, first, offset in places.tolist():
-        later = [x for x in ranks[length] if x > rank]
-        many = (min(later) if later else counts[length]) - rank
-        for s in range(first, first + many):
-            sequences.setdefault(s, []).append((offset, length))
+    lengths = {
+        "drawn": [min(100, int(rng.expovariate(0.04)) + 1) for _ in range(1500)],
+        "one length": [30] * 400,
+        "single tokens": [1] * 950,
+        "long": [rng.randint(51, 100) for _ in range(200)],
+        "hot and single": [34] * 300 + [1] * 500 + [rng.randint(1, 100) for _ in range(200)],
+        "middle": [rng.randint(20, 40) for _ in range(800)],
+        "none": [],
+    }[kind]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank string, row string"
+    # Every fifth row has no id, and many repeat each other.
+    pieces = [(None if i % 5 == 0 else i // 2, 0, 0, n, 7, "clash", "clash") for i, n in enumerate(lengths)]
+    rows = pack(spark.createDataFrame(pieces, schema), 100).collect()
+    assert collections.Counter(tuple(r)[:7] for r in rows) == collections.Counter(pieces)
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
     for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 100
-    assert sum(length for parts in sequences.values() for _, length in parts) == used
-    assert len(sequences) <= 1.01 * used / 100 + 2
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 100
+    assert sorted(sum(n for _, n in parts) for parts in sequences.values()) == _packed_totals(lengths, 100)
+    assert len(sequences) <= 1.05 * _best_fit_decreasing(lengths, 100)
 
 
 @pytest.mark.parametrize("block", [8, 1024])
