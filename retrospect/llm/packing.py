@@ -29,6 +29,7 @@ from .common import ship_package, shuffle_partitions, staged
 
 _BUCKETS = 64
 _PIECE, _GAP = 0, 1
+# Sizes, kinds and buckets are ints: Spark joins a pair of them as one long, whose broadcast tables start at 1 MB, not 16.
 _KEYS = ("doc_id", "piece", "start", "ids_crc32")
 _BEFORE = (Window.unboundedPreceding, -1)
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -128,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     No length may be below 1 or above `capacity`.
     """
     names = pieces.columns
-    given = staged(pieces, "pieces").select(F.struct("*").alias("row"), *_KEYS, "length")
+    given = staged(pieces, "pieces").select(F.struct("*").alias("row"), *_KEYS, F.col("length").cast("int").alias("length"))
     ranked = staged(_ranked(given, "length", *_KEYS).select("row", "length", "rank"), "ranked-pieces")
     left, gaps, opened, places = ranked.select("length", "rank"), None, 0, []
     while True:
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             gaps = placed.select("sequence", (F.lit(capacity) - F.col("length")).alias("gap"))
         else:
             taken = placed.select("sequence", -F.col("length"))
-            gaps = gaps.union(taken).groupBy("sequence").agg(F.sum("gap").alias("gap"))
+            gaps = gaps.union(taken).groupBy("sequence").agg(F.sum("gap").cast("int").alias("gap"))
         gaps = staged(gaps.filter(F.col("gap") >= smallest), "packing-gaps")
         if gaps.isEmpty():
             gaps = None
