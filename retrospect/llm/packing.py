@@ -29,7 +29,7 @@ from .common import ship_package, shuffle_partitions, staged
 
 _BUCKETS = 64
 _PIECE, _GAP = 0, 1
-# Sizes, kinds and buckets are ints: Spark joins a pair of them as one long, whose broadcast tables start at 1 MB, not 16.
+# Sizes, kinds and buckets are ints, so that a pair of them fits one long as a join's key.
 _KEYS = ("doc_id", "piece", "start", "ids_crc32")
 _BEFORE = (Window.unboundedPreceding, -1)
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
