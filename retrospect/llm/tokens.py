@@ -25,7 +25,7 @@ _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ňŊ-žƀ-ǃǍ-ǰǴ-ɏ‐-
 
 #: Byte-level spelling: printable bytes are themselves, the others the letters from U+0100 on, in order.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _word_tokenizers: dict[str, WordTokenizer] = {}
 _encodings: dict[str, object] = {}
@@ -47,7 +47,7 @@ class WordTokenizer:
         return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in coded]
 
     def _pre_token_ids(self, words: list[str]) -> list[bytes]:
-        spelled = [w.lower().encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+        spelled = [w.lower().encode().decode("latin-1").translate(BYTE_LETTERS) for w in words]
         return [array("I", c.ids).tobytes() for c in self.merges.encode_batch(spelled, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
