@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_tree import lexical_search
 from .bpe import decode_ids, encode_texts
 from .common import table
 from .line_dedup import dedup_lines
@@ -102,6 +103,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20, b=25)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk_search": op10_topk_search,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -211,6 +217,34 @@ SELECT p.anchor_id, positive_id, positive_rank::INTEGER AS positive_rank, vec_id
        (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
 QUALIFY rank <= 10
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), c AS (
+  SELECT count(*) AS total, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0
+), tf AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, total
+), i AS (
+  SELECT number, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS number, item_id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)
+  GROUP BY number, item_id, term
+), m AS (SELECT row, doc_id, 100 - 25 + (25 * len(terms) * total) // words AS m FROM d, c),
+s AS (
+  SELECT number, item_id, m.row, m.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY ALL
+)
+SELECT item_id, doc_id, score,
+       (row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank
+FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
     "op4_source_mixing": r"""
 WITH sized AS (
