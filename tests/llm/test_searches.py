@@ -84,9 +84,9 @@ def test_packed_products_are_exact(largest):
 
 def test_query_groups_hold_every_row_once_within_the_bound(spark):
     queries = spark.createDataFrame([(i % 7, 10 + i % 3) for i in range(200)] + [(1, 500)], "name long, wide long")
-    groups = list(query_groups(queries, F.col("wide"), 90))
+    groups = list(query_groups(queries, F.col("wide"), 400))
     assert sum(map(len, groups)) == 201 and len({r.number for g in groups for r in g}) == 201
-    assert all(len(g) == 1 or sum(r.wide for r in g) <= 90 for g in groups)
+    assert all(len(g) == 1 or sum(r.wide for r in g) <= 400 for g in groups)
 
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
