@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational as r
 from ..sources import changes as c
 from ..sources import tables as s
+from ..sources.scratch import scratch_dir
+from ..sources.versioned import VersionedTable
 from .registry import query
 
 _V = f"WITH {s.VOTES_SQL}"
@@ -58,25 +63,52 @@ _STORED = f"""WITH {s.OUTCOMES_SQL}, old AS (SELECT * FROM outc WHERE meeting %
 new AS (SELECT meeting, decided_on, action, CASE WHEN meeting % 8 = 0 THEN level + 1 ELSE level END AS level FROM outc WHERE meeting % 4 = 0)"""
 
 
+def _sink(spark: SparkSession, rows: DataFrame, slice_column: str | None = None) -> VersionedTable:
+    """A table in the shared folder that holds `rows` as its version 1."""
+    table = VersionedTable.create(spark, f"{scratch_dir(spark)}/outcomes-{uuid.uuid4().hex}", rows.schema, ["meeting"], buckets=16, slice_column=slice_column)
+    table.replace_slices(rows) if slice_column else table.insert(rows)
+    return table
+
+
 @query("s08_upsert", f"{_STORED} SELECT * FROM new UNION ALL SELECT * FROM old WHERE meeting NOT IN (SELECT meeting FROM new)")
 def s08_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.upserted(*_stored(spark, sf_dir), ["meeting"])
+    old, new = _stored(spark, sf_dir)
+    table = _sink(spark, old)
+    table.upsert(new)
+    return table.read()
+
+
+@query("s08_versions", f"""{_STORED} SELECT 1 AS version, * FROM old UNION ALL SELECT 2, * FROM new UNION ALL SELECT 2, * FROM old WHERE meeting NOT IN (SELECT meeting FROM new)""")
+def s08_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both versions after an upsert that came twice: the ledger knows the second time."""
+    old, new = _stored(spark, sf_dir)
+    table = _sink(spark, old)
+    for _ in range(2):
+        table.upsert(new, batch_of=("feed", 7))
+    return reduce(DataFrame.unionByName, [table.read(v).withColumn("version", F.lit(v)) for v in table.versions()[1:]])
 
 
 @query("s09_insert_or_ignore", f"{_STORED} SELECT * FROM new WHERE meeting NOT IN (SELECT meeting FROM old)")
 def s09_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.missing_rows(*_stored(spark, sf_dir), ["meeting"])
+    """What a commit appended, of a batch without the keys that are stored with other values."""
+    old, new = _stored(spark, sf_dir)
+    table = _sink(spark, old)
+    version = table.insert(new.join(c.conflicts(table.read(), new, ["meeting"]), "meeting", "left_anti"))
+    return table.added(version)
 
 
 @query("s09_conflicts", f"{_STORED} SELECT meeting FROM old JOIN new USING (meeting) WHERE old.level IS DISTINCT FROM new.level")
 def s09_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.conflicts(*_stored(spark, sf_dir), ["meeting"])
+    old, new = _stored(spark, sf_dir)
+    return c.conflicts(_sink(spark, old).read(), new, ["meeting"])
 
 
 @query("s10_rebuilt_slice", f"{_STORED} SELECT * FROM old WHERE action <> 'CUT' UNION ALL SELECT * FROM new WHERE action = 'CUT'")
 def s10_rebuilt_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _stored(spark, sf_dir)
-    return c.rebuilt(old, new.filter("action = 'CUT'"), "action").select("meeting", "decided_on", "action", "level")
+    table = _sink(spark, old, slice_column="action")
+    table.replace_slices(new.filter("action = 'CUT'"))
+    return table.read()
 
 
 @query("s13_schema_evolution", f"{_STORED} SELECT meeting, decided_on, action, level, 'VINTAGE' AS mode FROM old UNION ALL SELECT *, 'PROXY' FROM new")

@@ -51,11 +51,6 @@ def conflicts(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame
     return stored.join(expected, keys).filter(~same).select(*keys)
 
 
-def rebuilt(stored: DataFrame, recomputed: DataFrame, slice_key: str) -> DataFrame:
-    """The table after the recomputed rows replace whole slices; as a sink: dynamic partition overwrite on the slice key."""
-    return stored.join(recomputed.select(slice_key).distinct(), slice_key, "left_anti").unionByName(recomputed)
-
-
 def widened(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Union of an old shape and a new one; columns that the old lacks get their defaults."""
     both = old.unionByName(new, allowMissingColumns=True)
