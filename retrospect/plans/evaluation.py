@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as e
 from ..operators import temporal as t
 from ..sources import tables as s
+from ..sources.scratch import scratch_dir
+from ..sources.versioned import VersionedTable
 from ..streaming import monitors as m
 from .registry import query
 from .temporal import EVENTS_SQL, assumption_events
@@ -118,21 +122,42 @@ def m04_ordered_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, [*theta, trace[-1]], strict=True)], "feature string, coefficient double")
 
 
-@query("t01_contradictions", """SELECT event_type AS series_id, min(ts) AS contradicted_at, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE value > 60 AND ts > TIMESTAMP '2024-01-10' GROUP BY 1""")
-def t01_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.first_contradictions(s.table(spark, sf_dir, "events").withColumnRenamed("event_type", "series_id"), 60.0, "2024-01-10")
+def _versioned_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations; every third is a version of up to two days later."""
+    version = F.date_add(F.to_date("ts"), F.pmod("event_id", F.lit(3)).cast("int"))
+    return s.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "event_id", "ts", version.alias("version_on"), "value")
 
 
-@query("t02_accepted_events", f"""WITH {EVENTS_SQL}, x AS (SELECT *, bool_or(kind = 'CONTRADICTION') OVER w AS c, bool_or(kind = 'REVIEW_REQUESTED') OVER w AS r, bool_or(kind = 'STATEMENT_FLIP') OVER w AS f FROM ev
-WINDOW w AS (PARTITION BY assumption_id ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING))
-SELECT assumption_id, kind, occurred_at, event_id, CASE kind WHEN 'REVIEW_REQUESTED' THEN c WHEN 'REVIEWED' THEN c AND r WHEN 'POLICY_RESPONSE' THEN f ELSE true END AS accepted FROM x""")
+@query("t01_contradictions", """WITH passing AS (SELECT event_type AS series_id, ts, event_id FROM events
+  WHERE value > 60 AND ts > TIMESTAMP '2024-01-10' AND ts::DATE + (event_id % 3)::INTEGER <= ts::DATE)
+SELECT series_id, ts AS contradicted_at, event_id FROM passing p
+WHERE NOT EXISTS (SELECT 1 FROM passing q WHERE q.series_id = p.series_id AND (q.ts < p.ts OR q.ts = p.ts AND q.event_id < p.event_id))""")
+def t01_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.first_contradictions(_versioned_observations(spark, sf_dir), 60.0, "2024-01-10")
+
+
+@query("t02_accepted_events", f"""WITH {EVENTS_SQL},
+con AS (SELECT assumption_id, min((occurred_at, event_id)) AS first FROM ev WHERE kind = 'CONTRADICTION' GROUP BY 1),
+req AS (SELECT e.assumption_id, min((occurred_at, event_id)) AS first FROM ev e JOIN con USING (assumption_id) WHERE kind = 'REVIEW_REQUESTED' AND (occurred_at, event_id) > con.first GROUP BY 1),
+flip AS (SELECT e.assumption_id, min((occurred_at, event_id)) AS first FROM ev e JOIN con USING (assumption_id) WHERE kind = 'STATEMENT_FLIP' AND (occurred_at, event_id) > con.first GROUP BY 1)
+SELECT e.assumption_id, kind, occurred_at, event_id, kind = 'CONTRADICTION'
+  OR kind IN ('REVIEW_REQUESTED', 'STATEMENT_FLIP') AND coalesce((occurred_at, event_id) > con.first, false)
+  OR kind = 'REVIEWED' AND coalesce((occurred_at, event_id) > req.first, false)
+  OR kind IN ('POLICY_RESPONSE', 'CENSORED') AND coalesce((occurred_at, event_id) > flip.first, false) AS accepted
+FROM ev e LEFT JOIN con USING (assumption_id) LEFT JOIN req USING (assumption_id) LEFT JOIN flip USING (assumption_id)""")
 def t02_accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.accepted_events(assumption_events(spark, sf_dir))
 
 
 @query("t03_event_once", f"WITH {EVENTS_SQL} SELECT DISTINCT assumption_id, kind, occurred_at FROM ev")
 def t03_event_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assumption_events(spark, sf_dir).select("assumption_id", "kind", "occurred_at").distinct()
+    """Events appended to a table in two batches that overlap, the second of them twice."""
+    events = assumption_events(spark, sf_dir).select("assumption_id", "kind", "occurred_at")
+    table = VersionedTable.create(spark, f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}", events.schema, events.columns, buckets=16)
+    early = F.col("occurred_at") < F.lit("2024-01-20").cast("timestamp_ntz")
+    for number, batch in enumerate((events.filter(early), events, events)):
+        table.append_new(batch, batch_of=("events", min(number, 1)))
+    return table.read()
 
 
 @query("t04_late_documents", "SELECT source, count(*) FILTER (d <= DATE '2024-02-01') AS in_time, count(*) FILTER (d > DATE '2024-02-01') AS late FROM (SELECT source, DATE '2024-01-01' + (doc_id % 60)::INTEGER AS d FROM documents) GROUP BY 1")

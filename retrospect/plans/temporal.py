@@ -226,13 +226,13 @@ def w12_monthly_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assumption_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*[F.lit(k) for k in ("MONITORED", "CONTRADICTION", "REVIEW_REQUESTED", "REVIEWED", "STATEMENT_FLIP", "POLICY_RESPONSE")])
-    kind = F.element_at(kinds, (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
+    kinds = F.array(*[F.lit(k) for k in ("MONITORED", "CONTRADICTION", "REVIEW_REQUESTED", "REVIEWED", "STATEMENT_FLIP", "POLICY_RESPONSE", "CENSORED")])
+    kind = F.element_at(kinds, (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
     return s.table(spark, sf_dir, "events").select(F.col("user_id").alias("assumption_id"), kind.alias("kind"), F.col("ts").alias("occurred_at"), "event_id")
 
 
 EVENTS_SQL = """ev AS (SELECT user_id AS assumption_id, ts AS occurred_at, event_id, (['MONITORED', 'CONTRADICTION', 'REVIEW_REQUESTED', 'REVIEWED', 'STATEMENT_FLIP',
-'POLICY_RESPONSE'])[(event_id % 6) + 1] AS kind FROM events)"""
+'POLICY_RESPONSE', 'CENSORED'])[(event_id % 7) + 1] AS kind FROM events)"""
 
 
 @query("w13_review_states", f"""WITH {EVENTS_SQL}, f AS (SELECT assumption_id, min(occurred_at) FILTER (kind = 'MONITORED') AS monitored, min(occurred_at) FILTER (kind = 'CONTRADICTION') AS contradiction,
