@@ -9,7 +9,8 @@ rows, whatever the input. A gap closes as many brackets as copies of its largest
 never exceeds it. Gaps shrink by what they took and the next round follows; where no piece fits any gap, the largest
 pieces open new sequences, no more than the words left need. Rows of one size take places by rank: pieces are ranked
 once, gaps in each round, by prefix sums over (size, hash bucket), so that no size is one task's work. Each round is
-written to the shared folder; only three numbers of it reach the driver.
+written to the shared folder; what reaches the driver is how many pieces and gaps there are of each size, at most twice
+`capacity` numbers, from which it makes the table of levels that is broadcast.
 
 Null or empty text is a piece of the end id alone. Repeated rows are packed as rows of their own. An empty table gives
 no rows. Other columns of the input are ignored.
@@ -18,6 +19,7 @@ no rows. Other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +34,6 @@ _PIECE, _GAP = 0, 1
 # Sizes, kinds and buckets are ints, so that a pair of them fits one long as a join's key.
 _KEYS = ("doc_id", "piece", "start", "ids_crc32")
 _BEFORE = (Window.unboundedPreceding, -1)
-_ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 1) -> DataFrame:
@@ -69,47 +70,40 @@ def _ranked(rows: DataFrame, size: str, *keys: str) -> DataFrame:
     counts = salted.groupBy(size, "bucket").agg(F.count("*").alias("many"))
     firsts = counts.select(size, "bucket", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("first_rank"))
     inside = Window.partitionBy(size, "bucket").orderBy(*keys)
-    placed = salted.join(firsts, [size, "bucket"]).withColumn("rank", F.col("first_rank") + F.row_number().over(inside) - 1)
+    # Merged: a broadcast side would be the rows themselves, which grow with the input.
+    placed = salted.hint("merge").join(firsts, [size, "bucket"]).withColumn("rank", F.col("first_rank") + F.row_number().over(inside) - 1)
     return placed.drop("bucket", "first_rank")
 
 
-def _opened(left: DataFrame, capacity: int, first: int) -> DataFrame:
-    """left with sequence: that which the piece opens, null if it waits. Ids follow each other from `first`.
+def _opened(left: DataFrame, sizes: Counter, capacity: int, first: int) -> tuple[DataFrame, int]:
+    """left with sequence: that which the piece opens, null if it waits; and the next id. Ids follow each other from `first`.
 
     Every piece over half a sequence opens one, and the largest of the others until there are as many as all need.
     """
-    largest = Window.orderBy(F.desc("length"))
-    before, everything = largest.rowsBetween(*_BEFORE), largest.rowsBetween(*_ALL)
-    sizes = left.groupBy("length").agg(F.count("*").alias("many"))  # at most `capacity` rows, as are those made of it
-    total = F.sum(F.col("length") * F.col("many")).over(everything)
-    counted = sizes.withColumn("larger", F.coalesce(F.sum("many").over(before), F.lit(0))).withColumn("total", total)
-    need = F.expr(f"(total + {capacity - 1}) div {capacity} - larger")
-    over_half = 2 * F.col("length") > capacity
-    opens = F.when(over_half, F.col("many")).otherwise(F.greatest(F.lit(0), F.least("many", need)))
-    plan = counted.select("length", (F.col("many") - opens).alias("stay"), opens.alias("opens")).select(
-        "length", "stay", (F.lit(first) + F.coalesce(F.sum("opens").over(before), F.lit(0))).alias("first_sequence")
-    )
+    need = -(-sum(size * many for size, many in sizes.items()) // capacity)
+    plan, larger, start = [], 0, first
+    for size, many in sorted(sizes.items(), reverse=True):
+        opens = many if 2 * size > capacity else max(0, min(many, need - larger))
+        plan.append((size, many - opens, start))
+        larger, start = larger + many, start + opens
+    plan = left.sparkSession.createDataFrame(plan, "length int, stay long, first_sequence long")
     sequence = F.when(F.col("rank") >= F.col("stay"), F.col("first_sequence") + F.col("rank") - F.col("stay"))
-    return left.join(F.broadcast(plan), "length").select("length", "rank", sequence.alias("sequence"))
+    return left.join(F.broadcast(plan), "length").select("length", "rank", sequence.alias("sequence")), start
 
 
-def _swept(left: DataFrame, gaps: DataFrame) -> DataFrame:
+def _swept(left: DataFrame, gaps: DataFrame, sizes: Counter, holes: Counter) -> DataFrame:
     """left with sequence: that whose gap takes the piece in this round, null if none does."""
-    order = Window.orderBy("size", "kind")
-    everything = order.rowsBetween(*_ALL)
-    of_pieces = left.groupBy(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"))
-    of_gaps = gaps.groupBy(F.col("gap").alias("size"), F.lit(_GAP).alias("kind"))
     # At most a row a size and kind. Gaps of a size close `times` brackets each, all gaps at most some twice the pieces.
-    sizes = of_pieces.agg(F.count("*").alias("many")).union(of_gaps.agg(F.count("*").alias("many")))
-    fits = F.max(F.when(F.col("kind") == _PIECE, F.col("size"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    pieces = F.sum(F.when(F.col("kind") == _PIECE, F.col("many"))).over(everything)
-    holes = F.sum(F.when(F.col("kind") == _GAP, F.col("many"))).over(everything)
-    known = sizes.withColumns({"fits": fits, "pieces": pieces, "holes": holes})
-    times = F.expr("case when kind = 0 then 1 else least(size div fits, greatest(1, 2 * pieces div holes)) end")
-    step = F.when(F.col("kind") == _PIECE, F.col("many")).otherwise(-F.col("many") * F.col("times"))
-    levels = known.withColumn("times", times).withColumn("step", step)
-    depth = F.coalesce(F.sum("step").over(order.rowsBetween(*_BEFORE)), F.lit(0))
-    levels = F.broadcast(levels.select("size", "kind", "times", depth.alias("depth")))
+    levels, depth, fits, share = [], 0, 1, max(1, 2 * sizes.total() // holes.total())
+    for size, kind in sorted([(size, _PIECE) for size in sizes] + [(size, _GAP) for size in holes]):
+        if kind == _PIECE:
+            times, fits, step = 1, size, sizes[size]
+        else:
+            times = min(size // fits, share)
+            step = -holes[size] * times
+        levels.append((size, kind, times, depth))
+        depth += step
+    levels = F.broadcast(left.sparkSession.createDataFrame(levels, "size int, kind int, times long, depth long"))
     openings = left.select(F.col("length").alias("size"), F.lit(_PIECE).alias("kind"), "rank", F.lit(None).cast("long").alias("sequence"))
     closings = _ranked(gaps, "gap", "sequence").select(F.col("gap").alias("size"), F.lit(_GAP).alias("kind"), "rank", "sequence")
     level = F.when(F.col("kind") == _PIECE, F.col("depth") + F.col("rank") + 1).otherwise(
@@ -123,6 +117,11 @@ def _swept(left: DataFrame, gaps: DataFrame) -> DataFrame:
     return matched.select(F.col("size").alias("length"), "rank", F.col("taker").alias("sequence"))
 
 
+def _sizes(rows: DataFrame, size: str) -> Counter:
+    """How many rows there are of each size: at most as many entries as sizes, whatever the input."""
+    return Counter(dict(map(tuple, rows.groupBy(size).agg(F.count("*")).collect())))
+
+
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces with sequence_id and offset; the columns doc_id, piece, start, length and ids_crc32 are needed.
 
@@ -132,28 +131,30 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     given = staged(pieces, "pieces").select(F.struct("*").alias("row"), *_KEYS, F.col("length").cast("int").alias("length"))
     ranked = staged(_ranked(given, "length", *_KEYS).select("row", "length", "rank"), "ranked-pieces")
     left, gaps, opened, places = ranked.select("length", "rank"), None, 0, []
-    while True:
-        step = _opened(left, capacity, opened) if gaps is None else _swept(left, gaps)
+    sizes, holes = _sizes(left, "length"), Counter()
+    while sizes or not places:
+        if holes:
+            step = _swept(left, gaps, sizes, holes)
+        else:
+            step, opened = _opened(left, sizes, capacity, opened)
         step = staged(step, "packing-round")
         placed = step.filter("sequence is not null").withColumn("round", F.lit(len(places)))
         places.append(placed)
         left = step.filter("sequence is null").select("length", "rank")
-        smallest, last = step.agg(F.min(F.when(F.col("sequence").isNull(), F.col("length"))), F.max("sequence")).first()
-        if smallest is None:
+        sizes = _sizes(left, "length")
+        if not sizes:
             break
-        opened = max(opened, last + 1)
-        if gaps is None:
-            gaps = placed.select("sequence", (F.lit(capacity) - F.col("length")).alias("gap"))
-        else:
+        if holes:
             taken = placed.select("sequence", -F.col("length"))
             gaps = gaps.union(taken).groupBy("sequence").agg(F.sum("gap").cast("int").alias("gap"))
-        gaps = staged(gaps.filter(F.col("gap") >= smallest), "packing-gaps")
-        if gaps.isEmpty():
-            gaps = None
+        else:
+            gaps = placed.select("sequence", (F.lit(capacity) - F.col("length")).alias("gap"))
+        gaps = staged(gaps.filter(F.col("gap") >= min(sizes)), "packing-gaps")
+        holes = _sizes(gaps, "gap")
     inside = Window.partitionBy("sequence").orderBy("round", F.desc("length"), "rank").rowsBetween(*_BEFORE)
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0))
     found = reduce(DataFrame.union, places).select("length", "rank", F.col("sequence").alias("sequence_id"), offset.alias("offset"))
-    return ranked.join(found, ["length", "rank"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
+    return ranked.hint("merge").join(found, ["length", "rank"]).select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
