@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trimmed(scan: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A scan for mapInPandas whose worker gives the memory of its batches back to the system at the task's end.
+
+    Workers stay for the stages that follow; what their allocators keep would add up to the memory of these.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null text has none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

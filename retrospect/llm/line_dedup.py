@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, compressed, ship_package, staged
+from .common import SPACES, compressed, ship_package, staged, trimmed
 from .hashing import Words, chunks_by_bytes, counted, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, FOUND, all_links, bitmap_words, cells, components, links_of_bucket, parity_bitmaps, prefix_length, ragged
 from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
@@ -94,7 +94,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
                 )
         yield counter.rows().assign(doc_id=None, text_key=None, line=None, low=None, high=None)[_FIRST_PASS_NAMES]
 
-    return docs.select("doc_id", "text_key", "text").mapInPandas(scan, _FIRST_PASS)
+    return docs.select("doc_id", "text_key", "text").mapInPandas(trimmed(scan), _FIRST_PASS)
 
 
 def prefix_postings(docs: DataFrame, rarity, percent: int, bucket_bits: int) -> DataFrame:
@@ -131,7 +131,7 @@ def prefix_postings(docs: DataFrame, rarity, percent: int, bucket_bits: int) ->
             yield pd.DataFrame(rows, columns=["bucket", "words", "lines", "sizes", "places", "bitmaps"])
 
     schema = "bucket int, words binary, lines binary, sizes binary, places binary, bitmaps binary"
-    return docs.select("text").mapInPandas(scan, schema)
+    return docs.select("text").mapInPandas(trimmed(scan), schema)
 
 
 def candidate_links(bucket: pd.DataFrame, percent: int, hot_lines: int) -> pd.DataFrame:
@@ -221,7 +221,7 @@ def dedup_lines(
                 yield frame.assign(words=[x.tobytes() for x in np.split(word[new], ends[:-1])])
 
     once = packed.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    shipped = once.mapInPandas(words_of_lines, "root long, item long, high long, doc_id long, text_key long, line int, words binary")
+    shipped = once.mapInPandas(trimmed(words_of_lines), "root long, item long, high long, doc_id long, text_key long, line int, words binary")
 
     def compare(_: tuple, lot: pd.DataFrame) -> pd.DataFrame:
         lot = lot.sort_values([*CELL, "doc_id", "text_key", "line"])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, trimmed
 from .hashing import from_planes, planes
 
 #: Set sizes up to which parity bitmaps have 1, 2, 4, 8, 16 and 32 words (else 64).
@@ -219,7 +219,7 @@ def all_links(found: DataFrame, percent: int) -> DataFrame:
                 yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     # One row a piece: dealt by content, so that the pieces of one element go to many tasks.
-    pieces = found.filter("a is null").repartition("names", "sides").mapInPandas(pair, "a long, b long")
+    pieces = found.filter("a is null").repartition("names", "sides").mapInPandas(trimmed(pair), "a long, b long")
     return found.filter("a is not null").select("a", "b").unionByName(pieces)
 
 

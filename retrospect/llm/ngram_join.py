@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compressed, ship_package, staged
+from .common import compressed, ship_package, staged, trimmed
 from .hashing import Words, chunks_by_bytes, from_packed_sorted, from_planes, mixed, packed_sorted, planes
 from .links import CELL, FOUND, HOT_SETS, all_links, cells, components, links_of_bucket, parity_bitmaps, prefix_length
 from .rarity import COUNT_COLUMNS, ONCE, Counter, classes_of, grouped_order, rarity_table
@@ -97,7 +97,7 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             ).assign(chunk=None, places=None, counts=None)[names]
         yield counter.rows().assign(doc_id=None, n_shingles=None, low=None, high=None, bitmap=None)[names]
 
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id long, n_shingles long, low long, high long, bitmap binary, {COUNT_COLUMNS}")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(scan), f"doc_id long, n_shingles long, low long, high long, bitmap binary, {COUNT_COLUMNS}")
 
 
 def prefix_buckets(docs: DataFrame, rarity, n: int, percent: int, bucket_bits: int) -> DataFrame:
@@ -125,7 +125,7 @@ def prefix_buckets(docs: DataFrame, rarity, n: int, percent: int, bucket_bits: i
             ]
             yield pd.DataFrame(rows, columns=["bucket", "shingles", "sets", "sizes", "places"])
 
-    return docs.select("text").mapInPandas(scan, "bucket int, shingles binary, sets binary, sizes binary, places binary")
+    return docs.select("text").mapInPandas(trimmed(scan), "bucket int, shingles binary, sets binary, sizes binary, places binary")
 
 
 def shared_postings(bucket: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -300,7 +300,7 @@ def ngram_join(docs: DataFrame, n: int = 3, percent: int = 90, bucket_bytes: int
             # A row that repeats its id with another text is not the class's set.
             yield batch.assign(shingles=out)[batch["low"] == sums].drop(columns="packed")
 
-    shipped = shown.select("root", "item", "low", "packed").mapInPandas(as_sets, "root long, item long, low long, shingles binary")
+    shipped = shown.select("root", "item", "low", "packed").mapInPandas(trimmed(as_sets), "root long, item long, low long, shingles binary")
 
     def compare(_: tuple, lot: pd.DataFrame) -> pd.DataFrame:
         links: list[tuple[int, int]] = []

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package, shuffle_partitions, staged
+from .common import ship_package, shuffle_partitions, staged, trimmed
 
 _BUCKETS = 64
 _PIECE, _GAP = 0, 1
@@ -57,8 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
