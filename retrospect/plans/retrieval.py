@@ -6,14 +6,18 @@ benchmark item is asked from the place of the parent with its number.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decisions as d
 from ..functions.text import tag_labels
+from ..operators import index as ix
 from ..operators import retrieval as r
 from ..sources import corpus as c
 from ..sources import tables as s
+from ..sources.scratch import exists, scratch_dir
 from .registry import query
 from .texts import TERMS
 
@@ -64,8 +68,16 @@ lab AS (SELECT b.*, action FROM best b LEFT JOIN par USING (parent)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, parent) AS k FROM lab) WHERE k <= {M})"""
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.tokenised(s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+_indexes: dict[tuple[str, str], ix.StoredIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> ix.StoredIndex:
+    """The stored index of the documents, built by the first query of a session that needs it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or not exists(spark, f"{_indexes[key].path}/blocks/_SUCCESS"):
+        chunks = s.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        _indexes[key] = ix.build_index(chunks, f"{scratch_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    return _indexes[key]
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +93,7 @@ def _hits(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
     asked = s.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     parent = F.floor(F.col("chunk_id") / 10).cast("long")
     far = F.abs(parent - F.col("query_id")) > GAP if apart else None
-    return r.top_hits(r.bm25(_tokens(spark, sf_dir), asked), K, F.round("score", 6), far).withColumn("parent", parent)
+    return ix.search(_index(spark, sf_dir), asked, K, far).withColumn("parent", parent)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +107,17 @@ def _actual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r03_document_frequency", f"{_BM25} SELECT * FROM df")
 def r03_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.term_frequencies(r.postings(_tokens(spark, sf_dir)))
+    return _index(spark, sf_dir).table("terms").select("term", "df")
+
+
+@query("r03_index_shape", f"{_BM25} SELECT chunk_id, length, n, round(a, 9) AS mean_length, (SELECT count(*) FROM idx i WHERE i.chunk_id = p.chunk_id) AS n_terms FROM (SELECT chunk_id, len(t) AS length FROM t) p, shape")
+def r03_index_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and distinct terms of each document, their number and mean length, read back from the stored index."""
+    index = _index(spark, sf_dir)
+    n, average = index.shape()
+    terms = index.table("blocks").select(F.explode("postings.chunk_id").alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("n_terms"))
+    lengths = index.table("lengths").join(terms, "chunk_id", "left")
+    return lengths.select("chunk_id", "length", F.lit(n).alias("n"), F.lit(round(average, 9)).alias("mean_length"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 @query("r04_o01_bm25", f"{_BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits")

@@ -21,6 +21,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later jobs neither recompute it nor depend on lost executors."""
     spark = df.sparkSession
