@@ -3,7 +3,7 @@
 The index is three tables in one folder. `terms` has document frequency and largest part of each term, `lengths` the
 length of each chunk, `blocks` the postings: a term's chunks in falling order of their part (the BM25 factor without
 idf), 128 to a block, with the block's largest part. A term of many chunks is dealt to salts first, so that none is one
-task's work. Blocks are range-partitioned and sorted by term: a search reads the row groups of its terms.
+task's work. Blocks are dealt by term and salt and sorted by term in each file: a search reads the row groups of its terms.
 
 A search reads the first block of each term of a query; the sums of these parts are lower bounds of scores, the k-th of
 them a threshold. A block can be left out if its largest part, with the largest parts of the query's other terms, stays
@@ -64,8 +64,8 @@ def build_index(chunks: DataFrame, path: str) -> StoredIndex:
     blocks = salted.withColumn("block", block).groupBy("term", "salt", "block").agg(
         F.max("part").alias("most"), F.collect_list(F.struct("chunk_id", "tf", "part")).alias("postings")
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.repartitionByRange(n, "term", "salt", "block").sortWithinPartitions("term", "salt", "block").write.parquet(f"{path}/blocks")
+    # The window has dealt the rows by term and salt already; sorting by term lets a search skip row groups of each file.
+    blocks.sortWithinPartitions("term", "salt", "block").write.parquet(f"{path}/blocks")
     return made
 
 
