@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import carried, interval_join
-
-BEFORE = (Window.unboundedPreceding, -1)
-UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
+from .ranges import RANGE, ranged, with_earlier
 
 
 def visible(versions: DataFrame, cutoff: Column) -> DataFrame:
@@ -158,21 +156,24 @@ def nearest_within(points: DataFrame, candidates: DataFrame, days: int) -> DataF
 
 def change_points(levels: DataFrame) -> DataFrame:
     """Rows of levels (series_id, day, level) whose level differs from the one before."""
-    before = F.lag("level").over(Window.partitionBy("series_id").orderBy("day"))
-    first = F.row_number().over(Window.partitionBy("series_id").orderBy("day")) == 1
-    return levels.withColumn("changed", first | ~F.col("level").eqNullSafe(before)).filter("changed").drop("changed")
+    keys, order = ["series_id"], ["day"]
+    along = with_earlier(ranged(levels, keys, order), keys, order, lasts={"__before": F.struct("level")})
+    changed = F.col("__before").isNull() | ~F.col("level").eqNullSafe(F.col("__before.level"))
+    return along.filter(changed).select(*levels.columns)
 
 
 def directions(states: DataFrame) -> DataFrame:
     """INITIAL, UP, DOWN or UNCHANGED against the state before."""
-    before = F.lag("level").over(Window.partitionBy("series_id").orderBy("day"))
-    return states.withColumn("before", before).select(
+    keys, order = ["series_id"], ["day"]
+    along = with_earlier(ranged(states, keys, order), keys, order, lasts={"__before": F.struct("level")})
+    before = F.col("__before.level")
+    return along.select(
         "series_id",
         "day",
         "level",
-        F.when(F.col("before").isNull(), "INITIAL")
-        .when(F.col("level") > F.col("before"), "UP")
-        .when(F.col("level") < F.col("before"), "DOWN")
+        F.when(before.isNull(), "INITIAL")
+        .when(F.col("level") > before, "UP")
+        .when(F.col("level") < before, "DOWN")
         .otherwise("UNCHANGED")
         .alias("direction"),
     )
@@ -180,12 +181,13 @@ def directions(states: DataFrame) -> DataFrame:
 
 def regime_starts(directed: DataFrame, floor_level: float) -> DataFrame:
     """regime_start: first day of the run at the floor, else of the run of one direction, that a state belongs to."""
-    order = Window.partitionBy("series_id").orderBy("day")
+    keys, order = ["series_id"], ["day"]
     kind = F.when(F.col("level") <= floor_level, "FLOOR").otherwise(F.col("direction"))
-    runs = directed.withColumn("kind", kind).withColumn(
-        "run", F.sum(F.when(F.col("kind").eqNullSafe(F.lag("kind").over(order)), 0).otherwise(1)).over(order.rowsBetween(*UP_TO_NOW))
-    )
-    return runs.withColumn("regime_start", F.min("day").over(Window.partitionBy("series_id", "run"))).drop("run")
+    kinds = with_earlier(ranged(directed.withColumn("kind", kind), keys, order), keys, order, lasts={"__before": F.struct("kind")})
+    begins = F.col("__before").isNull() | ~F.col("kind").eqNullSafe(F.col("__before.kind"))
+    marked = kinds.withColumn("__begun", F.when(begins, F.col("day")))
+    along = with_earlier(marked, keys, order, lasts={"__running": F.col("__begun")})
+    return along.select(*directed.columns, "kind", F.coalesce("__begun", "__running").alias("regime_start"))
 
 
 def rate_context(directed: DataFrame, cutoffs: DataFrame, changes: int = 8) -> DataFrame:
@@ -209,15 +211,15 @@ def rate_context(directed: DataFrame, cutoffs: DataFrame, changes: int = 8) -> D
 
 def prior_history(member_votes: DataFrame) -> DataFrame:
     """Strictly earlier votes of each member: number, dissents, rate (null if none), the vote before (false if none)."""
-    order = Window.partitionBy("participant").orderBy("meeting")
-    past = order.rowsBetween(*BEFORE)
-    counted = member_votes.select(
-        "meeting", "participant", "dissent",
-        F.count("*").over(past).alias("prior_votes"),
-        F.coalesce(F.sum(F.col("dissent").cast("int")).over(past), F.lit(0)).alias("prior_dissents"),
-        F.lag("dissent", 1, False).over(order).alias("previous_dissent"),
+    keys, order = ["participant"], ["meeting"]
+    votes = ranged(member_votes.select("meeting", "participant", "dissent"), keys, order)
+    totals = {"prior_votes": F.lit(1), "prior_dissents": F.col("dissent").cast("int")}
+    counted = with_earlier(votes, keys, order, totals, {"__before": F.struct("dissent")})
+    return counted.select(
+        "meeting", "participant", "dissent", "prior_votes", "prior_dissents",
+        F.when(F.col("__before").isNull(), False).otherwise(F.col("__before.dissent")).alias("previous_dissent"),
+        F.try_divide(F.col("prior_dissents"), F.col("prior_votes")).alias("prior_rate"),
     )
-    return counted.withColumn("prior_rate", F.try_divide(F.col("prior_dissents"), F.col("prior_votes")))
 
 
 def recency(member_votes: DataFrame, before_meeting: int, newest: int = 8) -> DataFrame:
@@ -236,19 +238,18 @@ def recency(member_votes: DataFrame, before_meeting: int, newest: int = 8) -> Da
 
 def persistence(outcomes: DataFrame, group: str) -> DataFrame:
     """outcomes with the last known action before each, gaps carried over."""
-    order = Window.partitionBy(group).orderBy("meeting")
-    return outcomes.withColumn("persisted", F.last("action", ignorenulls=True).over(order.rowsBetween(*BEFORE)))
+    keys, order = [group], ["meeting"]
+    return with_earlier(ranged(outcomes, keys, order), keys, order, lasts={"persisted": F.col("action")}).drop(RANGE)
 
 
 def filled_levels(rows: DataFrame, group: str, tolerance: float = 0.05) -> DataFrame:
     """Level carried forward, and an action from its change where none was recorded."""
-    order = Window.partitionBy(group).orderBy("meeting")
-    filled = rows.withColumn("filled", F.last("level", ignorenulls=True).over(order.rowsBetween(*UP_TO_NOW))).withColumn(
-        "before", F.last("level", ignorenulls=True).over(order.rowsBetween(*BEFORE))
-    )
-    change = F.col("filled") - F.col("before")
+    keys, order = [group], ["meeting"]
+    along = with_earlier(ranged(rows, keys, order), keys, order, lasts={"__before": F.col("level")})
+    filled = along.withColumn("filled", F.coalesce("level", "__before"))
+    change = F.col("filled") - F.col("__before")
     imputed = F.when(change >= tolerance, "HIKE").when(change <= -tolerance, "CUT").when(change.isNotNull(), "HOLD")
-    return filled.withColumn("imputed", F.coalesce("action", imputed)).drop("before")
+    return filled.withColumn("imputed", F.coalesce("action", imputed)).drop("__before", RANGE)
 
 
 def monthly_growth(levels: DataFrame, points: int = 24) -> DataFrame:
@@ -287,17 +288,17 @@ def even_sample(rows: DataFrame, order: str, group: str, target: int) -> DataFra
 
 
 def classified_alerts(statements: DataFrame, adopted: Column, contradicted: Column) -> DataFrame:
-    """statements (group, at, support, flip) classified in order around an adoption and a contradiction time."""
-    order = Window.partitionBy("group").orderBy("at", "id")
+    """statements (group, at, id, support, flip) classified in order around an adoption and a contradiction time."""
+    keys, order = ["group"], ["at", "id"]
     alerting = (F.col("at") >= contradicted) & F.col("flip") & ~F.col("support")
-    number = F.sum(alerting.cast("int")).over(order.rowsBetween(*UP_TO_NOW))
+    along = with_earlier(ranged(statements, keys, order), keys, order, {"__alerts": alerting.cast("int")})
     kind = (
         F.when(F.col("at") < adopted, "PRE_ADOPTION")
         .when(F.col("support") & F.col("flip"), "SUPPRESSED_SUPPORT_FLIP_COOCCURRENCE")
         .when(F.col("support"), "SUPPORT")
         .when(F.col("flip") & (F.col("at") < contradicted), "SUPPRESSED_PRE_CONTRADICTION")
-        .when(F.col("flip") & (number == 1), "ALERT")
+        .when(F.col("flip") & (F.col("__alerts") == 0), "ALERT")
         .when(F.col("flip"), "POST_ALERT_REPEAT")
         .otherwise("NO_MATCH")
     )
-    return statements.withColumn("class", kind)
+    return along.withColumn("class", kind).drop("__alerts", RANGE)
