@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import hash_tree as ht
 from ..operators import relational as r
 from ..sources import changes as c
 from ..sources import tables as s
@@ -130,10 +131,18 @@ def s15_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.registered(s.table(spark, sf_dir, "documents")).select("doc_id", "source", "content_hash", "n_sources", "document_id")
 
 
-@query("d15_manifest", f"""WITH {s.OUTCOMES_SQL} SELECT action, count(*) AS n_rows, sha256(string_agg(f, '|' ORDER BY f)) AS manifest
-FROM (SELECT action, sha256(meeting::VARCHAR || '|' || decided_on::VARCHAR || '|' || action) AS f FROM outc) GROUP BY 1""")
+def _spelled(*columns: str) -> str:
+    """A row's fingerprint in SQL."""
+    return "sha256(" + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+
+@query("d15_manifest", f"""WITH {s.OUTCOMES_SQL}, e AS (SELECT action, {_spelled('meeting', 'decided_on', 'action')} AS f, count(*) AS n FROM outc GROUP BY ALL),
+b AS (SELECT action, f[1:4] AS p, sum(n) AS n, sha256(string_agg(f || '*' || n, '|' ORDER BY f)) AS h FROM e GROUP BY 1, 2),
+m AS (SELECT action, p[1:2] AS p, sum(n) AS n, sha256(string_agg(p || ':' || h, '|' ORDER BY p)) AS h FROM b GROUP BY 1, 2)
+SELECT action, sum(n)::BIGINT AS n_rows, sha256(string_agg(p || ':' || h, '|' ORDER BY p)) AS root FROM m GROUP BY 1""")
 def d15_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.manifest_hash(c.fingerprints(s.outcomes(spark, sf_dir), ["meeting", "decided_on", "action"]), "action")
+    """The root over each action's rows, by 65,536 buckets."""
+    return ht.roots(s.outcomes(spark, sf_dir), ["meeting", "decided_on", "action"], "action", levels=2)
 
 
 @query("p02_document_manifest", f"""WITH {_DOCS} SELECT source, count(*) FILTER (usage NOT IN ('INPUT', 'AUDIT')) AS n_usage,
@@ -296,6 +305,18 @@ def j22_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.snapshot_diff(old, new, ["meeting"])
 
 
+@query("j22_changed_keys", f"""{_STORED} SELECT coalesce(o.meeting, n.meeting) AS meeting, CASE WHEN o.meeting IS NULL THEN 'ADDED' WHEN n.meeting IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change
+FROM (SELECT * FROM old WHERE meeting % 4 = 0 OR meeting % 7 = 0) o FULL JOIN new n ON o.meeting = n.meeting WHERE o.level IS DISTINCT FROM n.level OR o.action IS DISTINCT FROM n.action OR o.meeting IS NULL OR n.meeting IS NULL""")
+def j22_changed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that differ between two snapshots, by stored hash trees."""
+    old, new = _stored(spark, sf_dir)
+    old = old.filter("meeting % 4 = 0 or meeting % 7 = 0")
+    levels = ht.levels_for(max(old.count(), new.count()))
+    base = f"{scratch_dir(spark)}/trees-{uuid.uuid4().hex}"
+    trees = [ht.write_tree(x, ["meeting"], ["meeting", "decided_on", "action", "level"], f"{base}/{name}", levels) for name, x in (("old", old), ("new", new))]
+    return ht.tree_diff(spark, *trees)
+
+
 @query("a02_release_lookup", """SELECT l_orderkey AS meeting, l_linenumber AS round, o_orderkey AS release FROM lineitem LEFT JOIN (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = l_orderkey AND l_shipdate::DATE > d""")
 def a02_release_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     releases = s.outcomes(spark, sf_dir).filter("meeting % 2 = 0").select(F.col("meeting").alias("release"), "decided_on")

@@ -1,4 +1,4 @@
-"""Sources and sinks: folding feeds, upserts, verified inserts, fingerprints and document registration."""
+"""Sources and sinks: folding feeds, upserts, verified inserts and document registration."""
 
 from __future__ import annotations
 
@@ -57,18 +57,6 @@ def widened(old: DataFrame, new: DataFrame, defaults: dict[str, object]) -> Data
     return both.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def fingerprints(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with the SHA-256 of their columns, nulls spelled out."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
-    return rows.withColumn("fingerprint", F.sha2(F.concat_ws("|", *parts).cast("binary"), 256))
-
-
-def manifest_hash(fingerprinted: DataFrame, group: str) -> DataFrame:
-    """One hash a group over the sorted fingerprints of its rows."""
-    joined = F.array_join(F.sort_array(F.collect_list("fingerprint")), "|")
-    return fingerprinted.groupBy(group).agg(F.count("*").alias("n_rows"), F.sha2(joined.cast("binary"), 256).alias("manifest"))
-
-
 def registered(documents: DataFrame) -> DataFrame:
     """documents (text, source) with content hash, id and whether the same content has several provenances."""
     hashed = documents.withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
