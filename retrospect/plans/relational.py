@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import hash_tree as ht
 from ..operators import relational as r
 from ..sources import changes as c
+from ..sources import landing as la
 from ..sources import tables as s
 from ..sources.scratch import scratch_dir
 from ..sources.versioned import VersionedTable
@@ -47,6 +48,65 @@ def s03_s04_parsed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("series_id"), day.alias("date"), raw.alias("value_raw"), start.alias("realtime_start"), F.lit(None).cast("date").alias("realtime_end")))
 
 
+def _landed_corpus(spark: SparkSession, sf_dir: str) -> la.Split:
+    """Documents as CSV files: quotes over lines, bytes that are no UTF-8, and files that lack a column."""
+    docs = s.table(spark, sf_dir, "documents")
+    kind = F.element_at(F.array(F.lit("Statement"), F.lit("Minute"), F.lit("Memo")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    number = F.col("doc_id").cast("string")
+    text = F.concat(F.lit('"'), number, F.lit('",\n'), F.regexp_replace("text", r"[^\x00-\x7F]", "\u00e9"), F.when(F.pmod("doc_id", F.lit(7)) == 0, "\u00e9").otherwise(""))
+    rows = docs.select(F.when(F.pmod("doc_id", F.lit(17)) != 0, F.col("source")).alias("Date"), F.lit("2024-01-01").alias("Release Date"), kind.alias("Type"), text.alias("Text"), "doc_id")
+    written = {"header": True, "escape": '"', "encoding": "ISO-8859-1", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    base = f"{scratch_dir(spark)}/landed-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")  # files in the order of ids
+    dealt.drop("doc_id").write.options(**written).csv(f"{base}/a")
+    rows.filter("doc_id % 11 = 0").select("Date", "Release Date", "Type").write.options(**written).csv(f"{base}/b")
+    return la.landed_corpus(spark, base)
+
+
+_LANDED = """x AS (SELECT source AS date, ['Statement', 'Minute', 'Memo'][(doc_id % 3) + 1] AS kind, doc_id,
+'"' || doc_id || '",' || chr(10) || regexp_replace(text, '[^\\x00-\\x7F]', chr(65533), 'g') || CASE WHEN doc_id % 7 = 0 THEN chr(65533) ELSE '' END AS text FROM documents)"""
+
+
+@query("s01_landed_corpus", f"""WITH {_LANDED} SELECT date, md5(arg_max(text, doc_id) FILTER (kind = 'Statement')) AS "Statement", md5(arg_max(text, doc_id) FILTER (kind = 'Minute')) AS "Minute"
+FROM x WHERE doc_id % 17 <> 0 AND date IS NOT NULL AND kind <> 'Memo' GROUP BY 1""")
+def s01_landed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, _ = _landed_corpus(spark, sf_dir)
+    folded = c.folded_corpus(accepted.withColumn("ordinal", F.struct("file", "position")))
+    return folded.select("date", *[F.md5(k).alias(k) for k in la.KINDS])
+
+
+@query("s01_rejects", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 17 = 0 OR source IS NULL THEN 'NO_DATE' WHEN doc_id % 3 = 2 THEN 'KIND' END AS reason FROM documents
+UNION ALL SELECT 'COLUMNS' FROM documents WHERE doc_id % 11 = 0) WHERE reason IS NOT NULL GROUP BY 1""")
+def s01_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = _landed_corpus(spark, sf_dir)
+    return rejected.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _landed_feed(spark: SparkSession, sf_dir: str) -> la.Split:
+    """Events as JSON lines; some values are ".", some lines were cut off, some lack their date."""
+    day = F.to_date("ts")
+    own = lambda n: F.pmod("event_id", F.lit(n))
+    line = F.to_json(F.struct(
+        F.col("event_type").alias("series_id"), F.when(own(19) != 0, day).alias("date"), F.when(own(7) == 0, ".").otherwise(F.col("event_id").cast("string")).alias("value"),
+        F.when(own(3) != 0, F.date_add(day, own(3).cast("int"))).alias("realtime_start"),
+    ))
+    cut = F.when(own(13) == 0, F.left(line, F.lit(20))).otherwise(line)
+    path = f"{scratch_dir(spark)}/feed-{uuid.uuid4().hex}"
+    s.table(spark, sf_dir, "events").select(cut.alias("line")).write.text(path)
+    return la.landed_feed(spark, path)
+
+
+@query("s03_landed_feed", """SELECT event_type AS series_id, ts::DATE AS date, CASE WHEN event_id % 7 = 0 THEN '.' ELSE event_id::VARCHAR END AS value_raw, CASE WHEN event_id % 7 <> 0 THEN event_id::DOUBLE END AS value,
+ts::DATE + (event_id % 3)::INTEGER AS realtime_start, DATE '9999-12-31' AS realtime_end, CASE WHEN event_id % 3 = 0 THEN 'OBSERVATION_DATE_PROXY' ELSE 'VINTAGE' END AS mode FROM events WHERE event_id % 13 <> 0 AND event_id % 19 <> 0""")
+def s03_landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c.parsed_feed(_landed_feed(spark, sf_dir)[0])
+
+
+@query("s03_rejects", "SELECT CASE WHEN event_id % 13 = 0 THEN 'PARSE' ELSE 'NO_KEY' END AS reason, count(*) AS n FROM events WHERE event_id % 13 = 0 OR event_id % 19 = 0 GROUP BY 1")
+def s03_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed_feed(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("s05_chunk_merge", "SELECT event_type AS series_id, ts::DATE AS date, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 def s05_chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date"), "value", "event_id")

@@ -13,9 +13,8 @@ def keep_last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def folded_corpus(rows: DataFrame) -> DataFrame:
-    """One row a date with the last Statement and the last Minute text (date, kind, text, ordinal)."""
-    last = keep_last(rows, ["date", "kind"], F.col("ordinal"))
-    return last.groupBy("date").pivot("kind", ["Statement", "Minute"]).agg(F.first("text"))
+    """One row a date with the last Statement and the last Minute text of rows (date, kind, text, ordinal)."""
+    return rows.groupBy("date").pivot("kind", ["Statement", "Minute"]).agg(F.max_by("text", "ordinal"))
 
 
 def parsed_feed(rows: DataFrame) -> DataFrame:
