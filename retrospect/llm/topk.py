@@ -9,9 +9,11 @@ k are in; what is still equal at the end ties exactly and is taken in order of i
 a query, and a final ranking over the blocks gives the answer.
 
 The query set meets all rows in cells of one index block and one query block; the work per row is bitmap arithmetic.
-Vectors that are null or hold null or non-finite components take no part, nor do those whose quantised squared length
-reaches 2^62: by Cauchy and Schwarz no score can pass 63 bits then. Shorter vectors count as padded with zeros, an empty
-one has score 0 with all; rows that repeat an id are rows of their own, and all rows with the query's id are left out;
+Vectors that are null or hold null or non-finite components take no part. Where the quantised squared lengths of a
+block's rows and of the query are below 2^62, no score passes 63 bits by Cauchy and Schwarz; longer vectors are wide: they
+lie in blocks of their own, of fewer rows, and numbers of any length take the place of 64-bit ones, so that scores stay
+exact. A score among a block's best that no long can hold ends the query with an error, rather than being left out.
+Shorter vectors count as padded with zeros, an empty one has score 0 with all; rows that repeat an id are rows of their own, and all rows with the query's id are left out;
 ids that are null take no part. An empty table, or one without queries, gives no rows. `queries` may use vec_id and vec;
 other columns of the table are ignored, whatever their names.
 """
@@ -29,23 +31,31 @@ from .common import ship_package, staged
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id and vec (array of long) of the rows that take part."""
+    """vec_id, vec (array of whole doubles) and wide (too long for 64-bit scores) of the rows that take part."""
     x = F.col("embedding")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    whole = lambda v: F.floor(v.cast("double") * scale)
-    squared = F.aggregate(x, F.lit(0.0), lambda total, v: total + F.pow(v.cast("double") * scale, F.lit(2.0)))
-    kept = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, finite)).filter(squared < F.lit(2.0**62))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: whole(v).cast("long")).alias("vec"))
+    scaled = lambda v: v.cast("double") * F.lit(float(scale))
+    # Beyond 2^53 a double is whole, and floor would make it a long.
+    whole = lambda v: F.when(F.abs(v) < F.lit(2.0**53), F.floor(v).cast("double")).otherwise(v)
+    squared = F.aggregate("vec", F.lit(0.0), lambda total, v: total + v * v)
+    kept = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, finite))
+    rows = kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: whole(scaled(v))).alias("vec"))
+    return rows.withColumn("wide", squared >= F.lit(2.0**61))  # half of the bound, as the sum is rounded
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width), dtype=np.int64)
+    out = np.zeros((len(vectors), width))
     for row, v in zip(out, vectors, strict=True):
         row[: len(v)] = v
     return out
 
 
+def _whole(values: np.ndarray, wide: bool) -> np.ndarray:
+    """Whole doubles as 64-bit numbers, or as numbers of any length."""
+    return np.frompyfunc(int, 1, 1)(values).astype(object) if wide else values.astype(np.int64)
+
+
 def _bitmaps(bits: np.ndarray) -> np.ndarray:
     """Rows of 0/1 as rows of 64-bit words."""
     packed = np.packbits(bits, axis=-1, bitorder="little")
@@ -54,11 +64,12 @@ def _bitmaps(bits: np.ndarray) -> np.ndarray:
 
 
 def build_block(block: pd.DataFrame) -> pd.DataFrame:
-    """One index row: ids in order, values, lowest value of each component, bit slices [component, bit, word]."""
+    """One index row: ids in order, values (whole doubles), bit slices [component, bit, word]."""
     block = block.sort_values("vec_id", kind="stable")
     values = _matrix(block["vec"])
-    lows = values.min(axis=0)
-    raised = (values - lows).T
+    wide = bool(block["wide"].iloc[0])
+    whole = _whole(values, wide)
+    raised = (whole - whole.min(axis=0)).T
     bits = max(1, int(raised.max(initial=0)).bit_length())
     slices = np.stack([_bitmaps(((raised >> b) & 1).astype(np.uint8)) for b in range(bits)], axis=1)
     return pd.DataFrame(
@@ -67,18 +78,18 @@ def build_block(block: pd.DataFrame) -> pd.DataFrame:
             "n_rows": [len(block)],
             "dims": [values.shape[1]],
             "bits": [bits],
+            "wide": [wide],
             "ids": [block["vec_id"].to_numpy(np.int64).tobytes()],
             "values": [values.tobytes()],
-            "lows": [lows.tobytes()],
             "slices": [slices.tobytes()],
         }
     )
 
 
-def score_slices(slices: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
+def score_slices(slices: np.ndarray, query: list[int]) -> list[np.ndarray]:
     """Bitmaps of the score's bits, least first, up to the block's constant."""
     columns: dict[int, list[np.ndarray]] = {}
-    for component, q in zip(slices, query.tolist(), strict=True):
+    for component, q in zip(slices, query, strict=True):
         if q:
             planes = component if q > 0 else ~component
             size = abs(q)
@@ -134,21 +145,25 @@ def search_cell(cell: pd.Series, k: int) -> Iterator[tuple[int, int, int]]:
     """query_id, vec_id, score of every query's best rows in one cell of an index block and a query block."""
     n, dims, bits = cell["n_rows"], cell["dims"], cell["bits"]
     ids = np.frombuffer(cell["ids"], np.int64)
-    values = np.frombuffer(cell["values"], np.int64).reshape(n, dims)
+    values = np.frombuffer(cell["values"]).reshape(n, dims)
     slices = np.frombuffer(cell["slices"], np.uint64).reshape(dims, bits, -1)
     present = _bitmaps(np.ones((1, n), np.uint8))[0]
     for query in cell["queries"]:
-        vec = np.zeros(dims, np.int64)
-        given = np.asarray(query["vec"], np.int64)[:dims]
+        vec = np.zeros(dims)
+        given = np.asarray(query["vec"], float)[:dims]
         vec[: len(given)] = given
+        wide = bool(cell["wide"] or query["wide"])
+        vec = _whole(vec, wide)
         own = slice(*np.searchsorted(ids, [query["vec_id"], query["vec_id"] + 1]))
         allowed = present
         if own.stop > own.start:
             mask = np.ones((1, n), np.uint8)
             mask[0, own] = 0
             allowed = _bitmaps(mask)[0]
-        rows = best_rows(score_slices(slices, vec), allowed, k)
-        for vec_id, score in zip(ids[rows].tolist(), (values[rows] @ vec).tolist(), strict=True):
+        rows = best_rows(score_slices(slices, vec.tolist()), allowed, k)
+        for vec_id, score in zip(ids[rows].tolist(), (_whole(values[rows], wide) @ vec).tolist(), strict=True):
+            if not -(1 << 63) <= score < 1 << 63:
+                raise OverflowError(f"the score of {query['vec_id']} and {vec_id} does not fit 64 bits")
             yield query["vec_id"], vec_id, score
 
 
@@ -156,15 +171,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, b
     """query_id, rank, vec_id, score: the k best other rows for each row of vectors that `queries` selects."""
     ship_package(vectors.sparkSession)
     rows = staged(quantised(vectors, scale).withColumn("is_query", queries), "vectors")
-    n, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
+    n, n_wide, n_queries = rows.agg(F.count_if(~F.col("wide")), F.count_if("wide"), F.count_if("is_query")).first()
+    wide_rows = max(1, block_rows // 64)  # their slices are many
+    blocks, wide_blocks, query_blocks = (max(1, -(-m // size)) for m, size in ((n, block_rows), (n_wide, wide_rows), (n_queries, query_rows)))
     deal = lambda parts: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(parts)).cast("int")
     index = staged(
-        rows.withColumn("block", deal(blocks))
+        rows.withColumn("block", F.when(F.col("wide"), -1 - deal(wide_blocks)).otherwise(deal(blocks)))
         .groupBy("block")
         .applyInPandas(
             build_block,
-            "block int, n_rows int, dims int, bits int, ids binary, values binary, lows binary, slices binary",
+            "block int, n_rows int, dims int, bits int, wide boolean, ids binary, values binary, slices binary",
         ),
         "bit-sliced-index",
     )
@@ -172,9 +188,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, b
         rows.filter("is_query")
         .withColumn("query_block", deal(query_blocks))
         .groupBy("query_block")
-        .agg(F.collect_list(F.struct("vec_id", "vec")).alias("queries"))
+        .agg(F.collect_list(F.struct("vec_id", "vec", "wide")).alias("queries"))
     )
-    cells = index.drop("lows").withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(asked, "query_block")
+    cells = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(asked, "query_block")
 
     def search(_: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         found = [hit for _, one in cell.iterrows() for hit in search_cell(one, k)]

@@ -345,13 +345,20 @@ def test_top_k(spark):
     assert top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_top_k_leaves_out_what_could_overflow(spark):
-    rows = [(0, [1e30, 0.0]), (1, [1e6, 1.0]), (2, [1e6, -1.0]), (3, [-1e6, 0.0]), (10, []), (11, [3e12, 0.0])]
+def test_top_k_of_long_vectors(spark):
+    """Vectors whose squares pass 63 bits are scored exactly; only a score that no long can hold ends the query."""
+    rows = [(0, [1e30, 3.0]), (1, [0.0, 2.5]), (2, [1e6, -1.0]), (3, [-1e6, 0.0]), (4, [-1e38, 5.0]), (5, [7.0, 4e9]), (6, [0.0, 2e12]), (10, []), (11, [3e12, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = top_k(frame, F.col("vec_id") == 1, k=5).orderBy("rank").collect()
     q = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
-    score = lambda i: sum(a * b for a, b in zip(q[1], q[i]))
-    assert [(r.vec_id, r.score) for r in found] == [(2, score(2)), (10, 0), (3, score(3))]
+    score = lambda a, b: sum(x * y for x, y in zip(q[a], q[b]))
+    for asked in (1, 10):
+        found = top_k(frame, F.col("vec_id") == asked, k=9, block_rows=64).orderBy("rank").collect()
+        expected = sorted(((i, score(asked, i)) for i in q if i != asked), key=lambda pair: (-pair[1], pair[0]))
+        assert [(r.vec_id, r.score) for r in found] == expected
+    found = top_k(frame.filter("vec_id in (2, 3, 5, 10)"), F.col("vec_id") == 5, k=9).orderBy("rank").collect()  # a long query, short rows
+    assert [(r.vec_id, r.score) for r in found] == sorted(((i, score(5, i)) for i in (2, 3, 10)), key=lambda pair: -pair[1])
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_k(frame, F.col("vec_id") == 2, k=5).collect()
 
 
 def test_hot_lines_are_paired_in_pieces(docs):
