@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import claims
+
 
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])[ \t\n\x0b\f\r]+")
@@ -50,9 +52,21 @@ def completeness(rows: DataFrame, group: str, kind: str, required: list[str]) ->
     return rows.groupBy(group).agg(F.sort_array(F.collect_set(kind)).alias("present")).select(group, "present", F.array_except(want, "present").alias("missing"))
 
 
+def linted(assumptions: DataFrame, series: DataFrame) -> DataFrame:
+    """assumptions (monitor_series_id, claim, monitor_operator, threshold_value, monitor_rule_version) with their faults.
+
+    series (series_id, units) is the metadata, an id once.
+    """
+    known = series.select(F.col("series_id").alias("monitor_series_id"), F.col("units").alias("__units"), F.lit(True).alias("__known"))
+    faults = claims.monitor_faults(
+        F.col("monitor_series_id"), F.col("claim"), F.col("monitor_operator"), F.col("threshold_value"), F.col("monitor_rule_version"), F.col("__units"), F.col("__known"),
+    )
+    return assumptions.join(known, "monitor_series_id", "left").withColumn("faults", faults).drop("__units", "__known")
+
+
 def merged_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Votes (meeting, participant, dissent) under canonical ids; a meeting with both choices is a conflict."""
-    mapped = rows.join(F.broadcast(aliases.select(F.col("alias").alias("participant"), "canonical")), "participant", "left")
+    mapped = rows.join(aliases.select(F.col("alias").alias("participant"), "canonical"), "participant", "left")
     return mapped.groupBy("meeting", F.coalesce("canonical", "participant").alias("member")).agg(
         F.max("dissent").alias("dissent"), (F.count_distinct("dissent") > 1).alias("conflict")
     )

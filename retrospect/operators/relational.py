@@ -18,8 +18,8 @@ def manifest_filter(documents: DataFrame, cutoff: Column, allowed: list[str]) ->
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """rule, key of every row that breaks a rule; a rule that is null is not broken."""
-    broken = [rows.filter(~condition).select(F.lit(name).alias("rule"), F.col(key).alias("key")) for name, condition in rules.items()]
-    return reduce(DataFrame.unionByName, broken)
+    broken = F.array_compact(F.array(*[F.when(~condition, F.lit(name)) for name, condition in rules.items()]))
+    return rows.select(F.explode(broken).alias("rule"), F.col(key).alias("key"))
 
 
 def key_audit(child: DataFrame, child_key: list[str], parent: DataFrame, foreign: str, parent_key: str) -> DataFrame:

@@ -76,8 +76,9 @@ def as_of_union(versions: DataFrame, cutoffs: DataFrame) -> DataFrame:
         F.struct("observation_date", "realtime_start", "value").alias("best"),
         F.lit(None).cast("string").alias("meeting_id"),
     )
-    series = versions.select("series_id").distinct()
-    asked = cutoffs.join(series).select(
+    # A series is asked from its first visible version on only: cutoffs before it have no row.
+    begun = seen.groupBy("series_id").agg(F.min("at").alias("first_day")).withColumn("no_end", F.lit(None).cast("date"))
+    asked = interval_join(begun, cutoffs, "first_day", "no_end", "cutoff").select(
         "series_id", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(seen.schema["best"].dataType).alias("best"), "meeting_id"
     )
     along = carried(seen.unionByName(asked), ["series_id"], "at", ["kind"], ["best"])

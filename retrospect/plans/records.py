@@ -23,13 +23,34 @@ def f07_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("doc_id", F.size("z").alias("n"), F.md5(F.array_join("z", "\n").cast("binary")).alias("h"))
 
 
-LINT = {"COMPOUND": r"\band\b|\bor\b", "RANGE": "[0-9]+ to [0-9]+", "SHORT": "^.{0,40}$", "TEMPORAL": "until|after"}
-
-
-@query("f18_lint", "SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?s){p}') THEN '{n}' END" for n, p in LINT.items()) + "], lambda z: z IS NOT NULL) AS violations FROM conversations")
+#: Claims in which a number takes the place of #; SQL knows by their place which faults they have.
+_CLAIMS = [
+    "Inflation will exceed #", "Growth stays between # and 9 percent", "Unemployment at #% to 40%", "Spending moves symmetrically near its  target of #",
+    "Yields rise, provided that oil stays below #", "Job losses with CPI above #", "Rates peak near #, then fall", "Output continues to improve past #",
+    "Output stays above #",
+]
+_SERIES = ["CPIAUCSL", "UNRATE", "T10YIE", "HOUST", "GONE"]
+
+
+@query("f18_lint", """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 9 AS c, ['CPIAUCSL', 'UNRATE', 'T10YIE', 'HOUST', 'GONE'][(conv_id % 5) + 1] AS s, turn % 2 = 0 AS yoy, conv_id % 3 <> 0 AS above, turn % 3 - 1 AS x FROM conversations)
+SELECT conv_id, turn, CASE WHEN s = 'GONE' THEN ['monitor_series_metadata_is_missing'] ELSE list_filter([
+CASE WHEN s = 'CPIAUCSL' AND NOT yoy THEN 'index_percent_threshold_requires_yoy_transform' END, CASE WHEN s = 'HOUST' AND above AND x <= 0 THEN 'nonnegative_level_threshold_is_tautological' END,
+CASE WHEN c IN (1, 2, 3) THEN 'range_or_symmetric_claim_requires_atomic_rewrite' END,
+CASE WHEN c = 4 OR (s = 'UNRATE' AND c IN (0, 5)) OR (s IN ('CPIAUCSL', 'T10YIE') AND c IN (2, 5)) THEN 'compound_claim_requires_atomic_rewrite' END,
+CASE WHEN c IN (6, 7) THEN 'temporal_path_requires_atomic_rewrite' END], lambda z: z IS NOT NULL) END AS faults FROM c""")
 def f18_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(f"(?s){p}"), F.lit(n)) for n, p in LINT.items()]))
-    return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("violations"))
+    """Claims spelled out for every turn, of a series of its conversation."""
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    own = lambda name, n: F.pmod(name, F.lit(n))
+    claim = F.replace(pick(_CLAIMS, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9))), F.lit("#"), F.col("turn").cast("string"))
+    rows = s.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", pick(_SERIES, own("conv_id", 5)).alias("monitor_series_id"), claim.alias("claim"),
+        F.when(own("conv_id", 3) == 0, "LT").when(own("conv_id", 3) == 1, "gte").otherwise("GT").alias("monitor_operator"),
+        (own("turn", 3) - 1).cast("double").alias("threshold_value"), F.when(own("turn", 2) == 0, "YoY_v1").otherwise("level_v1").alias("monitor_rule_version"),
+    )
+    units = {"CPIAUCSL": "Index 1982-1984=100", "UNRATE": "Percent", "T10YIE": "Percent", "HOUST": " Thousands of Units"}
+    series = spark.createDataFrame(list(units.items()), "series_id string, units string")
+    return r.linted(rows, series).select("conv_id", "turn", "faults")
 
 
 @query("d01_date_ranges", f"WITH {s.OUTCOMES_SQL} SELECT DISTINCT decided_on AS start_day, decided_on + 1 AS end_day FROM outc")
