@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,54 @@ def best_threshold(trace: DataFrame) -> DataFrame:
     return trace.agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", "balanced", "precision", "threshold")).alias("best")).select("best.*")
 
 
+BASELINES = ("all_for", "previous_vote", "prior_dissent_rate")
+
+
+def vote_baselines(history: DataFrame, in_test: Column, thresholds: list[float]) -> DataFrame:
+    """baseline, threshold, its binary report on the test rows and whether it is the one that a model has to beat.
+
+    history has dissent, previous_dissent and prior_rate. The threshold of prior_dissent_rate is chosen on training rows
+    only, by F1, balanced accuracy, precision, then the higher one; without training rows it is null and that baseline
+    never expects a dissent. The reference is the best by F1, balanced accuracy and precision, ties to the order of
+    BASELINES. Without test rows there is no result.
+    """
+    chosen = best_threshold(threshold_trace(history.filter(~in_test), thresholds)).select(F.col("threshold").alias("chosen"))  # one row
+    cases = history.filter(in_test).groupBy("dissent", "previous_dissent", "prior_rate").agg(F.count("*").alias("n"))
+    said = (F.lit(False), F.col("previous_dissent"), F.col("prior_rate") >= F.col("chosen"))
+    each = [F.struct(F.lit(i).alias("place"), F.lit(b).alias("baseline"), F.coalesce(x, F.lit(False)).alias("said")) for i, (b, x) in enumerate(zip(BASELINES, said, strict=True))]
+    rows = cases.crossJoin(F.broadcast(chosen)).select("dissent", "n", "chosen", F.explode(F.array(*each)).alias("b")).select("dissent", "n", "chosen", "b.*")
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    a, x = F.col("dissent"), F.col("said")
+    counts = rows.groupBy("place", "baseline", F.when(F.col("place") == 2, F.col("chosen")).alias("threshold")).agg(
+        n(a & x).alias("tp"), n(~a & x).alias("fp"), n(a & ~x).alias("fn"), n(~a & ~x).alias("tn")
+    )
+    best = Window.orderBy(F.col("f1").desc(), F.col("balanced").desc(), F.col("precision").desc(), "place")  # three rows
+    return binary_report(counts).withColumn("is_reference", F.row_number().over(best) == 1).drop("place")
+
+
+def frozen_split_report(cases: DataFrame, in_test: Column, classes: list[str]) -> DataFrame:
+    """predictor (majority, persistence), class, support, precision, recall, f1 on the test rows of cases (actual, persisted).
+
+    The majority is the most frequent action of the training rows, ties to the order of the classes; without training
+    rows it is null and hits nothing. A null persisted action hits nothing.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("actual"))
+    sizes = cases.filter(~in_test).groupBy("actual").agg(F.count("*").alias("n"))
+    majority = sizes.agg(F.max_by("actual", F.struct(F.col("n"), -place)).alias("majority"))  # one row
+    test = cases.filter(in_test).groupBy("actual", "persisted").agg(F.count("*").alias("n")).crossJoin(F.broadcast(majority))
+    each = F.array(F.struct(F.lit("majority").alias("predictor"), F.col("majority").alias("predicted")), F.struct(F.lit("persistence").alias("predictor"), F.col("persisted").alias("predicted")))
+    said = test.select("actual", "n", F.explode(each).alias("p"))
+    rows = said.select("actual", "n", "p.*", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+    n = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    own, told = F.col("actual") == F.col("class"), F.coalesce(F.col("predicted") == F.col("class"), F.lit(False))
+    counts = rows.groupBy("predictor", "class").agg(n(own).alias("support"), n(told).alias("said"), n(own & told).alias("hit"))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    return counts.select(
+        "predictor", "class", "support", ratio(F.col("hit"), F.col("said")).alias("precision"), ratio(F.col("hit"), F.col("support")).alias("recall"),
+        ratio(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"),
+    )
+
+
 def ensemble(predictions: DataFrame, need: int, fallback: Column) -> DataFrame:
     """case, choice: the class that at least `need` predictions (case, action) name, else the fallback."""
     counts = predictions.groupBy("case", "action").agg(F.count("*").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as e
+from ..operators import hash_tree as ht
 from ..operators import temporal as t
 from ..sources import tables as s
 from ..sources.scratch import scratch_dir
@@ -60,6 +61,48 @@ def m07_o07_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.best_threshold(m07_threshold_trace(spark, sf_dir))
 
 
+_SPLIT = "1997-01-01"
+
+
+def _dated(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rows.join(s.outcomes(spark, sf_dir).select("meeting", "decided_on"), "meeting")
+
+
+def _in_test() -> Column:
+    return F.col("decided_on") >= F.lit(_SPLIT).cast("date")
+
+
+@query("m07_vote_baselines", f"""WITH {s.VOTES_SQL}, {s.OUTCOMES_SQL}, h AS (SELECT meeting, dissent, avg(dissent::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rate, coalesce(lag(dissent) OVER w, false) AS prev FROM mv WINDOW w AS (PARTITION BY participant ORDER BY meeting)),
+d AS (SELECT h.*, decided_on >= DATE '{_SPLIT}' AS test FROM h JOIN outc USING (meeting)), g AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}]::DOUBLE[]) AS threshold),
+k AS (SELECT threshold, count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn FROM (SELECT threshold, dissent, coalesce(rate >= threshold, false) AS said FROM d, g WHERE NOT test) GROUP BY 1),
+b AS (SELECT threshold AS t FROM ({_REPORT} k) ORDER BY f1 DESC, balanced DESC, precision DESC, threshold DESC LIMIT 1),
+u AS (SELECT 'all_for' AS baseline, 0 AS place, dissent, false AS said FROM d WHERE test UNION ALL SELECT 'previous_vote', 1, dissent, prev FROM d WHERE test UNION ALL SELECT 'prior_dissent_rate', 2, dissent, coalesce(rate >= t, false) FROM d, b WHERE test),
+c AS (SELECT baseline, place, count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn FROM u GROUP BY 1, 2)
+SELECT z.* EXCLUDE (place), CASE WHEN place = 2 THEN t END AS threshold, row_number() OVER (ORDER BY f1 DESC, balanced DESC, precision DESC, place) = 1 AS is_reference FROM ({_REPORT} c) z, b""")
+def m07_vote_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines on votes from a date on, with the threshold of the votes before it."""
+    return e.vote_baselines(_dated(spark, sf_dir, _history(spark, sf_dir)), _in_test(), THRESHOLDS)
+
+
+@query("m06_frozen_split", f"""WITH {s.OUTCOMES_SQL}, p AS (SELECT action, decided_on >= DATE '{_SPLIT}' AS test, lag(action) OVER (PARTITION BY o_custkey ORDER BY meeting) AS persisted FROM outc JOIN orders ON meeting = o_orderkey),
+m AS (SELECT action AS a FROM p WHERE NOT test GROUP BY 1 ORDER BY count(*) DESC, list_position(['CUT', 'HOLD', 'HIKE'], action) LIMIT 1),
+u AS (SELECT 'majority' AS predictor, action, a AS said FROM p, m WHERE test UNION ALL SELECT 'persistence', action, persisted FROM p WHERE test),
+k AS (SELECT predictor, c AS class, count(*) FILTER (action = c) AS support, count(*) FILTER (said = c) AS n, count(*) FILTER (action = c AND said = c) AS hit FROM u, (VALUES ('CUT'), ('HOLD'), ('HIKE')) v(c) GROUP BY 1, 2)
+SELECT predictor, class, support, coalesce(hit::DOUBLE / nullif(n, 0), 0) AS precision, coalesce(hit::DOUBLE / nullif(support, 0), 0) AS recall, coalesce(2.0::DOUBLE * hit / nullif(n + support, 0), 0) AS f1 FROM k""")
+def m06_frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    desks = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting"), F.col("o_custkey").alias("desk"))
+    cases = t.persistence(s.outcomes(spark, sf_dir).join(desks, "meeting"), "desk").withColumnRenamed("action", "actual")
+    return e.frozen_split_report(cases, _in_test(), CLASSES)
+
+
+@query("m06_split_hash", f"""WITH {s.OUTCOMES_SQL}, e AS (SELECT decided_on >= DATE '{_SPLIT}' AS test, sha256(length(meeting::VARCHAR) || ':' || meeting || '|' || length(action) || ':' || action) AS f, count(*) AS n FROM outc GROUP BY ALL),
+b AS (SELECT test, f[1:4] AS p, sum(n) AS n, sha256(string_agg(f || '*' || n, '|' ORDER BY f)) AS h FROM e GROUP BY 1, 2), m AS (SELECT test, p[1:2] AS p, sum(n) AS n, sha256(string_agg(p || ':' || h, '|' ORDER BY p)) AS h FROM b GROUP BY 1, 2)
+SELECT test, sum(n)::BIGINT AS n_rows, sha256(string_agg(p || ':' || h, '|' ORDER BY p)) AS root FROM m GROUP BY 1""")
+def m06_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of each side of the split: an evaluation names the cases that it saw."""
+    return ht.roots(s.outcomes(spark, sf_dir).withColumn("test", _in_test()), ["meeting", "action"], "test", levels=2)
+
+
 @query("a12_m08_micro_average", f"{_HISTORY}, k AS (SELECT meeting % 5 AS variant, count(*) FILTER (dissent AND said) AS tp, count(*) FILTER (NOT dissent AND said) AS fp, count(*) FILTER (dissent AND NOT said) AS fn, count(*) FILTER (NOT dissent AND NOT said) AS tn FROM (SELECT meeting, dissent, coalesce(prior_rate >= 0.3, false) AS said FROM h) GROUP BY 1) {_REPORT} k")
 def a12_m08_micro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.coalesce(F.col("prior_rate") >= 0.3, F.lit(False))
