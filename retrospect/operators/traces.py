@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.substring import longest_common
 from ..sources.workers import ship_package
 
 _REF = "array<struct<document_id: string, locator: string, excerpt: string>>"
@@ -83,20 +84,18 @@ def enterprise_violations(traces: DataFrame, references: DataFrame, registry: Da
 def repaired_excerpts(spark: SparkSession, references: DataFrame, longest: int = 1000, window: int = 900, lead: int = 350) -> DataFrame:
     """references (key, hint, unit) with excerpt and tier: EXACT, UNIT for short units, ANCHOR for long ones, KEPT.
 
-    The first two are column expressions; only what is left goes through Python: the longest common part of hint and unit
-    anchors a window of the unit, if it is long enough.
+    The first two are column expressions; only what is left goes through Python: the longest common part of hint and unit,
+    in any case, anchors a window of the unit, if it is long enough. Its time grows with the sum of both lengths.
     """
     ship_package(spark)
 
     @F.pandas_udf("string")
     def anchored(hints: pd.Series, units: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
         out = []
         for hint, unit in zip(hints, units, strict=True):
-            part = SequenceMatcher(None, hint.lower(), unit.lower(), autojunk=False).find_longest_match()
-            end = min(len(unit), max(0, part.b - lead) + window)
-            out.append(unit[max(0, end - window) : end] if part.size >= min(40, max(12, len(hint) // 3)) else None)
+            size, _, at = longest_common(hint.casefold(), unit.casefold())
+            end = min(len(unit), max(0, at - lead) + window)
+            out.append(unit[max(0, end - window) : end] if size >= min(40, max(12, len(hint) // 3)) else None)
         return pd.Series(out, dtype=object)
 
     flat = lambda c: F.trim(F.regexp_replace(c, "[\\s ]+", " "))

@@ -11,6 +11,7 @@ from ..functions import text as x
 from ..operators import articles as a
 from ..operators import corpus as k
 from ..operators import minutes as m
+from ..operators import names as nm
 from ..sources import corpus as c
 from ..sources import tables as s
 from .registry import query
@@ -76,6 +77,30 @@ def f19_f20_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.select("meeting", md5("said").alias("before"), md5("t").alias("h"), F.size(d.leaks(F.col("t"), F.col("names"))).alias("n_leaks"))
 
 
+_LAST = "string_split(name, ' ')[-1]"
+
+
+@query("f19_listed_names", f"""WITH {c.ROSTER_SQL} SELECT meeting, md5(string_agg('[REDACTED_PARTICIPANT] (or [REDACTED_PARTICIPANT]) met ' || {_LAST} || 'x and ' || 'Zoe Q' || participant || '.', chr(10) ORDER BY participant)) AS h FROM ros GROUP BY 1""")
+def f19_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each member of a meeting: the name, its last word in capitals, a longer word and somebody of no list."""
+    people = c.rosters(spark, sf_dir).select("meeting", "ids", "names")
+    last = lambda n: F.element_at(F.split(n, " "), -1)
+    line = lambda i, n: F.concat(n, F.lit(" (or "), F.upper(last(n)), F.lit(") met "), last(n), F.lit("x and "), F.concat(F.lit("Zoe Q"), i.cast("string")), F.lit("."))
+    texts = people.select(F.col("meeting").alias("text_id"), F.col("meeting").alias("list_id"), F.array_join(F.zip_with("ids", "names", line), "\n").alias("text"))
+    hidden = nm.redacted(c.dealt(texts, "text_id"), people.select(F.col("meeting").alias("list_id"), F.explode("names").alias("name")))
+    return hidden.select(F.col("text_id").alias("meeting"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+@query("j17_member_mentions", f"""WITH {c.ROSTER_SQL}, seen AS (SELECT participant FROM ros GROUP BY 1 HAVING count(*) >= 2)
+SELECT meeting, list(participant ORDER BY participant)[1:6] AS ids FROM ros SEMI JOIN seen USING (participant) GROUP BY 1""")
+def j17_member_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with two votes and more, by last name, in whole statements."""
+    roster = c.rosters(spark, sf_dir).select(F.explode(F.arrays_zip("ids", "names")).alias("r"))
+    members = roster.groupBy(F.col("r.ids").alias("id"), F.col("r.names").alias("name")).agg(F.count("*").alias("votes")).withColumn("place", F.col("id"))
+    said = c.statements(spark, sf_dir).select(F.col("meeting").alias("text_id"), F.col("statement").alias("text"))
+    return nm.member_mentions(said, members).withColumnRenamed("text_id", "meeting")
+
+
 @query("o06_minute_picks", """WITH l AS (SELECT l_orderkey AS meeting, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place FROM lineitem WHERE l_orderkey % 2 = 0 AND l_returnflag IN ('A', 'N')),
 r AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY l_returnflag, place)::INTEGER AS rank FROM l) SELECT meeting, rank, 1 AS kind, l_partkey || '-' || l_linenumber AS item FROM r WHERE rank <= 13""")
 def o06_minute_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
