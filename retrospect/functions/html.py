@@ -69,7 +69,8 @@ def paragraphs(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "ordinal", "text"])
 
     ship_package(pages.sparkSession)
-    return pages.select(*_PAGE_COLUMNS).mapInPandas(scan, "page_id long, ordinal int, text string")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select(*_PAGE_COLUMNS).mapInPandas(scan, f"page_id {kind}, ordinal int, text string")
 
 
 def line_blocks(pages: DataFrame) -> DataFrame:
