@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bundles as b
+from ..operators import evidence as ev
 from ..sources import corpus as c
 from ..sources import tables as s
 from ..sources.scratch import staged
@@ -122,3 +123,21 @@ def b18_document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     alone = every(5).select("meeting", F.array(F.lit("statement")).alias("required"))
     registered = every(7).select("meeting", F.lit("minutes").alias("document_type"))
     return b.document_completeness(made["meetings"], made["documents"].filter("document_type <> 'transcript'"), ["statement", "minutes"], alone, registered)
+
+
+@query("o05_member_evidence", """WITH li AS (SELECT l_orderkey AS meeting, l_suppkey AS participant, l_partkey, l_linenumber, l_quantity, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS ordinal FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT DISTINCT meeting, participant, day AS cutoff FROM li), t AS (SELECT meeting AS source, participant, ordinal, (day + 30)::VARCHAR || 'T12:00:00Z' AS published FROM li),
+c1 AS (SELECT a.meeting, participant, source || '-transcript' AS document_id, 'transcript segment ' || ordinal AS locator, published FROM a JOIN t USING (participant) WHERE source <> a.meeting AND left(published, 10) <= cutoff::VARCHAR
+QUALIFY row_number() OVER (PARTITION BY a.meeting, participant ORDER BY published DESC, source DESC, ordinal DESC) <= 4),
+c2 AS (SELECT a.meeting, participant, 'speech-' || li.meeting AS document_id, 'public communication' AS locator, (day + 2)::VARCHAR || 'T09:30:00Z' AS published FROM a JOIN li USING (participant) WHERE ordinal = 0 AND l_partkey % 3 > 0 AND day + 2 <= cutoff)
+SELECT meeting, participant, locator, document_id, published, rank FROM (SELECT *, row_number() OVER (PARTITION BY meeting, participant ORDER BY published DESC, document_id DESC, locator DESC)::INTEGER AS rank FROM (FROM c1 UNION ALL FROM c2)) WHERE rank <= 2""")
+def o05_member_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns come out thirty days after their meeting; who speaks first gives a speech two days after it, some beside the point."""
+    days = s.outcomes(spark, sf_dir).select("meeting", F.col("decided_on").alias("day"))
+    item = F.regexp_extract("text", r"item (\d+)", 1).cast("long")
+    turns = _turns(spark, sf_dir).join(days, "meeting").withColumn("item", item)
+    name, iso = F.col("meeting").cast("string"), lambda n, hour: F.concat(F.date_add("day", n).cast("string"), F.lit(hour))
+    segments = turns.select("participant", "meeting", F.concat(name, F.lit("-transcript")).alias("document_id"), "ordinal", iso(30, "T12:00:00Z").alias("published"))
+    speeches = turns.filter("ordinal = 0").select("participant", F.concat(F.lit("speech-"), name).alias("document_id"), iso(2, "T09:30:00Z").alias("published"), F.pmod("item", F.lit(3)).alias("score"))
+    asks = turns.select("meeting", "participant", F.col("day").alias("cutoff"))
+    return ev.member_evidence(asks, segments, speeches).drop("kind")
