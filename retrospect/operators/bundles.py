@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
+from .names import redacted
 from .traces import rule_list
 
 #: The types of documents in their order, and the usage that each must be registered for.
@@ -126,3 +127,67 @@ def document_completeness(meetings: DataFrame, documents: DataFrame, required: l
     joined = chosen.join(counted, "meeting", "left").join(exceptions.select("meeting", "required"), "meeting", "left")
     types = F.coalesce("types", none)
     return joined.select("meeting", types.alias("types"), F.coalesce("overridden", none).alias("overridden"), (types == wanted).alias("complete"))
+
+
+def _number(place: Column) -> Column:
+    return F.when(place > 99, place.cast("string")).otherwise(F.lpad(place.cast("string"), 2, "0"))
+
+
+def _model_id(is_chair: Column, place: Column) -> Column:
+    return F.concat(F.when(is_chair, "chair-").otherwise("participant-"), _number(place))
+
+
+def variant_bundles(cases: DataFrame, evidence: DataFrame, documents: DataFrame, snapshot: DataFrame, variants: list[dict]) -> DataFrame:
+    """A model's bundle for each case and variant: meeting, variant, case_id, its parts, leaks and model_hash.
+
+    cases: meeting, meeting_date, bundle_hash, participants (array of participant_id, display_name, is_chair, in order of
+    the roster). evidence: meeting, evidence_id, participant_id, text. documents: meeting, document_id, text. snapshot:
+    meeting, series_id, value. A variant is {"variant_id": ...} with the flags meeting_date, participant_names,
+    economic_snapshot, persona_evidence; what isn't set is false.
+
+    case_id tells nothing of the meeting. A meeting_date variant has only its date. Others have no date; without names,
+    members are numbered by their place in the roster, and every text has the names of its own roster taken out; parts
+    that a variant doesn't show are empty. leaks: ids and names that are still anywhere in a bundle without names, in any
+    case; such a bundle must not be used. Evidence of people outside the roster is left out. Texts are redacted once for
+    all variants.
+    """
+    people = cases.select("meeting", F.posexplode("participants").alias("i", "p")).select("meeting", (F.col("i") + 1).alias("place"), "p.*")
+    numbered = people.select("meeting", "participant_id", _model_id(F.col("is_chair"), F.col("place")).alias("model_id"))
+    texts = evidence.select("meeting", F.lit("evidence").alias("part"), F.col("evidence_id").cast("string").alias("id"), "participant_id", "text").unionByName(
+        documents.select("meeting", F.lit("document").alias("part"), F.col("document_id").cast("string").alias("id"), F.lit(None).cast("string").alias("participant_id"), "text")
+    )
+    keyed = texts.withColumns({"text_id": F.concat_ws("|", F.col("meeting").cast("string"), "part", "id"), "list_id": F.col("meeting"), "shown": F.col("text")})
+    hidden = redacted(keyed, people.select(F.col("meeting").alias("list_id"), F.col("display_name").alias("name"))).join(numbered, ["meeting", "participant_id"], "left")
+
+    said = _grouped(hidden.filter("part = 'evidence' and model_id is not null"), "meeting", "evidence", "id", "participant_id", "model_id", "shown", "text")
+    written = _grouped(hidden.filter("part = 'document'"), "meeting", "documents", "id", "shown", "text")
+    numbers = _grouped(snapshot, "meeting", "snapshot", "series_id", "value")
+    whole = cases.join(said, "meeting", "left").join(written, "meeting", "left").join(numbers, "meeting", "left")
+
+    flags = ("meeting_date", "participant_names", "economic_snapshot", "persona_evidence")
+    each = F.explode(F.array(*[F.struct(F.lit(v["variant_id"]).alias("id"), *[F.lit(bool(v.get(f))).alias(f) for f in flags]) for v in variants]))
+    rows = whole.withColumn("v", each)
+    names, dated = F.col("v.participant_names"), F.col("v.meeting_date")
+    shown_if = lambda made, shown: F.coalesce(F.filter(made, lambda _: shown), F.array())
+
+    def person(p: Column, i: Column) -> Column:
+        title = F.when(p["is_chair"], "Chair").otherwise(F.concat(F.lit("Participant "), _number(i + 1)))
+        return F.struct(
+            F.when(names, p["participant_id"]).otherwise(_model_id(p["is_chair"], i + 1)).alias("participant_id"), F.when(names, p["display_name"]).otherwise(title).alias("display_name"), p["is_chair"].alias("is_chair")
+        )
+
+    text = lambda x: F.when(names, x["shown"]).otherwise(x["text"]).alias("text")
+    model = rows.select(
+        "meeting", F.col("v.id").alias("variant"), "v", F.col("participants").alias("__people"),
+        F.concat(F.lit("case-"), F.left(_hashed(F.to_json(F.struct("bundle_hash", F.col("v.id").alias("variant_id")))), F.lit(20))).alias("case_id"),
+        F.when(dated, F.col("meeting_date")).alias("meeting_date"), shown_if(F.transform("participants", person), ~dated).alias("participants"),
+        shown_if(F.col("snapshot"), ~dated & F.col("v.economic_snapshot")).alias("snapshot"),
+        shown_if(F.transform("evidence", lambda e: F.struct(F.when(names, e["participant_id"]).otherwise(e["model_id"]).alias("participant_id"), text(e))), ~dated & F.col("v.persona_evidence")).alias("evidence"),
+        shown_if(F.transform("documents", lambda d: F.struct(d["id"].alias("document_id"), text(d))), ~dated).alias("documents"),
+    )
+    parts = ["case_id", "meeting_date", "participants", "snapshot", "evidence", "documents"]
+    json = F.to_json(F.struct(*parts))
+    terms = F.array_distinct(F.flatten(F.transform("__people", lambda p: F.array(p["participant_id"], p["display_name"]))))
+    left = F.filter(terms, lambda t: (t != "") & F.contains(F.lower(json), F.lower(t)))
+    leaks = F.when(names | dated, F.array().cast("array<string>")).otherwise(left)
+    return model.select("meeting", "variant", *parts, leaks.alias("leaks"), _hashed(json).alias("model_hash"))

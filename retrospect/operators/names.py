@@ -20,8 +20,6 @@ from ..sources.scratch import staged
 from ..sources.workers import ship_package
 
 LETTER = "[A-Za-z]"
-#: Parts that the places of one token are dealt to; each list is sent to all of them.
-SPLITS = 8
 _LOT = 50_000
 
 
@@ -80,8 +78,8 @@ def name_spans(texts: DataFrame, terms: DataFrame, letter: str = LETTER, fold: b
 
     A term (list_id, term) counts where no letter touches it from outside, in any case if `fold`; places may overlap.
     Blanks around terms are left out. Null ids of lists, null and empty texts and terms hold nothing; terms that are listed
-    twice count once. The driver
-    sees only the distinct numbers of tokens that terms have.
+    twice count once. The driver sees only the distinct numbers of tokens that terms have. A list has one row a first token,
+    so a token that very many texts hold is a skew of one side only, which the engine's skew join splits.
     """
     spark = texts.sparkSession
     ship_package(spark)
@@ -105,13 +103,12 @@ def name_spans(texts: DataFrame, terms: DataFrame, letter: str = LETTER, fold: b
     kinds = {c: texts.schema[c].dataType.simpleString() for c in ("text_id", "list_id")}
     rows = texts.select("text_id", "list_id", "text").filter("list_id is not null and text <> ''")
     found = rows.mapInPandas(places, f"text_id {kinds['text_id']}, list_id {kinds['list_id']}, start int, head long, keys array<long>")
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("text_id", "start"), F.lit(SPLITS)).cast("int"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("part")
-    heads = wanted.groupBy("list_id", "head").agg(F.collect_set("size").alias("sizes")).select("list_id", "head", "sizes", parts)
+    heads = wanted.groupBy("list_id", "head").agg(F.collect_set("size").alias("sizes"))
     at = F.create_map(*[F.lit(v) for i, n in enumerate(sizes) for v in (n, i)])
-    begun = dealt.join(heads, ["list_id", "head", "part"]).select("text_id", "list_id", "start", "part", "keys", F.explode("sizes").alias("size"))
-    runs = begun.select("text_id", "list_id", "start", "part", "size", F.get("keys", at[F.col("size")]).alias("key")).filter("key is not null")
-    return runs.join(wanted.select("list_id", "size", "key", "term", parts), ["list_id", "size", "key", "part"]).select("text_id", "list_id", "start", "term")
+    begun = found.join(heads, ["list_id", "head"]).select("text_id", "list_id", "start", "keys", F.explode("sizes").alias("size"))
+    runs = begun.select("text_id", "list_id", "start", "size", F.get("keys", at[F.col("size")]).alias("key")).filter("key is not null")
+    return runs.join(wanted.select("list_id", "size", "key", "term"), ["list_id", "size", "key"]).select("text_id", "list_id", "start", "term")
+
 
 
 def redacted(texts: DataFrame, names: DataFrame, mark: str = "[REDACTED_PARTICIPANT]") -> DataFrame:

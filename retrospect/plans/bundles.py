@@ -141,3 +141,41 @@ def o05_member_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     speeches = turns.filter("ordinal = 0").select("participant", F.concat(F.lit("speech-"), name).alias("document_id"), iso(2, "T09:30:00Z").alias("published"), F.pmod("item", F.lit(3)).alias("score"))
     asks = turns.select("meeting", "participant", F.col("day").alias("cutoff"))
     return ev.member_evidence(asks, segments, speeches).drop("kind")
+
+
+_VARIANTS = [
+    {"variant_id": "full", "participant_names": True, "economic_snapshot": True, "persona_evidence": True}, {"variant_id": "blind", "economic_snapshot": True, "persona_evidence": True},
+    {"variant_id": "bare"}, {"variant_id": "date", "meeting_date": True},
+]
+_SHOWN = "CASE WHEN variant = 'full' THEN {0} ELSE {1} END"
+_HIDDEN = "'[REDACTED_PARTICIPANT]'"
+_PERSON = _SHOWN.format("'member-' || participant || '-x ' || name", "CASE WHEN chair THEN 'chair-' ELSE 'participant-' END || lpad(place::VARCHAR, greatest(2, len(place::VARCHAR))::INTEGER, '0') || CASE WHEN chair THEN ' Chair' ELSE ' Participant ' || lpad(place::VARCHAR, greatest(2, len(place::VARCHAR))::INTEGER, '0') END")
+_SAYS = "string_split({0}, ' ')[1] || ': ' || " + _SHOWN.format("name || ' spoke, so did ' || string_split(name, ' ')[-1]", f"{_HIDDEN} || ' spoke, so did ' || {_HIDDEN}")
+
+
+@query("b03_variant_bundles", f"""WITH {c.ROSTER_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY meeting ORDER BY participant) AS place FROM ros), v AS (SELECT unnest(['full', 'blind', 'bare', 'date']) AS variant),
+p AS (SELECT meeting, variant, place, {_PERSON} AS person, name, participant FROM n, v), e AS (SELECT *, {_SAYS.format('person')} AS says, string_agg({_SHOWN.format('name', _HIDDEN)}, ', ') OVER (PARTITION BY meeting, variant ORDER BY participant ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS present FROM p),
+g AS (SELECT meeting, variant, string_agg(person, ';' ORDER BY place) AS people, string_agg(says, ';' ORDER BY lpad(participant::VARCHAR, 9, '0')) AS said, min(present) AS present, min('member-' || participant || '-x') FILTER (place = 1) AS first_id FROM e GROUP BY 1, 2)
+SELECT meeting, variant, 'case-' || left(sha256('{{"bundle_hash":"h' || meeting || '","variant_id":"' || variant || '"}}'), 20) AS case_id, CASE WHEN variant = 'date' THEN o_orderdate::DATE END AS meeting_date, CASE WHEN variant = 'date' THEN '' ELSE people END AS people,
+CASE WHEN variant IN ('full', 'blind') THEN said ELSE '' END AS said, CASE WHEN variant = 'date' THEN '' ELSE present || CASE WHEN meeting % 10 = 1 THEN ' ' || first_id ELSE '' END END AS documents, CASE WHEN variant IN ('full', 'blind') THEN 1 ELSE 0 END AS n_snapshot,
+CASE WHEN variant IN ('blind', 'bare') AND meeting % 10 = 1 THEN [first_id] ELSE [] END AS leaks FROM g JOIN orders ON o_orderkey = meeting""")
+def b03_variant_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A speech of each member, one paper of all names and the order's price; every tenth paper also holds an id, which must be told."""
+    rosters, days = c.rosters(spark, sf_dir), s.outcomes(spark, sf_dir)
+    ident = lambda i: F.concat(F.lit("member-"), i.cast("string"), F.lit("-x"))
+    person = lambda m: F.struct(ident(m["ids"]).alias("participant_id"), m["names"].alias("display_name"))
+    people = F.transform(F.arrays_zip("ids", "names"), lambda m, i: person(m).withField("is_chair", i == 0))
+    cases = days.join(rosters, "meeting").select("meeting", F.col("decided_on").alias("meeting_date"), F.concat(F.lit("h"), F.col("meeting").cast("string")).alias("bundle_hash"), people.alias("participants"))
+    each = rosters.select("meeting", F.explode(F.arrays_zip("ids", "names")).alias("m"))
+    evidence = each.select(
+        "meeting", F.lpad(F.col("m.ids").cast("string"), 9, "0").alias("evidence_id"), ident(F.col("m.ids")).alias("participant_id"),
+        F.concat("m.names", F.lit(" spoke, so did "), F.element_at(F.split("m.names", " "), -1)).alias("text"),
+    )
+    named = F.when(F.pmod("meeting", F.lit(10)) == 1, F.concat(F.lit(" "), ident(F.col("ids")[0]))).otherwise("")
+    documents = rosters.select("meeting", F.lit("paper").alias("document_id"), F.concat(F.array_join("names", ", "), named).alias("text"))
+    made = b.variant_bundles(cases, evidence, documents, days.select("meeting", F.lit("level").alias("series_id"), F.col("level").alias("value")), _VARIANTS)
+    shown = lambda name, *fields, mark=" ": F.array_join(F.transform(name, lambda x: F.concat_ws(mark, *[x[f] for f in fields])), ";")
+    return made.select(
+        "meeting", "variant", "case_id", "meeting_date", shown("participants", "participant_id", "display_name").alias("people"), shown("evidence", "participant_id", "text", mark=": ").alias("said"),
+        shown("documents", "text").alias("documents"), F.size("snapshot").alias("n_snapshot"), "leaks",
+    )

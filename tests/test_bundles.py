@@ -73,3 +73,24 @@ def test_complete_types(spark):
     assert {r.meeting: (r.types, r.overridden, r.complete) for r in found.collect()} == {
         1: (["minutes", "statement"], [], True), 2: (["minutes", "statement"], ["minutes"], True), 3: (["statement", "statement"], [], False), 4: ([], [], False), 5: (["statement"], [], True),
     }
+
+
+def test_variants(spark):
+    people = [("p-1", "Ann Lee", False), ("p-2", "Bo Ray", True)]
+    cases = spark.createDataFrame([("m1", "2020-01-02", "h1", people), ("m2", "2020-02-02", "h2", people[:1]), ("m3", "2020-03-02", "h3", [])], "meeting string, meeting_date string, bundle_hash string, participants array<struct<participant_id: string, display_name: string, is_chair: boolean>>")
+    evidence = spark.createDataFrame([("m1", 2, "p-2", "RAY said Lee left; Raymond"), ("m1", 1, "p-9", "nobody"), ("m1", 3, "p-1", None)], "meeting string, evidence_id int, participant_id string, text string")
+    documents = spark.createDataFrame([("m1", "d", "Ann Lee met P-2"), ("m2", "d", "Bo Ray met Lee")], "meeting string, document_id string, text string")
+    snapshot = spark.createDataFrame([("m1", "S", 1.5)], "meeting string, series_id string, value double")
+    variants = [{"variant_id": "full", "participant_names": True, "persona_evidence": True}, {"variant_id": "blind", "economic_snapshot": True, "persona_evidence": True}, {"variant_id": "date", "meeting_date": True}]
+    found = {(r.meeting, r.variant): r for r in b.variant_bundles(cases, evidence, documents, snapshot, variants).collect()}
+    assert len(found) == 9 and len({r.case_id for r in found.values()}) == 9
+    full, blind, date = (found["m1", v] for v in ("full", "blind", "date"))
+    assert full.case_id == "case-" + _hash('{"bundle_hash":"h1","variant_id":"full"}')[:20]
+    assert [tuple(p) for p in full.participants] == people and full.leaks == [] and full.snapshot == [] and full.meeting_date is None
+    assert [(e.participant_id, e.text) for e in full.evidence] == [("p-2", "RAY said Lee left; Raymond"), ("p-1", None)]
+    assert [p.participant_id for p in blind.participants] == ["participant-01", "chair-02"] and [p.display_name for p in blind.participants] == ["Participant 01", "Chair"]
+    assert [e.text for e in blind.evidence] == ["[REDACTED_PARTICIPANT] said [REDACTED_PARTICIPANT] left; Raymond", None] and len(blind.snapshot) == 1
+    assert blind.documents[0].text == "[REDACTED_PARTICIPANT] met P-2" and blind.leaks == ["p-2"]
+    assert found["m2", "blind"].documents[0].text == "Bo Ray met [REDACTED_PARTICIPANT]" and found["m2", "blind"].leaks == []
+    assert date.meeting_date == "2020-01-02" and date.participants == date.documents == date.evidence == [] and date.leaks == []
+    assert found["m3", "blind"].documents == [] and found["m3", "blind"].participants == []
