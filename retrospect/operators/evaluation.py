@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import as_of_join, first_after
+
 
 def class_report(pairs: DataFrame, classes: list[str]) -> DataFrame:
     """class, support, precision, recall, f1 from rows (actual, predicted); 0 where undefined."""
@@ -152,3 +154,37 @@ def fit_ordered_logit(rows: DataFrame, features: list[str], label: str, steps: i
             break
         theta = theta + np.linalg.solve(curvature + damping * np.diag(np.diag(curvature)), gradient)
     return best[1], trace
+
+
+def rate_outcomes(meetings: DataFrame, versions: DataFrame, switch: str, target: str, lower: str, upper: str) -> DataFrame:
+    """What each meeting (meeting_id, cutoff, ended) did to the rate, from versions of a target and, from the day `switch` on, a range.
+
+    A meeting that is cut off and ends before the switch compares the target visible at the cutoff with the first one
+    after its end; one that ends on or after it compares that target with the middle of the first range on or after its
+    end; one cut off later compares the middle of the range visible at the cutoff with that of the first range after its
+    end. A range is a day with a lower and an upper value, each in its newest version. Columns: meeting_id, action,
+    pre_target, pre_lower, pre_upper, post_target, post_lower, post_upper, effective. Where a value isn't known, action is
+    null; values within 1e-9 are a HOLD.
+    """
+    known = versions.filter(F.col("value").isNotNull() & F.col("series_id").isin(target, lower, upper))
+    of = lambda name: F.max(F.when(F.col("series_id") == name, F.col("value")))
+    before = as_of_join(known, meetings.select("meeting_id", "cutoff")).groupBy("meeting_id").agg(of(target).alias("seen_target"), of(lower).alias("seen_lower"), of(upper).alias("seen_upper"))
+    newest = known.filter(F.col("series_id") != target).groupBy("series_id", "observation_date").agg(F.max_by("value", "realtime_start").alias("value"))
+    days = newest.groupBy("observation_date").agg(of(lower).alias("lower"), of(upper).alias("upper")).filter("lower is not null and upper is not null")
+    ranges = days.select(F.lit("range").alias("series_id"), "observation_date", F.col("observation_date").alias("realtime_start"), F.struct("lower", "upper").alias("value"))
+
+    old, crossing = F.col("cutoff") < F.lit(switch).cast("date"), F.col("ended") >= F.lit(switch).cast("date")
+    points = meetings.select("meeting_id", "cutoff", F.col("ended").alias("at"), "ended")
+    single = first_after(known.filter(F.col("series_id") == target), points.filter(old & ~crossing).select("meeting_id", "at"))
+    on_day = first_after(ranges, points.filter(old & crossing).select("meeting_id", "at"), inclusive=True)
+    later = first_after(ranges, points.filter(~old).select("meeting_id", "at"))
+    pair = on_day.unionByName(later).select("meeting_id", F.col("value.lower").alias("post_lower"), F.col("value.upper").alias("post_upper"), F.col("observation_date").alias("range_day"))
+    one = single.select("meeting_id", F.col("value").alias("post_target"), F.col("observation_date").alias("target_day"))
+    rows = meetings.join(before, "meeting_id", "left").join(one, "meeting_id", "left").join(pair, "meeting_id", "left")
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    change = F.coalesce("post_target", middle("post_lower", "post_upper")) - F.when(old, F.col("seen_target")).otherwise(middle("seen_lower", "seen_upper"))
+    action = F.when(change > 1e-9, "HIKE").when(change < -1e-9, "CUT").when(change.isNotNull(), "HOLD")
+    return rows.select(
+        "meeting_id", action.alias("action"), F.when(old, F.col("seen_target")).alias("pre_target"), F.when(~old, F.col("seen_lower")).alias("pre_lower"), F.when(~old, F.col("seen_upper")).alias("pre_upper"),
+        "post_target", "post_lower", "post_upper", F.coalesce("target_day", "range_day").alias("effective"),
+    )

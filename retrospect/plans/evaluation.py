@@ -136,6 +136,23 @@ def m03_rate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre.join(post, ["meeting_id", "series_id"]).withColumn("action", F.when(change > 1e-9, "HIKE").when(change < -1e-9, "CUT").otherwise("HOLD"))
 
 
+_SEEN = "(SELECT arg_max(value, (observation_date, realtime_start)) FROM vint v WHERE v.series_id = '{0}' AND observation_date <= cutoff AND realtime_start <= cutoff AND value IS NOT NULL)"
+
+
+@query("m03_rate_switch", f"""WITH {s.VINTAGES_SQL}, mt AS (SELECT DISTINCT 'D-' || (ts::DATE)::VARCHAR AS meeting_id, ts::DATE AS cutoff, ts::DATE + 2 AS ended FROM events),
+nw AS (SELECT series_id, observation_date AS d, arg_max(value, realtime_start) AS v FROM vint WHERE value IS NOT NULL GROUP BY 1, 2), rg AS (SELECT a.d, a.v AS l, b.v AS u FROM nw a JOIN nw b ON a.d = b.d AND a.series_id = 'view' AND b.series_id = 'signup'), tg AS (SELECT d, v FROM nw WHERE series_id = 'click'),
+k AS (SELECT *, cutoff < DATE '2024-01-16' AS old, CASE WHEN cutoff < DATE '2024-01-16' AND ended < DATE '2024-01-16' THEN (SELECT min(d) FROM tg WHERE d > ended) END AS td, CASE WHEN cutoff < DATE '2024-01-16' AND ended >= DATE '2024-01-16' THEN (SELECT min(d) FROM rg WHERE d >= ended)
+WHEN cutoff >= DATE '2024-01-16' THEN (SELECT min(d) FROM rg WHERE d > ended) END AS rd, {_SEEN.format('click')} AS t0, {_SEEN.format('view')} AS l0, {_SEEN.format('signup')} AS u0 FROM mt),
+x AS (SELECT meeting_id, CASE WHEN old THEN t0 END AS pre_target, CASE WHEN NOT old THEN l0 END AS pre_lower, CASE WHEN NOT old THEN u0 END AS pre_upper, tg.v AS post_target, l AS post_lower, u AS post_upper, coalesce(td, rd) AS effective FROM k LEFT JOIN tg ON tg.d = td LEFT JOIN rg ON rg.d = rd)
+SELECT *, CASE WHEN c > 1e-9 THEN 'HIKE' WHEN c < -1e-9 THEN 'CUT' WHEN c IS NOT NULL THEN 'HOLD' END AS action FROM (SELECT *, coalesce(post_target, (post_lower + post_upper) / 2) - coalesce(pre_target, (pre_lower + pre_upper) / 2) AS c FROM x)""".replace("SELECT *, CASE WHEN c >", "SELECT * EXCLUDE (c), CASE WHEN c >"))
+def m03_rate_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meeting a day, two days long; from the middle of the month on the rate is a range of two other series."""
+    day = F.to_date("ts")
+    meetings = s.table(spark, sf_dir, "events").select(day.alias("cutoff")).distinct()
+    meetings = meetings.select(F.concat(F.lit("D-"), F.col("cutoff").cast("string")).alias("meeting_id"), "cutoff", F.date_add("cutoff", 2).alias("ended"))
+    return e.rate_outcomes(meetings, s.vintages(spark, sf_dir), "2024-01-16", "click", "view", "signup")
+
+
 @query("m15_m18_lags", f"""WITH {EVENTS_SQL}, f AS (SELECT assumption_id, min(occurred_at) FILTER (kind = 'CONTRADICTION') AS c FROM ev GROUP BY 1),
 s AS (SELECT f.assumption_id, c, (SELECT min(occurred_at) FROM ev WHERE ev.assumption_id = f.assumption_id AND kind = 'STATEMENT_FLIP' AND occurred_at >= c) AS flip FROM f),
 p AS (SELECT *, (SELECT min(occurred_at) FROM ev WHERE ev.assumption_id = s.assumption_id AND kind = 'POLICY_RESPONSE' AND occurred_at >= flip) AS response FROM s)
