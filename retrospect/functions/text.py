@@ -132,6 +132,16 @@ def tiered_cost(tokens: Column, cached: Column, threshold: int, short: tuple[flo
     return F.when(tokens > threshold, price(long)).otherwise(price(short))
 
 
+def usage_cost(tokens: Column, cached: Column, written: Column, output: Column, threshold: int, short: dict[str, float], long: dict[str, float]) -> Column:
+    """Price of a call by the card of its context's length: input, cached_input, cache_write and output a million tokens.
+
+    Input that was neither read from the cache nor written to it is fresh, and never below none.
+    """
+    fresh = F.greatest(F.lit(0), tokens - cached - written)
+    price = lambda card: (fresh * card["input"] + cached * card["cached_input"] + written * card["cache_write"] + output * card["output"]) / 1e6
+    return F.when(tokens > threshold, price(long)).otherwise(price(short))
+
+
 def calendar_meetings(headings: DataFrame) -> DataFrame:
     """page_id, meeting_id, start_day, end_day, cutoff from calendar headings (page_id, heading).
 

@@ -132,6 +132,14 @@ def d09_tiered_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 8).alias("cost"))
 
 
+@query("d09_usage_cost", """WITH u AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS n, l_partkey AS cached, l_suppkey * 100 AS written, l_quantity AS made, l_extendedprice > 30000 AS long FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(((CASE WHEN n > cached + written THEN n - cached - written ELSE 0 END) * CASE WHEN long THEN 4 ELSE 2 END + cached * CASE WHEN long THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END + written * CASE WHEN long THEN 5.0::DOUBLE ELSE 2.5::DOUBLE END + made * CASE WHEN long THEN 18 ELSE 12 END) / 1e6, 8) AS cost FROM u""")
+def d09_usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short, long = {"input": 2.0, "cached_input": 0.5, "cache_write": 2.5, "output": 12.0}, {"input": 4.0, "cached_input": 1.0, "cache_write": 5.0, "output": 18.0}
+    cost = x.usage_cost(F.col("l_extendedprice"), F.col("l_partkey"), F.col("l_suppkey") * 100, F.col("l_quantity"), 30000, short, long)
+    return s.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 8).alias("cost"))
+
+
 @query("d11_array_ops", f"WITH t AS (SELECT doc_id, {TERMS} AS t FROM documents) SELECT doc_id, len(list_intersect(t, ['tion', 'reth', 'aire', 'ment'])) AS overlap, len(list_distinct(t)) AS n_distinct FROM t")
 def d11_array_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _docs(spark, sf_dir).select("doc_id", x.terms(F.col("text")).alias("t"))
