@@ -81,23 +81,21 @@ def _by_site(parts: dict[str, Column]) -> Column:
 
 
 def articles(pages: DataFrame, sites: dict[str, Site] = SITES) -> DataFrame:
-    """page_id, site, title, published, speaker, paragraphs, document_url, missing from pages (page_id, site, url, html).
+    """page_id, site, title, published, speaker, paragraphs, document_url, missing from pages (page_id, site, url, html; an id once).
 
     Years of two digits lie between 1969 and 2068. The last of several titles, dates and speakers counts. A date that a page lacks is read from a slug of six digits at
     the end of its link. Body is what comes after the title and before the end's mark. `missing` lists what an article
     should have and has not; such rows are the rejects of an ingest.
     """
-    found = html.blocks(pages).join(pages.select("page_id", "site", "url"), "page_id")
     kind = _by_site({name: _part(site) for name, site in sites.items()})
-    rows = found.withColumn("kind", kind).filter("kind is not null and (text <> '' or kind = 'end')")
+    rows = html.blocks(pages, ("site", "url")).withColumn("kind", kind).withColumn("kind", F.when((F.col("text") != "") | (F.col("kind") == "end"), F.col("kind")))
     last = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("text")), F.when(F.col("kind") == k, F.col("place")))
     listed = F.sort_array(F.collect_list(F.when(F.col("kind") == "body", F.struct("place", "text"))))
-    gathered = rows.groupBy("page_id").agg(
-        last("title").alias("title"), last("date").alias("date_text"), last("speaker").alias("speaker"), listed.alias("body"),
+    whole = rows.groupBy("page_id", "site", "url").agg(
+        last("title").alias("title"), last("date").alias("date_text"), last("speaker").alias("speaker"), F.when(F.count("kind") > 0, listed).alias("body"),
         F.min(F.when(F.col("kind") == "title", F.col("place"))).alias("title_at"), F.min(F.when(F.col("kind") == "end", F.col("place"))).alias("end_at"),
         F.max_by(F.when(F.col("kind") == "document", F.col("href")), F.when(F.col("kind") == "document", F.col("place"))).alias("document_href"),
     )
-    whole = pages.select("page_id", "site", "url").join(gathered, "page_id", "left")
     token = F.regexp_replace("date_text", "(?i)^Last Updated: *", "")
     forms = sorted({form for site in sites.values() for form in site.dates})
     written = F.coalesce(*[F.try_to_date(token, form) for form in forms], F.try_to_date(F.left("date_text", F.lit(10)), "yyyy-MM-dd"))
