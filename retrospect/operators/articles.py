@@ -130,7 +130,7 @@ def policy_score(title: Column, text: Column) -> Column:
 
 
 def ingested(found: DataFrame, people: DataFrame) -> DataFrame:
-    """page_id, document_id, participant, published, title, score, status from articles and people (id, name).
+    """page_id, site, document_id, participant, published, title, score, status from articles and people (id, name).
 
     Status is INGESTED, INCOMPLETE for articles that lack a part, or UNMATCHED where the speaker is not one person: the
     whole name at the label's end, else a surname that one person has.
@@ -144,6 +144,6 @@ def ingested(found: DataFrame, people: DataFrame) -> DataFrame:
     status = F.when(F.size("missing") > 0, "INCOMPLETE").when(F.col("participant").isNull(), "UNMATCHED").otherwise("INGESTED")
     content = F.sha2(F.concat_ws("\n", "title", text).cast("binary"), 256)
     return matched.select(
-        "page_id", F.concat(F.lit("doc-"), F.left(content, F.lit(24))).alias("document_id"), "participant", slug(F.col("speaker")).alias("speaker_id"),
+        "page_id", "site", F.concat(F.lit("doc-"), F.left(content, F.lit(24))).alias("document_id"), "participant", slug(F.col("speaker")).alias("speaker_id"),
         F.date_format("published", "yyyy-MM-dd'T23:59:59Z'").alias("published_at"), "title", policy_score(F.col("title"), text).alias("score"), status.alias("status"),
     )

@@ -21,3 +21,10 @@ def test_pages_are_read_once(spark):
     assert read[3].url is None and read[3].missing == ["date", "title", "body"]
     assert read[4].title is None and "speaker" in read[4].missing
     assert read[5].paragraphs == [] and read[5].missing == ["date", "body"]
+
+
+def test_ingest_keeps_the_site(spark):
+    pages = spark.createDataFrame([(1, "boston", "https://a.org/lkl200102", "<a class='byline-link'>Ann Lee</a>")], "page_id long, site string, url string, html string")
+    people = spark.createDataFrame([(7, "Ann Lee")], "id long, name string")
+    rows = a.ingested(a.articles(pages), people).collect()
+    assert [(r.page_id, r.site, r.participant, r.status) for r in rows] == [(1, "boston", 7, "INCOMPLETE")]
