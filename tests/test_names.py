@@ -77,3 +77,9 @@ def test_short_and_long_lists_alike(spark, monkeypatch):
     some_long = hidden()
     monkeypatch.setattr(names, "_SHORT", 0)
     assert all_short == some_long == hidden() and any("#" in t for t in all_short.values())
+
+
+def test_places_without_a_first_token_are_left_out():
+    text = "It was said that Ann Lee met Bo."
+    assert [p[0] for p in names.token_keys(text, [1, 3], heads=frozenset(["ann", "bo"]))] == [17, 29]
+    assert len(list(names.token_keys(text, [1, 3]))) == 8
