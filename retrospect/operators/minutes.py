@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
+from ..sources.scratch import staged
 
 #: How vote clauses begin, names, honorifics, and capitalised words that are no names.
 CLAUSE = r"(?i)\b(?:Voting|Votes)\s+(?:for|against)\b"
@@ -102,12 +103,13 @@ def attendance(documents: DataFrame, registry: DataFrame | None = None) -> DataF
     """document, ordinal, member, name, role, problem: the policy participants of documents (document, blocks of lines).
 
     The list begins at a block headed PRESENT or ATTENDANCE (its lines follow in it or in the next block); later blocks
-    add alternates and presidents up to the first of the staff. A single word is a surname, looked up in the registry
+    add alternates and presidents up to the first of the staff. Lists and names are written once, as problems are found
+    by reading them again. A single word is a surname, looked up in the registry
     (surname, full_name). Problems of a document (NO_LIST, CHAIRS) come in a row without a name; those of a name
     (UNRESOLVED, DUPLICATE) in its row.
     """
     heads = F.transform("blocks", lambda b: F.lower(F.regexp_replace(F.trim(F.get(b, F.lit(0))), ":$", "")).isin("present", "attendance"))
-    begun = documents.withColumn("first", F.array_position(heads, True))
+    begun = staged(documents.select("document", "blocks", F.array_position(heads, True).alias("first")), "attendance-lists")
     own = F.get("blocks", F.col("first").cast("int") - 1)
     alone = F.size(own) == 1
     lines = F.when(alone, F.get("blocks", F.col("first").cast("int"))).otherwise(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))))
@@ -137,7 +139,7 @@ def attendance(documents: DataFrame, registry: DataFrame | None = None) -> DataF
     order, same = Window.partitionBy("document").orderBy("at", "k"), Window.partitionBy("document", "member").orderBy("at", "k")
     listed = people.select("document", "at", "k", "role", name.alias("name"), "said").withColumns({"member": slug(F.col("name")), "ordinal": F.row_number().over(order)})
     problem = F.when(F.col("name").isNull() | ~F.col("name").rlike(f"^(?:{FULL_NAME})$"), "UNRESOLVED").when(F.row_number().over(same) > 1, "DUPLICATE")
-    rows = listed.select("document", "ordinal", "member", F.coalesce("name", "said").alias("name"), "role", problem.alias("problem"))
+    rows = staged(listed.select("document", "ordinal", "member", F.coalesce("name", "said").alias("name"), "role", problem.alias("problem")), "attendance-names")
     chairs = rows.groupBy("document").agg(F.count_if(F.col("role") == "chair").alias("n")).filter("n <> 1").select("document", F.lit("CHAIRS").alias("problem"))
     absent = begun.filter("first is null or first = 0").select("document", F.lit("NO_LIST").alias("problem"))
     return rows.unionByName(chairs.unionByName(absent), allowMissingColumns=True)
