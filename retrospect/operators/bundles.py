@@ -24,22 +24,14 @@ def _grouped(rows: DataFrame, key: str, name: str, *fields: str | Column) -> Dat
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
 
 
-def document_units(documents: DataFrame, segments: DataFrame) -> DataFrame:
-    """documents with paragraphs (HTML, from 1) or, for transcripts, segments (from 0), and whether all their hashes hold.
-
-    documents: meeting, document_id (once), document_type, usage_class, content, content_hash. segments: document_id,
-    ordinal, speaker_label, participant_id, text, content_hash; those of other documents are left out.
-    """
-    spoken = F.col("document_type") == "transcript"
-    read = html.paragraphs(documents.filter(~spoken & F.col("content").isNotNull()).select(F.col("document_id").alias("page_id"), F.lit("").alias("url"), F.col("content").alias("html")))
-    paragraphs = _grouped(read.withColumnRenamed("page_id", "document_id"), "document_id", "paragraphs", "ordinal", "text")
-    parts = _grouped(segments, "document_id", "segments", "ordinal", "speaker_label", "participant_id", "text", "content_hash")
-    joined = documents.join(paragraphs, "document_id", "left").join(parts, "document_id", "left")
-    whole = F.coalesce(_hashed(F.col("content")) == F.col("content_hash"), F.lit(False))
-    each = F.coalesce(F.forall("segments", lambda x: F.coalesce(_hashed(x["text"]) == x["content_hash"], F.lit(False))), F.lit(True))
-    return joined.withColumns(
-        {"paragraphs": F.when(~spoken, F.col("paragraphs")), "segments": F.when(spoken, F.col("segments")), "hash_holds": whole, "segments_hold": ~spoken | each}
-    )
+def spoken_units(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """meeting, spoken: for each document with segments its id, segments (from 0), and whether all their hashes hold."""
+    if "meeting" not in segments.columns:
+        segments = segments.join(documents.filter("document_type = 'transcript'").select("document_id", "meeting"), "document_id")
+    fields = ("ordinal", "speaker_label", "participant_id", "text", "content_hash")
+    kept = segments.select("meeting", "document_id", F.struct(*fields).alias("s"), F.coalesce(_hashed(F.col("text")) == F.col("content_hash"), F.lit(False)).alias("holds"))
+    parts = kept.groupBy("meeting", "document_id").agg(F.sort_array(F.collect_list("s")).alias("segments"), F.bool_and("holds").alias("holds"))
+    return parts.groupBy("meeting").agg(F.collect_list(F.struct("document_id", "segments", "holds")).alias("spoken"))
 
 
 def trace_bundles(
@@ -52,39 +44,53 @@ def trace_bundles(
     target_lower, target_upper. votes: meeting, vote_round, voter_choice. series: series_id, title, units, exactly n_series
     of them, an error otherwise. sparse: the meetings that have no minutes, and must have none. Rules: a document of each
     type once, minutes as said; documents and segments keep their hashes and registered usage and have units; roster,
-    outcome and votes are there. Rows with null meetings belong to no bundle.
+    outcome and votes are there. Rows with null meetings belong to no bundle. documents: meeting, document_id (once),
+    document_type, usage_class, content, content_hash. segments: document_id, ordinal, speaker_label, participant_id, text,
+    content_hash, and meeting, if it is known; those of other documents are left out. All parts are grouped and joined by
+    meeting, so what is dealt by meeting isn't shuffled. Paragraphs are those of HTML, from 1, segments count from 0.
     """
     allowed = series.select("series_id", "title", "units").limit(n_series + 1).collect()  # a bounded list
     if len(allowed) != n_series:
         raise ValueError(f"the monitors' list has {'more' if len(allowed) > n_series else 'fewer'} than {n_series} series")
     monitors = F.array(*[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in row.asDict().items()]) for row in sorted(allowed)])
 
-    units = document_units(documents.filter(F.col("document_type").isin(list(USAGE))), segments)
+    registered = documents.filter(F.col("document_type").isin(list(USAGE)))
     place = F.array_position(F.array(*[F.lit(kind) for kind in USAGE]), F.col("document_type"))
     usage = F.create_map(*[F.lit(v) for pair in USAGE.items() for v in pair])[F.col("document_type")]
-    held = units.groupBy("meeting").agg(
-        F.sort_array(F.collect_list(F.struct(place.alias("place"), "document_id", "document_type", "usage_class", "content_hash", "paragraphs", "segments"))).alias("documents"),
-        F.bool_and("hash_holds").alias("hashes"), F.bool_and("segments_hold").alias("segment_hashes"), F.bool_and(F.equal_null("usage_class", usage)).alias("usages"),
+    whole = F.coalesce(_hashed(F.col("content")) == F.col("content_hash"), F.lit(False))
+    held = registered.groupBy("meeting").agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("place"), "document_id", "document_type", "usage_class", "content_hash", "content"))).alias("papers"),
+        F.bool_and(whole).alias("hashes"), F.bool_and(F.equal_null("usage_class", usage)).alias("usages"),
     )
     people = _grouped(roster, "meeting", "participants", (~F.col("is_chair")).alias("after_chair"), (~F.col("is_voter")).alias("after_voters"), "display_name", "participant_id", "role")
     choice = lambda c: F.count_if(F.col("voter_choice") == c)
     counted = votes.groupBy("meeting", "vote_round").agg(choice("FOR").alias("for_count"), choice("AGAINST").alias("against_count"))
     rounds = _grouped(counted, "meeting", "vote_rounds", "vote_round", "for_count", "against_count")
     outcome = outcomes.select("meeting", F.struct("action_class", "target_rate", "target_lower", "target_upper").alias("outcome"))
-    joined = meetings.select("meeting").join(held, "meeting", "left").join(sparse.select("meeting", F.lit(True).alias("is_sparse")), "meeting", "left")
+    said = spoken_units(registered, segments)
+    joined = meetings.select("meeting").join(held, "meeting", "left").join(said, "meeting", "left").join(sparse.select("meeting", F.lit(True).alias("is_sparse")), "meeting", "left")
     for part in (people, outcome, rounds):
         joined = joined.join(part, "meeting", "left")
 
-    types = F.coalesce(F.transform("documents", lambda d: d["document_type"]), F.array().cast("array<string>"))
-    no_units = lambda d: d["paragraphs"].isNull() & d["segments"].isNull()
+    # Pages are read when all parts of a meeting are together: no paragraph is shuffled or sorted.
+    written = F.transform("papers", lambda d: F.when(d["document_type"] != "transcript", d["content"]))
+    joined = joined.withColumn("texts", html.paragraph_texts(meetings.sparkSession, written))
+    types = F.coalesce(F.transform("papers", lambda d: d["document_type"]), F.array().cast("array<string>"))
+    own = lambda d: F.get(F.filter("spoken", lambda x: (d["document_type"] == "transcript") & (x["document_id"] == d["document_id"])), F.lit(0))
+    numbered = lambda t: F.when(F.size(t) > 0, F.transform(t, lambda x, i: F.struct((i + 1).alias("ordinal"), x.alias("text"))))
+    units = F.zip_with("papers", "texts", lambda d, t: F.struct(
+        *[d[c].alias(c) for c in ("place", "document_id", "document_type", "usage_class", "content_hash")], numbered(t).alias("paragraphs"), own(d)["segments"].alias("segments")
+    ))
+    no_units = F.zip_with("papers", "texts", lambda d, t: (F.coalesce(F.size(t), F.lit(0)) < 1) & own(d)["segments"].isNull())
     found = joined.withColumn("is_sparse", F.coalesce("is_sparse", F.lit(False))).withColumn("problems", rule_list({
         "MISSING_DOCUMENT": ~F.array_contains(types, "statement") | ~F.array_contains(types, "transcript"),
         "REPEATED_DOCUMENT": F.size(types) > F.size(F.array_distinct(types)),
         "MINUTES": F.array_contains(types, "minutes") == F.col("is_sparse"),
-        "HASH": ~F.col("hashes"), "SEGMENT_HASH": ~F.col("segment_hashes"), "USAGE": ~F.col("usages"), "NO_UNITS": F.exists("documents", no_units),
+        "HASH": ~F.col("hashes"), "SEGMENT_HASH": F.exists("papers", lambda d: ~F.coalesce(own(d)["holds"], F.lit(True))),
+        "USAGE": ~F.col("usages"), "NO_UNITS": F.exists(no_units, lambda x: x),
         "NO_ROSTER": F.col("participants").isNull(), "NO_OUTCOME": F.col("outcome").isNull(), "NO_VOTES": F.col("vote_rounds").isNull(),
     }))
-    bundle = found.filter(F.size("problems") == 0).select("meeting", F.col("is_sparse").alias("sparse_minutes"), "documents", "participants", "outcome", "vote_rounds", monitors.alias("monitor_series"))
+    bundle = found.filter(F.size("problems") == 0).select("meeting", F.col("is_sparse").alias("sparse_minutes"), units.alias("documents"), "participants", "outcome", "vote_rounds", monitors.alias("monitor_series"))
     hashed = bundle.withColumn("bundle_hash", _hashed(F.to_json(F.struct(*bundle.columns))))
     return hashed, found.filter(F.size("problems") > 0).select("meeting", "problems")
 
@@ -94,20 +100,20 @@ def located_in_bundles(references: DataFrame, bundles: DataFrame) -> DataFrame:
 
     "transcript segment n" counts from 0 and only in transcripts, "paragraph n" from 1 and only in other documents; blanks
     around a locator are left out. found: the unit holds the excerpt, both with blanks collapsed. Null or unreadable
-    locators and unknown documents have a null unit and aren't found.
+    locators and unknown documents have a null unit and aren't found. A reference meets its bundle, not all units.
     """
-    entry = lambda kind: lambda u: F.struct(F.lit(kind).alias("kind"), u["ordinal"].cast("long").alias("number"), u["text"].alias("unit"))
-    both = lambda d: F.concat(
-        F.coalesce(F.transform(d["paragraphs"], entry(PARAGRAPH)), F.array()), F.coalesce(F.transform(d["segments"], entry(SEGMENT)), F.array())
-    )
-    exploded = bundles.select("meeting", F.explode("documents").alias("d")).select("meeting", F.col("d.document_id").alias("document_id"), F.explode(both(F.col("d"))).alias("u"))
     pattern = f"^({SEGMENT}|{PARAGRAPH})([0-9]{{1,18}})$"
     part = lambda i: F.nullif(F.regexp_extract(F.trim("locator"), pattern, i), F.lit(""))
-    named = references.withColumns({"kind": part(1), "number": part(2).cast("long")})
+    kind, number = part(1), part(2).cast("long")
+    at = lambda units: F.get(F.filter(units, lambda u: u["ordinal"].cast("long") == F.col("__number")), F.lit(0))["text"]
+    document = F.get(F.filter("__documents", lambda d: d["document_id"] == F.col("document_id")), F.lit(0))
+    held = bundles.select("meeting", F.col("documents").alias("__documents"))
+    joined = references.withColumns({"__kind": kind, "__number": number}).join(held, "meeting", "left")
+    named = joined.select(*references.columns, "__kind", "__number", document.alias("__document"))
+    unit = F.when(F.col("__kind") == PARAGRAPH, at(F.col("__document.paragraphs"))).when(F.col("__kind") == SEGMENT, at(F.col("__document.segments")))
     flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     found = F.coalesce(F.contains(flat(F.col("unit")), flat(F.col("excerpt"))), F.lit(False))
-    joined = named.join(exploded.select("meeting", "document_id", "u.*"), ["meeting", "document_id", "kind", "number"], "left")
-    return joined.select(*references.columns, "unit", found.alias("found"))
+    return named.select(*references.columns, unit.alias("unit")).withColumn("found", found)
 
 
 def document_completeness(meetings: DataFrame, documents: DataFrame, required: list[str], exceptions: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 from hashlib import sha256
 
 import pytest
+from pyspark.sql import functions as F
 from retrospect.operators import bundles as b
 
 TEXT = {"statement": "<p>One  para.</p><p> </p><p>Two &amp; more</p>", "minutes": "<p>Held</p>", "transcript": "scan"}
@@ -94,3 +95,30 @@ def test_variants(spark):
     assert found["m2", "blind"].documents[0].text == "Bo Ray met [REDACTED_PARTICIPANT]" and found["m2", "blind"].leaks == []
     assert date.meeting_date == "2020-01-02" and date.participants == date.documents == date.evidence == [] and date.leaks == []
     assert found["m3", "blind"].documents == [] and found["m3", "blind"].participants == []
+
+
+def test_parts_meet_by_meeting_only(spark):
+    from retrospect.plans import catalog
+
+    plans = [catalog.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("b02_trace_bundles", "b02_refused_meetings")]
+    assert all("hashpartitioning(document_id" not in p and "bundle-documents" not in p for p in plans)
+    assert all(p.count("ArrowEvalPython") == 1 for p in plans)
+
+
+def test_segments_with_their_meeting(spark):
+    tables = _tables(spark)
+    segments = tables["segments"].selectExpr("*", "case when document_id = 'd-transcript' then 'm1' end as meeting")
+    same, row = b.trace_bundles(**{**tables, "segments": segments}, n_series=2)[0].first(), b.trace_bundles(**tables, n_series=2)[0].first()
+    assert same == row
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them(spark):
+    from retrospect.functions import html
+
+    pages = ["<html><p>A  b</p><p> </p>x", "<html><body><p>A \n b</p><p></p><p>c > d</p></body></html>", "<p>a &amp; b</p>", "<P>a<br>b</P><p>open", "", "<p>a</p><p>b"]
+    table = spark.createDataFrame([(i, "", p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    found = {r.page_id: r.t for r in table.select("page_id", html.paragraph_texts(spark, F.array("html"))[0].alias("t")).collect()}
+    parsed = {i: [] for i in range(len(pages))}
+    for r in html.paragraphs(table).orderBy("page_id", "ordinal").collect():
+        parsed[r.page_id].append(r.text)
+    assert found == parsed
