@@ -25,11 +25,15 @@ def best_sentence(docs: DataFrame, key: str, verbs: dict[str, str], cues: dict[s
 
 
 def located(references: DataFrame, docs: DataFrame) -> DataFrame:
-    """references (doc_id, locator "paragraph n", excerpt) with the unit's text and whether it holds the excerpt."""
-    units = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "unit")).select("doc_id", (F.col("at") + 1).alias("ordinal"), "unit")
+    """references (doc_id, locator "paragraph n", excerpt) with the unit's text and whether it holds the excerpt.
+
+    docs: doc_id (once), text. A reference meets its whole text and cuts it there, so texts are not exploded into lines.
+    """
     named = references.withColumn("ordinal", F.regexp_extract("locator", r"^paragraph (\d+)$", 1))
     typed = named.withColumn("ordinal", F.when(F.col("ordinal") != "", F.col("ordinal").cast("int")))
-    return typed.join(units, ["doc_id", "ordinal"], "left").withColumn("found", F.coalesce(F.contains("unit", "excerpt"), F.lit(False)))
+    joined = typed.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id", "left")
+    unit = F.get(F.split("__text", "\n"), F.col("ordinal") - 1)
+    return joined.withColumn("unit", unit).drop("__text").withColumn("found", F.coalesce(F.contains("unit", "excerpt"), F.lit(False)))
 
 
 def quota_pick(rows: DataFrame, group: str, order: str, least: int, most: int) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import temporal as t
 from ..operators import traces as tr
 from ..sources import corpus as c
 from ..sources import tables as s
+from ..sources.scratch import staged
 from .registry import query
 from .retrieval import _ETA, _MODEL, _NUMBERS
 
@@ -79,8 +80,9 @@ _VIOLATIONS = {
 }
 
 
-def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traces = _traces(spark, sf_dir)
+def _violations(spark: SparkSession, sf_dir: str, traces: DataFrame | None = None) -> DataFrame:
+    """Traces are read once and written, not parsed again for their references, debates, monitors and rules."""
+    traces = staged(_traces(spark, sf_dir), "traces") if traces is None else traces
     said = c.statements(spark, sf_dir)
     size = lambda name: F.coalesce(F.size(name), F.lit(0))
     labels = said.select(F.col("meeting").alias("key"), F.col("action").alias("action_class"), size("voted_for").alias("votes_for"), size("voted_against").alias("votes_against"))
@@ -102,7 +104,7 @@ _ENTERPRISE = {
 @query("b08_enterprise_validation", f"{_N}, o AS (SELECT l_orderkey AS key, count(*) FILTER (l_quantity <> q) AS odd FROM lineitem JOIN (SELECT 'a' || l_linenumber AS a, max(l_quantity) AS q FROM lineitem GROUP BY 1) ON a = 'a' || l_linenumber GROUP BY 1) SELECT key, {_list_sql(_ENTERPRISE)} AS violations FROM n LEFT JOIN o USING (key)".replace("odd > 0", "coalesce(odd, 0) > 0"))
 def b08_enterprise_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry holds one threshold for each assumption id; claims are compared without their part."""
-    traces = _traces(spark, sf_dir).withColumn("assumptions", F.transform("assumptions", lambda a: a.withField("claim", F.lit("claim")).withField("monitor_series_id", F.lit("x"))))
+    traces = staged(_traces(spark, sf_dir), "traces").withColumn("assumptions", F.transform("assumptions", lambda a: a.withField("claim", F.lit("claim")).withField("monitor_series_id", F.lit("x"))))
     lines = s.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("a"), F.col("l_linenumber").cast("string")).alias("assumption_id")).agg(F.max("l_quantity").alias("threshold_value"))
     registry = lines.select("assumption_id", F.lit("claim").alias("claim"), F.lit("x").alias("monitor_series_id"), "threshold_value")
     return tr.enterprise_violations(traces, _references(spark, sf_dir, traces).filter("path <> 'debate'"), registry)
@@ -126,10 +128,10 @@ _QUEUE = f"{_N}, q AS (SELECT key AS \"case\", {_list_sql(_FLAGS)} AS flags, len
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    traces, every = _traces(spark, sf_dir), lambda n: (F.pmod("key", F.lit(n)) == 0).cast("int")
+    traces, every = staged(_traces(spark, sf_dir), "traces"), lambda n: (F.pmod("key", F.lit(n)) == 0).cast("int")
     spoken = F.size(F.filter("debate", lambda d: d["participant_id"].isNotNull()))
     runs = traces.select("key", spoken.alias("participant_items"), (1 - every(10)).alias("transcript_references"), (1 + every(997)).alias("attempts"), every(31).alias("demoted"), every(37).alias("removed"))
-    return tr.review_queue(runs.join(_violations(spark, sf_dir), "key").withColumnRenamed("key", "case"))
+    return tr.review_queue(runs.join(_violations(spark, sf_dir, traces), "key").withColumnRenamed("key", "case"))
 
 
 @query("b12_review_queue", f"{_QUEUE} SELECT \"case\", flags, CASE WHEN len(flags) > 0 THEN 'HIGH' ELSE 'STANDARD' END AS priority, valid FROM q")
@@ -161,8 +163,6 @@ _LAST = f"c{len(_FLAGS)}"
 u AS (SELECT * FROM p UNION ALL SELECT "case", reasons FROM st WHERE k <= 200 - (SELECT count(*) FROM p)), f AS (SELECT "case", ['HASH_FILL'] AS reasons, row_number() OVER (ORDER BY {_RANK.format('FALLBACK')}) AS k FROM q WHERE "case" NOT IN (SELECT "case" FROM u))
 SELECT * FROM u UNION ALL SELECT "case", reasons FROM f WHERE k <= 200 - (SELECT count(*) FROM u)""")
 def b13_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.scratch import staged
-
     return tr.review_sample(staged(_queue(spark, sf_dir), "review-queue"), 200, "seed")
 
 

@@ -34,3 +34,19 @@ def test_vote_clauses(spark):
     assert found["a", None] == (["Lee", "Ray", "Poe"], ["Fox"], True)
     assert found["b", None] == (["Bo B. Ray", "Cy Poe Jr"], [], False) and ("b", "AGAINST_FIRST") in found
     assert ("c", "DUPLICATE") in found and ("d", "NO_VOTE") in found and ("e", "UNREADABLE") in found
+
+
+def test_the_queue_parses_traces_once(spark):
+    from retrospect.plans import catalog
+
+    plan = catalog.QUERIES["b12_review_queue"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "to_json" not in plan
+
+
+def test_locators_outside_a_text(spark):
+    from retrospect.operators.records import located
+
+    docs = spark.createDataFrame([("d", "one\ntwo"), ("n", None)], "doc_id string, text string")
+    asked = [("d", "paragraph 2", "two"), ("d", "paragraph 3", "two"), ("d", "paragraph 0", "one"), ("d", "page 1", "one"), ("n", "paragraph 1", "x"), ("gone", "paragraph 1", "x")]
+    found = located(spark.createDataFrame(asked, "doc_id string, locator string, excerpt string"), docs).collect()
+    assert {(r.doc_id, r.locator): (r.unit, r.found) for r in found} == {a[:2]: (("two", True) if a == asked[0] else (None, False)) for a in asked}
