@@ -102,18 +102,27 @@ def located_in_bundles(references: DataFrame, bundles: DataFrame) -> DataFrame:
     around a locator are left out. found: the unit holds the excerpt, both with blanks collapsed. Null or unreadable
     locators and unknown documents have a null unit and aren't found. A reference meets its bundle, not all units.
     """
+    held = bundles.select("meeting", F.col("documents").alias("__documents"))
+    return _located(references.join(held, "meeting", "left"), references.columns)
+
+
+def located_in_own_bundles(bundles: DataFrame, references: Column) -> DataFrame:
+    """located_in_bundles for references of each bundle itself, an array of (document_id, locator, excerpt): a bundle is made once and meets nothing."""
+    each = bundles.select("meeting", F.col("documents").alias("__documents"), F.explode_outer(references).alias("r")).filter("r is not null")
+    return _located(each.select("meeting", "r.*", "__documents"), ["meeting", "document_id", "locator", "excerpt"])
+
+
+def _located(held: DataFrame, columns: list[str]) -> DataFrame:
     pattern = f"^({SEGMENT}|{PARAGRAPH})([0-9]{{1,18}})$"
     part = lambda i: F.nullif(F.regexp_extract(F.trim("locator"), pattern, i), F.lit(""))
     kind, number = part(1), part(2).cast("long")
     at = lambda units: F.get(F.filter(units, lambda u: u["ordinal"].cast("long") == F.col("__number")), F.lit(0))["text"]
     document = F.get(F.filter("__documents", lambda d: d["document_id"] == F.col("document_id")), F.lit(0))
-    held = bundles.select("meeting", F.col("documents").alias("__documents"))
-    joined = references.withColumns({"__kind": kind, "__number": number}).join(held, "meeting", "left")
-    named = joined.select(*references.columns, "__kind", "__number", document.alias("__document"))
+    named = held.withColumns({"__kind": kind, "__number": number}).select(*columns, "__kind", "__number", document.alias("__document"))
     unit = F.when(F.col("__kind") == PARAGRAPH, at(F.col("__document.paragraphs"))).when(F.col("__kind") == SEGMENT, at(F.col("__document.segments")))
     flat = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     found = F.coalesce(F.contains(flat(F.col("unit")), flat(F.col("excerpt"))), F.lit(False))
-    return named.select(*references.columns, unit.alias("unit")).withColumn("found", found)
+    return named.select(*columns, unit.alias("unit")).withColumn("found", found)
 
 
 def document_completeness(meetings: DataFrame, documents: DataFrame, required: list[str], exceptions: DataFrame, overrides: DataFrame) -> DataFrame:
