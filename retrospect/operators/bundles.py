@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html
-from .names import redacted
+from .names import redacted_in_row
 from .traces import rule_list
 
 #: The types of documents in their order, and the usage that each must be registered for.
@@ -164,20 +164,24 @@ def variant_bundles(cases: DataFrame, evidence: DataFrame, documents: DataFrame,
     members are numbered by their place in the roster, and every text has the names of its own roster taken out; parts
     that a variant doesn't show are empty. leaks: ids and names that are still anywhere in a bundle without names, in any
     case; such a bundle must not be used. Evidence of people outside the roster is left out. Texts are redacted once for
-    all variants.
+    all variants, in the row of their case, whose roster is there already.
     """
-    people = cases.select("meeting", F.posexplode("participants").alias("i", "p")).select("meeting", (F.col("i") + 1).alias("place"), "p.*")
-    numbered = people.select("meeting", "participant_id", _model_id(F.col("is_chair"), F.col("place")).alias("model_id"))
-    texts = evidence.select("meeting", F.lit("evidence").alias("part"), F.col("evidence_id").cast("string").alias("id"), "participant_id", "text").unionByName(
-        documents.select("meeting", F.lit("document").alias("part"), F.col("document_id").cast("string").alias("id"), F.lit(None).cast("string").alias("participant_id"), "text")
-    )
-    keyed = texts.withColumns({"text_id": F.concat_ws("|", F.col("meeting").cast("string"), "part", "id"), "list_id": F.col("meeting"), "shown": F.col("text")})
-    hidden = redacted(keyed, people.select(F.col("meeting").alias("list_id"), F.col("display_name").alias("name"))).join(numbered, ["meeting", "participant_id"], "left")
-
-    said = _grouped(hidden.filter("part = 'evidence' and model_id is not null"), "meeting", "evidence", "id", "participant_id", "model_id", "shown", "text")
-    written = _grouped(hidden.filter("part = 'document'"), "meeting", "documents", "id", "shown", "text")
+    said = _grouped(evidence, "meeting", "evidence", F.col("evidence_id").cast("string").alias("id"), "participant_id", F.col("text").alias("shown"))
+    written = _grouped(documents, "meeting", "documents", F.col("document_id").cast("string").alias("id"), F.col("text").alias("shown"))
     numbers = _grouped(snapshot, "meeting", "snapshot", "series_id", "value")
     whole = cases.join(said, "meeting", "left").join(written, "meeting", "left").join(numbers, "meeting", "left")
+    shown = lambda name: F.transform(F.coalesce(name, F.array()), lambda x: x["shown"])
+    texts = redacted_in_row(cases.sparkSession, F.concat(shown("evidence"), shown("documents")), F.transform("participants", lambda p: p["display_name"]))
+    marked = whole.withColumn("__texts", texts)
+    n_said = F.size(F.coalesce("evidence", F.array()))
+    seats = F.transform("participants", lambda p, i: F.struct(p["participant_id"].alias("participant_id"), _model_id(p["is_chair"], i + 1).alias("model_id")))
+    of = lambda e, i: F.transform(F.filter("__seats", lambda s: (s["participant_id"] == e["participant_id"]) & s["model_id"].isNotNull()), lambda s: F.struct(
+        e["id"].alias("id"), e["participant_id"].alias("participant_id"), s["model_id"].alias("model_id"), e["shown"].alias("shown"), F.get("__texts", i).alias("text")
+    ))
+    paper = lambda d, i: F.struct(d["id"].alias("id"), d["shown"].alias("shown"), F.get("__texts", F.col("__n") + i).alias("text"))
+    whole = marked.withColumns({"__seats": seats, "__n": n_said}).withColumns({
+        "evidence": F.sort_array(F.flatten(F.transform("evidence", of))), "documents": F.sort_array(F.transform("documents", paper)),
+    })
 
     flags = ("meeting_date", "participant_names", "economic_snapshot", "persona_evidence")
     each = F.explode(F.array(*[F.struct(F.lit(v["variant_id"]).alias("id"), *[F.lit(bool(v.get(f))).alias(f) for f in flags]) for v in variants]))
@@ -203,6 +207,7 @@ def variant_bundles(cases: DataFrame, evidence: DataFrame, documents: DataFrame,
     parts = ["case_id", "meeting_date", "participants", "snapshot", "evidence", "documents"]
     json = F.to_json(F.struct(*parts))
     terms = F.array_distinct(F.flatten(F.transform("__people", lambda p: F.array(p["participant_id"], p["display_name"]))))
-    left = F.filter(terms, lambda t: (t != "") & F.contains(F.lower(json), F.lower(t)))
+    # held in an array of one, so that a bundle is not written out again for each term
+    left = F.flatten(F.transform(F.array(F.lower(json)), lambda j: F.filter(terms, lambda t: (t != "") & F.contains(j, F.lower(t)))))
     leaks = F.when(names | dated, F.array().cast("array<string>")).otherwise(left)
     return model.select("meeting", "variant", *parts, leaks.alias("leaks"), _hashed(json).alias("model_hash"))

@@ -133,3 +133,10 @@ def test_own_references_meet_no_other_bundles(spark):
     asked = [("d-transcript", "transcript segment 0", "first turn", True), ("d-statement", "paragraph 2", "Two", True), ("d-statement", "paragraph 9", "Two", False), ("d-none", "paragraph 1", "x", False)]
     refs = F.array(*[F.struct(F.lit(d).alias("document_id"), F.lit(at).alias("locator"), F.lit(x).alias("excerpt")) for d, at, x, _ in asked])
     assert {(r.document_id, r.locator): r.found for r in b.located_in_own_bundles(accepted, refs).collect()} == {r[:2]: r[3] for r in asked}
+
+
+def test_a_roster_is_redacted_in_its_case(spark):
+    from retrospect.plans import catalog
+
+    plan = catalog.QUERIES["b03_variant_bundles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "name-lists" not in plan

@@ -83,3 +83,25 @@ def test_places_without_a_first_token_are_left_out():
     text = "It was said that Ann Lee met Bo."
     assert [p[0] for p in names.token_keys(text, [1, 3], heads=frozenset(["ann", "bo"]))] == [17, 29]
     assert len(list(names.token_keys(text, [1, 3]))) == 8
+
+
+def test_texts_of_a_row_are_hidden_as_those_of_a_list(spark):
+    from pyspark.sql import functions as F
+
+    lists = [["Ann Lee", " Bo Ray\t", None, "", "Li"], ["É. Blé", "O'Brien", "Mary-Jane Watson Jr."], [f"Al N{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)], []]
+    texts = [["LEE met Ann  Lee, Ann Lee-Ray and Leeds", None, "", "Lixx Li bo ray"], ["É. BLÉ and blé; O'BRIEN'S; Watson Jr.", "Obrien"], ["Nak Nbl nakx Al Ncm, al ncm", "x"], ["Ann Lee"]]
+    rows = spark.createDataFrame(list(zip(range(4), texts, lists)), "i int, texts array<string>, names array<string>")
+    each = rows.select(F.col("i").alias("list_id"), F.posexplode("texts").alias("at", "text")).withColumn("text_id", F.concat_ws("-", "list_id", "at"))
+    want = {r.text_id: r.text for r in names.redacted(each, rows.select(F.col("i").alias("list_id"), F.explode("names").alias("name"))).collect()}
+    found = rows.select("i", names.redacted_in_row(spark, F.col("texts"), F.col("names")).alias("t")).collect()
+    assert {f"{r.i}-{k}": t for r in found for k, t in enumerate(r.t)} == want and want["0-0"].startswith("[REDACTED_PARTICIPANT] met Ann  [RED")
+
+
+def test_plain_spans_are_those_of_tokens():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(2000):
+        text = "".join(draw.choice("aAbB -'.1") for _ in range(draw.randrange(14)))
+        terms = {"".join(draw.choice("abB -'.1") for _ in range(draw.randrange(1, 5))).strip() for _ in range(4)} - {""}
+        assert names.spans_of(text, terms) == names.spans_of(text + "é", terms), (text, terms)  # the letter beyond ASCII has all tokens cut
