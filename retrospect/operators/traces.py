@@ -152,16 +152,19 @@ def combined_forecast(predictions: DataFrame, roster: DataFrame, fallback: DataF
 
     predictions: case, model, action, votes (map of participant to choice). A leading action (alphabetical on a tie) needs
     policy_support models, else the case's fallback action (case, fallback) counts; a member is against by against_support
-    models. Problems: COVERAGE if a model's votes are not the roster's, DUPLICATE_MODEL, NO_MODEL.
+    models. Problems: COVERAGE if a model's votes are not the roster's, DUPLICATE_MODEL, NO_MODEL. roster: case and
+    participant, or case (once) and members, each once and in order. A case's predictions are collected once and counted in its row.
     """
-    members = roster.groupBy("case").agg(F.sort_array(F.collect_set("participant")).alias("members"))
-    judged = predictions.join(members, "case").withColumn("covers", F.sort_array(F.map_keys("votes")) == F.col("members"))
-    counts = predictions.groupBy("case", "action").agg(F.count("*").alias("n"))
-    leading = counts.groupBy("case").agg(F.min(F.struct((-F.col("n")).alias("m"), "action")).alias("t"))
-    models = judged.groupBy("case").agg(
-        F.count("*").alias("models"), (F.count_distinct("model") < F.count("*")).alias("twice"), (~F.bool_and("covers")).alias("uneven"), F.collect_list("votes").alias("cast")
-    )
-    whole = members.join(models, "case", "left").join(leading, "case", "left").join(fallback, "case", "left")
+    members = roster if "members" in roster.columns else roster.groupBy("case").agg(F.sort_array(F.collect_set("participant")).alias("members"))
+    collected = predictions.groupBy("case").agg(F.collect_list(F.struct("model", "action", "votes")).alias("made"))
+    of = lambda name: F.transform("made", lambda p: p[name])
+    models = collected.select("case", F.size("made").cast("long").alias("models"), of("model").alias("numbers"), of("action").alias("actions"), F.filter(of("votes"), lambda v: v.isNotNull()).alias("cast"))
+    known = F.filter("numbers", lambda n: n.isNotNull())
+    times = F.transform(F.array_distinct("actions"), lambda a: F.struct((-F.size(F.filter("actions", lambda x: F.equal_null(x, a)))).cast("long").alias("m"), a.alias("action")))
+    uneven = F.exists("cast", lambda v: F.sort_array(F.map_keys(v)) != F.col("members"))
+    whole = members.select("case", "members").join(models, "case", "left").join(fallback, "case", "left").withColumns({
+        "t": F.array_min(times), "twice": F.size(F.array_distinct(known)) < F.size("numbers"), "uneven": uneven,
+    })
     votes = F.transform(
         "members", lambda p: F.struct(p.alias("participant"), F.size(F.filter(F.coalesce("cast", F.array().cast("array<map<bigint,string>>")), lambda v: F.try_element_at(v, p) == "AGAINST")).alias("against_support"))
     )
@@ -230,19 +233,26 @@ def variant_matrix(deterministic: DataFrame, reports: DataFrame, stored: DataFra
     return deterministic.withColumn("kind", F.lit("deterministic")).unionByName(runs, allowMissingColumns=True)
 
 
-def case_bundles(cases: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """cases (case, ...) with one array of structs for each part (case, ...), in order, and a hash over all of them."""
-    out = cases
+def case_bundles(cases: DataFrame, parts: dict[str, DataFrame | Column], left_out: tuple[str, ...] = ()) -> DataFrame:
+    """cases (case, ...) with one array of structs for each part (case, ...), in order, and a hash over all of them.
+
+    A part that a case's own columns make is an array of structs and joins nothing; columns that only make parts are left out.
+    """
+    out = cases.select("*", *[F.sort_array(made).alias(name) for name, made in parts.items() if isinstance(made, Column)]).drop(*left_out)
     for name, rows in parts.items():
+        if isinstance(rows, Column):
+            out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+            continue
         fields = F.struct(*[c for c in rows.columns if c != "case"])
         grouped = rows.groupBy("case").agg(F.sort_array(F.collect_list(fields)).alias(name))
         out = out.join(grouped, "case", "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+    out = out.select(*[c for c in cases.columns if c not in left_out], *parts)
     return out.withColumn("bundle_hash", F.sha2(F.to_json(F.struct(*out.columns)).cast("binary"), 256))
 
 
-def bundle_sizes(bundles: DataFrame, parts: list[str]) -> DataFrame:
-    """case, the number of entries of each part, and the bundle's bytes."""
-    return bundles.select("case", *[F.size(p).alias(f"n_{p}") for p in parts], F.octet_length(F.to_json(F.struct(*parts))).alias("bytes"))
+def bundle_sizes(bundles: DataFrame, parts: list[str], *more: Column) -> DataFrame:
+    """case, the number of entries of each part, the bundle's bytes, and more columns of a bundle."""
+    return bundles.select("case", *[F.size(p).alias(f"n_{p}") for p in parts], F.octet_length(F.to_json(F.struct(*parts))).alias("bytes"), *more)
 
 
 def salient_topics(communications: DataFrame, taxonomy: dict[str, list[str]], limit: int = 3, evidence: int = 3) -> DataFrame:

@@ -180,7 +180,7 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = s.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("model"), action.alias("action"))
     vote = F.map_from_entries(F.transform("ids", lambda p: F.struct(p, F.when(F.pmod(p + F.col("model"), F.lit(4)) == 0, "AGAINST").otherwise("FOR"))))
     predictions = lines.join(roster, "case").select("case", "model", "action", vote.alias("votes"))
-    return tr.combined_forecast(predictions, roster.select("case", F.explode("ids").alias("participant")), roster.select("case", F.lit("HOLD").alias("fallback")))
+    return tr.combined_forecast(predictions, roster.select("case", F.col("ids").alias("members")), roster.select("case", F.lit("HOLD").alias("fallback")))
 
 
 @query("m11_combined_forecast", f"{_PRED} SELECT * FROM com")
@@ -313,19 +313,21 @@ def b01_b06_case_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b05_forward_bundles", f"""{_ASSEMBLED}, x AS (SELECT "case", unnest(ids) AS participant FROM fc), z AS (SELECT "case", count(*) AS n_participants, count(*) FILTER (participant % 2 = 0) AS n_speeches FROM x GROUP BY 1)
 SELECT fc."case", coalesce(n_participants, 0)::INTEGER AS n_participants, coalesce(n_participants, 0)::INTEGER AS n_cards, coalesce(n_speeches, 0)::INTEGER AS n_speeches, 64 AS hash_length FROM fc LEFT JOIN z ON z."case" = fc."case" """)
 def b05_forward_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecasts with their voters, a card of each one's history and the speeches that are evidence."""
+    """Forecasts with their voters, a card of each one's history and the speeches that are evidence.
+
+    A forecast is made once: its voters and speeches are arrays of its row, and only cards come by a join, of the members of its roster.
+    """
     made = _forecasts(spark, sf_dir)
-    votes = s.member_votes(spark, sf_dir)
-    newest = votes.agg(F.max("meeting")).first()[0]
-    cards = t.recency(votes, newest + 1)
-    each = made.select("case", F.explode("voters").alias("v")).select("case", "v.participant", "v.vote", "v.evidence")
+    newest = s.votes(spark, sf_dir).agg(F.max("meeting")).first()[0]
+    cards = t.recency(s.member_votes(spark, sf_dir), newest + 1)
+    seats = c.rosters(spark, sf_dir).select(F.col("meeting").alias("case"), F.explode_outer("ids").alias("participant"))
+    given = lambda v: F.transform(v["evidence"], lambda d: F.struct(v["participant"].alias("participant"), d.alias("document_id")))
     parts = {
-        "participants": each.select("case", "participant", "vote"), "cards": each.select("case", "participant").join(cards, "participant"),
-        "speeches": each.select("case", "participant", F.explode("evidence").alias("document_id")),
+        "participants": F.transform("voters", lambda v: F.struct(v["participant"].alias("participant"), v["vote"].alias("vote"))), "cards": seats.join(cards, "participant").select("case", "participant", *cards.columns[1:]),
+        "speeches": F.flatten(F.transform("voters", given)),
     }
-    bundles = tr.case_bundles(made.select("case", "action", "models_agree"), parts)
-    sizes = tr.bundle_sizes(bundles, list(parts))
-    return sizes.drop("bytes").join(bundles.select("case", F.length("bundle_hash").alias("hash_length")), "case")
+    bundles = tr.case_bundles(made.select("case", "action", "models_agree", "voters"), parts, ("voters",))
+    return tr.bundle_sizes(bundles, list(parts), F.length("bundle_hash").alias("hash_length")).drop("bytes")
 
 
 _TAXONOMY = {"PRICES": ["the", "der"], "LABOUR": ["of", "und"], "RATES": ["and", "die"], "GROWTH": ["de", "le"], "RISK": ["la", "que"]}

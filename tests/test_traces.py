@@ -50,3 +50,37 @@ def test_locators_outside_a_text(spark):
     asked = [("d", "paragraph 2", "two"), ("d", "paragraph 3", "two"), ("d", "paragraph 0", "one"), ("d", "page 1", "one"), ("n", "paragraph 1", "x"), ("gone", "paragraph 1", "x")]
     found = located(spark.createDataFrame(asked, "doc_id string, locator string, excerpt string"), docs).collect()
     assert {(r.doc_id, r.locator): (r.unit, r.found) for r in found} == {a[:2]: (("two", True) if a == asked[0] else (None, False)) for a in asked}
+
+
+def test_a_forecast_is_made_once(spark):
+    from retrospect.plans import catalog
+
+    plan = catalog.QUERIES["b05_forward_bundles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") <= 2, plan.count("orders.parquet")
+
+
+def test_parts_of_a_bundle_from_its_own_row(spark):
+    from pyspark.sql import functions as F
+    from retrospect.operators import traces as tr
+
+    cases = spark.createDataFrame([("a", 1, [("p2", "FOR"), ("p1", "AGAINST")]), ("b", 2, None)], "case string, n int, voters array<struct<participant: string, vote: string>>")
+    cards = spark.createDataFrame([("a", "x", 1)], "case string, card string, k int")
+    voters = cases.select("case", F.explode("voters").alias("v")).select("case", "v.*")
+    joined = tr.case_bundles(cases.select("case", "n"), {"voters_too": voters, "cards": cards})
+    own = tr.case_bundles(cases, {"voters_too": F.col("voters"), "cards": cards}, ("voters",))
+    assert own.columns == joined.columns and sorted(own.collect()) == sorted(joined.collect())
+
+
+def test_predictions_are_counted_in_their_case(spark):
+    from retrospect.operators import traces as tr
+
+    votes = {1: "AGAINST", 2: "FOR"}
+    made = [("a", 1, "CUT", votes), ("a", 2, "HOLD", votes), ("a", 3, "CUT", votes), ("a", 4, "HOLD", votes), ("b", 1, "HIKE", {1: "FOR"}), ("c", 1, "CUT", votes), ("c", 1, "CUT", votes), ("c", None, "CUT", None), ("e", 1, "CUT", votes)]
+    predictions = spark.createDataFrame(made, "case string, model int, action string, votes map<bigint,string>")
+    roster = spark.createDataFrame([(c, p) for c in "abcd" for p in (2, 1, 1)], "case string, participant bigint")
+    fallback = spark.createDataFrame([(c, "HOLD") for c in "abcd"], "case string, fallback string")
+    found = {r.case: (r.action, r.support, r.models, r.consensus, [(v.participant, v.against_support, v.vote) for v in r.votes], r.problem) for r in tr.combined_forecast(predictions, roster, fallback, policy_support=2).collect()}
+    assert found == {
+        "a": ("CUT", 2, 4, True, [(1, 4, "AGAINST"), (2, 0, "FOR")], None), "b": ("HOLD", 1, 1, False, [(1, 0, "FOR"), (2, 0, "FOR")], "COVERAGE"),
+        "c": ("CUT", 3, 3, True, [(1, 2, "AGAINST"), (2, 0, "FOR")], "DUPLICATE_MODEL"), "d": ("HOLD", 0, 0, False, [(1, 0, "FOR"), (2, 0, "FOR")], "NO_MODEL"),
+    }
