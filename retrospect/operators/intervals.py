@@ -12,12 +12,13 @@ def _bucket(day: Column, days: int) -> Column:
     return F.floor(F.date_diff(day, F.lit(_ORIGIN).cast("date")) / F.lit(days)).cast("int")
 
 
-def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, days: int = 32, by: tuple[str, ...] = ()) -> DataFrame:
+def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, days: int = 32, by: tuple[str, ...] = (), bucket: str | None = None) -> DataFrame:
     """Rows of both, equal in `by`, where start <= at < end; a null start or end is open.
 
     An equi-join on buckets of `days`: an interval has a row for every bucket that it touches between the first and
     last point, a point lies in one, so the rows made are about as many as the result's. No side is broadcast by force,
-    and a bucket that is too large for a task is split by the engine's skew join.
+    and a bucket that is too large for a task is split by the engine's skew join. bucket: a name under which the buckets'
+    numbers stay, so that what is grouped by it, `by` and a point's other columns needs no shuffle.
     """
     first, last = points.agg(F.min(at), F.max(at)).first()  # two dates
     low = F.greatest(F.coalesce(F.col(start), F.lit(first)), F.lit(first))
@@ -25,7 +26,8 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str,
     inside = (F.col(start).isNull() | (F.col(start) <= F.lit(last))) & (low <= high)
     spread = intervals.filter(inside).withColumn("__bucket", F.explode(F.sequence(_bucket(low, days), _bucket(high, days))))
     dealt = points.withColumn("__bucket", _bucket(F.col(at), days))
-    found = spread.join(dealt, [*by, "__bucket"]).drop("__bucket")
+    joined = spread.join(dealt, [*by, "__bucket"])
+    found = joined.withColumnRenamed("__bucket", bucket) if bucket else joined.drop("__bucket")
     return found.filter((F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(at) < F.col(end))))
 
 

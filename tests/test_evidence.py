@@ -44,3 +44,23 @@ def test_empty(spark):
     speeches = spark.createDataFrame([("p", "s", "2020-01-01T00:00:00Z", 3)], "participant string, document_id string, published string, score int")
     assert [tuple(r) for r in member_evidence(asks, segments, speeches).collect()] == [("m", "p", "public_communication", "s", SPEECH, "2020-01-01T00:00:00Z", 1)]
     assert member_evidence(asks.limit(0), segments, speeches).count() == 0
+
+
+def test_matches_are_ranked_where_they_meet(spark):
+    from retrospect.plans import catalog
+
+    plan = catalog.QUERIES["o05_member_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(meeting" not in plan and "Exchange hashpartitioning(participant" in plan
+    assert sum("Exchange hashpartitioning" in line and "published" in line for line in plan.splitlines()) == 0
+
+
+def test_many_sittings_of_one_meeting(spark):
+    segments = [("p", "m", f"m-{i}", 0, f"2020-01-{i + 2:02d}T00:00:00Z") for i in range(20)] + [("p", "n", "n-0", 0, "2020-01-01T00:00:00Z"), ("p", "n", "n-0", 1, "2020-01-01T00:00:00Z")]
+    asks = [("m", "p", date(2020, 3, 1)), ("x", "p", date(2020, 3, 1)), ("x", "p", date(2020, 1, 3))]
+    speeches = [("p", "s", "2020-01-01T00:00:00Z", 1)]
+    make = spark.createDataFrame
+    found = member_evidence(
+        make(asks, "meeting string, participant string, cutoff date"), make(segments, "participant string, meeting string, document_id string, ordinal int, published string"),
+        make(speeches, "participant string, document_id string, published string, score int"), 1,
+    )
+    assert sorted((r.meeting, r.document_id, r.locator) for r in found.collect()) == [("m", "s", SPEECH), ("x", "m-1", "transcript segment 0"), ("x", "m-19", "transcript segment 0")]
